@@ -1 +1,180 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered 2B / 2E queries and their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import filters as B
+from millrace.operators import numbering as G
+from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, register
+
+SEARCH_Q = "cUsToMeR#00000012"
+_UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _like(col: str, q: str) -> str:
+    return f"translate({col}, '{_UP}', '{_LO}') LIKE '%{q.lower()}%'"
+
+
+@register("b1_active_products", "SELECT * FROM products WHERE active = 1")
+def b1p(t):
+    return B.active_only(t.products)
+
+
+@register("b1_active_customers", "SELECT * FROM customers WHERE active = 1")
+def b1c(t):
+    return B.active_only(t.customers)
+
+
+@register("b1_active_suppliers", "SELECT * FROM suppliers WHERE active = 1")
+def b1s(t):
+    return B.active_only(t.suppliers)
+
+
+@register("b2_materials_list", "SELECT * FROM raw_materials")
+def b2m(t):
+    return B.materials_list(t.raw_materials)
+
+
+@register("b2_equipment_list", "SELECT * FROM equipment")
+def b2e(t):
+    return B.equipment_list(t.equipment)
+
+
+@register("b3_users_public", "SELECT id, username, name, role, active FROM users")
+def b3(t):
+    return B.users_public(t.users)
+
+
+@register("b4_sales_filter", """
+SELECT * FROM sales_orders WHERE status = 'confirmed' AND order_date >= DATE '1996-01-01'
+  AND order_date <= DATE '1997-12-31'
+""")
+def b4(t):
+    return B.sales_filter(t.sales_orders, "confirmed", "1996-01-01", "1997-12-31", None)
+
+
+@register("b4_sales_filter_customer", "SELECT * FROM sales_orders WHERE customer_id = 7")
+def b4c(t):
+    return B.sales_filter(t.sales_orders, None, None, None, 7)
+
+
+@register("b5_expenses_filter", f"""
+SELECT * FROM expenses WHERE expense_date >= DATE '{EV_FROM}' AND expense_date <= DATE '{AS_OF_EVENTS}'
+  AND category = 'water'
+""")
+def b5(t):
+    return B.expenses_filter(t.expenses, EV_FROM, AS_OF_EVENTS, "water")
+
+
+@register("b6_expenses_of_month", "SELECT * FROM expenses WHERE strftime(expense_date, '%Y-%m') = '2024-01'")
+def b6(t):
+    return B.expenses_of_month(t.expenses, "2024-01")
+
+
+@register("b7_status_not_in", "SELECT * FROM sales_orders WHERE status NOT IN ('paid', 'cancelled')")
+def b7(t):
+    return B.status_filter(t.sales_orders, ["paid", "cancelled"], negate=True)
+
+
+@register("b7_status_in", "SELECT * FROM production_orders WHERE status IN ('pending', 'in_progress')")
+def b7i(t):
+    return B.status_filter(t.production_orders, ["pending", "in_progress"])
+
+
+@register("b8_low_stock_products", """
+SELECT * FROM products WHERE stock <= min_stock AND active = 1 ORDER BY stock ASC, id LIMIT 10
+""")
+def b8p(t):
+    return B.low_stock(t.products, "stock", "min_stock", 10)
+
+
+@register("b8_low_stock_materials", """
+SELECT * FROM raw_materials WHERE quantity <= min_quantity ORDER BY quantity ASC, id LIMIT 10
+""")
+def b8m(t):
+    return B.low_stock(t.raw_materials, "quantity", "min_quantity", 10)
+
+
+@register("b9_overdue_orders", f"""
+SELECT s.id, s.order_number, c.name AS customer, s.due_date
+FROM sales_orders s JOIN customers c ON s.customer_id = c.id
+WHERE s.status NOT IN ('paid', 'cancelled') AND s.due_date < DATE '{AS_OF}' AND s.due_date IS NOT NULL
+ORDER BY s.due_date ASC, s.id LIMIT 10
+""")
+def b9(t):
+    return B.overdue_orders(t.sales_orders, t.customers, AS_OF, 10)
+
+
+@register("b10_maintenance_due", f"""
+SELECT * FROM equipment WHERE next_maintenance IS NOT NULL
+  AND next_maintenance <= DATE '{AS_OF_EVENTS}' + INTERVAL 7 DAY AND status = 'active'
+""")
+def b10(t):
+    return B.maintenance_due(t.equipment, AS_OF_EVENTS, 7, active_only=True)
+
+
+@register("b10_maintenance_due_any_status", f"""
+SELECT * FROM equipment WHERE next_maintenance IS NOT NULL
+  AND next_maintenance <= DATE '{AS_OF_EVENTS}' + INTERVAL 7 DAY
+""")
+def b10a(t):
+    return B.maintenance_due(t.equipment, AS_OF_EVENTS, 7, active_only=False)
+
+
+@register("b11_global_search", f"""
+(SELECT 'customers' AS grp, id, code, name, phone, type, NULL::BIGINT AS stock, NULL AS unit, NULL::DOUBLE AS price,
+        NULL::DOUBLE AS total_amount, NULL AS status, NULL::DATE AS order_date, NULL AS customer_name
+ FROM customers WHERE ({_like('name', SEARCH_Q)} OR {_like('code', SEARCH_Q)} OR {_like('phone', SEARCH_Q)})
+   AND active = 1 ORDER BY id LIMIT 5)
+UNION ALL
+(SELECT 'products', id, code, name, NULL, NULL, stock, unit, price, NULL, NULL, NULL, NULL
+ FROM products WHERE ({_like('name', SEARCH_Q)} OR {_like('code', SEARCH_Q)}) AND active = 1 ORDER BY id LIMIT 5)
+UNION ALL
+(SELECT 'orders', s.id, s.order_number, NULL, NULL, NULL, NULL, NULL, NULL, s.total_amount, s.status, s.order_date,
+        c.name
+ FROM sales_orders s JOIN customers c ON s.customer_id = c.id
+ WHERE {_like('s.order_number', SEARCH_Q)} OR {_like('c.name', SEARCH_Q)}
+ ORDER BY s.created_at DESC, s.id DESC LIMIT 5)
+""")
+def b11(t):
+    return B.global_search(t.customers, t.products, t.sales_orders, SEARCH_Q, 5)
+
+
+@register("b12_contains_filter", """
+SELECT * FROM customers
+WHERE (contains(lower(COALESCE(name, '')), 'customer#0000001') OR contains(lower(COALESCE(code, '')), 'customer#0000001')
+       OR contains(lower(COALESCE(phone, '')), 'customer#0000001')) AND type = 'retail'
+""")
+def b12(t):
+    return B.contains_filter(t.customers, ["name", "code", "phone"], "Customer#0000001", "retail")
+
+
+BATCH_SQL = """
+SELECT *, printf('B%s-%03d', strftime(CAST(created_at AS DATE), '%Y%m%d'),
+                 1 + COALESCE(SUM(CASE WHEN status <> 'cancelled' THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY CAST(created_at AS DATE) ORDER BY created_at, id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS batch_number,
+       CAST(CAST(created_at AS DATE) + INTERVAL 365 DAY AS DATE) AS expiry_date
+FROM production_orders
+"""
+
+
+@register("b13_batches_with_number", f"SELECT * FROM ({BATCH_SQL}) b WHERE batch_number IS NOT NULL AND batch_number <> ''")
+def b13(t):
+    return B.batches_with_number(G.assign_batch_numbers(t.production_orders))
+
+
+@register("e1_top_k_expenses", "SELECT * FROM expenses ORDER BY amount DESC, id LIMIT 10")
+def e1(t):
+    return B.top_k(t.expenses, [F.desc("amount"), "id"], 10)
+
+
+@register("e2_audit_latest", "SELECT * FROM audit_logs ORDER BY created_at DESC, id DESC LIMIT 200")
+def e2(t):
+    return B.audit_latest(t.audit_logs, 200)
+
+
+@register("e3_multi_key_sort", "SELECT * FROM expenses")
+def e3(t):
+    return B.multi_key_sort(t.expenses, [F.desc("expense_date"), F.desc("created_at")])
