@@ -1 +1,432 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered 2I business-rule jobs and their oracles.
+
+Sequential rules (I3, I9, I11, I12) are checked against DuckDB ``WITH
+RECURSIVE`` folds over ``row_number`` - an independent formulation of the
+same rule, one event per recursion step.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import numbering as G
+from millrace.operators import rules as I
+from millrace.plans.catalog import register
+from millrace.plans.q_filters import BATCH_SQL
+from millrace.sources.tables import load_table
+
+MS = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
+PRODUCED = "COALESCE(CASE WHEN quantity_produced <> 0 THEN quantity_produced END, quantity_planned)"
+
+I1_BASE = """
+cur AS (SELECT DISTINCT code FROM products),
+ch AS (SELECT c.*, (k.code IS NOT NULL) AS e0 FROM product_changes c LEFT JOIN cur k ON k.code = c.code),
+fi AS (SELECT code, min(seq) AS fi FROM product_changes WHERE op = 'insert' GROUP BY code),
+ch2 AS (SELECT ch.*, fi.fi,
+          CASE WHEN op = 'insert' THEN (NOT e0 AND seq = fi.fi) ELSE (e0 OR (fi.fi IS NOT NULL AND seq > fi.fi)) END AS ok
+        FROM ch LEFT JOIN fi ON fi.code = ch.code)
+"""
+
+
+@register("i1_apply_changes_state", f"""
+WITH {I1_BASE},
+agg AS (SELECT code, max(CASE WHEN op IN ('insert', 'update') THEN seq END) AS vseq,
+               arg_max(name, CASE WHEN op IN ('insert', 'update') THEN seq END) AS v_name,
+               arg_max(price, CASE WHEN op IN ('insert', 'update') THEN seq END) AS v_price,
+               bool_or(op = 'delete') AS deleted
+        FROM ch2 WHERE ok GROUP BY code)
+SELECT p.id, COALESCE(p.code, a.code) AS code, CASE WHEN a.vseq IS NOT NULL THEN a.v_name ELSE p.name END AS name,
+       COALESCE(p.size_ml, 0) AS size_ml, COALESCE(p.unit, 'ขวด') AS unit,
+       CASE WHEN a.vseq IS NOT NULL THEN a.v_price ELSE p.price END AS price, COALESCE(p.cost, 0.0) AS cost,
+       COALESCE(p.stock, 0) AS stock, COALESCE(p.min_stock, 0) AS min_stock,
+       CASE WHEN COALESCE(a.deleted, false) THEN 0 ELSE COALESCE(p.active, 1) END AS active
+FROM products p FULL OUTER JOIN agg a ON a.code = p.code
+""")
+def i1_state(t):
+    return I.apply_changes(t.products, t.product_changes)[0]
+
+
+@register("i1_apply_changes_rejects", f"""
+WITH {I1_BASE}
+SELECT seq, code, op, CASE WHEN op = 'insert' THEN 'duplicate_key' ELSE 'not_found' END AS reason FROM ch2 WHERE NOT ok
+""")
+def i1_rej(t):
+    return I.apply_changes(t.products, t.product_changes)[1]
+
+
+def _items_with_line_no(t):
+    li = load_table(t.spark, t.sf_dir, "lineitem")
+    return li.selectExpr("l_orderkey AS order_id", "l_partkey AS product_id", "CAST(l_quantity AS INT) AS quantity",
+                         "l_extendedprice / l_quantity AS unit_price", "l_linenumber AS line_no")
+
+
+@register("i2_validate_sales_orders", f"""
+WITH it AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INT) AS quantity,
+                   l_extendedprice / l_quantity AS unit_price, l_linenumber AS line_no FROM lineitem),
+tot AS (SELECT order_id, {MS('quantity * unit_price')} AS items_total, COUNT(*) AS lines FROM it GROUP BY order_id),
+owed AS (SELECT customer_id, {MS('total_amount - paid_amount')} AS owed FROM sales_orders
+         WHERE status NOT IN ('paid', 'cancelled') GROUP BY customer_id),
+li AS (SELECT it.*, CASE WHEN quantity IS NULL OR quantity <= 0 THEN 2 WHEN unit_price IS NULL OR unit_price <= 0 THEN 3
+                          WHEN p.id IS NULL THEN 4 WHEN p.stock < quantity THEN 5 END AS r
+       FROM it LEFT JOIN products p ON p.id = it.product_id),
+fl AS (SELECT order_id, arg_min(r, line_no * 10 + r) AS lr FROM li WHERE r IS NOT NULL GROUP BY order_id),
+h AS (SELECT so.id AS order_id, so.customer_id, so.order_date, COALESCE(so.discount, 0) AS disc, tot.items_total,
+             tot.lines, c.credit_limit, owed.owed, fl.lr
+      FROM sales_orders so LEFT JOIN tot ON tot.order_id = so.id LEFT JOIN customers c ON c.id = so.customer_id
+      LEFT JOIN owed ON owed.customer_id = so.customer_id LEFT JOIN fl ON fl.order_id = so.id),
+r AS (SELECT *, COALESCE(items_total, 0) - disc AS new_total,
+             COALESCE(CASE WHEN customer_id IS NULL OR order_date IS NULL OR COALESCE(lines, 0) = 0 THEN 0
+                           WHEN credit_limit > 0 AND COALESCE(owed, 0) + (COALESCE(items_total, 0) - disc) > credit_limit
+                           THEN 1 END, lr) AS rule FROM h)
+SELECT order_id, customer_id, new_total,
+       ['missing_fields', 'credit_limit', 'bad_quantity', 'bad_price', 'unknown_product', 'insufficient_stock'][rule + 1]
+         AS reason
+FROM r
+""")
+def i2(t):
+    return I.validate_sales_orders(t.sales_orders, _items_with_line_no(t), t.customers, t.products, t.sales_orders)
+
+
+@register("i3_credit_replay", """
+WITH RECURSIVE ev AS (
+  SELECT so.id, so.customer_id, so.total_amount, c.credit_limit,
+         row_number() OVER (PARTITION BY so.customer_id ORDER BY so.created_at, so.id) AS rn
+  FROM sales_orders so LEFT JOIN customers c ON c.id = so.customer_id),
+r AS (
+  SELECT id, customer_id, rn, ok AS accepted, CASE WHEN ok THEN 0 + total_amount ELSE 0.0 END AS owed
+  FROM (SELECT *, (credit_limit IS NULL OR credit_limit <= 0 OR 0 + total_amount <= credit_limit) AS ok
+        FROM ev WHERE rn = 1) a
+  UNION ALL
+  SELECT e.id, e.customer_id, e.rn,
+         (e.credit_limit IS NULL OR e.credit_limit <= 0 OR r.owed + e.total_amount <= e.credit_limit),
+         CASE WHEN (e.credit_limit IS NULL OR e.credit_limit <= 0 OR r.owed + e.total_amount <= e.credit_limit)
+              THEN r.owed + e.total_amount ELSE r.owed END
+  FROM r JOIN ev e ON e.customer_id = r.customer_id AND e.rn = r.rn + 1)
+SELECT id, customer_id, accepted, owed AS outstanding_after FROM r
+""")
+def i3(t):
+    return I.credit_replay(t.sales_orders, t.customers)
+
+
+@register("i4_price_orders", f"""
+SELECT so.id AS order_id, COALESCE(so.discount, 0) AS discount, t.items_total, t.line_count,
+       COALESCE(t.items_total, 0) - COALESCE(so.discount, 0) AS total
+FROM sales_orders so LEFT JOIN (SELECT order_id, {MS('quantity * unit_price')} AS items_total, COUNT(*) AS line_count
+                                FROM sales_items GROUP BY order_id) t ON t.order_id = so.id
+""")
+def i4(t):
+    return I.price_orders(t.sales_items, t.sales_orders)
+
+
+I5_SQL = f"""
+WITH pob AS ({BATCH_SQL}),
+done AS (SELECT id AS production_order_id, product_id, {PRODUCED} AS produced, batch_number, created_at
+         FROM pob WHERE status = 'completed')
+SELECT d.production_order_id, d.product_id, b.material_id, m.name AS material_name, d.produced,
+       b.quantity_per_unit * d.produced AS need, b.quantity_per_unit * d.produced * m.cost_per_unit AS material_cost,
+       greatest(b.quantity_per_unit * d.produced - m.quantity, 0.0) AS shortage,
+       'ผลิต Batch: ' || COALESCE(d.batch_number, 'N/A') || ' x' || CAST(d.produced AS VARCHAR) AS note, d.created_at
+FROM done d JOIN product_bom b ON b.product_id = d.product_id LEFT JOIN raw_materials m ON m.id = b.material_id
+"""
+
+
+@register("i5_bom_requirements", I5_SQL)
+def i5(t):
+    return I.bom_requirements(G.assign_batch_numbers(t.production_orders), t.product_bom, t.raw_materials)
+
+
+@register("i5_material_needs", f"""
+SELECT material_id, {MS('need')} AS need, {MS('material_cost')} AS material_cost FROM ({I5_SQL}) x GROUP BY material_id
+""")
+def i5_needs(t):
+    return I.material_needs(I.bom_requirements(G.assign_batch_numbers(t.production_orders), t.product_bom,
+                                               t.raw_materials))
+
+
+I6_SQL = f"""
+SELECT product_id, CAST(SUM({PRODUCED}) AS BIGINT) AS produced FROM production_orders
+WHERE status = 'completed' GROUP BY product_id
+"""
+
+
+@register("i6_production_stock_moves", I6_SQL)
+def i6(t):
+    return I.production_stock_moves(t.production_orders)
+
+
+@register("i7_po_receipt_logs", """
+SELECT pi.po_id, pi.material_id, 'in' AS type, pi.quantity, 'รับจาก PO: ' || po.po_number AS note, po.created_by
+FROM purchase_items pi JOIN purchase_orders po ON po.id = pi.po_id WHERE po.status = 'received'
+""")
+def i7_logs(t):
+    return I.po_receipts(t.purchase_orders, t.purchase_items)[0]
+
+
+@register("i7_po_receipts", f"""
+SELECT pi.material_id, {MS('pi.quantity')} AS received
+FROM purchase_items pi JOIN purchase_orders po ON po.id = pi.po_id WHERE po.status = 'received' GROUP BY pi.material_id
+""")
+def i7(t):
+    return I.po_receipts(t.purchase_orders, t.purchase_items)[1]
+
+
+@register("i8_material_ledger", """
+WITH x AS (SELECT ml.*, CAST(COALESCE(m.quantity, 0) AS DECIMAL(18,4)) AS x0,
+                  CAST(CASE WHEN ml.type = 'in' THEN ml.quantity ELSE -ml.quantity END AS DECIMAL(18,4)) AS d,
+                  ml.type <> 'in' AS c
+           FROM material_logs ml LEFT JOIN raw_materials m ON m.id = ml.material_id),
+y AS (SELECT *, SUM(d) OVER (PARTITION BY material_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS s FROM x),
+z AS (SELECT *, MAX(CASE WHEN c THEN -s END) OVER (PARTITION BY material_id ORDER BY created_at, id
+                                                   ROWS UNBOUNDED PRECEDING) AS m FROM y)
+SELECT id, material_id, type, quantity, note, created_by, created_at,
+       CAST(s + greatest(x0, COALESCE(m, x0)) AS DOUBLE) AS balance
+FROM z
+""")
+def i8(t):
+    return I.material_ledger(t.raw_materials, t.material_logs)
+
+
+I9_SQL = """
+WITH RECURSIVE ev AS (
+  SELECT ml.id, ml.material_id, ml.type, ml.quantity, COALESCE(m.quantity, 0.0) AS x0,
+         row_number() OVER (PARTITION BY ml.material_id ORDER BY ml.created_at, ml.id) AS rn
+  FROM material_logs ml LEFT JOIN raw_materials m ON m.id = ml.material_id),
+r AS (
+  SELECT id, material_id, rn, reason, CASE WHEN reason IS NULL THEN nb ELSE x0 END AS balance
+  FROM (SELECT *, CASE WHEN type = 'in' THEN x0 + quantity ELSE x0 - quantity END AS nb,
+               CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'bad_quantity'
+                    WHEN (CASE WHEN type = 'in' THEN x0 + quantity ELSE x0 - quantity END) < 0
+                    THEN 'insufficient_stock' END AS reason
+        FROM ev WHERE rn = 1) a
+  UNION ALL
+  SELECT e.id, e.material_id, e.rn,
+         CASE WHEN e.quantity IS NULL OR e.quantity <= 0 THEN 'bad_quantity'
+              WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.quantity ELSE r.balance - e.quantity END) < 0
+              THEN 'insufficient_stock' END,
+         CASE WHEN e.quantity IS NULL OR e.quantity <= 0 THEN r.balance
+              WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.quantity ELSE r.balance - e.quantity END) < 0
+              THEN r.balance
+              ELSE (CASE WHEN e.type = 'in' THEN r.balance + e.quantity ELSE r.balance - e.quantity END) END
+  FROM r JOIN ev e ON e.material_id = r.material_id AND e.rn = r.rn + 1)
+"""
+
+
+@register("i9_material_adjust_replay", I9_SQL + """
+SELECT id, material_id, reason IS NULL AS accepted, reason, balance FROM r
+""")
+def i9(t):
+    return I.material_adjust_replay(t.raw_materials, t.material_logs)
+
+
+@register("i9_material_final_stock", I9_SQL + """
+SELECT material_id, arg_max(balance, id) AS balance FROM r GROUP BY material_id
+""")
+def i9_final(t):
+    return I.final_state(I.material_adjust_replay(t.raw_materials, t.material_logs), "material_id", "id", "balance")
+
+
+I10_SQL = """
+WITH ev AS (SELECT e.seq, e.order_id, e.status, e.ts, so.status AS s0 FROM order_events e
+            JOIN sales_orders so ON so.id = e.order_id WHERE e.kind = 'set_status'),
+pv AS (SELECT *, COALESCE(lag(status) OVER (PARTITION BY order_id ORDER BY ts, seq), s0) AS prev FROM ev),
+n AS (SELECT order_id, COUNT(*) AS times FROM pv WHERE status = 'delivered' AND prev NOT IN ('delivered', 'paid')
+      GROUP BY order_id)
+SELECT si.product_id, CAST(SUM(si.quantity * n.times) AS BIGINT) AS delivered
+FROM sales_items si JOIN n ON n.order_id = si.order_id GROUP BY si.product_id
+"""
+
+
+@register("i10_sales_stock_moves", I10_SQL)
+def i10(t):
+    return I.sales_stock_moves(t.order_events, t.sales_orders, t.sales_items)
+
+
+@register("i11_payments_replay", """
+WITH RECURSIVE ev AS (
+  SELECT pa.seq, pa.order_id, pa.amount, so.total_amount AS total, so.status AS s0,
+         row_number() OVER (PARTITION BY pa.order_id ORDER BY pa.seq) AS rn
+  FROM payment_attempts pa JOIN sales_orders so ON so.id = pa.order_id),
+r AS (
+  SELECT seq, order_id, rn, ok AS accepted, CASE WHEN ok THEN 0.0 + amount ELSE 0.0 END AS paid,
+         CASE WHEN ok THEN (CASE WHEN 0.0 + amount >= total THEN 'paid' ELSE 'confirmed' END) ELSE s0 END AS status
+  FROM (SELECT *, (amount IS NOT NULL AND amount <> 0 AND amount <= total - 0.0) AS ok FROM ev WHERE rn = 1) a
+  UNION ALL
+  SELECT e.seq, e.order_id, e.rn, x.ok, CASE WHEN x.ok THEN r.paid + e.amount ELSE r.paid END,
+         CASE WHEN x.ok THEN (CASE WHEN r.paid + e.amount >= e.total THEN 'paid' ELSE 'confirmed' END) ELSE r.status END
+  FROM r JOIN ev e ON e.order_id = r.order_id AND e.rn = r.rn + 1
+  CROSS JOIN LATERAL (SELECT (e.amount IS NOT NULL AND e.amount <> 0 AND e.amount <= e.total - r.paid) AS ok) x)
+SELECT seq, order_id, accepted, paid, status FROM r
+""")
+def i11(t):
+    return I.payments_replay(t.sales_orders, t.payment_attempts)
+
+
+@register("i12_order_lifecycle_replay", """
+WITH RECURSIVE ev AS (
+  SELECT e.*, row_number() OVER (PARTITION BY e.order_id ORDER BY e.ts, e.seq) AS rn
+  FROM order_events e WHERE e.order_id IN (SELECT id FROM sales_orders)),
+init AS (
+  SELECT so.id AS order_id, so.status, so.paid_amount AS paid, so.total_amount AS total,
+         EXISTS (SELECT 1 FROM deliveries d WHERE d.order_id = so.id) AS has_del
+  FROM sales_orders so WHERE so.id IN (SELECT order_id FROM ev)),
+r AS (
+  SELECT order_id, 0 AS rn, status, paid, total, has_del, 0 AS moves, 0 AS rejected FROM init
+  UNION ALL
+  SELECT r.order_id, e.rn,
+    CASE WHEN e.kind = 'set_status' THEN e.status
+         WHEN e.kind = 'cancel' THEN 'cancelled'
+         WHEN x.pay_ok THEN CASE WHEN r.paid + e.amount >= r.total THEN 'paid' ELSE 'confirmed' END
+         WHEN e.kind = 'delivery_created' AND NOT r.has_del AND r.status = 'pending' THEN 'confirmed'
+         WHEN e.kind = 'delivery_status' AND r.has_del AND e.status = 'delivered'
+              AND r.status NOT IN ('delivered', 'paid') THEN 'delivered'
+         ELSE r.status END,
+    CASE WHEN x.pay_ok THEN r.paid + e.amount ELSE r.paid END,
+    r.total,
+    r.has_del OR e.kind = 'delivery_created',
+    r.moves + CASE WHEN e.kind IN ('set_status', 'delivery_status') AND e.status = 'delivered'
+                        AND r.status NOT IN ('delivered', 'paid') AND (e.kind = 'set_status' OR r.has_del)
+                   THEN 1 ELSE 0 END,
+    r.rejected + CASE WHEN e.kind = 'payment' AND NOT x.pay_ok THEN 1
+                      WHEN e.kind = 'delivery_created' AND r.has_del THEN 1
+                      WHEN e.kind = 'delivery_status' AND NOT r.has_del THEN 1 ELSE 0 END
+  FROM r JOIN ev e ON e.order_id = r.order_id AND e.rn = r.rn + 1
+  CROSS JOIN LATERAL (SELECT (e.kind = 'payment' AND e.amount IS NOT NULL AND e.amount <> 0
+                              AND e.amount <= r.total - r.paid) AS pay_ok) x)
+SELECT order_id, arg_max(status, rn) AS status, arg_max(paid, rn) AS paid, CAST(arg_max(moves, rn) AS BIGINT) AS stock_moves,
+       CAST(arg_max(rejected, rn) AS BIGINT) AS rejected, CAST(max(rn) AS BIGINT) AS events
+FROM r GROUP BY order_id
+""")
+def i12(t):
+    return I.order_lifecycle_replay(t.sales_orders, t.order_events, t.deliveries)
+
+
+@register("i13_customer_balances", f"""
+SELECT c.id AS customer_id, c.type,
+       c.balance + CASE WHEN c.type <> 'retail' THEN COALESCE(p.pay, 0) ELSE 0 END AS balance
+FROM customers c LEFT JOIN (SELECT so.customer_id, {MS('pm.amount')} AS pay FROM payments pm
+                            JOIN sales_orders so ON so.id = pm.order_id GROUP BY so.customer_id) p
+  ON p.customer_id = c.id
+""")
+def i13(t):
+    return I.customer_balances(t.payments, t.sales_orders, t.customers)
+
+
+I14_SQL = """
+SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS returned FROM returns
+WHERE status = 'approved' AND product_id IS NOT NULL GROUP BY product_id
+"""
+
+
+@register("i14_return_restock", I14_SQL)
+def i14(t):
+    return I.return_restock(t.returns)
+
+
+@register("i15_product_stock_rebuild", f"""
+WITH pr AS ({I6_SQL}), dl AS ({I10_SQL}), rt AS ({I14_SQL})
+SELECT p.id AS product_id, COALESCE(pr.produced, 0) AS produced, COALESCE(dl.delivered, 0) AS delivered,
+       COALESCE(rt.returned, 0) AS returned,
+       CAST(COALESCE(pr.produced, 0) - COALESCE(dl.delivered, 0) + COALESCE(rt.returned, 0) AS BIGINT) AS rebuilt_stock,
+       p.stock AS stored_stock,
+       CAST(p.stock - (COALESCE(pr.produced, 0) - COALESCE(dl.delivered, 0) + COALESCE(rt.returned, 0)) AS BIGINT)
+         AS difference
+FROM products p LEFT JOIN pr ON pr.product_id = p.id LEFT JOIN dl ON dl.product_id = p.id
+LEFT JOIN rt ON rt.product_id = p.id
+""")
+def i15(t):
+    return I.product_stock_rebuild(t.products, I.production_stock_moves(t.production_orders),
+                                   I.sales_stock_moves(t.order_events, t.sales_orders, t.sales_items),
+                                   I.return_restock(t.returns))
+
+
+@register("i16_equipment_rollup", """
+SELECT e.id, e.code, e.name, e.status,
+       CASE WHEN l.equipment_id IS NOT NULL THEN l.pd END AS last_maintenance,
+       CASE WHEN l.equipment_id IS NOT NULL THEN l.nd ELSE e.next_maintenance END AS next_maintenance
+FROM equipment e LEFT JOIN (SELECT equipment_id, arg_max(performed_date, id) AS pd, arg_max(next_due, id) AS nd
+                            FROM maintenance_logs GROUP BY equipment_id) l ON l.equipment_id = e.id
+""")
+def i16(t):
+    return I.equipment_rollup(t.equipment, t.maintenance_logs)
+
+
+@register("i17_qc_normalize", """
+SELECT id, production_order_id, CASE WHEN ph <> 0 THEN ph END AS ph, CASE WHEN tds <> 0 THEN tds END AS tds,
+       CASE WHEN turbidity <> 0 THEN turbidity END AS turbidity, COALESCE(NULLIF(result, ''), 'pending') AS result,
+       test_date, created_by, created_at, 'ปกติ' AS odor, 'ปกติ' AS taste
+FROM water_quality_tests WHERE test_date IS NOT NULL
+""")
+def i17(t):
+    return I.qc_normalize(t.water_quality_tests)[0]
+
+
+def _jsnum(x: str) -> str:
+    return f"rtrim(rtrim(CAST(CAST({x} AS DECIMAL(38,10)) AS VARCHAR), '0'), '.')"
+
+
+@register("i18_audit_events", f"""
+WITH pob AS ({BATCH_SQL})
+SELECT CAST(created_by AS BIGINT) AS user_id, 'create' AS action, 'production' AS entity, id AS entity_id,
+       'Batch: ' || COALESCE(batch_number, 'undefined') AS details, created_at FROM pob
+UNION ALL SELECT created_by, 'create', 'qc', id, 'QC test batch undefined', created_at FROM water_quality_tests
+UNION ALL SELECT created_by, 'create', 'expense', id, category || ': ' || {_jsnum('amount')} || ' บาท', created_at
+          FROM expenses
+UNION ALL SELECT created_by, 'create', 'purchase_order', id, 'PO: ' || po_number, created_at FROM purchase_orders
+UNION ALL SELECT created_by, 'create', 'maintenance', id, 'ซ่อมบำรุง: ' || maintenance_type, created_at
+          FROM maintenance_logs
+UNION ALL SELECT created_by, 'create', 'return', id, 'คืนสินค้า: ' || {_jsnum('quantity')} || ' ชิ้น', created_at
+          FROM returns
+""")
+def i18(t):
+    return I.audit_events(G.assign_batch_numbers(t.production_orders), t.water_quality_tests, t.expenses,
+                          t.purchase_orders, t.maintenance_logs, t.returns)
+
+
+SETTINGS_SQL = """
+SELECT key, arg_max(value, seq) AS value, arg_max(updated_at, seq) AS updated_at FROM app_settings_log GROUP BY key
+"""
+
+
+@register("i19_settings_upsert", SETTINGS_SQL)
+def i19(t):
+    return I.settings_upsert(None, t.app_settings_log)
+
+
+@register("a6_settings_map", f"""
+SELECT array_to_string(list_sort(map_keys(m)), ',') AS key_list, m['key0'] AS key0_value
+FROM (SELECT map_from_entries(list(struct_pack(k := key, v := value))) AS m FROM ({SETTINGS_SQL}) s) x
+""")
+def a6(t):
+    m = I.settings_map(I.settings_upsert(None, t.app_settings_log))
+    return m.select(F.concat_ws(",", F.array_sort(F.map_keys("settings"))).alias("key_list"),
+                    F.col("settings")["key0"].alias("key0_value"))
+
+
+@register("i20_validate_deposits", """
+SELECT *, CASE WHEN customer_id IS NULL OR customer_id = 0 THEN 'missing_customer_id'
+               WHEN transaction_date IS NULL THEN 'missing_transaction_date' END AS reason
+FROM container_deposits
+""")
+def i20(t):
+    return I.validate_inputs(t.container_deposits, "deposit")
+
+
+@register("i20_validate_expenses", """
+SELECT *, CASE WHEN category IS NULL OR category = '' THEN 'missing_category'
+               WHEN amount IS NULL OR amount = 0 THEN 'missing_amount'
+               WHEN expense_date IS NULL THEN 'missing_expense_date'
+               WHEN amount <= 0 THEN 'non_positive_amount' END AS reason
+FROM expenses
+""")
+def i20e(t):
+    return I.validate_inputs(t.expenses, "expense")
+
+
+@register("i20_validate_deliveries", """
+SELECT d.*, COALESCE(CASE WHEN d.order_id IS NULL OR d.order_id = 0 THEN 'missing_order_id' END,
+                     CASE WHEN d.id > f.first THEN 'duplicate_order_id' END) AS reason
+FROM deliveries d LEFT JOIN (SELECT order_id, min(id) AS first FROM deliveries GROUP BY order_id) f
+  ON f.order_id = d.order_id
+""")
+def i20d(t):
+    return I.validate_inputs(t.deliveries, "delivery", unique=["order_id"])

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLK = "_blk"
+MONEY = "decimal(18,4)"
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -74,3 +75,57 @@ def id_block(col: str, width: int = 1 << 20) -> Column:
 def time_block(col: str, seconds: int = 3600) -> Column:
     """Fixed-width time bucket (monotone in the timestamp)."""
     return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(seconds * 1_000_000))
+
+
+def clamped_balance(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
+                    delta: Column, clamp: Column, initial: Column, name: str = "balance") -> DataFrame:
+    """Running balance where ``clamp`` rows floor the balance at 0.
+
+    Sequentially: ``bal = bal + d`` on plain rows, ``bal = max(0, bal + d)`` on
+    clamped rows, starting from ``initial``. Closed form (a Lindley recursion):
+    with ``S`` the running sum of ``d`` and ``M`` the running max of ``-S`` over
+    clamped rows, ``bal = S + max(initial, M)``. Both running sum and running
+    max are associative, so the same two-level block scheme as ``prefix_sums``
+    applies: block-local sums and maxima, then offsets from the (small) block
+    frame, then one join back. No loop, no single-task key.
+    """
+    keys = list(keys)
+    # exact decimals: the block split re-associates the sums, doubles would
+    # then differ in their last bits from a one-pass running sum
+    d = df.withColumn(BLK, block).withColumn("_d", delta.cast(MONEY)).withColumn("_c", clamp) \
+        .withColumn("_x0", initial.cast(MONEY))
+    w_local = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_s", F.sum("_d").over(w_local))
+    d = d.withColumn("_m", F.max(F.when(F.col("_c"), -F.col("_s"))).over(w_local))
+    blocks = d.groupBy(*keys, BLK).agg(F.sum("_d").alias("_bd"),
+                                       F.max(F.when(F.col("_c"), -F.col("_s"))).alias("_bm"))
+    w_prev = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bd").over(w_prev), F.lit(0).cast(MONEY)))
+    blocks = blocks.withColumn("_pm", F.max(F.col("_bm") - F.col("_off")).over(w_prev)).drop("_bd", "_bm")
+    out = _null_safe_join(d, blocks, keys + [BLK])
+    s = F.col("_off") + F.col("_s")
+    m = F.greatest(F.col("_pm"), F.col("_m") - F.col("_off"))  # greatest() skips NULLs
+    out = out.withColumn(name, (s + F.greatest(F.col("_x0"), m)).cast("double"))
+    return out.drop(BLK, "_d", "_c", "_x0", "_s", "_m", "_off", "_pm")
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
+                   value: str, name: str) -> DataFrame:
+    """``lag(value)`` per key without one task per key: lag inside each block, and
+    for a block's first row the last value of the key's previous block (taken
+    from the small per-block frame). Adds ``name`` and ``_is_first`` (first row
+    of the key, where the lag is undefined)."""
+    keys = list(keys)
+    d = df.withColumn(BLK, block)
+    w = Window.partitionBy(*keys, BLK).orderBy(*order)
+    d = d.withColumn(name, F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
+    ordcols = [F.col(o) if isinstance(o, str) else o for o in order]
+    last = d.groupBy(*keys, BLK).agg(F.max_by(F.col(value), F.struct(*ordcols)).alias("_lastv"))
+    wb = Window.partitionBy(*keys).orderBy(BLK)
+    last = last.select(*keys, BLK, F.lag("_lastv").over(wb).alias("_pv"),
+                       (F.row_number().over(wb) == 1).alias("_first_blk"))
+    out = _null_safe_join(d, last, keys + [BLK])
+    first_in_blk = F.col("_rn") == 1
+    return (out.withColumn(name, F.when(first_in_blk, F.col("_pv")).otherwise(F.col(name)))
+            .withColumn("_is_first", first_in_blk & F.col("_first_blk"))
+            .drop(BLK, "_rn", "_pv", "_first_blk"))

@@ -277,6 +277,7 @@ def with_bindings(sql: str) -> str:
     if not used:
         return sql
     ctes = ",\n".join(f"{n} AS ({BINDINGS[n].sql()})" for n in used)
-    if re.match(r"(?is)^\s*WITH\s", sql):
-        return f"WITH {ctes},\n{re.sub(r'(?is)^\s*WITH\s', '', sql, count=1)}"
+    m = re.match(r"(?is)^\s*WITH\s+(RECURSIVE\s+)?", sql)
+    if m:
+        return f"WITH {m.group(1) or ''}{ctes},\n{sql[m.end():]}"
     return f"WITH {ctes}\n{sql}"
