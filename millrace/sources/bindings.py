@@ -281,3 +281,18 @@ def with_bindings(sql: str) -> str:
     if m:
         return f"WITH {m.group(1) or ''}{ctes},\n{sql[m.end():]}"
     return f"WITH {ctes}\n{sql}"
+
+
+_SPECIAL_COLUMNS = {
+    "product_bom": ["product_id", "material_id", "quantity_per_unit"],
+    "payments": ["id", "order_id", "amount", "payment_date", "method", "created_by"],
+    "delivery_route_orders": ["id", "route_id", "order_id", "sequence_number"],
+    "payment_attempts": ["seq", "order_id", "amount"],
+}
+
+
+def binding_columns(name: str) -> list[str]:
+    """Output column names of a binding, without running anything."""
+    if name in _SPECIAL_COLUMNS:
+        return list(_SPECIAL_COLUMNS[name])
+    return [e.rsplit(" AS ", 1)[1].strip() if " AS " in e else e.strip() for e in BINDINGS[name].exprs]
