@@ -114,8 +114,7 @@ def stock_pct(qty, min_qty) -> Column:
 def size_label(ml) -> Column:
     """``-`` for NULL/0; ``ml/1000`` + ``L`` from 1000 up; else ``ml`` + ``ml``."""
     m = _c(ml)
-    litres = F.regexp_replace(F.format_string("%s", (m / 1000).cast("decimal(20,6)").cast("string")),
-                              r"\.?0+$", "")
+    litres = F.rtrim(F.rtrim((m / 1000).cast("decimal(20,6)").cast("string"), F.lit("0")), F.lit("."))
     return (F.when(m.isNull() | (m == 0), "-")
             .when(m >= 1000, F.concat(litres, F.lit("L")))
             .otherwise(F.concat(m.cast("string"), F.lit("ml"))))
@@ -216,7 +215,7 @@ def fmt_currency(x) -> Column:
 def fmt_number(x) -> Column:
     """Grouped number (up to 3 decimals, trailing zeros dropped)."""
     s = F.format_number(F.coalesce(_c(x).cast("double"), F.lit(0.0)), 3)
-    return F.regexp_replace(s, r"\.?0+$", "")
+    return F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))
 
 
 def fmt_date(d) -> Column:
@@ -267,3 +266,7 @@ def count_if(cond: Column) -> Column:
 def sql_msum(x: str) -> str:
     """The oracle-side spelling of ``msum``."""
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
+
+
+# Brand prefixes stripped from product names for chart labels.
+BRAND_PREFIXES = ["น้ำดื่มตะวันแดง ", "น้ำดื่ม "]

@@ -1 +1,147 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered 2H scalar-helper projections and their oracles.
+
+Each helper is checked by projecting it over a bound table, so the helper runs
+on every row of that table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.functions import scalars as H
+from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, register
+
+_UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RT = "rtrim(rtrim({}, '0'), '.')".format
+
+
+def _case_map(domain: str, col: str, fallback: str | None = None) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in H.LABELS[domain].items())
+    return f"CASE {col} {whens} ELSE {fallback or col} END"
+
+
+@register("h_product_helpers", f"""
+SELECT id,
+  CASE WHEN size_ml IS NULL OR size_ml = 0 THEN '-'
+       WHEN size_ml >= 1000 THEN {_RT('CAST(CAST(size_ml / 1000 AS DECIMAL(20,6)) AS VARCHAR)')} || 'L'
+       ELSE CAST(size_ml AS VARCHAR) || 'ml' END AS size_label,
+  CASE WHEN size_ml >= 19000 THEN 'bucket' WHEN size_ml >= 5000 THEN 'gallon' WHEN size_ml >= 1500 THEN 'large'
+       WHEN size_ml >= 600 THEN 'medium' ELSE 'small' END AS size_band,
+  CASE WHEN stock = 0 THEN 'empty' WHEN stock <= min_stock AND stock > 0 THEN 'low' ELSE 'ok' END AS stock_status,
+  CAST(least(100, floor(stock / greatest(min_stock * 2, 1) * 100 + 0.5)) AS BIGINT) AS stock_pct,
+  price - cost AS unit_profit,
+  CASE WHEN price > 0 THEN (price - cost) / price * 100 ELSE 0.0 END AS margin_pct,
+  '฿' || format('{{:,.2f}}', price) AS price_text,
+  name AS chart_name
+FROM products
+""")
+def h_products(t):
+    p = t.products
+    return p.select("id", H.size_label("size_ml").alias("size_label"), H.size_band("size_ml").alias("size_band"),
+                    H.stock_status("stock", "min_stock").alias("stock_status"),
+                    H.stock_pct("stock", "min_stock").alias("stock_pct"),
+                    H.unit_profit("price", "cost").alias("unit_profit"),
+                    H.margin_pct(H.unit_profit("price", "cost"), F.col("price")).alias("margin_pct"),
+                    H.fmt_currency("price").alias("price_text"),
+                    H.strip_first("name", H.BRAND_PREFIXES).alias("chart_name"))
+
+
+_THAI_MONTHS = "[" + ", ".join(f"'{m}'" for m in H.THAI_MONTHS) + "]"
+
+
+@register("h_order_helpers", f"""
+SELECT id, {_case_map('status', 'status')} AS status_label,
+  CASE WHEN order_date IS NULL THEN '-' ELSE CAST(day(order_date) AS VARCHAR) || ' ' || {_THAI_MONTHS}[month(order_date)]
+       || ' ' || CAST(year(order_date) + 543 AS VARCHAR) END AS order_date_text,
+  strftime(order_date, '%Y-%m') AS ym,
+  total_amount - paid_amount AS outstanding, greatest(0.0, total_amount - paid_amount) AS suggested_payment,
+  (epoch_us(TIMESTAMP '{AS_OF} 00:00:00') - epoch_us(CAST(due_date AS TIMESTAMP))) / 86400000000.0 AS days_overdue
+FROM sales_orders
+""")
+def h_orders(t):
+    o = t.sales_orders
+    return o.select("id", H.label("status", "status").alias("status_label"),
+                    H.fmt_date("order_date").alias("order_date_text"), H.year_month("order_date").alias("ym"),
+                    H.outstanding("total_amount", "paid_amount").alias("outstanding"),
+                    H.suggested_payment("total_amount", "paid_amount").alias("suggested_payment"),
+                    H.julian_days_between(F.to_timestamp_ntz(F.lit(f"{AS_OF} 00:00:00")),
+                                          F.col("due_date").cast("timestamp_ntz")).alias("days_overdue"))
+
+
+_DIFF = f"floor((epoch_us(TIMESTAMP '{AS_OF_EVENTS} 12:00:00') - epoch_us(created_at)) / 1000000.0)"
+
+
+@register("h_time_ago", f"""
+SELECT id, CASE WHEN created_at IS NULL THEN ''
+  WHEN {_DIFF} < 60 THEN 'เมื่อกี้'
+  WHEN {_DIFF} < 3600 THEN CAST(CAST(floor({_DIFF} / 60) AS BIGINT) AS VARCHAR) || ' นาทีที่แล้ว'
+  WHEN {_DIFF} < 86400 THEN CAST(CAST(floor({_DIFF} / 3600) AS BIGINT) AS VARCHAR) || ' ชม.ที่แล้ว'
+  ELSE CAST(CAST(floor({_DIFF} / 86400) AS BIGINT) AS VARCHAR) || ' วันที่แล้ว' END AS ago
+FROM production_orders
+""")
+def h_time_ago(t):
+    return t.production_orders.select(
+        "id", H.time_ago("created_at", F.to_timestamp_ntz(F.lit(f"{AS_OF_EVENTS} 12:00:00"))).alias("ago"))
+
+
+_KIND = " ".join(
+    f"WHEN {' OR '.join(f'contains(lower(COALESCE(name, {chr(39)}{chr(39)})), {chr(39)}{w}{chr(39)})' for w in words)} "
+    f"THEN '{kind}'" for kind, words in H.MATERIAL_KEYWORDS)
+
+
+@register("h_material_helpers", f"""
+SELECT id, CASE {_KIND} ELSE 'box' END AS kind,
+  CASE WHEN quantity = 0 THEN 'empty' WHEN quantity <= min_quantity AND quantity > 0 THEN 'low' ELSE 'ok' END AS status,
+  CAST(least(100, floor(quantity / greatest(min_quantity * 2, 1) * 100 + 0.5)) AS BIGINT) AS pct,
+  {_RT("format('{:,.3f}', quantity)")} AS quantity_text
+FROM raw_materials
+""")
+def h_materials(t):
+    m = t.raw_materials
+    return m.select("id", H.material_kind("name").alias("kind"), H.stock_status("quantity", "min_quantity").alias("status"),
+                    H.stock_pct("quantity", "min_quantity").alias("pct"), H.fmt_number("quantity").alias("quantity_text"))
+
+
+@register("h_sqlite_max0", """
+SELECT id, CASE WHEN quantity IS NULL THEN NULL ELSE greatest(0.0, quantity - 250) END AS floored
+FROM material_logs
+""")
+def h_max0(t):
+    return t.material_logs.select("id", H.sqlite_max0(F.col("quantity") - 250).alias("floored"))
+
+
+@register("h_labels", f"""
+SELECT 'customer_type' AS domain, CAST(id AS VARCHAR) AS k, {_case_map('customer_type', 'type')} AS label FROM customers
+UNION ALL SELECT 'role', CAST(id AS VARCHAR), {_case_map('role', 'role')} FROM users
+UNION ALL SELECT 'po_status', CAST(id AS VARCHAR), {_case_map('po_status', 'status')} FROM purchase_orders
+UNION ALL SELECT 'expense_category', CAST(id AS VARCHAR), {_case_map('expense_category', 'category')} FROM expenses
+UNION ALL SELECT 'return_reason', CAST(id AS VARCHAR), {_case_map('return_reason', 'reason')} FROM returns
+UNION ALL SELECT 'return_status', CAST(id AS VARCHAR), {_case_map('return_status', 'status')} FROM returns
+UNION ALL SELECT 'route_status', CAST(id AS VARCHAR), {_case_map('route_status', 'status')} FROM delivery_routes
+UNION ALL SELECT 'payment_method', CAST(id AS VARCHAR),
+                 {_case_map('payment_method', 'method', "'" + H.PAYMENT_METHOD_FALLBACK + "'")} FROM payments
+UNION ALL SELECT 'material_move', CAST(id AS VARCHAR),
+                 {_case_map('material_move', 'type', "'" + H.MATERIAL_MOVE_FALLBACK + "'")} FROM material_logs
+""")
+def h_labels(t):
+    def part(df, domain, col):
+        return df.select(F.lit(domain).alias("domain"), F.col("id").cast("string").alias("k"),
+                         H.label(domain, col).alias("label"))
+    return (part(t.customers, "customer_type", "type").unionByName(part(t.users, "role", "role"))
+            .unionByName(part(t.purchase_orders, "po_status", "status"))
+            .unionByName(part(t.expenses, "expense_category", "category"))
+            .unionByName(part(t.returns, "return_reason", "reason"))
+            .unionByName(part(t.returns, "return_status", "status"))
+            .unionByName(part(t.delivery_routes, "route_status", "status"))
+            .unionByName(part(t.payments, "payment_method", "method"))
+            .unionByName(part(t.material_logs, "material_move", "type")))
+
+
+@register("h_like_search", f"""
+SELECT id, code, name FROM customers
+WHERE translate(name, '{_UP}', '{_LO}') LIKE '%mer#0000001_%' OR translate(code, '{_UP}', '{_LO}') LIKE '%c00000%5%'
+""")
+def h_like(t):
+    c = t.customers
+    return c.where(H.sqlite_like_contains("name", "MER#0000001_") | H.sqlite_like_contains("code", "c00000%5")) \
+        .select("id", "code", "name")

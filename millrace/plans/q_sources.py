@@ -1 +1,66 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered 2A source / sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.functions import scalars as H
+from millrace.operators import reports as R
+from millrace.plans.catalog import FROM, TO, register
+from millrace.sources import io as A
+from millrace.sources.tables import load_table
+
+CUSTOMER_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("code", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("phone", T.StringType()), T.StructField("type", T.StringType()),
+    T.StructField("credit_limit", T.DoubleType()), T.StructField("balance", T.DoubleType()),
+    T.StructField("active", T.IntegerType()),
+])
+
+
+@register("a1_load_table", "SELECT * FROM orders")
+def a1(t):
+    return load_table(t.spark, t.sf_dir, "orders")
+
+
+@register("a2_normalize_input", """
+SELECT id, code, name, phone, type, credit_limit, balance, active FROM customers
+""")
+def a2(t):
+    # form-style input: everything text, padded, empty phone as '' (what the UI sends)
+    c = t.customers
+    raw = c.select(*[F.concat(F.lit(" "), F.coalesce(F.col(x).cast("string"), F.lit("")), F.lit(" ")).alias(x)
+                     for x in c.columns])
+    return A.normalize_input(raw, CUSTOMER_SCHEMA, defaults={"type": "retail"})
+
+
+@register("a3_evolve_schema", """
+SELECT *, CAST(NULL AS VARCHAR) AS batch_number, CAST(NULL AS DATE) AS expiry_date FROM production_orders
+""")
+def a3(t):
+    target = T.StructType([T.StructField("batch_number", T.StringType()), T.StructField("expiry_date", T.DateType())])
+    return A.evolve_schema(t.production_orders, target)
+
+
+@register("a4_export_csv_lines", f"""
+WITH d AS (SELECT order_date AS date, COUNT(*) AS orders,
+                  CAST(SUM(CAST(total_amount AS DECIMAL(18,4))) AS DOUBLE) AS revenue
+           FROM sales_orders WHERE order_date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND status <> 'cancelled'
+           GROUP BY order_date)
+SELECT NULL::VARCHAR AS k, chr(65279) || '"วันที่","จำนวนออเดอร์","ยอดขาย"' AS line
+UNION ALL
+SELECT CAST(date AS VARCHAR), '"' || CAST(date AS VARCHAR) || '","' || CAST(orders AS VARCHAR) || '","'
+       || replace('฿' || format('{{:,.2f}}', revenue), '"', '""') || '"' FROM d
+""")
+def a4(t):
+    d = R.sales_by_day(t.sales_orders, FROM, TO).withColumn("revenue_text", H.fmt_currency("revenue"))
+    # The sales CSV header labels.
+    return A.csv_lines(d, ["date", "orders", "revenue_text"], ["วันที่", "จำนวนออเดอร์", "ยอดขาย"], F.col("date"))
+
+
+@register("a5_report_json")
+def a5(t):
+    o = t.sales_orders
+    parts = {"summary": R.sales_summary(o, FROM, TO), "byCustomer": R.sales_by_customer(o, t.customers, FROM, TO)}
+    return A.report_json_lines(parts, {"from": FROM, "to": TO})

@@ -1 +1 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered streaming queries (filled in below)."""
