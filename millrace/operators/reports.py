@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import count_if, julian_days_between, margin_pct, mavg, month_range, msum, msum0
+from millrace.functions.scalars import MONEY, count_if, julian_days_between, margin_pct, mavg, month_range, msum, msum0
 
 OPEN = ("paid", "cancelled")  # statuses that close an order for receivables
 
@@ -167,18 +167,20 @@ def production_summary(po: DataFrame, date_from, date_to) -> DataFrame:
 def profit_by_product(o: DataFrame, i: DataFrame, p: DataFrame, date_from, date_to) -> DataFrame:
     """Quantity, revenue, cost at the *current* product cost, profit and margin.
 
-    Items are first cut to the period's live orders by a semi-join (no order
-    columns travel), then meet the product cost and are summed per product in
-    one pass; order discounts are ignored, as in the reference."""
-    items = _items_in(o, i, date_from, date_to)
-    pc = p.select(F.col("id").alias("product_id"), "code", "name", "cost")
-    j = items.join(pc, "product_id")
-    per = j.groupBy("product_id", "code", "name").agg(
-        F.sum("quantity").alias("qty"), msum("subtotal").alias("revenue"),
-        msum(F.col("quantity") * F.col("cost")).alias("cost"),
-        msum(F.col("subtotal") - F.col("quantity") * F.col("cost")).alias("profit"))
-    return per.select("product_id", "code", "name", "qty", "revenue", "cost", "profit",
-                      margin_pct(F.col("profit"), F.col("revenue")).alias("margin_pct")) \
+    Items are cut to the period's live orders by a semi-join (no order columns
+    travel) and summed per product *before* the product join, so the dimension
+    meets one row per product, not one per line. Cost is a product attribute:
+    ``sum(round4(qty * cost)) = round4(cost) * sum(qty)`` exactly (quantities are
+    integers, costs carry at most 4 decimals), and profit = revenue - cost line by
+    line or in total alike. Order discounts are ignored, as in the reference."""
+    per = _items_in(o, i, date_from, date_to).groupBy("product_id").agg(
+        F.sum("quantity").alias("qty"), F.sum(F.col("subtotal").cast(MONEY)).alias("_rev"))
+    pc = p.select(F.col("id").alias("product_id"), "code", "name", F.col("cost").cast(MONEY).alias("_unit_cost"))
+    j = per.join(pc, "product_id")
+    cost = (F.col("_unit_cost") * F.col("qty")).cast(MONEY.replace("18", "38"))
+    return j.select("product_id", "code", "name", "qty", F.col("_rev").cast("double").alias("revenue"),
+                    cost.cast("double").alias("cost"), (F.col("_rev") - cost).cast("double").alias("profit")) \
+        .withColumn("margin_pct", margin_pct(F.col("profit"), F.col("revenue"))) \
         .orderBy(F.desc("profit"), "product_id")
 
 
