@@ -178,3 +178,15 @@ def e2(t):
 @register("e3_multi_key_sort", "SELECT * FROM expenses")
 def e3(t):
     return B.multi_key_sort(t.expenses, [F.desc("expense_date"), F.desc("created_at")])
+
+
+@register("b14_sales_summary_default_range", f"""
+SELECT COUNT(*) AS orders, COALESCE(CAST(SUM(CAST(total_amount AS DECIMAL(18,4))) AS DOUBLE), 0) AS revenue,
+       COALESCE(CAST(SUM(CAST(paid_amount AS DECIMAL(18,4))) AS DOUBLE), 0) AS paid,
+       COALESCE(CAST(SUM(CAST(total_amount - paid_amount AS DECIMAL(18,4))) AS DOUBLE), 0) AS unpaid
+FROM sales_orders WHERE order_date BETWEEN DATE '{AS_OF[:8]}01' AND DATE '{AS_OF}' AND status <> 'cancelled'
+""")
+def b14(t):
+    from millrace.operators.reports import sales_summary
+    lo, hi = B.date_range_default(None, None, AS_OF)
+    return sales_summary(t.sales_orders, lo, hi)

@@ -9,7 +9,6 @@ from millrace.operators import numbering as G
 from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, register
 from millrace.plans.q_filters import BATCH_SQL
 
-USER = "LEFT JOIN users u ON {a}.created_by = u.id"
 
 
 @register("c1_sales_list", """
@@ -233,3 +232,19 @@ def g1(t):
 @register("g2_assign_batch_numbers", BATCH_SQL)
 def g2(t):
     return G.assign_batch_numbers(t.production_orders)
+
+
+@register("g3_route_sequence", """
+SELECT order_id, product_id AS order_id_item,
+       CAST(row_number() OVER (PARTITION BY order_id ORDER BY product_id, subtotal) AS INTEGER) AS sequence_number,
+       CAST(COUNT(*) OVER (PARTITION BY order_id) AS INTEGER) AS total_orders
+FROM sales_items
+""")
+def g3(t):
+    # the UI posts an ordered id list per parent; here: each order's product ids in line order
+    arr = t.sales_items.groupBy("order_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("product_id", "subtotal"))),
+                    lambda s: s["product_id"]).alias("ids"))
+    seq = G.route_sequence(arr.withColumnRenamed("order_id", "parent_id"), "ids", "parent_id")
+    return seq.select(F.col("parent_id").alias("order_id"), F.col("order_id").alias("order_id_item"),
+                      "sequence_number", "total_orders")
