@@ -80,10 +80,9 @@ def fk_orphans(tables) -> DataFrame:
         ch = getattr(tables, child).select(F.col(col).alias("_k")).where(F.col("_k").isNotNull())
         par = getattr(tables, parent).select(F.col("id").alias("_k"))
         orphans = ch.join(par, "_k", "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphan_rows"),
-                                 F.countDistinct("_k").alias("orphan_keys"))
+        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphan_rows"))
                      .select(F.lit(f"{child}.{col}").alias("fk"), F.lit(parent).alias("parent"),
-                             "orphan_rows", "orphan_keys"))
+                             "orphan_rows"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -15,9 +15,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import msum
+from millrace.functions.scalars import MONEY, msum
 from millrace.plans.fold import sorted_fold
-from millrace.plans.scan import clamped_balance, previous_value, time_block
+from millrace.plans.scan import clamped_balance, prefix_sums, previous_value, time_block
 
 OPEN = ("paid", "cancelled")
 
@@ -134,27 +134,41 @@ def validate_sales_orders(orders: DataFrame, items: DataFrame, customers: DataFr
 
 
 # ----------------------------------------------------------------------------- I3
-def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...] = ("created_at", "id"),
+                  block: Column | None = None) -> DataFrame:
     """The credit rule in sequence per customer: an order is accepted when
     the limit is not positive or ``outstanding + total <= limit``; only accepted
-    orders raise the outstanding sum."""
+    orders raise the outstanding sum.
+
+    Customers without a positive limit accept everything, so their outstanding
+    is a plain running sum (two-level prefix sum: no customer in one task).
+    Only customers with a limit need the sequential fold. Money is handled in
+    exact 1e-4 units (``decimal(18,4)``), as everywhere else."""
     extra = [c for c in order if c not in ("id", "customer_id", "total_amount")]
-    x = orders.select("id", "customer_id", "total_amount", *extra) \
-        .join(customers.select(F.col("id").alias("customer_id"), "credit_limit"), "customer_id", "left")
+    x = (orders.select("id", "customer_id", "total_amount", *extra)
+         .join(customers.select(F.col("id").alias("customer_id"), "credit_limit"), "customer_id", "left")
+         .withColumn("_tot_u", (F.coalesce(F.col("total_amount"), F.lit(0.0)).cast(MONEY) * 10000).cast("long"))
+         .withColumn("_lim_u", (F.col("credit_limit").cast(MONEY) * 10000).cast("long")))
+    limited = F.col("_lim_u") > 0
+    free = x.where(~limited | F.col("_lim_u").isNull())
+    blk = block if block is not None else time_block(order[0], 86400) if order[0] != "id" else F.floor(F.col("id") / 1048576)
+    free = prefix_sums(free, ["customer_id"], list(order), blk, {"_owed_u": F.col("_tot_u")}) \
+        .select("id", "customer_id", F.lit(True).alias("accepted"),
+                (F.col("_owed_u").cast("decimal(38,0)") / 10000).cast("double").alias("outstanding_after"))
 
     def init(r):
-        return {"owed": 0.0}
+        return {"owed": 0}
 
     def step(s, r):
-        lim = r["credit_limit"]
-        tot = 0.0 if _isnull(r["total_amount"]) else float(r["total_amount"])
-        ok = _isnull(lim) or lim <= 0 or s["owed"] + tot <= lim
+        ok = s["owed"] + r["_tot_u"] <= r["_lim_u"]
         if ok:
-            s["owed"] += tot
-        return {"id": r["id"], "customer_id": r["customer_id"], "accepted": bool(ok), "outstanding_after": s["owed"]}
+            s["owed"] += r["_tot_u"]
+        return {"id": r["id"], "customer_id": r["customer_id"], "accepted": bool(ok),
+                "outstanding_after": s["owed"] / 10000}
 
-    return sorted_fold(x, ["customer_id"], list(order), "id long, customer_id long, accepted boolean, "
-                       "outstanding_after double", init, step)
+    capped = sorted_fold(x.where(limited), ["customer_id"], list(order),
+                         "id long, customer_id long, accepted boolean, outstanding_after double", init, step)
+    return free.unionByName(capped)
 
 
 # ----------------------------------------------------------------------------- I5-I7

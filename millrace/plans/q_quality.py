@@ -13,7 +13,7 @@ from millrace.sources.bindings import binding_columns
 MS = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
 
 _FK_SQL = "\nUNION ALL\n".join(
-    f"SELECT '{c}.{k}' AS fk, '{p}' AS parent, COUNT(*) AS orphan_rows, COUNT(DISTINCT x.{k}) AS orphan_keys "
+    f"SELECT '{c}.{k}' AS fk, '{p}' AS parent, COUNT(*) AS orphan_rows "
     f"FROM {c} x WHERE x.{k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.id = x.{k})"
     for c, k, p in L.FOREIGN_KEYS)
 

@@ -89,20 +89,18 @@ def i2(t):
 
 @register("i3_credit_replay", """
 WITH RECURSIVE ev AS (
-  SELECT so.id, so.customer_id, so.total_amount, c.credit_limit,
+  SELECT so.id, so.customer_id, CAST(COALESCE(so.total_amount, 0) AS DECIMAL(38,4)) AS t,
+         CAST(c.credit_limit AS DECIMAL(18,4)) AS lim,
          row_number() OVER (PARTITION BY so.customer_id ORDER BY so.created_at, so.id) AS rn
   FROM sales_orders so LEFT JOIN customers c ON c.id = so.customer_id),
 r AS (
-  SELECT id, customer_id, rn, ok AS accepted, CASE WHEN ok THEN 0 + total_amount ELSE 0.0 END AS owed
-  FROM (SELECT *, (credit_limit IS NULL OR credit_limit <= 0 OR 0 + total_amount <= credit_limit) AS ok
-        FROM ev WHERE rn = 1) a
+  SELECT id, customer_id, rn, ok AS accepted, CASE WHEN ok THEN t ELSE CAST(0 AS DECIMAL(38,4)) END AS owed
+  FROM (SELECT *, (lim IS NULL OR lim <= 0 OR t <= lim) AS ok FROM ev WHERE rn = 1) a
   UNION ALL
-  SELECT e.id, e.customer_id, e.rn,
-         (e.credit_limit IS NULL OR e.credit_limit <= 0 OR r.owed + e.total_amount <= e.credit_limit),
-         CASE WHEN (e.credit_limit IS NULL OR e.credit_limit <= 0 OR r.owed + e.total_amount <= e.credit_limit)
-              THEN r.owed + e.total_amount ELSE r.owed END
+  SELECT e.id, e.customer_id, e.rn, (e.lim IS NULL OR e.lim <= 0 OR r.owed + e.t <= e.lim),
+         CASE WHEN (e.lim IS NULL OR e.lim <= 0 OR r.owed + e.t <= e.lim) THEN r.owed + e.t ELSE r.owed END
   FROM r JOIN ev e ON e.customer_id = r.customer_id AND e.rn = r.rn + 1)
-SELECT id, customer_id, accepted, owed AS outstanding_after FROM r
+SELECT id, customer_id, accepted, CAST(owed AS DOUBLE) AS outstanding_after FROM r
 """)
 def i3(t):
     return I.credit_replay(t.sales_orders, t.customers)
