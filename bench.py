@@ -36,7 +36,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", cpus * 2)),
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g"),
                                "spark.sql.files.maxPartitionBytes": str(64 << 20)})
     catalog._load_all()

@@ -238,14 +238,26 @@ def low_stock_message(name, qty, min_qty) -> Column:
 MONEY = "decimal(18,4)"
 
 
-def msum(x) -> Column:
-    """Sum of money as an exact decimal, returned as double.
+def msum_dec(x) -> Column:
+    """Exact sum of money (each value taken to 4 decimals) as ``decimal(38,6)``.
 
     Spark's partial aggregation adds doubles in a run-dependent order, so a
     double sum changes in its last bits from run to run (and from any other
-    engine). Summing ``decimal(18,4)`` is exact and order-free; the one cast
-    back to double at the end is correctly rounded."""
-    return F.sum(_c(x).cast(MONEY)).cast("double")
+    engine). A ``decimal`` sum is exact but its wide buffer is slow to
+    aggregate. Here each value is split into whole units and 1e-4 fractions,
+    both summed as ``long`` (fixed-width buffers, Tungsten's fast hash map), and
+    combined as a decimal once per group: exact, order-free and about as fast
+    as a double sum. Whole units overflow only past 9.2e18 (an ANSI error, never
+    a silent wrap)."""
+    v = _c(x).cast("double")
+    whole = F.floor(v)
+    frac = F.rint((v - whole) * 10000).cast("long")
+    return F.sum(whole).cast("decimal(38,0)") + F.sum(frac).cast("decimal(38,0)") / 10000
+
+
+def msum(x) -> Column:
+    """``msum_dec`` returned as a (correctly rounded) double."""
+    return msum_dec(x).cast("double")
 
 
 def msum0(x) -> Column:

@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import MONEY, count_if, julian_days_between, margin_pct, mavg, month_range, msum, msum0
+from millrace.functions.scalars import (MONEY, count_if, julian_days_between, margin_pct, mavg, month_range, msum,
+                                        msum0, msum_dec)
 
 OPEN = ("paid", "cancelled")  # statuses that close an order for receivables
 
@@ -174,7 +175,7 @@ def profit_by_product(o: DataFrame, i: DataFrame, p: DataFrame, date_from, date_
     integers, costs carry at most 4 decimals), and profit = revenue - cost line by
     line or in total alike. Order discounts are ignored, as in the reference."""
     per = _items_in(o, i, date_from, date_to).groupBy("product_id").agg(
-        F.sum("quantity").alias("qty"), F.sum(F.col("subtotal").cast(MONEY)).alias("_rev"))
+        F.sum("quantity").alias("qty"), msum_dec("subtotal").alias("_rev"))
     pc = p.select(F.col("id").alias("product_id"), "code", "name", F.col("cost").cast(MONEY).alias("_unit_cost"))
     j = per.join(pc, "product_id")
     cost = (F.col("_unit_cost") * F.col("qty")).cast(MONEY.replace("18", "38"))

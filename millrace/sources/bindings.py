@@ -257,18 +257,26 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.selectExpr(*b.exprs)
 
 
+_BOUND: dict[tuple, DataFrame] = {}
+
+
 class Tables:
-    """Lazy accessor: ``t.sales_orders`` binds on first use, once per instance."""
+    """Lazy accessor: ``t.sales_orders`` binds on first use.
+
+    Bound frames are plain lazy plans (no data is cached); they are kept per
+    (session, folder, name) so repeated queries do not rebuild and re-analyse
+    the same projection - the equivalent of defining the views once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
+        self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in BINDINGS:
             raise AttributeError(name)
-        if name not in self._cache:
-            self._cache[name] = bind(self.spark, self.sf_dir, name)
-        return self._cache[name]
+        key = (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _BOUND:
+            _BOUND[key] = bind(self.spark, self.sf_dir, name)
+        return _BOUND[key]
 
 
 def with_bindings(sql: str) -> str:
