@@ -6,7 +6,7 @@ Runs each headline query on ``local[$BENCH_CPUS]`` and prints ONE JSON line:
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
 Each query is executed in full into Spark's ``noop`` sink (every row is
 produced, nothing is collected to the driver); the time per query is the best
-of ``BENCH_REPEAT`` runs (default 2) after the session is warm.
+of ``BENCH_REPEAT`` runs (default 3) after the session is warm.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", cpus * 2)),
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g"),

@@ -31,6 +31,8 @@ def register(name: str, oracle: str | None = None):
     """Decorator: ``fn(t: Tables) -> DataFrame`` becomes ``(spark, sf_dir) -> DataFrame``."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # all clocks are UTC (the reference stores UTC text; the oracles run in UTC)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(Tables(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
