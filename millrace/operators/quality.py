@@ -76,27 +76,18 @@ REQUIRED = {
 def fk_orphans(tables) -> DataFrame:
     """L1: per foreign key, the number of child rows whose (non-NULL) key has no parent.
 
-    All 19 checks are one anti-join: every child table is scanned once and its
-    FK columns are unpivoted into ``(fk, parent, k)`` rows; every parent table
-    contributes ``(parent, id)`` rows; one shuffle on ``(parent, k)`` finds the
-    orphans, and one group-by counts them (FKs without orphans report 0)."""
-    by_child: dict[str, list[tuple[str, str]]] = {}
+    One anti-join per key: a small parent (materials, products, users) is
+    broadcast by AQE and the child is checked map-side without a shuffle; only
+    large parents (orders) cost a shuffle join. (A single anti-join over all
+    keys at once would shuffle every child key, even those whose parent fits
+    in memory.) The 19 one-row counts are unioned."""
+    parts = []
     for child, col, parent in FOREIGN_KEYS:
-        by_child.setdefault(child, []).append((col, parent))
-    kids = []
-    for child, fks in by_child.items():
-        arr = F.array(*[F.struct(F.lit(f"{child}.{col}").alias("fk"), F.lit(parent).alias("parent"),
-                                 F.col(col).cast("long").alias("k")) for col, parent in fks])
-        kids.append(getattr(tables, child).select(F.explode(arr).alias("x")).select("x.*"))
-    children = reduce(DataFrame.unionByName, kids).where(F.col("k").isNotNull())
-    parents = reduce(DataFrame.unionByName, [
-        getattr(tables, p).select(F.lit(p).alias("parent"), F.col("id").cast("long").alias("k"))
-        for p in dict.fromkeys(p for _, _, p in FOREIGN_KEYS)])
-    counts = children.join(parents, ["parent", "k"], "left_anti").groupBy("fk").agg(F.count(F.lit(1)).alias("_n"))
-    spark = children.sparkSession
-    names = spark.createDataFrame([(f"{c}.{k}", p) for c, k, p in FOREIGN_KEYS], "fk string, parent string")
-    return F.broadcast(names).join(counts, "fk", "left").select(
-        "fk", "parent", F.coalesce("_n", F.lit(0)).cast("long").alias("orphan_rows"))
+        ch = getattr(tables, child).select(F.col(col).alias("_k")).where(F.col("_k").isNotNull())
+        par = getattr(tables, parent).select(F.col("id").alias("_k"))
+        parts.append(ch.join(par, "_k", "left_anti").agg(F.count(F.lit(1)).alias("orphan_rows"))
+                     .select(F.lit(f"{child}.{col}").alias("fk"), F.lit(parent).alias("parent"), "orphan_rows"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unique_violations(tables, settings: DataFrame | None = None) -> DataFrame:

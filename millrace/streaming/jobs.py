@@ -18,6 +18,7 @@ or re-tried query resumes exactly where it stopped.
 from __future__ import annotations
 
 import math
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -29,15 +30,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.functions.scalars import label, msum
 from millrace.session import ensure_checkpoint_dir
 from millrace.sources.bindings import BINDINGS
-from millrace.sources.tables import SCHEMAS
+from millrace.sources.tables import SCHEMAS, table_path
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A driver table as a file stream (new Parquet files in the folder = new data)."""
-    r = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+    """A table folder as a file stream (new Parquet files in it = new data).
+
+    A table stored as one local file (the test fixtures) is streamed from its
+    folder with a file-name filter instead."""
+    path = table_path(sf_dir, name)
+    r = spark.readStream.schema(SCHEMAS[name])
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    if os.path.isfile(path):
+        return r.option("pathGlobFilter", f"{name}.parquet").parquet(os.path.dirname(path))
+    return r.parquet(path)
 
 
 def stream_binding(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
