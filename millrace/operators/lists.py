@@ -54,13 +54,16 @@ def sales_documents(o: DataFrame, c: DataFrame, items: DataFrame, p: DataFrame,
     the outstanding amount. Children are grouped per order before the joins."""
     it = items.join(_prod(p, "name", "unit"), "product_id", "left")
     line = F.struct("product_id", "product_name", "unit", "quantity", "unit_price", "subtotal")
-    item_arr = it.groupBy("order_id").agg(
+    # collect_list gains nothing from map-side partial aggregation (it only
+    # re-packs rows into arrays before the shuffle); shuffling the flat rows
+    # by order first lets the arrays be built once, after the exchange
+    item_arr = it.repartition("order_id").groupBy("order_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("product_id").alias("_k1"), F.col("subtotal").alias("_k2"),
                                              line.alias("v")))).alias("_items"))
     item_arr = item_arr.select("order_id", F.transform("_items", lambda s: s["v"]).alias("items"))
     pw = with_user_name(pay, u, "created_by", "by_name")
     pline = F.struct("id", "amount", "payment_date", "method", "by_name")
-    pay_arr = pw.groupBy("order_id").agg(
+    pay_arr = pw.repartition("order_id").groupBy("order_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("payment_date").alias("_k1"), F.col("id").alias("_k2"),
                                              pline.alias("v")))).alias("_p"))
     pay_arr = pay_arr.select("order_id", F.transform("_p", lambda s: s["v"]).alias("payments"))
@@ -141,7 +144,7 @@ def purchase_documents(po: DataFrame, s: DataFrame, pi: DataFrame, m: DataFrame)
     """PO header with supplier and ``items[]`` (material name and unit)."""
     mm = m.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"), "unit")
     line = F.struct("material_id", "material_name", "unit", "quantity", "unit_price", "subtotal")
-    arr = pi.join(mm, "material_id", "left").groupBy("po_id").agg(
+    arr = pi.join(mm, "material_id", "left").repartition("po_id").groupBy("po_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("material_id").alias("_k1"), F.col("subtotal").alias("_k2"),
                                              line.alias("v")))).alias("_i"))
     arr = arr.select(F.col("po_id").alias("id"), F.transform("_i", lambda x: x["v"]).alias("items"))
