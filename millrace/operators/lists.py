@@ -214,8 +214,8 @@ def route_documents(dr: DataFrame, dro: DataFrame, o: DataFrame, c: DataFrame) -
     oo = o.select(F.col("id").alias("order_id"), "order_number", "total_amount",
                   F.col("status").alias("order_status"), "customer_id")
     stops = dro.join(oo, "order_id").join(_cust(c, "name", "address", "phone"), "customer_id").drop("customer_id")
-    hdr = dr.select(F.col("id").alias("route_id"), "route_name", "delivery_date", F.col("status").alias("route_status"))
-    return hdr.join(stops, "route_id").orderBy("route_id", "sequence_number", "id")
+    hdr = dr.select(F.col("id").alias("_rid"), "route_name", "delivery_date", F.col("status").alias("route_status"))
+    return stops.join(hdr, stops["route_id"] == hdr["_rid"]).drop("_rid").orderBy("route_id", "sequence_number", "id")
 
 
 def expenses_list(e: DataFrame, u: DataFrame, date_from=None, date_to=None, category=None) -> DataFrame:

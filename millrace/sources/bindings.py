@@ -242,7 +242,7 @@ def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         o = load_table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").selectExpr(
             "o_orderkey AS id", "o_orderkey % 23 AS route_id", "o_orderkey AS order_id")
         return running_count(o, ["route_id"], ["order_id"], id_block("order_id"), "sequence_number") \
-            .select("id", "route_id", "order_id", F.col("sequence_number").cast("int").alias("sequence_number"))
+            .select("id", "route_id", "order_id", "sequence_number")
     raise KeyError(name)
 
 
