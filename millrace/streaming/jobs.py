@@ -151,10 +151,11 @@ def material_ledger_stream(moves: DataFrame, initial: DataFrame, mode: str = "re
         _ledger_fn(mode), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_material_ledger(spark: SparkSession, sf_dir: str, initial: DataFrame, mode: str = "reject") -> DataFrame:
+def run_material_ledger(spark: SparkSession, sf_dir: str, initial: DataFrame, mode: str = "reject",
+                        max_files: int | None = None) -> DataFrame:
     """Run J2 over the material-log stream and read back all emitted rows."""
     d = run_dir(spark, "j2")
-    q = (material_ledger_stream(stream_binding(spark, sf_dir, "material_logs"), initial, mode).writeStream
+    q = (material_ledger_stream(stream_binding(spark, sf_dir, "material_logs", max_files), initial, mode).writeStream
          .outputMode("append").format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/chk")
          .trigger(availableNow=True).start())
     q.awaitTermination()
