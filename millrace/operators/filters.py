@@ -128,10 +128,15 @@ def global_search(customers: DataFrame, products: DataFrame, orders: DataFrame,
         .orderBy("id").limit(k).select(F.lit("customers").alias("grp"), "id", "code", "name", "phone", "type")
     prod = products.where((sqlite_like_contains("name", q) | sqlite_like_contains("code", q)) & (F.col("active") == 1)) \
         .orderBy("id").limit(k).select(F.lit("products").alias("grp"), "id", "code", "name", "stock", "unit", "price")
+    # orders hit by number, or by their customer's name: two filtered inputs
+    # (the number filter runs in the orders scan; the name filter on customers)
+    # instead of joining every order to its customer before filtering
     cn = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
-    ords = orders.join(cn, "customer_id").where(sqlite_like_contains("order_number", q)
-                                                | sqlite_like_contains("customer_name", q)) \
-        .orderBy(F.desc("created_at"), F.desc("id")).limit(k) \
+    by_name = cn.where(sqlite_like_contains("customer_name", q)).select("customer_id")
+    hits = orders.where(sqlite_like_contains("order_number", q)).unionByName(
+        orders.join(by_name, "customer_id", "left_semi").where(~sqlite_like_contains("order_number", q)
+                                                               | F.col("order_number").isNull()))
+    ords = hits.join(cn, "customer_id").orderBy(F.desc("created_at"), F.desc("id")).limit(k) \
         .select(F.lit("orders").alias("grp"), "id", F.col("order_number").alias("code"), "total_amount", "status",
                 "order_date", "customer_name")
     out = cust.unionByName(prod, allowMissingColumns=True).unionByName(ords, allowMissingColumns=True)

@@ -40,8 +40,13 @@ def sales_list(o: DataFrame, c: DataFrame, u: DataFrame, status=None, date_from=
 
 
 def recent_orders(o: DataFrame, c: DataFrame, k: int = 5) -> DataFrame:
-    """Newest ``k`` orders with the customer name."""
-    top = o.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
+    """Newest ``k`` orders with the customer name.
+
+    The reference joins first, so an order whose customer is missing never
+    takes one of the ``k`` places: the top-k runs over orders that have a
+    customer (semi-join), and only the ``k`` winners fetch the name."""
+    live = o.join(c.select(F.col("id").alias("customer_id")), "customer_id", "left_semi")
+    top = live.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
     return top.join(_cust(c, "name"), "customer_id").select(
         "id", "order_number", "customer_name", "total_amount", "status", "order_date", "created_at")
 
