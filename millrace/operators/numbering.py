@@ -26,13 +26,14 @@ def assign_document_numbers(new: DataFrame, prefix: str, start: int | Column = 0
         .withColumn(name, F.format_string(prefix + "%05d", F.col("seq_no"))).drop("_n")
 
 
-def assign_batch_numbers(po: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def assign_batch_numbers(po: DataFrame, block_seconds: int = 3600, strict: bool = False) -> DataFrame:
     """``B<yyyyMMdd>-<nnn>`` with nnn = 1 + earlier non-cancelled orders of the
     same UTC day (at least 3 digits); expiry = day + 365. Like the reference, a
-    number can repeat after a cancellation (see L5)."""
+    number can repeat after a cancellation (see L5); ``strict=True`` counts
+    cancelled orders too, so numbers never repeat."""
     x = po.withColumn("_day", F.to_date("created_at"))
     x = running_count(x, ["_day"], ["created_at", "id"], time_block("created_at", block_seconds), "_k",
-                      where=F.col("status") != "cancelled", inclusive=False)
+                      where=None if strict else F.col("status") != "cancelled", inclusive=False)
     return (x.withColumn("batch_number", F.format_string("B%s-%03d", F.date_format("_day", "yyyyMMdd"),
                                                          (F.col("_k") + 1).cast("int")))
             .withColumn("expiry_date", F.date_add("_day", 365)).drop("_day", "_k"))

@@ -283,10 +283,13 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
 
 
 # ----------------------------------------------------------------------------- I11
-def payments_replay(orders: DataFrame, attempts: DataFrame) -> DataFrame:
+def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False) -> DataFrame:
     """Payment attempts in sequence per order: a missing/zero amount or one
     above what remains is rejected (negative amounts pass); after each accepted
-    payment status = paid if paid >= total else confirmed."""
+    payment status = paid if paid >= total else confirmed (which pulls a
+    delivered or cancelled order back to confirmed). ``strict=True`` also
+    rejects negative amounts and payments on cancelled orders, and keeps a
+    delivered order delivered until it is fully paid."""
     x = attempts.select("seq", "order_id", "amount").join(
         orders.select(F.col("id").alias("order_id"), "total_amount", "status"), "order_id")
 
@@ -296,9 +299,14 @@ def payments_replay(orders: DataFrame, attempts: DataFrame) -> DataFrame:
     def step(s, r):
         a, tot = r["amount"], float(r["total_amount"])
         ok = not (_isnull(a) or a == 0) and a <= tot - s["paid"]
+        if strict and ok and (a < 0 or s["status"] == "cancelled"):
+            ok = False
         if ok:
             s["paid"] += a
-            s["status"] = "paid" if s["paid"] >= tot else "confirmed"
+            if s["paid"] >= tot:
+                s["status"] = "paid"
+            elif not (strict and s["status"] == "delivered"):
+                s["status"] = "confirmed"
         return {"seq": r["seq"], "order_id": r["order_id"], "accepted": bool(ok), "paid": s["paid"],
                 "status": s["status"]}
 
@@ -307,7 +315,8 @@ def payments_replay(orders: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- I12
-def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None) -> DataFrame:
+def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None,
+                           strict: bool = False) -> DataFrame:
     """The full order life cycle per order, one output row per order.
 
     Event kinds: ``set_status`` (to ``delivered`` subtracts stock unless the
@@ -315,7 +324,9 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     ``delivery_created`` (one per order; pending -> confirmed) and
     ``delivery_status`` (needs a delivery; ``delivered`` subtracts stock and
     sets delivered unless delivered/paid). ``stock_moves`` counts subtractions:
-    it can reach 2 (delivered -> part payment -> confirmed -> delivered)."""
+    it can reach 2 (delivered -> part payment -> confirmed -> delivered).
+    ``strict=True`` subtracts stock at most once per order and applies the
+    strict payment rule of ``payments_replay``."""
     o = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_s0"), "total_amount",
                       F.col("paid_amount").alias("_p0"))
     if deliveries is not None:
@@ -329,22 +340,29 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
         return {"status": r["_s0"], "paid": float(r["_p0"]), "del": bool(r["_d0"]) if not _isnull(r["_d0"]) else False,
                 "moves": 0, "rejected": 0, "events": 0}
 
+    def subtract(s):
+        if not (strict and s["moves"] > 0):
+            s["moves"] += 1
+
     def step(s, r):
         k, st, tot = r["kind"], r["status"], float(r["total_amount"])
         s["events"] += 1
         if k == "set_status":
             if st == "delivered" and s["status"] not in ("delivered", "paid"):
-                s["moves"] += 1
+                subtract(s)
             s["status"] = st
         elif k == "cancel":
             s["status"] = "cancelled"
         elif k == "payment":
             a = r["amount"]
-            if _isnull(a) or a == 0 or a > tot - s["paid"]:
+            if _isnull(a) or a == 0 or a > tot - s["paid"] or (strict and (a < 0 or s["status"] == "cancelled")):
                 s["rejected"] += 1
             else:
                 s["paid"] += a
-                s["status"] = "paid" if s["paid"] >= tot else "confirmed"
+                if s["paid"] >= tot:
+                    s["status"] = "paid"
+                elif not (strict and s["status"] == "delivered"):
+                    s["status"] = "confirmed"
         elif k == "delivery_created":
             if s["del"]:
                 s["rejected"] += 1
@@ -356,7 +374,7 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
             if not s["del"]:
                 s["rejected"] += 1
             elif st == "delivered" and s["status"] not in ("delivered", "paid"):
-                s["moves"] += 1
+                subtract(s)
                 s["status"] = "delivered"
         return {"order_id": r["order_id"], "seq": r["seq"], "status": s["status"], "paid": s["paid"],
                 "stock_moves": s["moves"], "rejected": s["rejected"], "events": s["events"]}

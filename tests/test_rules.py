@@ -141,3 +141,22 @@ def test_qc_zero_becomes_null(spark):
     r = ok.collect()[0]
     assert r["ph"] is None and r["tds"] == 5.0 and r["result"] == "pending" and r["odor"] == "ปกติ"
     assert bad.collect()[0]["reason"] == "missing_test_date"
+
+
+def test_strict_options_fix_reference_quirks(spark):
+    o = _orders(spark, [(1, 1, "pending", 100.0, 0.0, None, TS, None, 0.0)])
+    ev = spark.createDataFrame([
+        (1, 1, "delivery_created", None, None, TS),
+        (2, 1, "delivery_status", "delivered", None, TS + dt.timedelta(hours=1)),
+        (3, 1, "payment", None, 40.0, TS + dt.timedelta(hours=2)),
+        (4, 1, "delivery_status", "delivered", None, TS + dt.timedelta(hours=3)),
+    ], "seq long, order_id long, kind string, status string, amount double, ts timestamp_ntz")
+    r = I.order_lifecycle_replay(o, ev, strict=True).collect()[0]
+    assert r["stock_moves"] == 1 and r["status"] == "delivered"
+    o2 = _orders(spark, [(1, 1, "cancelled", 100.0, 0.0, None, TS, None, 0.0)])
+    att = spark.createDataFrame([(1, 1, 10.0), (2, 1, -5.0)], "seq long, order_id long, amount double")
+    assert [x["accepted"] for x in I.payments_replay(o2, att, strict=True).orderBy("seq").collect()] == [False, False]
+    po = spark.createDataFrame([(1, "cancelled", TS), (2, "pending", TS + dt.timedelta(minutes=1))],
+                               "id long, status string, created_at timestamp_ntz")
+    b = {x["id"]: x["batch_number"] for x in G.assign_batch_numbers(po, strict=True).collect()}
+    assert b == {1: "B20240105-001", 2: "B20240105-002"}
