@@ -8,6 +8,16 @@ from pyspark.sql import types as T
 from millrace.functions import scalars as H
 from millrace.operators import reports as R
 from millrace.plans.catalog import FROM, TO, register
+from millrace.plans.q_reports import PROFIT_SQL
+
+MS = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
+D6_SQL = f"""
+SELECT si.product_id, p.code, p.name, CAST(SUM(si.quantity) AS BIGINT) AS quantity, {MS('si.subtotal')} AS revenue
+FROM sales_items si JOIN sales_orders so ON si.order_id = so.id JOIN products p ON si.product_id = p.id
+WHERE so.order_date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND so.status <> 'cancelled'
+GROUP BY si.product_id, p.code, p.name
+"""
+PROFIT_ROWS = PROFIT_SQL
 from millrace.sources import io as A
 from millrace.sources.tables import load_table
 
@@ -43,24 +53,50 @@ def a3(t):
     return A.evolve_schema(t.production_orders, target)
 
 
-@register("a4_export_csv_lines", f"""
-WITH d AS (SELECT order_date AS date, COUNT(*) AS orders,
-                  CAST(SUM(CAST(total_amount AS DECIMAL(18,4))) AS DOUBLE) AS revenue
-           FROM sales_orders WHERE order_date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND status <> 'cancelled'
-           GROUP BY order_date)
-SELECT NULL::VARCHAR AS k, chr(65279) || '"วันที่","จำนวนออเดอร์","ยอดขาย"' AS line
+SALES_LINES = f"""
+WITH d AS ({{D6}})
+SELECT 0 AS _h, NULL::DOUBLE AS _o0, NULL::BIGINT AS _o1,
+       chr(65279) || '"' || '{'","'.join(A.SALES_CSV_HEADERS)}' || '"' AS line
 UNION ALL
-SELECT CAST(date AS VARCHAR), '"' || CAST(date AS VARCHAR) || '","' || CAST(orders AS VARCHAR) || '","'
-       || replace('฿' || format('{{:,.2f}}', revenue), '"', '""') || '"' FROM d
-""")
+SELECT 1, revenue, product_id, '"' || replace(name, '"', '""') || '","' || {{NUM}} || '","'
+       || '฿' || format('{{:,.2f}}', revenue) || '"' FROM d
+"""
+
+
+@register("a4_export_sales_csv_lines", SALES_LINES.replace("{D6}", D6_SQL).replace(
+    "{NUM}", "rtrim(rtrim(format('{:,.3f}', CAST(quantity AS DOUBLE)), '0'), '.')"))
 def a4(t):
-    d = R.sales_by_day(t.sales_orders, FROM, TO).withColumn("revenue_text", H.fmt_currency("revenue"))
-    # The sales CSV header labels.
-    return A.csv_lines(d, ["date", "orders", "revenue_text"], ["วันที่", "จำนวนออเดอร์", "ยอดขาย"], F.col("date"))
+    d = R.sales_by_product(t.sales_orders, t.sales_items, t.products, FROM, TO)
+    cells = [F.col("name"), H.fmt_number("quantity"), H.fmt_currency("revenue")]
+    return A.csv_lines(d, cells, A.SALES_CSV_HEADERS, [("revenue", False), ("product_id", True)])
+
+
+_FMT2 = "'฿' || format('{{:,.2f}}', {})".format
+
+
+@register("a4_export_profit_csv_lines", f"""
+WITH d AS ({PROFIT_ROWS})
+SELECT 0 AS _h, NULL::DOUBLE AS _o0, NULL::BIGINT AS _o1,
+       chr(65279) || '"' || '{'","'.join(A.PROFIT_CSV_HEADERS)}' || '"' AS line
+UNION ALL
+SELECT 1, profit, product_id, '"' || replace(name, '"', '""') || '","'
+       || rtrim(rtrim(format('{{:,.3f}}', CAST(qty AS DOUBLE)), '0'), '.') || '","' || {_FMT2('revenue')} || '","'
+       || {_FMT2('cost')} || '","' || {_FMT2('profit')} || '","'
+       || CASE WHEN revenue > 0 THEN printf('%.1f', profit / revenue * 100) ELSE '0' END || '%"' FROM d
+""")
+def a4_profit(t):
+    d = R.profit_by_product(t.sales_orders, t.sales_items, t.products, FROM, TO)
+    margin = F.when(F.col("revenue") > 0, F.format_string("%.1f", F.col("profit") / F.col("revenue") * 100)) \
+        .otherwise(F.lit("0"))
+    cells = [F.col("name"), H.fmt_number("qty"), H.fmt_currency("revenue"), H.fmt_currency("cost"),
+             H.fmt_currency("profit"), F.concat(margin, F.lit("%"))]
+    return A.csv_lines(d, cells, A.PROFIT_CSV_HEADERS, [("profit", False), ("product_id", True)])
 
 
 @register("a5_report_json")
 def a5(t):
     o = t.sales_orders
-    parts = {"summary": R.sales_summary(o, FROM, TO), "byCustomer": R.sales_by_customer(o, t.customers, FROM, TO)}
+    parts = {"summary": R.sales_summary(o, FROM, TO), "byDay": R.sales_by_day(o, FROM, TO),
+             "byProduct": R.sales_by_product(o, t.sales_items, t.products, FROM, TO),
+             "byCustomer": R.sales_by_customer(o, t.customers, FROM, TO)}
     return A.report_json_lines(parts, {"from": FROM, "to": TO})

@@ -51,26 +51,39 @@ def _cell(c: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), '"', '""'), F.lit('"'))
 
 
-def csv_lines(df: DataFrame, columns: list[str], headers: list[str], sort_key: Column) -> DataFrame:
+def csv_lines(df: DataFrame, cells: list[Column], headers: list[str],
+              order: list[tuple[Column | str, bool]]) -> DataFrame:
     """A4: the CSV report as text lines: every cell quoted, ``"`` doubled, the
-    header first with a UTF-8 BOM. Returns ``(k, line)``; ``k`` orders the lines
-    (the header's ``k`` is NULL, which sorts first)."""
-    head = df.sparkSession.range(1).select(
-        F.lit(None).cast("string").alias("k"),
-        F.concat(F.lit(BOM), F.concat_ws(",", *[_cell(F.lit(h)) for h in headers])).alias("line"))
-    body = df.select(sort_key.cast("string").alias("k"), F.concat_ws(",", *[_cell(F.col(c)) for c in columns]).alias("line"))
-    return head.unionByName(body)
-
-
-def export_csv(df: DataFrame, path: str, columns: list[str], headers: list[str], sort_key: Column) -> bool:
-    """A4: write the CSV report; nothing is written when there are no data rows."""
+    header first with a UTF-8 BOM. Returns ``(_h, _o0.., line)``: ``_h`` is 0 for
+    the header and 1 for data rows; ``_o*`` are the data rows' sort keys, given
+    as ``(column, ascending)`` pairs."""
+    spark = df.sparkSession
+    head = spark.range(1).select(F.lit(0).alias("_h"),
+                                 F.concat(F.lit(BOM), F.concat_ws(",", *[_cell(F.lit(h)) for h in headers])).alias("line"))
+    body = df.select(F.lit(1).alias("_h"),
+                     *[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, (o, _) in enumerate(order)],
+                     F.concat_ws(",", *[_cell(c) for c in cells]).alias("line"))
+    return head.unionByName(body, allowMissingColumns=True)
+
+
+def export_csv(df: DataFrame, path: str, cells: list[Column], headers: list[str],
+               order: list[tuple[Column | str, bool]]) -> bool:
+    """A4: write the CSV report in row order; nothing is written when there are
+    no data rows. Spark writes one part file per task in sort order, so the
+    parts read in name order are the file (no coalesce into one task)."""
     if df.isEmpty():
         return False
-    csv_lines(df, columns, headers, sort_key).orderBy(F.col("k").asc_nulls_first()).select("line") \
+    sort = [F.col("_h")] + [F.col(f"_o{i}").asc() if up else F.col(f"_o{i}").desc() for i, (_, up) in enumerate(order)]
+    csv_lines(df, cells, headers, order).orderBy(*sort).select("line") \
         .write.mode("overwrite").option("lineSep", "\n").text(path)
     return True
 
 
+# The two report exports (header labels as the reference writes them).
+SALES_CSV_HEADERS = ["สินค้า", "จำนวน", "ยอดขาย"]
+PROFIT_CSV_HEADERS = ["สินค้า", "จำนวน", "รายได้", "ต้นทุน", "กำไร", "มาร์จิ้น"]
+
+
 def report_json_lines(parts: dict[str, DataFrame], meta: dict[str, str]) -> DataFrame:
     """A5: a report envelope as JSON lines ``(part, json)``: one line per row of
     each part (summary, byDay, ...) plus one line per meta field (from, to)."""

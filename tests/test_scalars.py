@@ -65,11 +65,11 @@ def test_strip_first_prefix_only_once(spark):
 def test_csv_export_quoting_and_bom(spark):
     df = spark.createDataFrame([("b", 'say "hi"', "x,y"), ("a", "line\nbreak", "ไทย")], "k string, c1 string, c2 string")
     out = os.path.join(tempfile.mkdtemp(prefix="csv-", dir="/tmp"), "r")
-    assert A.export_csv(df, out, ["c1", "c2"], ["หัว 1", 'h"2'], F.col("k"))
+    assert A.export_csv(df, out, [F.col("c1"), F.col("c2")], ["หัว 1", 'h"2'], [("k", True)])
     parts = sorted(p for p in os.listdir(out) if p.startswith("part-"))
     text = "".join(open(os.path.join(out, p), encoding="utf-8").read() for p in parts)
     assert text == '﻿"หัว 1","h""2"\n"line\nbreak","ไทย"\n"say ""hi""","x,y"\n'
-    assert not A.export_csv(df.limit(0), out + "2", ["c1"], ["h"], F.col("k"))
+    assert not A.export_csv(df.limit(0), out + "2", [F.col("c1")], ["h"], [("k", True)])
 
 
 def test_normalize_input_empty_strings_and_numbers(spark):
