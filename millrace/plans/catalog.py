@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import ship_package
 from millrace.sources.bindings import Tables, with_bindings
 
 AS_OF = "2000-01-31"
@@ -33,6 +34,7 @@ def register(name: str, oracle: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # all clocks are UTC (the reference stores UTC text; the oracles run in UTC)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(Tables(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__

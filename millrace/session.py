@@ -63,3 +63,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="millrace-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``millrace`` importable in the session's Python workers.
+
+    Python code that runs inside tasks (``mapInPandas`` folds, the streaming
+    state function) is imported by the workers. On a cluster ship the package
+    with ``spark-submit --py-files millrace.zip``; for a local session that was
+    started elsewhere this zips the package once and adds it with
+    ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
+        return
+    import shutil
+
+    import millrace
+    root = os.path.dirname(os.path.dirname(os.path.abspath(millrace.__file__)))
+    d = tempfile.mkdtemp(prefix="millrace-pkg-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.addPyFile(shutil.make_archive(os.path.join(d, "millrace"), "zip", root_dir=root, base_dir="millrace"))
+    _SHIPPED.add(sc.applicationId)

@@ -61,6 +61,12 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the (possibly remote) file system of the session."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def _upsert_sink(out_dir: str):
     """foreachBatch sink for update-mode results: append each batch with its id;
     readers keep the row of the highest batch per key (a re-run batch appends
@@ -211,9 +217,9 @@ def run_activity_feed(spark: SparkSession, sf_dir: str, tables, k: int = 12) ->
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         prev_dir = f"{d}/top/{batch_id - 1}"
-        try:
+        if batch_id > 0 and _exists(spark, prev_dir):
             prev = spark.read.schema(schema).parquet(prev_dir)
-        except Exception:  # noqa: BLE001 - first batch: nothing kept yet
+        else:  # first batch: nothing kept yet
             prev = spark.createDataFrame([], schema)
         _top_per_source(prev.unionByName(batch.select(*FEED_COLS))).write.mode("overwrite").parquet(
             f"{d}/top/{batch_id}")
