@@ -12,7 +12,7 @@ status or per route.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.filters import expenses_filter, sales_filter

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from millrace.operators import numbering as G
 from millrace.operators import quality as L
