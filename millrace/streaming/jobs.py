@@ -94,13 +94,20 @@ def daily_sales_stream(orders: DataFrame, delay: str = "1 day") -> DataFrame:
             .select(F.to_date(F.col("w.start")).alias("day"), "orders", "revenue"))
 
 
-def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
-    """Run J1 to the end of the available data (update mode) and read the result."""
+def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode: str = "update") -> DataFrame:
+    """Run J1 to the end of the available data and read the result.
+
+    ``mode='update'`` emits every window as it changes (kept latest-per-day by
+    the upsert sink); ``mode='append'`` emits a window once, after the
+    watermark passes its end, into a plain file sink - so the newest windows,
+    still open when the data ends, are not in the output yet."""
     d = run_dir(spark, "j1")
-    q = (daily_sales_stream(stream_binding(spark, sf_dir, "sales_orders"), delay).writeStream
-         .outputMode("update").option("checkpointLocation", f"{d}/chk")
-         .foreachBatch(_upsert_sink(f"{d}/out")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = daily_sales_stream(stream_binding(spark, sf_dir, "sales_orders"), delay).writeStream \
+        .option("checkpointLocation", f"{d}/chk").trigger(availableNow=True)
+    if mode == "append":
+        w.outputMode("append").format("parquet").option("path", f"{d}/out").start().awaitTermination()
+        return spark.read.parquet(f"{d}/out")
+    w.outputMode("update").foreachBatch(_upsert_sink(f"{d}/out")).start().awaitTermination()
     return read_upserts(spark, f"{d}/out", ["day"])
 
 

@@ -88,3 +88,11 @@ def test_stream_ledger_over_several_batches_equals_batch(spark, sf_dir):
     batch = {r["id"]: (r["accepted"], r["balance"]) for r in
              I.material_adjust_replay(t.raw_materials, t.material_logs).collect()}
     assert streamed == batch
+
+
+def test_stream_daily_sales_append_mode_emits_closed_windows_only(spark, sf_dir):
+    upd = {r["day"]: r["orders"] for r in J.run_daily_sales(spark, sf_dir, "1 day", "update").collect()}
+    app = {r["day"]: r["orders"] for r in J.run_daily_sales(spark, sf_dir, "1 day", "append").collect()}
+    assert app and set(app) < set(upd)
+    assert all(app[d] == upd[d] for d in app)
+    assert max(app) < max(upd)
