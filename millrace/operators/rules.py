@@ -111,9 +111,6 @@ def validate_sales_orders(orders: DataFrame, items: DataFrame, customers: DataFr
     owed = open_orders.where(~F.col("status").isin(*OPEN)).groupBy("customer_id") \
         .agg(msum(F.col("total_amount") - F.col("paid_amount")).alias("_owed"))
     cust = customers.select(F.col("id").alias("customer_id"), "credit_limit")
-    h = (orders.select(F.col("id").alias("order_id"), "customer_id", "order_date",
-                       F.coalesce("discount", F.lit(0.0)).alias("_disc"))
-         .join(tot, "order_id", "left").join(cust, "customer_id", "left").join(owed, "customer_id", "left"))
     new_total = F.coalesce("_items_total", F.lit(0.0)) - F.col("_disc")
     hdr_reason = (F.when(F.col("customer_id").isNull() | F.col("order_date").isNull()
                          | F.coalesce(F.col("_lines"), F.lit(0)).__eq__(0), F.lit(0))
@@ -126,7 +123,12 @@ def validate_sales_orders(orders: DataFrame, items: DataFrame, customers: DataFr
                  .when(F.col("_known").isNull(), F.lit(4)).when(F.col("_stock") < q, F.lit(5)))
     first_line = li.where(line_rule.isNotNull()).groupBy("order_id").agg(
         F.min_by(line_rule, F.struct("line_no", line_rule)).alias("_line_rule"))
-    out = h.join(first_line, "order_id", "left")
+    # order-keyed inputs first (one partitioning on order_id), then the
+    # customer-keyed ones (one re-partitioning on customer_id)
+    out = (orders.select(F.col("id").alias("order_id"), "customer_id", "order_date",
+                         F.coalesce("discount", F.lit(0.0)).alias("_disc"))
+           .join(tot, "order_id", "left").join(first_line, "order_id", "left")
+           .join(cust, "customer_id", "left").join(owed, "customer_id", "left"))
     rule = F.coalesce(hdr_reason, F.col("_line_rule"))
     reasons = F.array(*[F.lit(r) for r in ORDER_REASONS])
     return out.select("order_id", "customer_id", new_total.alias("new_total"),
