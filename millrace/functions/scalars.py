@@ -280,5 +280,7 @@ def sql_msum(x: str) -> str:
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
 
 
-# Brand prefixes stripped from product names for chart labels.
-BRAND_PREFIXES = ["น้ำดื่มตะวันแดง ", "น้ำดื่ม "]
+# Chart labels drop leading name prefixes, first occurrence of each in turn
+# (the brand's own prefix is configuration; the generic "drinking water " is
+# the default).
+BRAND_PREFIXES = ["น้ำดื่ม "]
