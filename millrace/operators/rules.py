@@ -231,33 +231,65 @@ def material_ledger(initial: DataFrame, moves: DataFrame, block_seconds: int = 3
 
 
 # ----------------------------------------------------------------------------- I9
-def material_adjust_replay(initial: DataFrame, adjustments: DataFrame) -> DataFrame:
+def _units(c: Column) -> Column:
+    """Money/quantity as exact 1e-4 units (``long``); NULL stays NULL."""
+    return (c.cast(MONEY) * 10000).cast("long")
+
+
+def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_seconds: int = 3600) -> DataFrame:
     """Manual adjustments in sequence per material: quantity <= 0 is
     rejected; ``in`` adds, any other type subtracts; a result below 0 is
     rejected and leaves stock unchanged. One output row per adjustment with
-    ``accepted``, ``reason`` and ``balance`` after it."""
+    ``accepted``, ``reason`` and ``balance`` after it (exact 1e-4 units).
+
+    Speculate, then repair: as long as no adjustment would take a material
+    below zero, every valid one is accepted and the balance is a plain running
+    sum - computed with the two-level scan, so a hot material is spread over
+    many tasks. Only from a material's first would-be-negative adjustment on
+    do decisions depend on earlier rejections; those rows (and only those)
+    go through the sequential fold, starting from the balance just before."""
     x = adjustments.select("id", "material_id", "type", "quantity", "created_at").join(
         initial.select(F.col("id").alias("material_id"), F.col("quantity").alias("_x0")), "material_id", "left")
+    valid = F.col("quantity").isNotNull() & (F.col("quantity") > 0)
+    x = (x.withColumn("_valid", valid).withColumn("_q_u", _units(F.col("quantity")))
+         .withColumn("_x0_u", F.coalesce(_units(F.col("_x0")), F.lit(0).cast("long")))
+         .withColumn("_d_u", F.when(valid, F.when(F.col("type") == "in", F.col("_q_u")).otherwise(-F.col("_q_u")))
+                     .otherwise(F.lit(0).cast("long"))))
+    order = ["created_at", "id"]
+    x = prefix_sums(x, ["material_id"], order, time_block("created_at", block_seconds), {"_s_u": F.col("_d_u")})
+    x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
+    pos = F.struct("created_at", "id")
+    first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
+        F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
+    x = x.join(first_bad, "material_id", "left")
+    before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
+    to_money = lambda c: (c.cast("decimal(38,0)") / 10000).cast("double")
+    quick = x.where(before).select(
+        "id", "material_id", F.col("_valid").alias("accepted"),
+        F.when(~F.col("_valid"), F.lit("bad_quantity")).otherwise(F.lit(None).cast("string")).alias("reason"),
+        to_money(F.col("_b_u")).alias("balance"))
 
     def init(r):
-        return {"bal": 0.0 if _isnull(r["_x0"]) else float(r["_x0"])}
+        return {"bal": int(r["_start_u"])}
 
     def step(s, r):
-        q = r["quantity"]
         reason = None
-        if _isnull(q) or q <= 0:
+        if not r["_valid"]:
             reason = "bad_quantity"
         else:
+            q = int(r["_q_u"])
             nb = s["bal"] + q if r["type"] == "in" else s["bal"] - q
             if nb < 0:
                 reason = "insufficient_stock"
             else:
                 s["bal"] = nb
         return {"id": r["id"], "material_id": r["material_id"], "accepted": reason is None, "reason": reason,
-                "balance": s["bal"]}
+                "balance": s["bal"] / 10000}
 
-    return sorted_fold(x, ["material_id"], ["created_at", "id"],
+    rest = x.where(~before).select("id", "material_id", "type", "created_at", "_valid", "_q_u", "_start_u")
+    slow = sorted_fold(rest, ["material_id"], order,
                        "id long, material_id long, accepted boolean, reason string, balance double", init, step)
+    return quick.unionByName(slow)
 
 
 def final_state(replayed: DataFrame, key: str, order: str = "id", value: str = "balance") -> DataFrame:

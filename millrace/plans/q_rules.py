@@ -186,38 +186,39 @@ def i8(t):
 
 I9_SQL = """
 WITH RECURSIVE ev AS (
-  SELECT ml.id, ml.material_id, ml.type, ml.quantity, COALESCE(m.quantity, 0.0) AS x0,
+  SELECT ml.id, ml.material_id, ml.type, ml.quantity, CAST(COALESCE(m.quantity, 0) AS DECIMAL(38,4)) AS x0,
+         CAST(ml.quantity AS DECIMAL(38,4)) AS q,
          row_number() OVER (PARTITION BY ml.material_id ORDER BY ml.created_at, ml.id) AS rn
   FROM material_logs ml LEFT JOIN raw_materials m ON m.id = ml.material_id),
 r AS (
   SELECT id, material_id, rn, reason, CASE WHEN reason IS NULL THEN nb ELSE x0 END AS balance
-  FROM (SELECT *, CASE WHEN type = 'in' THEN x0 + quantity ELSE x0 - quantity END AS nb,
+  FROM (SELECT *, CASE WHEN type = 'in' THEN x0 + q ELSE x0 - q END AS nb,
                CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'bad_quantity'
-                    WHEN (CASE WHEN type = 'in' THEN x0 + quantity ELSE x0 - quantity END) < 0
+                    WHEN (CASE WHEN type = 'in' THEN x0 + q ELSE x0 - q END) < 0
                     THEN 'insufficient_stock' END AS reason
         FROM ev WHERE rn = 1) a
   UNION ALL
   SELECT e.id, e.material_id, e.rn,
          CASE WHEN e.quantity IS NULL OR e.quantity <= 0 THEN 'bad_quantity'
-              WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.quantity ELSE r.balance - e.quantity END) < 0
+              WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.q ELSE r.balance - e.q END) < 0
               THEN 'insufficient_stock' END,
          CASE WHEN e.quantity IS NULL OR e.quantity <= 0 THEN r.balance
-              WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.quantity ELSE r.balance - e.quantity END) < 0
+              WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.q ELSE r.balance - e.q END) < 0
               THEN r.balance
-              ELSE (CASE WHEN e.type = 'in' THEN r.balance + e.quantity ELSE r.balance - e.quantity END) END
+              ELSE (CASE WHEN e.type = 'in' THEN r.balance + e.q ELSE r.balance - e.q END) END
   FROM r JOIN ev e ON e.material_id = r.material_id AND e.rn = r.rn + 1)
 """
 
 
 @register("i9_material_adjust_replay", I9_SQL + """
-SELECT id, material_id, reason IS NULL AS accepted, reason, balance FROM r
+SELECT id, material_id, reason IS NULL AS accepted, reason, CAST(balance AS DOUBLE) AS balance FROM r
 """)
 def i9(t):
     return I.material_adjust_replay(t.raw_materials, t.material_logs)
 
 
 @register("i9_material_final_stock", I9_SQL + """
-SELECT material_id, arg_max(balance, id) AS balance FROM r GROUP BY material_id
+SELECT material_id, CAST(arg_max(balance, id) AS DOUBLE) AS balance FROM r GROUP BY material_id
 """)
 def i9_final(t):
     return I.final_state(I.material_adjust_replay(t.raw_materials, t.material_logs), "material_id", "id", "balance")

@@ -22,7 +22,7 @@ def j1(t):
 
 J2_SQL = I9_SQL + """,
 pr AS (SELECT r.*, lag(r.balance) OVER (PARTITION BY r.material_id ORDER BY r.rn) AS lb FROM r),
-al AS (SELECT pr.id, pr.material_id, pr.reason IS NULL AS accepted, pr.reason, pr.balance,
+al AS (SELECT pr.id, pr.material_id, pr.reason IS NULL AS accepted, pr.reason, CAST(pr.balance AS DOUBLE) AS balance,
               CASE WHEN pr.balance = 0 AND COALESCE(pr.lb, ev.x0) <> 0 THEN 'out'
                    WHEN pr.balance <= m.min_quantity AND m.min_quantity < COALESCE(pr.lb, ev.x0) THEN 'low' END AS alert
        FROM pr JOIN ev ON ev.id = pr.id LEFT JOIN raw_materials m ON m.id = pr.material_id)

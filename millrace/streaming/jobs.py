@@ -113,10 +113,11 @@ def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode
 
 # ----------------------------------------------------------------------------- J2 / J3
 LEDGER_OUT = ("id long, material_id long, accepted boolean, reason string, balance double, alert string")
-LEDGER_STATE = "balance double, min_qty double"
+LEDGER_STATE = "balance long, min_qty long"
 
 
 def _ledger_fn(mode: str):
+    """Per-key state function: stock in exact 1e-4 units (``long``)."""
     def isnull(v):
         return v is None or (isinstance(v, float) and math.isnan(v))
 
@@ -126,16 +127,18 @@ def _ledger_fn(mode: str):
             bal, mn = state.get
         else:
             first = rows.iloc[0]
-            bal = 0.0 if isnull(first["_x0"]) else float(first["_x0"])
-            mn = math.inf if isnull(first["_min"]) else float(first["_min"])
+            bal = 0 if isnull(first["x0_units"]) else int(first["x0_units"])
+            mn = -1 if isnull(first["min_units"]) else int(first["min_units"])  # -1: no minimum known
         out = []
         for r in rows.itertuples(index=False):
-            q, reason, prev = r.quantity, None, bal
+            reason, prev = None, bal
             if mode == "clamp":
-                bal = bal + q if r.type == "in" else max(0.0, bal - q)
-            elif isnull(q) or q <= 0:
+                q = int(r.q_units)
+                bal = bal + q if r.type == "in" else max(0, bal - q)
+            elif not r.is_valid:
                 reason = "bad_quantity"
             else:
+                q = int(r.q_units)
                 nb = bal + q if r.type == "in" else bal - q
                 if nb < 0:
                     reason = "insufficient_stock"
@@ -144,9 +147,9 @@ def _ledger_fn(mode: str):
             alert = None
             if bal == 0 and prev != 0:
                 alert = "out"
-            elif bal <= mn < prev:
+            elif mn >= 0 and bal <= mn < prev:
                 alert = "low"
-            out.append((r.id, r.material_id, reason is None, reason, bal, alert))
+            out.append((r.id, r.material_id, reason is None, reason, bal / 10000, alert))
         state.update((bal, mn))
         yield pd.DataFrame(out, columns=["id", "material_id", "accepted", "reason", "balance", "alert"])
     return fn
@@ -156,10 +159,15 @@ def material_ledger_stream(moves: DataFrame, initial: DataFrame, mode: str = "re
     """Keyed stock state per material. ``mode='reject'`` is the manual
     adjustment rule (I9), ``'clamp'`` the production-use rule (I8). Each row
     also carries J3's ``alert``: ``out`` when stock reaches 0, ``low`` when it
-    crosses down through the material's minimum."""
-    init = initial.select(F.col("id").alias("material_id"), F.col("quantity").alias("_x0"),
-                          F.col("min_quantity").alias("_min"))
-    x = moves.select("id", "material_id", "type", "quantity", "created_at").join(init, "material_id", "left")
+    crosses down through the material's minimum. Quantities travel as exact
+    1e-4 units, like the batch replay."""
+    def units(c):
+        return (c.cast("decimal(18,4)") * 10000).cast("long")
+    init = initial.select(F.col("id").alias("material_id"), units(F.col("quantity")).alias("x0_units"),
+                          units(F.col("min_quantity")).alias("min_units"))
+    x = moves.select("id", "material_id", "type", "created_at",
+                     (F.col("quantity").isNotNull() & (F.col("quantity") > 0)).alias("is_valid"),
+                     units(F.col("quantity")).alias("q_units")).join(init, "material_id", "left")
     return x.groupBy("material_id").applyInPandasWithState(
         _ledger_fn(mode), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
