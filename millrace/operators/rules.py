@@ -236,7 +236,8 @@ def _units(c: Column) -> Column:
     return (c.cast(MONEY) * 10000).cast("long")
 
 
-def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_seconds: int = 3600,
+                           speculate: bool = True) -> DataFrame:
     """Manual adjustments in sequence per material: quantity <= 0 is
     rejected; ``in`` adds, any other type subtracts; a result below 0 is
     rejected and leaves stock unchanged. One output row per adjustment with
@@ -247,7 +248,10 @@ def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_sec
     sum - computed with the two-level scan, so a hot material is spread over
     many tasks. Only from a material's first would-be-negative adjustment on
     do decisions depend on earlier rejections; those rows (and only those)
-    go through the sequential fold, starting from the balance just before."""
+    go through the sequential fold, starting from the balance just before.
+    That pays off where stock rarely runs out (the usual case, and the one that
+    matters for a hot material); where nearly every material runs dry early,
+    ``speculate=False`` skips the extra running-sum pass and folds everything."""
     x = adjustments.select("id", "material_id", "type", "quantity", "created_at").join(
         initial.select(F.col("id").alias("material_id"), F.col("quantity").alias("_x0")), "material_id", "left")
     valid = F.col("quantity").isNotNull() & (F.col("quantity") > 0)
@@ -256,13 +260,17 @@ def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_sec
          .withColumn("_d_u", F.when(valid, F.when(F.col("type") == "in", F.col("_q_u")).otherwise(-F.col("_q_u")))
                      .otherwise(F.lit(0).cast("long"))))
     order = ["created_at", "id"]
-    x = prefix_sums(x, ["material_id"], order, time_block("created_at", block_seconds), {"_s_u": F.col("_d_u")})
-    x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
     pos = F.struct("created_at", "id")
-    first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
-        F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
-    x = x.join(first_bad, "material_id", "left")
-    before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
+    if speculate:
+        x = prefix_sums(x, ["material_id"], order, time_block("created_at", block_seconds), {"_s_u": F.col("_d_u")})
+        x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
+        first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
+            F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
+        x = x.join(first_bad, "material_id", "left")
+        before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
+    else:
+        x = x.withColumn("_b_u", F.col("_x0_u")).withColumn("_start_u", F.col("_x0_u"))
+        before = F.lit(False)
     to_money = lambda c: (c.cast("decimal(38,0)") / 10000).cast("double")
     quick = x.where(before).select(
         "id", "material_id", F.col("_valid").alias("accepted"),

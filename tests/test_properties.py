@@ -42,6 +42,9 @@ def test_adjust_replay_equals_python_loop(spark, moves):
     adj = spark.createDataFrame([(i, m, t, q, T0 + dt.timedelta(seconds=i)) for i, (m, t, q) in enumerate(moves)],
                                 "id long, material_id long, type string, quantity double, created_at timestamp_ntz")
     got = {r["id"]: (r["accepted"], r["balance"]) for r in I.material_adjust_replay(init, adj).collect()}
+    plain = {r["id"]: (r["accepted"], r["balance"]) for r in
+             I.material_adjust_replay(init, adj, speculate=False).collect()}
+    assert got == plain
     bal = {}
     for i, (m, t, q) in enumerate(moves):
         b = bal.get(m, 10.0)
