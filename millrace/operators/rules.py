@@ -563,6 +563,7 @@ INPUT_RULES = {
     "route": (["route_name", "delivery_date"], []),
     "payment": (["order_id", "amount", "payment_date"], []),
     "delivery": (["order_id"], []),
+    "bom": (["product_id", "material_id", "quantity_per_unit"], []),
 }
 
 

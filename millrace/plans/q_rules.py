@@ -429,3 +429,16 @@ FROM deliveries d LEFT JOIN (SELECT order_id, min(id) AS first FROM deliveries G
 """)
 def i20d(t):
     return I.validate_inputs(t.deliveries, "delivery", unique=["order_id"])
+
+
+@register("i20_validate_bom", """
+SELECT b.*, COALESCE(CASE WHEN b.product_id IS NULL OR b.product_id = 0 THEN 'missing_product_id'
+                          WHEN b.material_id IS NULL OR b.material_id = 0 THEN 'missing_material_id'
+                          WHEN b.quantity_per_unit IS NULL OR b.quantity_per_unit = 0 THEN 'missing_quantity_per_unit' END,
+                     CASE WHEN b.id > f.first THEN 'duplicate_product_id_material_id' END) AS reason
+FROM product_bom b LEFT JOIN (SELECT product_id, material_id, min(id) AS first FROM product_bom
+                              GROUP BY product_id, material_id) f
+  ON f.product_id = b.product_id AND f.material_id = b.material_id
+""")
+def i20b(t):
+    return I.validate_inputs(t.product_bom, "bom", unique=["product_id", "material_id"])

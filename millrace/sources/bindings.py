@@ -66,9 +66,10 @@ BINDINGS: dict[str, Binding] = {
         "CAST(40 + p_partkey % 80 AS DOUBLE) AS min_quantity", "p_size * CAST(1.25 AS DOUBLE) AS cost_per_unit",
     ), where="p_partkey < 150"),
     "product_bom": Binding("part", (), oracle=(
-        "SELECT p_partkey AS product_id, (p_partkey * m.f + m.g) % 150 AS material_id, "
+        "SELECT p_partkey * 3 + m.k AS id, p_partkey AS product_id, (p_partkey * m.f + m.g) % 150 AS material_id, "
         "CAST(m.q AS DOUBLE) AS quantity_per_unit FROM part CROSS JOIN "
-        "(SELECT 1 AS f, 0 AS g, 1 AS q UNION ALL SELECT 7, 6, 2 UNION ALL SELECT 13, 2, 1) m"), tables=("part",)),
+        "(SELECT 1 AS f, 0 AS g, 1 AS q, 0 AS k UNION ALL SELECT 7, 6, 2, 1 UNION ALL SELECT 13, 2, 1, 2) m"),
+        tables=("part",)),
     "customers": Binding("customer", (
         "c_custkey AS id", "concat('C', lpad(CAST(c_custkey AS STRING), 7, '0')) AS code", "c_name AS name",
         "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('08', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS phone",
@@ -221,9 +222,9 @@ def _explode_literal(df: DataFrame, rows: list[tuple], names: list[str]) -> Data
 def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "product_bom":
         m = _explode_literal(load_table(spark, sf_dir, "part").select("p_partkey"),
-                             [(1, 0, 1), (7, 6, 2), (13, 2, 1)], ["f", "g", "q"])
-        return m.selectExpr("p_partkey AS product_id", "(p_partkey * f + g) % 150 AS material_id",
-                            "CAST(q AS DOUBLE) AS quantity_per_unit")
+                             [(1, 0, 1, 0), (7, 6, 2, 1), (13, 2, 1, 2)], ["f", "g", "q", "k"])
+        return m.selectExpr("p_partkey * 3 + k AS id", "p_partkey AS product_id",
+                            "(p_partkey * f + g) % 150 AS material_id", "CAST(q AS DOUBLE) AS quantity_per_unit")
     if name == "payments":
         o = load_table(spark, sf_dir, "orders").where(f"({_PAID_FULL}) OR o_orderkey % 3 = 0")
         h = _explode_literal(o, [(0,), (1,)], ["k"])
@@ -292,7 +293,7 @@ def with_bindings(sql: str) -> str:
 
 
 _SPECIAL_COLUMNS = {
-    "product_bom": ["product_id", "material_id", "quantity_per_unit"],
+    "product_bom": ["id", "product_id", "material_id", "quantity_per_unit"],
     "payments": ["id", "order_id", "amount", "payment_date", "method", "created_by"],
     "delivery_route_orders": ["id", "route_id", "order_id", "sequence_number"],
     "payment_attempts": ["seq", "order_id", "amount"],
