@@ -40,7 +40,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table with its fixed schema (A1)."""
+    """Scan one driver table with its fixed schema (A1).
+
+    ``sf_dir`` is a folder of ``<table>.parquet`` files/folders, or
+    ``catalog:<database>`` for tables written by ``layout.write_colocated``
+    (bucketed on the order key, so item/order joins need no shuffle)."""
+    if sf_dir.startswith("catalog:"):
+        df = spark.table(f"{sf_dir.split(':', 1)[1]}.{name}")
+        return df.select(*SCHEMAS[name].fieldNames()) if name in SCHEMAS else df
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[*]", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="millrace-wh-", dir="/tmp")
+    s = get_session("local[*]", shuffle_partitions=8, extra={"spark.sql.warehouse.dir": warehouse})
     yield s
 
 
