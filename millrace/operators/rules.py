@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
 from millrace.plans.fold import sorted_fold
-from millrace.plans.scan import clamped_balance, prefix_sums, previous_value, time_block
+from millrace.plans.scan import clamped_balance, id_block, prefix_sums, previous_value, time_block
 
 OPEN = ("paid", "cancelled")
 
@@ -325,35 +325,64 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
 
 
 # ----------------------------------------------------------------------------- I11
-def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False) -> DataFrame:
+def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False, speculate: bool = True) -> DataFrame:
     """Payment attempts in sequence per order: a missing/zero amount or one
     above what remains is rejected (negative amounts pass); after each accepted
     payment status = paid if paid >= total else confirmed (which pulls a
     delivered or cancelled order back to confirmed). ``strict=True`` also
     rejects negative amounts and payments on cancelled orders, and keeps a
-    delivered order delivered until it is fully paid."""
-    x = attempts.select("seq", "order_id", "amount").join(
-        orders.select(F.col("id").alias("order_id"), "total_amount", "status"), "order_id")
+    delivered order delivered until it is fully paid. Amounts in exact 1e-4 units.
+
+    Speculate, then repair (as in ``material_adjust_replay``): until an
+    order's running total of valid payments first exceeds its total, every
+    valid payment is accepted, so paid amounts and statuses are running sums
+    (two-level scan); only the attempts from that point on are folded."""
+    x = (attempts.select("seq", "order_id", "amount")
+         .join(orders.select(F.col("id").alias("order_id"), "total_amount", "status"), "order_id")
+         .withColumn("_valid", F.col("amount").isNotNull() & (F.col("amount") != 0))
+         .withColumn("_a_u", _units(F.col("amount"))).withColumn("_t_u", _units(F.col("total_amount"))))
+    to_money = lambda c: (c.cast("decimal(38,0)") / 10000).cast("double")
+
+    def status_after(paid: Column, n: Column, s0: Column) -> Column:
+        return F.when(n > 0, F.when(paid >= F.col("_t_u"), "paid").otherwise("confirmed")).otherwise(s0)
+
+    if speculate and not strict:
+        x = prefix_sums(x, ["order_id"], ["seq"], id_block("seq"),
+                        {"_p_u": F.when(F.col("_valid"), F.col("_a_u")).otherwise(F.lit(0).cast("long")),
+                         "_n": F.when(F.col("_valid"), 1).otherwise(0).cast("long")})
+        bad = x.where(F.col("_valid") & (F.col("_p_u") > F.col("_t_u"))).groupBy("order_id").agg(
+            F.min("seq").alias("_first_bad"), F.min_by(F.col("_p_u") - F.col("_a_u"), "seq").alias("_start_u"),
+            F.min_by(F.col("_n") - 1, "seq").alias("_start_n"))
+        x = x.join(bad, "order_id", "left")
+        before = F.col("_first_bad").isNull() | (F.col("seq") < F.col("_first_bad"))
+        quick = x.where(before).select(
+            "seq", "order_id", F.col("_valid").alias("accepted"), to_money(F.col("_p_u")).alias("paid"),
+            status_after(F.col("_p_u"), F.col("_n"), F.col("status")).alias("status"))
+        rest = x.where(~before).withColumn(
+            "_s0", status_after(F.col("_start_u"), F.col("_start_n"), F.col("status")))
+    else:
+        quick = None
+        rest = x.withColumn("_start_u", F.lit(0).cast("long")).withColumn("_s0", F.col("status"))
 
     def init(r):
-        return {"paid": 0.0, "status": r["status"]}
+        return {"paid": int(r["_start_u"]), "status": r["_s0"]}
 
     def step(s, r):
-        a, tot = r["amount"], float(r["total_amount"])
-        ok = not (_isnull(a) or a == 0) and a <= tot - s["paid"]
-        if strict and ok and (a < 0 or s["status"] == "cancelled"):
+        ok = bool(r["_valid"]) and int(r["_a_u"]) <= int(r["_t_u"]) - s["paid"]
+        if strict and ok and (r["_a_u"] < 0 or s["status"] == "cancelled"):
             ok = False
         if ok:
-            s["paid"] += a
-            if s["paid"] >= tot:
+            s["paid"] += int(r["_a_u"])
+            if s["paid"] >= int(r["_t_u"]):
                 s["status"] = "paid"
             elif not (strict and s["status"] == "delivered"):
                 s["status"] = "confirmed"
-        return {"seq": r["seq"], "order_id": r["order_id"], "accepted": bool(ok), "paid": s["paid"],
+        return {"seq": r["seq"], "order_id": r["order_id"], "accepted": ok, "paid": s["paid"] / 10000,
                 "status": s["status"]}
 
-    return sorted_fold(x, ["order_id"], ["seq"], "seq long, order_id long, accepted boolean, paid double, "
-                       "status string", init, step)
+    slow = sorted_fold(rest.select("seq", "order_id", "_valid", "_a_u", "_t_u", "_start_u", "_s0"), ["order_id"],
+                       ["seq"], "seq long, order_id long, accepted boolean, paid double, status string", init, step)
+    return slow if quick is None else quick.unionByName(slow)
 
 
 # ----------------------------------------------------------------------------- I12

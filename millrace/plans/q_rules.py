@@ -242,19 +242,20 @@ def i10(t):
 
 @register("i11_payments_replay", """
 WITH RECURSIVE ev AS (
-  SELECT pa.seq, pa.order_id, pa.amount, so.total_amount AS total, so.status AS s0,
+  SELECT pa.seq, pa.order_id, pa.amount, CAST(pa.amount AS DECIMAL(38,4)) AS a,
+         CAST(so.total_amount AS DECIMAL(38,4)) AS total, so.status AS s0,
          row_number() OVER (PARTITION BY pa.order_id ORDER BY pa.seq) AS rn
   FROM payment_attempts pa JOIN sales_orders so ON so.id = pa.order_id),
 r AS (
-  SELECT seq, order_id, rn, ok AS accepted, CASE WHEN ok THEN 0.0 + amount ELSE 0.0 END AS paid,
-         CASE WHEN ok THEN (CASE WHEN 0.0 + amount >= total THEN 'paid' ELSE 'confirmed' END) ELSE s0 END AS status
-  FROM (SELECT *, (amount IS NOT NULL AND amount <> 0 AND amount <= total - 0.0) AS ok FROM ev WHERE rn = 1) a
+  SELECT seq, order_id, rn, ok AS accepted, CASE WHEN ok THEN a ELSE CAST(0 AS DECIMAL(38,4)) END AS paid,
+         CASE WHEN ok THEN (CASE WHEN a >= total THEN 'paid' ELSE 'confirmed' END) ELSE s0 END AS status
+  FROM (SELECT *, (amount IS NOT NULL AND amount <> 0 AND a <= total) AS ok FROM ev WHERE rn = 1) x
   UNION ALL
-  SELECT e.seq, e.order_id, e.rn, x.ok, CASE WHEN x.ok THEN r.paid + e.amount ELSE r.paid END,
-         CASE WHEN x.ok THEN (CASE WHEN r.paid + e.amount >= e.total THEN 'paid' ELSE 'confirmed' END) ELSE r.status END
+  SELECT e.seq, e.order_id, e.rn, x.ok, CASE WHEN x.ok THEN r.paid + e.a ELSE r.paid END,
+         CASE WHEN x.ok THEN (CASE WHEN r.paid + e.a >= e.total THEN 'paid' ELSE 'confirmed' END) ELSE r.status END
   FROM r JOIN ev e ON e.order_id = r.order_id AND e.rn = r.rn + 1
-  CROSS JOIN LATERAL (SELECT (e.amount IS NOT NULL AND e.amount <> 0 AND e.amount <= e.total - r.paid) AS ok) x)
-SELECT seq, order_id, accepted, paid, status FROM r
+  CROSS JOIN LATERAL (SELECT (e.amount IS NOT NULL AND e.amount <> 0 AND e.a <= e.total - r.paid) AS ok) x)
+SELECT seq, order_id, accepted, CAST(paid AS DOUBLE) AS paid, status FROM r
 """)
 def i11(t):
     return I.payments_replay(t.sales_orders, t.payment_attempts)

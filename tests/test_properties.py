@@ -26,6 +26,8 @@ def test_payments_replay_equals_python_loop(spark, attempts):
     att = spark.createDataFrame([(i, o, a) for i, (o, a) in enumerate(attempts)],
                                 "seq long, order_id long, amount double")
     got = {r["seq"]: (r["accepted"], r["paid"]) for r in I.payments_replay(orders, att).collect()}
+    plain = {r["seq"]: (r["accepted"], r["paid"]) for r in I.payments_replay(orders, att, speculate=False).collect()}
+    assert got == plain
     paid = {}
     for i, (o, a) in enumerate(attempts):
         p = paid.get(o, 0.0)
