@@ -97,3 +97,10 @@ def notifications(p: DataFrame, m: DataFrame, o: DataFrame, c: DataFrame, po: Da
                -F.col("outstanding"), F.col("customer_id"))
     return a1.unionByName(a2).unionByName(a3).unionByName(a4).unionByName(a5).unionByName(a6) \
         .orderBy("source_rank", "sort_value", "sort_id")
+
+
+def notification_badge(notes: DataFrame) -> DataFrame:
+    """the alert count and the badge text (``9+`` above nine, hidden at 0)."""
+    n = notes.agg(F.count(F.lit(1)).alias("count"))
+    return n.select("count", F.when(F.col("count") > 9, "9+").when(F.col("count") > 0, F.col("count").cast("string"))
+                    .alias("badge"))

@@ -29,7 +29,7 @@ def f1(t):
                             t.products, 12)
 
 
-@register("f2_notifications", f"""
+F2_SQL = f"""
 WITH lp AS (SELECT * FROM products WHERE stock <= min_stock AND active = 1 ORDER BY stock, id LIMIT 10),
 lm AS (SELECT * FROM raw_materials WHERE quantity <= min_quantity ORDER BY quantity, id LIMIT 10),
 od AS (SELECT s.id, s.order_number, c.name AS customer, s.due_date FROM sales_orders s JOIN customers c
@@ -63,7 +63,20 @@ SELECT 5, 0, id, 'warning', 'wrench-adjustable', 'เครื่อง "' || na
 UNION ALL
 SELECT 6, -CAST(outstanding AS DOUBLE), customer_id, 'info', 'archive',
        name || ' ค้างถัง ' || CAST(outstanding AS VARCHAR) || ' ใบ', 'deposit' FROM dp
-""")
+"""
+
+
+@register("f2_notifications", F2_SQL)
 def f2(t):
     return FD.notifications(t.products, t.raw_materials, t.sales_orders, t.customers, t.production_orders,
                             t.equipment, t.container_deposits, AS_OF, AS_OF_EVENTS)
+
+
+@register("f2_notification_badge", f"""
+SELECT COUNT(*) AS count, CASE WHEN COUNT(*) > 9 THEN '9+' WHEN COUNT(*) > 0 THEN CAST(COUNT(*) AS VARCHAR) END AS badge
+FROM ({F2_SQL}) n
+""")
+def f2_badge(t):
+    return FD.notification_badge(FD.notifications(t.products, t.raw_materials, t.sales_orders, t.customers,
+                                                  t.production_orders, t.equipment, t.container_deposits,
+                                                  AS_OF, AS_OF_EVENTS))
