@@ -261,6 +261,13 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _BOUND: dict[tuple, DataFrame] = {}
 
 
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return spark.conf.get("spark.app.id", "") or str(id(spark))
+
+
 class Tables:
     """Lazy accessor: ``t.sales_orders`` binds on first use.
 
@@ -274,7 +281,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in BINDINGS:
             raise AttributeError(name)
-        key = (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (id(self.spark), _app_id(self.spark), self.sf_dir, name)
         if key not in _BOUND:
             _BOUND[key] = bind(self.spark, self.sf_dir, name)
         return _BOUND[key]

@@ -63,8 +63,15 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on the (possibly remote) file system of the session."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): probe by reading
+        try:
+            spark.read.parquet(path).schema  # noqa: B018
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def _upsert_sink(out_dir: str):
