@@ -40,7 +40,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -52,7 +55,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session (tests, bench) without the setting gets a fresh
     scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's setting is all there is
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder") from None
+        return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if d:
         if not sc.getCheckpointDir():
