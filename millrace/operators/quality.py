@@ -76,18 +76,24 @@ REQUIRED = {
 def fk_orphans(tables) -> DataFrame:
     """L1: per foreign key, the number of child rows whose (non-NULL) key has no parent.
 
-    One anti-join per key: a small parent (materials, products, users) is
-    broadcast by AQE and the child is checked map-side without a shuffle; only
-    large parents (orders) cost a shuffle join. (A single anti-join over all
-    keys at once would shuffle every child key, even those whose parent fits
-    in memory.) The 19 one-row counts are unioned."""
-    parts = []
+    One anti-join per *parent* table: the keys of every child column pointing
+    at that parent are unioned with an ``fk`` tag, so a large parent (orders,
+    referenced five times) is shuffled once, and a small one is broadcast by
+    AQE and checked map-side. Counts per ``fk`` are then attached to the fixed
+    list of keys (0 when a key has no orphans)."""
+    by_parent: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent in FOREIGN_KEYS:
-        ch = getattr(tables, child).select(F.col(col).alias("_k")).where(F.col("_k").isNotNull())
-        par = getattr(tables, parent).select(F.col("id").alias("_k"))
-        parts.append(ch.join(par, "_k", "left_anti").agg(F.count(F.lit(1)).alias("orphan_rows"))
-                     .select(F.lit(f"{child}.{col}").alias("fk"), F.lit(parent).alias("parent"), "orphan_rows"))
-    return reduce(DataFrame.unionByName, parts)
+        by_parent.setdefault(parent, []).append((child, col))
+    counts = []
+    for parent, kids in by_parent.items():
+        keys = reduce(DataFrame.unionByName, [
+            getattr(tables, child).select(F.lit(f"{child}.{col}").alias("fk"), F.col(col).cast("long").alias("_k"))
+            .where(F.col("_k").isNotNull()) for child, col in kids])
+        par = getattr(tables, parent).select(F.col("id").cast("long").alias("_k"))
+        counts.append(keys.join(par, "_k", "left_anti").groupBy("fk").agg(F.count(F.lit(1)).alias("_n")))
+    names = tables.spark.createDataFrame([(f"{c}.{k}", p) for c, k, p in FOREIGN_KEYS], "fk string, parent string")
+    return F.broadcast(names).join(reduce(DataFrame.unionByName, counts), "fk", "left").select(
+        "fk", "parent", F.coalesce("_n", F.lit(0)).cast("long").alias("orphan_rows"))
 
 
 def unique_violations(tables, settings: DataFrame | None = None) -> DataFrame:
