@@ -178,7 +178,7 @@ def profit_by_product(o: DataFrame, i: DataFrame, p: DataFrame, date_from, date_
         F.sum("quantity").alias("qty"), msum_dec("subtotal").alias("_rev"))
     pc = p.select(F.col("id").alias("product_id"), "code", "name", F.col("cost").cast(MONEY).alias("_unit_cost"))
     j = per.join(pc, "product_id")
-    cost = (F.col("_unit_cost") * F.col("qty")).cast(MONEY.replace("18", "38"))
+    cost = (F.col("_unit_cost") * F.col("qty")).cast("decimal(38,4)")
     return j.select("product_id", "code", "name", "qty", F.col("_rev").cast("double").alias("revenue"),
                     cost.cast("double").alias("cost"), (F.col("_rev") - cost).cast("double").alias("profit")) \
         .withColumn("margin_pct", margin_pct(F.col("profit"), F.col("revenue"))) \
