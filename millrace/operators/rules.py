@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
 from millrace.plans.fold import sorted_fold
-from millrace.plans.scan import clamped_balance, id_block, prefix_sums, previous_value, time_block
+from millrace.plans.scan import (clamped_balance, fill_before, id_block, prefix_sums, previous_value,
+                                  running_count, time_block)
 
 OPEN = ("paid", "cancelled")
 
@@ -325,7 +326,8 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
 
 
 # ----------------------------------------------------------------------------- I11
-def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False, speculate: bool = True) -> DataFrame:
+def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False, speculate: bool = True,
+                    initial_paid: str | None = None) -> DataFrame:
     """Payment attempts in sequence per order: a missing/zero amount or one
     above what remains is rejected (negative amounts pass); after each accepted
     payment status = paid if paid >= total else confirmed (which pulls a
@@ -337,8 +339,10 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     order's running total of valid payments first exceeds its total, every
     valid payment is accepted, so paid amounts and statuses are running sums
     (two-level scan); only the attempts from that point on are folded."""
+    p0 = F.col(initial_paid) if initial_paid else F.lit(0.0)
     x = (attempts.select("seq", "order_id", "amount")
-         .join(orders.select(F.col("id").alias("order_id"), "total_amount", "status"), "order_id")
+         .join(orders.select(F.col("id").alias("order_id"), "total_amount", "status",
+                             F.coalesce(_units(p0), F.lit(0).cast("long")).alias("_p0_u")), "order_id")
          .withColumn("_valid", F.col("amount").isNotNull() & (F.col("amount") != 0))
          .withColumn("_a_u", _units(F.col("amount"))).withColumn("_t_u", _units(F.col("total_amount"))))
     to_money = lambda c: (c.cast("decimal(38,0)") / 10000).cast("double")
@@ -350,6 +354,7 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
         x = prefix_sums(x, ["order_id"], ["seq"], id_block("seq"),
                         {"_p_u": F.when(F.col("_valid"), F.col("_a_u")).otherwise(F.lit(0).cast("long")),
                          "_n": F.when(F.col("_valid"), 1).otherwise(0).cast("long")})
+        x = x.withColumn("_p_u", F.col("_p_u") + F.col("_p0_u"))
         bad = x.where(F.col("_valid") & (F.col("_p_u") > F.col("_t_u"))).groupBy("order_id").agg(
             F.min("seq").alias("_first_bad"), F.min_by(F.col("_p_u") - F.col("_a_u"), "seq").alias("_start_u"),
             F.min_by(F.col("_n") - 1, "seq").alias("_start_n"))
@@ -362,7 +367,7 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
             "_s0", status_after(F.col("_start_u"), F.col("_start_n"), F.col("status")))
     else:
         quick = None
-        rest = x.withColumn("_start_u", F.lit(0).cast("long")).withColumn("_s0", F.col("status"))
+        rest = x.withColumn("_start_u", F.col("_p0_u")).withColumn("_s0", F.col("status"))
 
     def init(r):
         return {"paid": int(r["_start_u"]), "status": r["_s0"]}
@@ -387,7 +392,88 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
 
 # ----------------------------------------------------------------------------- I12
 def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None,
-                           strict: bool = False) -> DataFrame:
+                           strict: bool = False, method: str = "scan", block_seconds: int = 3600) -> DataFrame:
+    """The full order life cycle per order, one output row per order.
+
+    Event kinds: ``set_status`` (to ``delivered`` subtracts stock unless the
+    order is delivered or paid), ``cancel``, ``payment`` (I11 rule),
+    ``delivery_created`` (one per order; pending -> confirmed) and
+    ``delivery_status`` (needs a delivery; ``delivered`` subtracts stock and
+    sets delivered unless delivered/paid). ``stock_moves`` counts subtractions:
+    it can reach 2 (delivered -> part payment -> confirmed -> delivered).
+
+    ``method='scan'`` (default) needs no per-order sequential pass: payment
+    acceptance is I11 (running sums up to an order's first over-payment); the
+    delivery flag is a prefix test; and because set_status, cancel and accepted
+    payments *reset* the status while the two conditional rules can each fire
+    at most in a fixed order (the one accepted delivery_created precedes every
+    accepted delivery_status), the status before any event follows from the
+    last reset before it plus two position tests - forward fills and running
+    counts over the two-level block scan. ``strict=True`` (and
+    ``method='fold'``) use the sequential fold."""
+    if strict or method == "fold":
+        return _order_lifecycle_fold(orders, events, deliveries, strict)
+    o = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_s0"), "total_amount",
+                      F.col("paid_amount").alias("_p0"))
+    if deliveries is not None:
+        o = o.join(deliveries.select("order_id").distinct().withColumn("_d0", F.lit(True)), "order_id", "left")
+    o = o.withColumn("_d0", F.coalesce(F.col("_d0") if deliveries is not None else F.lit(False), F.lit(False)))
+    order = ["ts", "seq"]
+    blk = time_block("ts", block_seconds)
+    x = events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
+    x = running_count(x, ["order_id"], order, blk, "_pos")
+    # payments: the I11 rule on this order's payment events, from the stored paid amount
+    pays = payments_replay(o.select(F.col("order_id").alias("id"), "total_amount", F.col("_s0").alias("status"), "_p0"),
+                           x.where(F.col("kind") == "payment").select("seq", "order_id", "amount"),
+                           initial_paid="_p0")
+    x = x.join(pays.select("seq", F.col("accepted").alias("_pacc"), F.col("paid").alias("_ppaid"),
+                           F.col("status").alias("_pstat")), "seq", "left")
+    k, st = F.col("kind"), F.col("status")
+    dc = x.where(k == "delivery_created").groupBy("order_id").agg(F.min("_pos").alias("_dc_pos"))
+    x = x.join(dc, "order_id", "left").withColumn(
+        "_dc_pos", F.when(F.col("_d0"), F.lit(None)).otherwise(F.col("_dc_pos")))
+    has_del = F.col("_d0") | (F.col("_dc_pos") < F.col("_pos"))
+    pacc = F.coalesce(F.col("_pacc"), F.lit(False))
+    x = (x.withColumn("_has_del", F.coalesce(has_del, F.lit(False)))
+         .withColumn("_rej", ((k == "payment") & ~pacc) | ((k == "delivery_created") & F.col("_has_del"))
+                     | ((k == "delivery_status") & ~F.col("_has_del")))
+         .withColumn("_is_dd", (k == "delivery_status") & F.col("_has_del") & (st == "delivered"))
+         .withColumn("_reset", F.when(k == "set_status", F.struct(F.col("_pos").alias("p"), st.alias("v")))
+                     .when(k == "cancel", F.struct(F.col("_pos").alias("p"), F.lit("cancelled").alias("v")))
+                     .when((k == "payment") & pacc, F.struct(F.col("_pos").alias("p"), F.col("_pstat").alias("v")))))
+    x = fill_before(x, ["order_id"], order, blk, F.col("_reset"), "_last_reset")
+    x = fill_before(x, ["order_id"], order, blk, F.when(F.col("_is_dd"), F.col("_pos")), "_last_dd")
+
+    def status_given(last_reset: Column, dc_seen: Column, dd_seen: Column) -> Column:
+        r = F.when(last_reset.isNull(), F.col("_s0")).otherwise(last_reset["v"])
+        s1 = F.when(dc_seen & (r == "pending"), F.lit("confirmed")).otherwise(r)
+        return F.when(dd_seen & ~F.coalesce(s1.isin("delivered", "paid"), F.lit(False)), F.lit("delivered")) \
+            .otherwise(s1)
+
+    rpos = F.coalesce(F.col("_last_reset.p"), F.lit(0))
+    before = status_given(F.col("_last_reset"), F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos)
+                          & (F.col("_dc_pos") < F.col("_pos")),
+                          F.col("_last_dd").isNotNull() & (F.col("_last_dd") > rpos))
+    settled = F.coalesce(before.isin("delivered", "paid"), F.lit(False))
+    x = x.withColumn("_move", (((k == "set_status") & (st == "delivered")) | F.col("_is_dd")) & ~settled)
+    g = x.groupBy("order_id").agg(
+        F.first("_s0").alias("_s0"), F.first("_p0").alias("_p0"), F.first("_dc_pos").alias("_dc_pos"),
+        F.max_by(F.col("_reset"), F.when(F.col("_reset").isNotNull(), F.col("_pos"))).alias("_last_reset"),
+        F.max(F.when(F.col("_is_dd"), F.col("_pos"))).alias("_last_dd"),
+        F.max_by(F.col("_ppaid"), F.when(pacc, F.col("_pos"))).alias("_paid"),
+        F.sum(F.col("_move").cast("long")).alias("stock_moves"), F.sum(F.col("_rej").cast("long")).alias("rejected"),
+        F.count(F.lit(1)).alias("events"))
+    rpos = F.coalesce(F.col("_last_reset.p"), F.lit(0))
+    final = status_given(F.col("_last_reset"), F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos),
+                         F.col("_last_dd").isNotNull() & (F.col("_last_dd") > rpos))
+    return g.select("order_id", final.alias("status"),
+                    F.coalesce(F.col("_paid"), ((F.col("_p0").cast(MONEY) * 10000).cast("long").cast("decimal(38,0)")
+                                                / 10000).cast("double")).alias("paid"),
+                    "stock_moves", "rejected", "events")
+
+
+def _order_lifecycle_fold(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None,
+                          strict: bool = False) -> DataFrame:
     """The full order life cycle per order, one output row per order.
 
     Event kinds: ``set_status`` (to ``delivered`` subtracts stock unless the
@@ -405,10 +491,12 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
         o = o.join(has, "order_id", "left")
     else:
         o = o.withColumn("_d0", F.lit(False))
-    x = events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
+    x = (events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
+         .withColumn("_a_u", _units(F.col("amount"))).withColumn("_t_u", _units(F.col("total_amount")))
+         .withColumn("_p0_u", F.coalesce(_units(F.col("_p0")), F.lit(0).cast("long"))))
 
     def init(r):
-        return {"status": r["_s0"], "paid": float(r["_p0"]), "del": bool(r["_d0"]) if not _isnull(r["_d0"]) else False,
+        return {"status": r["_s0"], "paid": int(r["_p0_u"]), "del": bool(r["_d0"]) if not _isnull(r["_d0"]) else False,
                 "moves": 0, "rejected": 0, "events": 0}
 
     def subtract(s):
@@ -416,7 +504,7 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
             s["moves"] += 1
 
     def step(s, r):
-        k, st, tot = r["kind"], r["status"], float(r["total_amount"])
+        k, st, tot = r["kind"], r["status"], int(r["_t_u"])
         s["events"] += 1
         if k == "set_status":
             if st == "delivered" and s["status"] not in ("delivered", "paid"):
@@ -425,8 +513,8 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
         elif k == "cancel":
             s["status"] = "cancelled"
         elif k == "payment":
-            a = r["amount"]
-            if _isnull(a) or a == 0 or a > tot - s["paid"] or (strict and (a < 0 or s["status"] == "cancelled")):
+            a = None if _isnull(r["_a_u"]) else int(r["_a_u"])
+            if a is None or a == 0 or a > tot - s["paid"] or (strict and (a < 0 or s["status"] == "cancelled")):
                 s["rejected"] += 1
             else:
                 s["paid"] += a
@@ -447,7 +535,7 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
             elif st == "delivered" and s["status"] not in ("delivered", "paid"):
                 subtract(s)
                 s["status"] = "delivered"
-        return {"order_id": r["order_id"], "seq": r["seq"], "status": s["status"], "paid": s["paid"],
+        return {"order_id": r["order_id"], "seq": r["seq"], "status": s["status"], "paid": s["paid"] / 10000,
                 "stock_moves": s["moves"], "rejected": s["rejected"], "events": s["events"]}
 
     steps = sorted_fold(x, ["order_id"], ["ts", "seq"], "order_id long, seq long, status string, paid double, "

@@ -263,10 +263,12 @@ def i11(t):
 
 @register("i12_order_lifecycle_replay", """
 WITH RECURSIVE ev AS (
-  SELECT e.*, row_number() OVER (PARTITION BY e.order_id ORDER BY e.ts, e.seq) AS rn
+  SELECT e.*, CAST(e.amount AS DECIMAL(38,4)) AS a,
+         row_number() OVER (PARTITION BY e.order_id ORDER BY e.ts, e.seq) AS rn
   FROM order_events e WHERE e.order_id IN (SELECT id FROM sales_orders)),
 init AS (
-  SELECT so.id AS order_id, so.status, so.paid_amount AS paid, so.total_amount AS total,
+  SELECT so.id AS order_id, so.status, CAST(so.paid_amount AS DECIMAL(38,4)) AS paid,
+         CAST(so.total_amount AS DECIMAL(38,4)) AS total,
          EXISTS (SELECT 1 FROM deliveries d WHERE d.order_id = so.id) AS has_del
   FROM sales_orders so WHERE so.id IN (SELECT order_id FROM ev)),
 r AS (
@@ -275,12 +277,12 @@ r AS (
   SELECT r.order_id, e.rn,
     CASE WHEN e.kind = 'set_status' THEN e.status
          WHEN e.kind = 'cancel' THEN 'cancelled'
-         WHEN x.pay_ok THEN CASE WHEN r.paid + e.amount >= r.total THEN 'paid' ELSE 'confirmed' END
+         WHEN x.pay_ok THEN CASE WHEN r.paid + e.a >= r.total THEN 'paid' ELSE 'confirmed' END
          WHEN e.kind = 'delivery_created' AND NOT r.has_del AND r.status = 'pending' THEN 'confirmed'
          WHEN e.kind = 'delivery_status' AND r.has_del AND e.status = 'delivered'
               AND r.status NOT IN ('delivered', 'paid') THEN 'delivered'
          ELSE r.status END,
-    CASE WHEN x.pay_ok THEN r.paid + e.amount ELSE r.paid END,
+    CASE WHEN x.pay_ok THEN r.paid + e.a ELSE r.paid END,
     r.total,
     r.has_del OR e.kind = 'delivery_created',
     r.moves + CASE WHEN e.kind IN ('set_status', 'delivery_status') AND e.status = 'delivered'
@@ -291,8 +293,8 @@ r AS (
                       WHEN e.kind = 'delivery_status' AND NOT r.has_del THEN 1 ELSE 0 END
   FROM r JOIN ev e ON e.order_id = r.order_id AND e.rn = r.rn + 1
   CROSS JOIN LATERAL (SELECT (e.kind = 'payment' AND e.amount IS NOT NULL AND e.amount <> 0
-                              AND e.amount <= r.total - r.paid) AS pay_ok) x)
-SELECT order_id, arg_max(status, rn) AS status, arg_max(paid, rn) AS paid, CAST(arg_max(moves, rn) AS BIGINT) AS stock_moves,
+                              AND e.a <= r.total - r.paid) AS pay_ok) x)
+SELECT order_id, arg_max(status, rn) AS status, CAST(arg_max(paid, rn) AS DOUBLE) AS paid, CAST(arg_max(moves, rn) AS BIGINT) AS stock_moves,
        CAST(arg_max(rejected, rn) AS BIGINT) AS rejected, CAST(max(rn) AS BIGINT) AS events
 FROM r GROUP BY order_id
 """)

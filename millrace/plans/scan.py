@@ -129,3 +129,22 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return (out.withColumn(name, F.when(first_in_blk, F.col("_pv")).otherwise(F.col(name)))
             .withColumn("_is_first", first_in_blk & F.col("_first_blk"))
             .drop(BLK, "_rn", "_pv", "_first_blk"))
+
+
+def fill_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
+                value: Column, name: str) -> DataFrame:
+    """The last non-NULL ``value`` strictly before each row, per key in order
+    (a forward fill), with the same two-level block scheme: a window inside
+    each (key, block), the last value of every block from a group-by, and the
+    carry from earlier blocks over the small per-block frame."""
+    keys = list(keys)
+    ordcols = [F.col(o) if isinstance(o, str) else o for o in order]
+    d = df.withColumn(BLK, block).withColumn("_fv", value)
+    w = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_fl", F.last("_fv", ignorenulls=True).over(w))
+    blocks = d.groupBy(*keys, BLK).agg(
+        F.max_by(F.col("_fv"), F.when(F.col("_fv").isNotNull(), F.struct(*ordcols))).alias("_bl"))
+    wb = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, BLK, F.last("_bl", ignorenulls=True).over(wb).alias("_carry"))
+    out = _null_safe_join(d, blocks, keys + [BLK])
+    return out.withColumn(name, F.coalesce(F.col("_fl"), F.col("_carry"))).drop(BLK, "_fv", "_fl", "_carry")

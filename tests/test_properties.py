@@ -103,3 +103,27 @@ def test_stream_daily_sales_append_mode_emits_closed_windows_only(spark, sf_dir)
     assert app and set(app) < set(upd)
     assert all(app[d] == upd[d] for d in app)
     assert max(app) < max(upd)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2),
+                          st.sampled_from(["set_status:confirmed", "set_status:delivered", "set_status:pending",
+                                           "cancel", "payment:40", "payment:70", "payment:0", "payment:-10",
+                                           "delivery_created", "delivery_status:delivered",
+                                           "delivery_status:in_transit"])),
+                min_size=1, max_size=30))
+def test_order_lifecycle_scan_equals_fold(spark, evs):
+    orders = spark.createDataFrame([(0, "pending", 100.0, 0.0), (1, "delivered", 100.0, 50.0), (2, "paid", 80.0, 80.0)],
+                                   "id long, status string, total_amount double, paid_amount double")
+    deliveries = spark.createDataFrame([(1,)], "order_id long")
+    rows = []
+    for i, (o, e) in enumerate(evs):
+        kind, _, arg = e.partition(":")
+        status = arg if kind in ("set_status", "delivery_status") else None
+        amount = float(arg) if kind == "payment" else None
+        rows.append((i, o, kind, status, amount, T0 + dt.timedelta(minutes=i // 2)))
+    ev = spark.createDataFrame(rows, "seq long, order_id long, kind string, status string, amount double, "
+                                     "ts timestamp_ntz")
+    scan = {tuple(r) for r in I.order_lifecycle_replay(orders, ev, deliveries).collect()}
+    fold = {tuple(r) for r in I.order_lifecycle_replay(orders, ev, deliveries, method="fold").collect()}
+    assert scan == fold
