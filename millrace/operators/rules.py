@@ -392,7 +392,8 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
 
 # ----------------------------------------------------------------------------- I12
 def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None,
-                           strict: bool = False, method: str = "scan", block_seconds: int = 3600) -> DataFrame:
+                           strict: bool = False, method: str = "auto", block_seconds: int = 3600,
+                           hot_events: int = 1_000_000) -> DataFrame:
     """The full order life cycle per order, one output row per order.
 
     Event kinds: ``set_status`` (to ``delivered`` subtracts stock unless the
@@ -410,7 +411,16 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     accepted delivery_status), the status before any event follows from the
     last reset before it plus two position tests - forward fills and running
     counts over the two-level block scan. ``strict=True`` (and
-    ``method='fold'``) use the sequential fold."""
+    ``method='fold'``) use the sequential fold.
+
+    The scan has a much larger constant cost (several block scans and joins:
+    15 s against 1.3 s for the fold on sf0.1), so ``method='auto'`` measures
+    the busiest order first (one small aggregate) and scans only when some
+    order has more than ``hot_events`` events - the case where the fold would
+    leave one task with a large serial share of the work."""
+    if method == "auto" and not strict:
+        busiest = events.groupBy("order_id").count().agg(F.max("count")).first()[0] or 0
+        method = "scan" if busiest > hot_events else "fold"
     if strict or method == "fold":
         return _order_lifecycle_fold(orders, events, deliveries, strict)
     o = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_s0"), "total_amount",

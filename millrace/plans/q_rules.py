@@ -261,7 +261,7 @@ def i11(t):
     return I.payments_replay(t.sales_orders, t.payment_attempts)
 
 
-@register("i12_order_lifecycle_replay", """
+I12_SQL = """
 WITH RECURSIVE ev AS (
   SELECT e.*, CAST(e.amount AS DECIMAL(38,4)) AS a,
          row_number() OVER (PARTITION BY e.order_id ORDER BY e.ts, e.seq) AS rn
@@ -297,7 +297,10 @@ r AS (
 SELECT order_id, arg_max(status, rn) AS status, CAST(arg_max(paid, rn) AS DOUBLE) AS paid, CAST(arg_max(moves, rn) AS BIGINT) AS stock_moves,
        CAST(arg_max(rejected, rn) AS BIGINT) AS rejected, CAST(max(rn) AS BIGINT) AS events
 FROM r GROUP BY order_id
-""")
+"""
+
+
+@register("i12_order_lifecycle_replay", I12_SQL)
 def i12(t):
     return I.order_lifecycle_replay(t.sales_orders, t.order_events, t.deliveries)
 
@@ -445,3 +448,9 @@ FROM product_bom b LEFT JOIN (SELECT product_id, material_id, min(id) AS first F
 """)
 def i20b(t):
     return I.validate_inputs(t.product_bom, "bom", unique=["product_id", "material_id"])
+
+
+@register("i12_order_lifecycle_scan", I12_SQL)
+def i12_scan(t):
+    """I12 with the parallel (block-scan) method forced, checked against the same oracle."""
+    return I.order_lifecycle_replay(t.sales_orders, t.order_events, t.deliveries, method="scan")

@@ -124,6 +124,6 @@ def test_order_lifecycle_scan_equals_fold(spark, evs):
         rows.append((i, o, kind, status, amount, T0 + dt.timedelta(minutes=i // 2)))
     ev = spark.createDataFrame(rows, "seq long, order_id long, kind string, status string, amount double, "
                                      "ts timestamp_ntz")
-    scan = {tuple(r) for r in I.order_lifecycle_replay(orders, ev, deliveries).collect()}
+    scan = {tuple(r) for r in I.order_lifecycle_replay(orders, ev, deliveries, method="scan").collect()}
     fold = {tuple(r) for r in I.order_lifecycle_replay(orders, ev, deliveries, method="fold").collect()}
     assert scan == fold
