@@ -238,7 +238,7 @@ def _units(c: Column) -> Column:
 
 
 def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_seconds: int = 3600,
-                           speculate: bool = True) -> DataFrame:
+                           speculate: bool | str = "auto", hot_events: int = 1_000_000) -> DataFrame:
     """Manual adjustments in sequence per material: quantity <= 0 is
     rejected; ``in`` adds, any other type subtracts; a result below 0 is
     rejected and leaves stock unchanged. One output row per adjustment with
@@ -252,7 +252,12 @@ def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_sec
     go through the sequential fold, starting from the balance just before.
     That pays off where stock rarely runs out (the usual case, and the one that
     matters for a hot material); where nearly every material runs dry early,
-    ``speculate=False`` skips the extra running-sum pass and folds everything."""
+    ``speculate=False`` skips the extra running-sum pass and folds everything.
+    ``'auto'`` (default) measures the busiest material first (one small
+    aggregate) and speculates only when one has more than ``hot_events`` rows."""
+    if speculate == "auto":
+        busiest = adjustments.groupBy("material_id").count().agg(F.max("count")).first()[0] or 0
+        speculate = busiest > hot_events
     x = adjustments.select("id", "material_id", "type", "quantity", "created_at").join(
         initial.select(F.col("id").alias("material_id"), F.col("quantity").alias("_x0")), "material_id", "left")
     valid = F.col("quantity").isNotNull() & (F.col("quantity") > 0)
@@ -326,8 +331,8 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
 
 
 # ----------------------------------------------------------------------------- I11
-def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False, speculate: bool = True,
-                    initial_paid: str | None = None) -> DataFrame:
+def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False, speculate: bool | str = "auto",
+                    initial_paid: str | None = None, hot_events: int = 1_000_000) -> DataFrame:
     """Payment attempts in sequence per order: a missing/zero amount or one
     above what remains is rejected (negative amounts pass); after each accepted
     payment status = paid if paid >= total else confirmed (which pulls a
@@ -338,7 +343,12 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     Speculate, then repair (as in ``material_adjust_replay``): until an
     order's running total of valid payments first exceeds its total, every
     valid payment is accepted, so paid amounts and statuses are running sums
-    (two-level scan); only the attempts from that point on are folded."""
+    (two-level scan); only the attempts from that point on are folded.
+    ``speculate='auto'`` does so only when some order has more than
+    ``hot_events`` attempts (measured first); otherwise it folds directly."""
+    if speculate == "auto":
+        busiest = attempts.groupBy("order_id").count().agg(F.max("count")).first()[0] or 0
+        speculate = busiest > hot_events
     p0 = F.col(initial_paid) if initial_paid else F.lit(0.0)
     x = (attempts.select("seq", "order_id", "amount")
          .join(orders.select(F.col("id").alias("order_id"), "total_amount", "status",

@@ -240,7 +240,7 @@ def i10(t):
     return I.sales_stock_moves(t.order_events, t.sales_orders, t.sales_items)
 
 
-@register("i11_payments_replay", """
+I11_SQL = """
 WITH RECURSIVE ev AS (
   SELECT pa.seq, pa.order_id, pa.amount, CAST(pa.amount AS DECIMAL(38,4)) AS a,
          CAST(so.total_amount AS DECIMAL(38,4)) AS total, so.status AS s0,
@@ -256,7 +256,10 @@ r AS (
   FROM r JOIN ev e ON e.order_id = r.order_id AND e.rn = r.rn + 1
   CROSS JOIN LATERAL (SELECT (e.amount IS NOT NULL AND e.amount <> 0 AND e.a <= e.total - r.paid) AS ok) x)
 SELECT seq, order_id, accepted, CAST(paid AS DOUBLE) AS paid, status FROM r
-""")
+"""
+
+
+@register("i11_payments_replay", I11_SQL)
 def i11(t):
     return I.payments_replay(t.sales_orders, t.payment_attempts)
 
@@ -454,3 +457,17 @@ def i20b(t):
 def i12_scan(t):
     """I12 with the parallel (block-scan) method forced, checked against the same oracle."""
     return I.order_lifecycle_replay(t.sales_orders, t.order_events, t.deliveries, method="scan")
+
+
+@register("i9_material_adjust_speculative", I9_SQL + """
+SELECT id, material_id, reason IS NULL AS accepted, reason, CAST(balance AS DOUBLE) AS balance FROM r
+""")
+def i9_spec(t):
+    """I9 with speculate-then-repair forced (the hot-material path), same oracle."""
+    return I.material_adjust_replay(t.raw_materials, t.material_logs, speculate=True)
+
+
+@register("i11_payments_speculative", I11_SQL)
+def i11_spec(t):
+    """I11 with speculate-then-repair forced (the hot-order path), same oracle."""
+    return I.payments_replay(t.sales_orders, t.payment_attempts, speculate=True)

@@ -25,7 +25,8 @@ def test_payments_replay_equals_python_loop(spark, attempts):
                                    "id long, status string, total_amount double")
     att = spark.createDataFrame([(i, o, a) for i, (o, a) in enumerate(attempts)],
                                 "seq long, order_id long, amount double")
-    got3 = {r["seq"]: (r["accepted"], r["paid"], r["status"]) for r in I.payments_replay(orders, att).collect()}
+    got3 = {r["seq"]: (r["accepted"], r["paid"], r["status"]) for r in
+            I.payments_replay(orders, att, speculate=True).collect()}
     plain3 = {r["seq"]: (r["accepted"], r["paid"], r["status"]) for r in
               I.payments_replay(orders, att, speculate=False).collect()}
     assert got3 == plain3
@@ -45,7 +46,8 @@ def test_adjust_replay_equals_python_loop(spark, moves):
     init = spark.createDataFrame([(k, 10.0) for k in range(4)], "id long, quantity double")
     adj = spark.createDataFrame([(i, m, t, q, T0 + dt.timedelta(seconds=i)) for i, (m, t, q) in enumerate(moves)],
                                 "id long, material_id long, type string, quantity double, created_at timestamp_ntz")
-    got = {r["id"]: (r["accepted"], r["balance"]) for r in I.material_adjust_replay(init, adj).collect()}
+    got = {r["id"]: (r["accepted"], r["balance"]) for r in
+           I.material_adjust_replay(init, adj, speculate=True).collect()}
     plain = {r["id"]: (r["accepted"], r["balance"]) for r in
              I.material_adjust_replay(init, adj, speculate=False).collect()}
     assert got == plain
