@@ -200,20 +200,20 @@ FEED_COLS = ["type", "ref", "detail", "amount", "status", "created_at", "source_
 FEED_LIMITS = {0: 5, 1: 4, 2: 4}
 
 
-def _feed_shape(spark: SparkSession, sf_dir: str, tables) -> DataFrame:
+def _feed_shape(spark: SparkSession, sf_dir: str, tables, max_files: int | None = None) -> DataFrame:
     """The three feed sources as one stream in the feed's 6(+2)-column shape
     (stream-static joins for the names)."""
-    so = stream_binding(spark, sf_dir, "sales_orders").join(
+    so = stream_binding(spark, sf_dir, "sales_orders", max_files).join(
         tables.customers.select(F.col("id").alias("customer_id"), F.col("name").alias("_n")), "customer_id") \
         .select(F.lit("sale").alias("type"), F.col("order_number").alias("ref"), F.col("_n").alias("detail"),
                 F.col("total_amount").cast("double").alias("amount"), "status", "created_at",
                 F.lit(0).alias("source_rank"), "id")
-    ml = stream_binding(spark, sf_dir, "material_logs").join(
+    ml = stream_binding(spark, sf_dir, "material_logs", max_files).join(
         tables.raw_materials.select(F.col("id").alias("material_id"), F.col("name").alias("_n")), "material_id") \
         .select(F.lit("material").alias("type"), F.col("_n").alias("ref"), label("material_move", "type").alias("detail"),
                 F.col("quantity").cast("double").alias("amount"), F.lit(None).cast("string").alias("status"),
                 "created_at", F.lit(1).alias("source_rank"), "id")
-    po = stream_binding(spark, sf_dir, "production_orders").join(
+    po = stream_binding(spark, sf_dir, "production_orders", max_files).join(
         tables.products.select(F.col("id").alias("product_id"), F.col("name").alias("_n")), "product_id") \
         .select(F.lit("production").alias("type"), F.col("_n").alias("ref"), F.col("status").alias("detail"),
                 F.col("quantity_planned").cast("double").alias("amount"), "status", "created_at",
@@ -230,12 +230,12 @@ def _top_per_source(df: DataFrame) -> DataFrame:
     return out
 
 
-def run_activity_feed(spark: SparkSession, sf_dir: str, tables, k: int = 12) -> DataFrame:
+def run_activity_feed(spark: SparkSession, sf_dir: str, tables, k: int = 12, max_files: int | None = None) -> DataFrame:
     """Keep the per-source newest rows in a small persisted frame; each
     micro-batch is merged into it (top-k of old top-k + batch), and the feed is
     the first ``k`` of that frame. State never exceeds 13 rows."""
     d = run_dir(spark, "j4")
-    schema = _feed_shape(spark, sf_dir, tables).schema
+    schema = _feed_shape(spark, sf_dir, tables, max_files).schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         prev_dir = f"{d}/top/{batch_id - 1}"
@@ -247,7 +247,7 @@ def run_activity_feed(spark: SparkSession, sf_dir: str, tables, k: int = 12) ->
             f"{d}/top/{batch_id}")
         spark.createDataFrame([(batch_id,)], "b long").write.mode("overwrite").parquet(f"{d}/latest")
 
-    q = (_feed_shape(spark, sf_dir, tables).writeStream.option("checkpointLocation", f"{d}/chk")
+    q = (_feed_shape(spark, sf_dir, tables, max_files).writeStream.option("checkpointLocation", f"{d}/chk")
          .foreachBatch(merge).trigger(availableNow=True).start())
     q.awaitTermination()
     last = spark.read.parquet(f"{d}/latest").first()["b"]
