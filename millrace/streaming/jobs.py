@@ -94,14 +94,17 @@ def read_upserts(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFram
 # ----------------------------------------------------------------------------- J1
 def daily_sales_stream(orders: DataFrame, delay: str = "1 day") -> DataFrame:
     """Non-cancelled revenue and order count per UTC day of ``created_at``;
-    rows later than ``delay`` behind the newest event are dropped."""
+    rows later than ``delay`` behind the newest event are dropped (Spark
+    applies the watermark to late rows one micro-batch later, so a row is
+    dropped once a *previous* batch has moved the watermark past it)."""
     x = orders.where(F.col("status") != "cancelled").withColumn("_et", F.col("created_at").cast("timestamp"))
     return (x.withWatermark("_et", delay).groupBy(F.window("_et", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("orders"), msum("total_amount").alias("revenue"))
             .select(F.to_date(F.col("w.start")).alias("day"), "orders", "revenue"))
 
 
-def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode: str = "update") -> DataFrame:
+def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode: str = "update",
+                    max_files: int | None = None) -> DataFrame:
     """Run J1 to the end of the available data and read the result.
 
     ``mode='update'`` emits every window as it changes (kept latest-per-day by
@@ -109,7 +112,7 @@ def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode
     watermark passes its end, into a plain file sink - so the newest windows,
     still open when the data ends, are not in the output yet."""
     d = run_dir(spark, "j1")
-    w = daily_sales_stream(stream_binding(spark, sf_dir, "sales_orders"), delay).writeStream \
+    w = daily_sales_stream(stream_binding(spark, sf_dir, "sales_orders", max_files), delay).writeStream \
         .option("checkpointLocation", f"{d}/chk").trigger(availableNow=True)
     if mode == "append":
         w.outputMode("append").format("parquet").option("path", f"{d}/out").start().awaitTermination()

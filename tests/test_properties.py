@@ -145,3 +145,23 @@ def test_stream_activity_feed_over_several_batches_equals_batch(spark, sf_dir):
     batch = activity_feed(t.sales_orders, t.customers, t.material_logs, t.raw_materials, t.production_orders,
                           t.products, 12).collect()
     assert [tuple(r) for r in streamed] == [tuple(r) for r in batch]
+
+
+def test_stream_daily_sales_drops_rows_later_than_the_watermark(spark, sf_dir):
+    """Orders arrive newest first, in three files (one micro-batch each). Spark
+    filters late rows with the watermark as it stood one batch earlier: the
+    second batch (middle file) is still counted, the third (oldest) dropped."""
+    import time
+    d = tempfile.mkdtemp(prefix="j1-", dir="/tmp")
+    orders = load_table(spark, sf_dir, "orders")
+    c1, c2 = dt.datetime(2000, 1, 1), dt.datetime(1998, 1, 1)
+    for cond in [F.col("o_orderdate") >= F.lit(c1), (F.col("o_orderdate") >= F.lit(c2)) & (F.col("o_orderdate") < F.lit(c1)),
+                 F.col("o_orderdate") < F.lit(c2)]:
+        orders.where(cond).coalesce(1).write.mode("append").parquet(f"{d}/orders.parquet")
+        time.sleep(1.1)  # file order = modification order
+    got = {r["day"]: (r["orders"], r["revenue"]) for r in J.run_daily_sales(spark, d, "1 day", max_files=1).collect()}
+    t = Tables(spark, sf_dir)
+    kept = t.sales_orders.where(F.col("created_at") >= F.lit(c2))
+    want = {r["date"]: (r["orders"], r["revenue"]) for r in
+            R.sales_by_day(kept.withColumn("order_date", F.to_date("created_at")), "1990-01-01", "2030-01-01").collect()}
+    assert got == want
