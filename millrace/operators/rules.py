@@ -29,13 +29,26 @@ def _isnull(v) -> bool:
 
 
 # ----------------------------------------------------------------------------- I1
-# What each entity's change may touch (products shown; see README).
-PRODUCT_SPEC = {
-    "key": "code",
-    "updatable": ["name", "price"],
-    "insert_defaults": {"unit": "ขวด", "size_ml": 0, "cost": 0.0, "stock": 0, "min_stock": 0},
-    "delete": "soft",
+# What a change may touch, per master-data entity (key, columns
+# an update may set, defaults on insert, soft = active 0 / hard = row removed).
+CHANGE_SPECS = {
+    "raw_materials": {"key": "code", "updatable": ["name", "unit", "min_quantity", "cost_per_unit"],
+                      "insert_defaults": {"quantity": 0.0, "min_quantity": 0.0, "cost_per_unit": 0.0},
+                      "delete": "hard"},
+    "products": {"key": "code", "updatable": ["name", "size_ml", "unit", "price", "cost", "min_stock"],
+                 "insert_defaults": {"unit": "ขวด", "size_ml": 0, "cost": 0.0, "stock": 0, "min_stock": 0},
+                 "delete": "soft"},
+    "customers": {"key": "code", "updatable": ["name", "phone", "address", "type", "credit_limit"],
+                  "insert_defaults": {"type": "retail", "credit_limit": 0.0, "balance": 0.0}, "delete": "soft"},
+    "suppliers": {"key": "code", "updatable": ["name", "contact_person", "phone", "email", "address", "notes"],
+                  "insert_defaults": {}, "delete": "soft"},
+    "equipment": {"key": "code", "updatable": ["name", "type", "model", "location", "status", "notes"],
+                  "insert_defaults": {"status": "active"}, "delete": "hard"},
+    "users": {"key": "username", "updatable": ["name", "role", "active"], "insert_defaults": {"role": "staff"},
+              "delete": "hard"},
 }
+# The product change feed carries name and price only, so that is what it may set.
+PRODUCT_SPEC = {**CHANGE_SPECS["products"], "updatable": ["name", "price"]}
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, spec: dict = PRODUCT_SPEC,
@@ -47,7 +60,8 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict = PRODUCT_S
     exists. Values come from the last accepted insert/update; a soft delete sets
     ``active = 0`` (a hard delete drops the row). Returns ``(state, rejects)``.
     All of it is group-by + join: no per-key ordering pass is needed."""
-    key, upd = spec["key"], spec["updatable"]
+    key = spec["key"]
+    upd = [c for c in spec["updatable"] if c in changes.columns]
     cur_keys = current.select(F.col(key), F.lit(True).alias("_exists0")).dropDuplicates([key])
     ch = changes.join(cur_keys, key, "left").withColumn("_exists0", F.coalesce("_exists0", F.lit(False)))
     first_ins = ch.where(F.col("op") == "insert").groupBy(key).agg(F.min(seq).alias("_first_ins"))

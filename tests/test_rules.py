@@ -159,3 +159,14 @@ def test_strict_options_fix_reference_quirks(spark):
                                "id long, status string, created_at timestamp_ntz")
     b = {x["id"]: x["batch_number"] for x in G.assign_batch_numbers(po, strict=True).collect()}
     assert b == {1: "B20240105-001", 2: "B20240105-002"}
+
+
+def test_apply_changes_hard_delete_and_defaults(spark):
+    cur = spark.createDataFrame([(1, "ann", "Ann", "admin", 1), (2, "bob", "Bob", "staff", 1)],
+                                "id long, username string, name string, role string, active int")
+    ch = spark.createDataFrame([(1, "bob", "delete", None), (2, "cy", "insert", "Cy"), (3, "ann", "update", "Anna")],
+                               "seq long, username string, op string, name string")
+    st, rej = I.apply_changes(cur, ch, I.CHANGE_SPECS["users"])
+    rows = {r["username"]: (r["name"], r["role"], r["active"]) for r in st.collect()}
+    assert rows == {"ann": ("Anna", "admin", 1), "cy": ("Cy", "staff", 1)}
+    assert rej.count() == 0
