@@ -45,7 +45,7 @@ CHANGE_SPECS = {
     "equipment": {"key": "code", "updatable": ["name", "type", "model", "location", "status", "notes"],
                   "insert_defaults": {"status": "active"}, "delete": "hard"},
     "users": {"key": "username", "updatable": ["name", "role", "active"], "insert_defaults": {"role": "staff"},
-              "delete": "hard"},
+              "delete": "hard", "protected": ["admin"]},
 }
 # The product change feed carries name and price only, so that is what it may set.
 PRODUCT_SPEC = {**CHANGE_SPECS["products"], "updatable": ["name", "price"]}
@@ -67,11 +67,13 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict = PRODUCT_S
     first_ins = ch.where(F.col("op") == "insert").groupBy(key).agg(F.min(seq).alias("_first_ins"))
     ch = ch.join(first_ins, key, "left")
     exists_at = F.col("_exists0") | (F.col("_first_ins").isNotNull() & (F.col(seq) > F.col("_first_ins")))
+    protected = F.col("op").eqNullSafe("delete") & F.col(key).isin(*spec.get("protected", []))
     accepted = F.when(F.col("op") == "insert", ~F.col("_exists0") & (F.col(seq) == F.col("_first_ins"))) \
-        .otherwise(exists_at)
+        .otherwise(exists_at & ~protected)
     ch = ch.withColumn("_ok", accepted)
     rejects = ch.where(~F.col("_ok")).select(
-        seq, key, "op", F.when(F.col("op") == "insert", "duplicate_key").otherwise("not_found").alias("reason"))
+        seq, key, "op", F.when(F.col("op") == "insert", "duplicate_key").when(protected & exists_at, "protected")
+        .otherwise("not_found").alias("reason"))
     ok = ch.where(F.col("_ok"))
     agg = ok.groupBy(key).agg(
         F.max_by(F.struct(*upd), F.when(F.col("op").isin("insert", "update"), F.col(seq))).alias("_v"),

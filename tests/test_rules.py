@@ -164,9 +164,12 @@ def test_strict_options_fix_reference_quirks(spark):
 def test_apply_changes_hard_delete_and_defaults(spark):
     cur = spark.createDataFrame([(1, "ann", "Ann", "admin", 1), (2, "bob", "Bob", "staff", 1)],
                                 "id long, username string, name string, role string, active int")
-    ch = spark.createDataFrame([(1, "bob", "delete", None), (2, "cy", "insert", "Cy"), (3, "ann", "update", "Anna")],
+    cur = cur.unionByName(spark.createDataFrame([(3, "admin", "Root", "admin", 1)],
+                                                "id long, username string, name string, role string, active int"))
+    ch = spark.createDataFrame([(1, "bob", "delete", None), (2, "cy", "insert", "Cy"), (3, "ann", "update", "Anna"),
+                                (4, "admin", "delete", None)],
                                "seq long, username string, op string, name string")
     st, rej = I.apply_changes(cur, ch, I.CHANGE_SPECS["users"])
     rows = {r["username"]: (r["name"], r["role"], r["active"]) for r in st.collect()}
-    assert rows == {"ann": ("Anna", "admin", 1), "cy": ("Cy", "staff", 1)}
-    assert rej.count() == 0
+    assert rows == {"ann": ("Anna", "admin", 1), "cy": ("Cy", "staff", 1), "admin": ("Root", "admin", 1)}
+    assert {r["seq"]: r["reason"] for r in rej.collect()} == {4: "protected"}
