@@ -726,7 +726,8 @@ INPUT_RULES = {
 }
 
 
-def validate_inputs(df: DataFrame, kind: str, unique: list[str] | None = None, order_col: str = "id") -> DataFrame:
+def validate_inputs(df: DataFrame, kind: str, unique: list[str] | None = None, order_col: str = "id",
+                    name: str | None = None) -> DataFrame:
     """First failing input rule per row -> ``reason`` (NULL = valid).
 
     Missing = NULL, empty text or 0 (JS falsiness); positivity as listed;
@@ -744,12 +745,14 @@ def validate_inputs(df: DataFrame, kind: str, unique: list[str] | None = None, o
         reason = F.when(miss, F.lit(f"missing_{c}")) if reason is None else reason.when(miss, F.lit(f"missing_{c}"))
     for c in positive:
         reason = reason.when(F.col(c) <= 0, F.lit(f"non_positive_{c}"))
-    out = df.withColumn("reason", reason)
+    # the verdict column is ``reason`` unless the input already has one (returns do)
+    name = name or ("reason" if "reason" not in df.columns else "invalid_reason")
+    out = df.withColumn(name, reason)
     if unique:
         # first row per group = smallest ``order_col``: a partial aggregate + join,
         # so a hot group is pre-aggregated and the join is skew-split by AQE
         first = df.groupBy(*unique).agg(F.min(order_col).alias("_first"))
         out = out.join(first, unique, "left").withColumn(
-            "reason", F.coalesce("reason", F.when(F.col(order_col) > F.col("_first"),
-                                                  F.lit("duplicate_" + "_".join(unique))))).drop("_first")
+            name, F.coalesce(name, F.when(F.col(order_col) > F.col("_first"),
+                                          F.lit("duplicate_" + "_".join(unique))))).drop("_first")
     return out

@@ -471,3 +471,32 @@ def i9_spec(t):
 def i11_spec(t):
     """I11 with speculate-then-repair forced (the hot-order path), same oracle."""
     return I.payments_replay(t.sales_orders, t.payment_attempts, speculate=True)
+
+
+def _validation_sql(table: str, checks: list[tuple[str, str]], name: str = "reason") -> str:
+    """Oracle for ``validate_inputs``: (column, 'text'|'number'|'date') in rule order."""
+    whens = []
+    for col, kind in checks:
+        miss = {"text": f"{col} IS NULL OR {col} = ''", "number": f"{col} IS NULL OR {col} = 0",
+                "date": f"{col} IS NULL"}[kind]
+        whens.append(f"WHEN {miss} THEN 'missing_{col}'")
+    return f"SELECT *, CASE {' '.join(whens)} END AS {name} FROM {table}"
+
+
+@register("i20_validate_returns", _validation_sql(
+    "returns", [("product_id", "number"), ("quantity", "number"), ("reason", "text"), ("return_date", "date")],
+    "invalid_reason"))
+def i20r(t):
+    return I.validate_inputs(t.returns, "return")
+
+
+@register("i20_validate_maintenance", _validation_sql(
+    "maintenance_logs", [("equipment_id", "number"), ("maintenance_type", "text"), ("performed_date", "date")]))
+def i20m(t):
+    return I.validate_inputs(t.maintenance_logs, "maintenance")
+
+
+@register("i20_validate_payments", _validation_sql(
+    "payments", [("order_id", "number"), ("amount", "number"), ("payment_date", "date")]))
+def i20p(t):
+    return I.validate_inputs(t.payments, "payment")
