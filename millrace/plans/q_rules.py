@@ -500,3 +500,8 @@ def i20m(t):
     "payments", [("order_id", "number"), ("amount", "number"), ("payment_date", "date")]))
 def i20p(t):
     return I.validate_inputs(t.payments, "payment")
+
+
+@register("i20_validate_routes", _validation_sql("delivery_routes", [("route_name", "text"), ("delivery_date", "date")]))
+def i20rt(t):
+    return I.validate_inputs(t.delivery_routes, "route")
