@@ -14,6 +14,7 @@ total order (ties broken by id).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -38,6 +39,7 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
     names = out_schema.fieldNames() if out_schema else [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        warnings.filterwarnings("ignore", category=FutureWarning)  # all-NULL columns in a batch
         cur, state = None, None
         for pdf in batches:
             cols = list(pdf.columns)

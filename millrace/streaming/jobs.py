@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -132,6 +133,9 @@ def _ledger_fn(mode: str):
         return v is None or (isinstance(v, float) and math.isnan(v))
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # all-NULL output columns (no alert in a batch) make pandas warn while
+        # Spark concatenates batches; the result is unaffected
+        warnings.filterwarnings("ignore", category=FutureWarning)
         rows = pd.concat(list(pdfs)).sort_values(["created_at", "id"])
         if state.exists:
             bal, mn = state.get
