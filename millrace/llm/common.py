@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.session import ensure_checkpoint_dir, ship_package
 
@@ -82,3 +83,12 @@ def texts(col: pa.Array) -> Iterator[bytes]:
         binary = pa.large_binary() if pa.types.is_large_string(chunk.type) or pa.types.is_large_binary(chunk.type) else pa.binary()
         for x in chunk.cast(binary):
             yield x.as_py() or b""
+
+
+def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int) -> DataFrame:
+    """(id_col, class_col) of the ``per_class`` ids of each class that come first by hash. Spark cuts
+    each task's rows to ``per_class`` a class before it shuffles them."""
+    order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), F.col(id_col))
+    ids = rows.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
+    return (ids.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= per_class)
+            .groupBy(id_col).agg(F.min(class_col).alias(class_col)))
