@@ -102,7 +102,8 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     spread = lambda r: crowd.select("fp", F.explode(_longs(_ball(r))).alias("m")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
     heads = spread(1).groupBy("z").agg(F.min("fp").alias("b"))
-    met = spread(2).join(heads, "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    # rows per fingerprint are many more than Spark's size estimate knows, so never a broadcast
+    met = spread(2).join(heads.hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return small.unionByName(met).distinct()
 
 
