@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from millrace.llm import extendible, fair_mix, langid, quality_model, simhash, wavelet  # noqa: F401
+from millrace.llm import extendible, fair_mix, html_text, langid, quality_model, simhash, wavelet  # noqa: F401
 from millrace.llm.common import ORACLES, QUERIES  # noqa: F401
