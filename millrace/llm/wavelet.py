@@ -3,7 +3,7 @@
 ``write_shards`` deals the documents by ascending id, encodes every whole text and writes files of
 at most ``SHARD_TOKENS`` ids (a single longer document gets a file of its own). A file holds the ids
 as a wavelet matrix: one bit plane per bit of an id, highest first, where each plane's zeros and
-then its ones make up the next plane's order. Planes are cut into blocks, each deflated where that
+then its ones make up the next plane's order. Planes are cut into blocks, each compressed (zstd) where that
 helps, with the rank at every block's start, so ``access``, ``rank`` (counting) and ``select``
 (occurrence lookup) read one block per plane.
 
@@ -22,10 +22,12 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,9 @@ SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 15
 #: words whose ids a task remembers
 CACHE_WORDS = 1 << 18
+#: marks that the vocabulary's splitter takes for one run when they follow each other; not the
+#: apostrophe, which begins contractions, nor the signs of the added tokens
+_MARKS = b".,!?;:%$#&*()[]\"-_/@+=~^`{}"
 
 
 def default_vocabulary() -> str:
@@ -48,32 +53,92 @@ def default_vocabulary() -> str:
 
 class WordEncoder:
     """Ids of a text, word by word: the vocabulary's normaliser turns white space into single spaces
-    and its splitter drops them, so a text's ids are its words' ids in a row."""
+    and its splitter drops them, so a text's ids are its words' ids in a row. Ids of the words used
+    last are remembered, in two generations of at most ``CACHE_WORDS`` each, as little-endian bytes.
+    The vocabulary has small letters only, so words are looked up with A-Z lower-cased; a run of
+    ASCII marks after letters is split off, as the splitter does it."""
 
     def __init__(self, path: str):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-        self.top = self.tokenizer.get_vocab_size() - 1
-
-    def batch(self, docs: list[bytes]) -> list[np.ndarray]:
-        split = [d.split() for d in docs]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20000):
-            part = new[i:i + 20000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = e.ids
-        out, known = [], self.known
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
-        return out
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.last = np.zeros(size, bool)                 # tokens that end a run of letters, a digit or a run of marks
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = np.array([END_ID], self.dtype).tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Encode words of letters many at a time: each ends with its only last token."""
+        size = self.dtype.itemsize
+        letters, others = [], []
+        for w in words:
+            (letters if w.decode().isalpha() else others).append(w)
+        for i in range(0, len(letters), 512):
+            part = letters[i:i + 512]
+            ids = self._ids(b" ".join(part).decode())
+            cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(cuts) != len(part):                   # a letter that the normaliser takes apart
+                others += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(part, cuts):
+                self.young[w] = raw[at * size:cut * size]
+                at = cut
+        for w in others:
+            self.young[w] = self._ids(w.decode()).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        new, joined = set(), []
+        for w in words:
+            ids = self.old.get(w)
+            if ids is not None:
+                self.young[w] = ids
+                continue
+            core = w.rstrip(_MARKS)
+            if core and len(core) < len(w) and core.decode()[-1].isalpha() and w.translate(None, _MARKS) == core:
+                joined.append((w, core, w[len(core):]))
+                new.update(x for x in (core, w[len(core):]) if x not in self.young)
+            else:
+                new.add(w)
+        fresh = []
+        for w in new:
+            ids = self.old.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.young[w] = ids
+        self._encode(fresh)
+        for w, core, marks in joined:
+            self.young[w] = self.young[core] + self.young[marks]
+
+    def batch(self, docs: list[bytes]) -> list[bytes]:
+        """The ids of each text and the end id."""
+        split = []
+        for d in docs:
+            low = d.lower()
+            split.append((d if any(t in low for t in self.added) else low).split())
+        need = set().union(*split).difference(self.young)
+        if len(self.young) + 2 * len(need) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+            need = set().union(*split)
+        self._learn(need)
+        get = self.young.__getitem__
+        return [b"".join(map(get, words)) + self.end for words in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, so that its words stay known from task to task."""
+    return WordEncoder(path)
 
 
 def build(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
@@ -81,15 +146,15 @@ def build(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     a = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     zeros, ranks, ends, blocks = [], [], [], []
-    at = 0
+    at, squeeze = 0, zstandard.ZstdCompressor(level=1, write_content_size=True).compress
     for b in range(planes - 1, -1, -1):
-        bit = (a >> a.dtype.type(b)) & a.dtype.type(1) != 0
+        bit = (a & a.dtype.type(1 << b)) != 0
         packed = np.packbits(bit, bitorder="little")
         plane_ranks, plane_ends = [], []
         for i in range(0, len(packed), BLOCK_BITS // 8):
             raw = packed[i:i + BLOCK_BITS // 8]
             plane_ranks.append(int(np.bitwise_count(raw).sum()))
-            small = zlib.compress(raw.tobytes(), 1)
+            small = squeeze(raw.tobytes())
             small = small if len(small) < len(raw) else raw.tobytes()
             at += len(small)
             plane_ends.append(at)
@@ -105,7 +170,7 @@ def build(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
 
 
 class WaveletMatrix:
-    """Queries on a file's bytes; nothing but the blocks that a query needs is inflated."""
+    """Queries on a file's bytes; nothing but the blocks that a query needs is decompressed."""
 
     def __init__(self, data: bytes):
         if data[:5] != MAGIC:
@@ -115,6 +180,7 @@ class WaveletMatrix:
         self.n, self.planes, self.block = h["n"], h["planes"], h["block_bits"]
         self.zeros, self.ranks, self.ends, self.docs, self.starts = h["zeros"], h["ranks"], h["ends"], h["docs"], h["starts"]
         self.base, self.data = 9 + size, memoryview(data)
+        self.expand = zstandard.ZstdDecompressor().decompress
 
     def _bits(self, plane: int, block: int) -> np.ndarray:
         ends = self.ends[plane]
@@ -122,7 +188,7 @@ class WaveletMatrix:
         raw = bytes(self.data[self.base + begin:self.base + ends[block]])
         length = min(self.block, self.n - block * self.block)
         if len(raw) < (length + 7) // 8:
-            raw = zlib.decompress(raw)
+            raw = self.expand(raw)
         return np.unpackbits(np.frombuffer(raw, np.uint8), count=length, bitorder="little")
 
     def _ones(self, plane: int, i: int) -> int:
@@ -217,15 +283,15 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
     uri = _uri(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
-        part, made = TaskContext.get().partitionId(), 0
+        words = encoder(vocabulary)
+        part, made, size = TaskContext.get().partitionId(), 0, words.dtype.itemsize
         ids, names, sizes, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
             nonlocal made, held
             name = f"{part:06d}-{made:06d}.wm"
             lengths = np.array(sizes, np.int64)
-            all_ids = np.concatenate(ids)
+            all_ids = np.frombuffer(b"".join(ids), words.dtype)
             _put(f"{uri}/{name}", build(all_ids, list(names), np.cumsum(lengths) - lengths))
             out = pa.RecordBatch.from_pydict({"name": [name], "docs": [len(names)], "tokens": [len(all_ids)]})
             made, held = made + 1, 0
@@ -235,11 +301,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
             for i in range(0, len(doc_ids), 256):
-                for key, x in zip(doc_ids[i:i + 256], encoder.batch(list(texts(column.slice(i, 256))))):
-                    if held and held + len(x) > shard_tokens:
+                for key, x in zip(doc_ids[i:i + 256], words.batch(list(texts(column.slice(i, 256))))):
+                    n = len(x) // size
+                    if held and held + n > shard_tokens:
                         yield shard()
-                    ids.append(x), names.append(key), sizes.append(len(x))
-                    held += len(x)
+                    ids.append(x), names.append(key), sizes.append(n)
+                    held += n
         if names:
             yield shard()
 

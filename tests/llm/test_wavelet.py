@@ -47,7 +47,8 @@ def test_query_equals_tokenizer(spark, sf_dir):
 
 def test_odd_texts_and_small_shards(spark):
     odd = [None, "", "   ", "It's I'LL don't x'' s 'S", "<|endoftext|> a<|startoftext|>b", " a b　c\x1cd\x85e",
-           "Été ́x", "日本語のテキスト 12345 ½ ﬁ ", "a\tb\r\nc\x0bd\x0ce", "x" * 5000, "😀😀 a😀b", "ab " * 3000]
+           "Été ́x", "日本語のテキスト 12345 ½ ﬁ ", "a\tb\r\nc\x0bd\x0ce", "x" * 5000, "😀😀 a😀b", "ab " * 3000,
+           "don't. it's!! a'!! 's. x1. 1.. a.b. É!! w|x|| <|ENDOFTEXT|>! →!! a→!! İst! क़ख़? I'VE'LL.. 'tis'' ﬀ!", "THE the The the. THE!! the!!"]
     docs = [(i * 3, t) for i, t in enumerate(odd)]
     df = spark.createDataFrame([(k, t, "n") for k, t in docs], "doc_id long, text string, name string").repartition(3)
     folder = shared_path(spark, "test")
