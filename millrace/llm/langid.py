@@ -5,8 +5,8 @@ that is no letter as one space), of length one. Each language has up to ``CENTRO
 found by spherical k-means on its training texts. The prediction is the language of the centroid
 with the largest cosine. A text is rejected if that cosine is below what texts of its richness
 (number of different n-grams, by powers of two) reach: half the least cosine of the training texts
-there. The model is fitted on at most ``SAMPLE`` texts per language (those that come first by the
-id's hash) and goes to the tasks as one array whose size the parameters fix.
+there. The model is fitted on at most ``SAMPLE`` texts per language and ``SAMPLE_ALL`` in all (those that come first
+by the id's hash) and goes to the tasks as one array whose size the parameters fix.
 
 Defined results: NULL text, empty text and text without a letter: ``und``, score 0, rejected;
 without any training text everything is ``und``; ties go to the language first in code point order;
@@ -25,7 +25,9 @@ from millrace.llm.common import bounded_sample, fresh, read_table, register, rem
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 CENTROIDS = 4
-SAMPLE = 600
+#: texts that the model is fitted on: at most this many per language, and in all
+SAMPLE = 400
+SAMPLE_ALL = 1600
 ROUNDS = 8
 #: rejected below this share of the least training cosine
 SHARE = 0.5
@@ -60,17 +62,23 @@ class Centroids:
 
     def __init__(self, rows: list[tuple[str, str]]):
         """``rows``: (text, language)."""
-        pairs = [(x, lang) for x, lang in ((ngram_counts(t or ""), lang) for t, lang in rows) if x is not None]
-        self.langs, self.owner = sorted({lang for _, lang in pairs}), np.zeros(0, np.int64)
-        if not pairs:
+        x, levels, names = np.zeros((len(rows), BUCKETS), np.float32), [], []
+        for text, lang in rows:
+            counts = ngram_counts(text or "")
+            if counts is not None:
+                x[len(names)] = np.log1p(counts)
+                levels.append(self._level(counts))
+                names.append(lang)
+        self.langs, self.owner = sorted(set(names)), np.zeros(0, np.int64)
+        if not names:
             return
-        x = np.stack([np.log1p(c) for c, _ in pairs]).astype(np.float32)
-        seen = (x > 0).sum(0)
+        x = x[:len(names)]
+        seen = np.count_nonzero(x, axis=0)
         self.idf = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
         x *= self.idf
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        rich = np.array([self._level(c) for c, _ in pairs])
-        label = np.array([self.langs.index(lang) for _, lang in pairs])
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        rich = np.array(levels)
+        label = np.array([self.langs.index(lang) for lang in names])
         found, owner = [], []
         for k in range(len(self.langs)):
             c = self._cluster(x[label == k])
@@ -119,7 +127,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from at most ``sample`` rows per language of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    picked = bounded_sample(rows, "lang", "id", sample)
+    langs = max(1, rows.select(F.count_distinct("lang")).first()[0])
+    picked = bounded_sample(rows, "lang", "id", max(1, min(sample, SAMPLE_ALL // langs)))
     got = rows.join(picked, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
     return Centroids([(r.text, r.lang) for r in sorted(got.collect(), key=lambda r: (r.lang, str(r.id)))])
 
