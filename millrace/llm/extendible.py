@@ -51,8 +51,10 @@ def _directory(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     up = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high))))
     up = up.groupBy("depth", _prefix(F.col("cell"), F.col("depth")).alias("prefix")).agg(
         F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-    up = up.where((F.col("bytes") <= limit) | (F.col("depth") == high))
-    pick = (cells.select("cell", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    up = materialize(up.where((F.col("bytes") <= limit) | (F.col("depth") == high)), "prefixes")
+    # no cell looks at depths where nothing fits: their few prefixes would be hot join keys
+    least = up.agg(F.min("depth")).first()[0]
+    pick = (cells.select("cell", F.explode(F.sequence(F.lit(low if least is None else least), F.lit(high))).alias("depth"))
             .withColumn("prefix", _prefix(F.col("cell"), F.col("depth"))).join(up, ["depth", "prefix"])
             .groupBy("cell").agg(F.min(F.struct("depth", "bytes", "docs")).alias("m")))
     return pick.select("cell", "m.depth", "m.bytes", "m.docs", (F.col("m.bytes") <= limit).alias("fits"))
