@@ -85,10 +85,12 @@ def texts(col: pa.Array) -> Iterator[bytes]:
             yield x.as_py() or b""
 
 
-def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int) -> DataFrame:
-    """(id_col, class_col) of the ``per_class`` ids of each class that come first by hash. Spark cuts
-    each task's rows to ``per_class`` a class before it shuffles them."""
-    order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), F.col(id_col))
+def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int, parts: int = 64) -> DataFrame:
+    """(id_col, class_col) of the ``per_class`` ids of each class that come first by hash. The first
+    of each of ``parts`` parts of a class are found before the class meets in one task."""
     ids = rows.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-    return (ids.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= per_class)
-            .groupBy(id_col).agg(F.min(class_col).alias(class_col)))
+    ids = ids.withColumn("_h", F.xxhash64(id_col)).withColumn("_part", F.pmod("_h", F.lit(parts)))
+    for by in ((class_col, "_part"), (class_col,)):
+        order = Window.partitionBy(*by).orderBy("_h", id_col)
+        ids = ids.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= per_class)
+    return ids.groupBy(id_col).agg(F.min(class_col).alias(class_col))

@@ -16,6 +16,7 @@ without labels of both classes every score is 0.5; rows with equal text get equa
 from __future__ import annotations
 
 import operator
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -53,22 +54,32 @@ def repeats(words: list[bytes]) -> int:
     return sum(map(operator.eq, words, words[1:]))
 
 
-def document_features(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, shares) of a text; the shares add up to one. ``known``: features by word, added to."""
     words = text.split()
-    ids: list[int] = []
-    for w in words:
-        if w not in known:
-            known[w] = word_features(w)
-        ids += known[w]
-    ids += [_SAME] * (repeats(words) * SAME_WEIGHT)
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    at, n = np.unique(np.array(ids), return_counts=True)
-    return at, (n / n.sum()).astype(np.float32)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    for w in set(words).difference(known):
+        known[w] = np.array(word_features(w), np.int32)
+    n = np.bincount(np.concatenate([known[w] for w in words]), minlength=BUCKETS)
+    n[_SAME] += repeats(words) * SAME_WEIGHT
+    at = np.flatnonzero(n).astype(np.int32)
+    return at, (n[at] / n.sum()).astype(np.float32)
 
 
 
+_KNOWN: tuple[str, dict[bytes, tuple[float, int]]] = ("", {})
+
+
+def _words_of(model: "Embeddings") -> dict[bytes, tuple[float, int]]:
+    """(share of the logit, features) by word: kept by the worker process from task to task for the
+    model in use, and emptied when it holds ``CACHE_WORDS`` words."""
+    global _KNOWN
+    if _KNOWN[0] != model.name or len(_KNOWN[1]) > CACHE_WORDS:
+        _KNOWN = (model.name, {})
+    return _KNOWN[1]
+
+
 class Embeddings:
     """The fitted model: a vector per bucket and the output layer."""
 
@@ -76,7 +87,7 @@ class Embeddings:
         rnd = np.random.default_rng(SEED)
         vectors = rnd.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
         out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, np.ndarray] = {}
         found = [document_features(t, known) for t, _ in rows]
         y = np.array([label for _, label in rows], np.int64)
         batches = max(1, -(-len(rows) // BATCH))
@@ -105,35 +116,29 @@ class Embeddings:
                 # like the usual per-example updates of these vectors, not averaged over the batch
                 vectors[used] -= rate * (x.T @ grad)
                 done += 1
-        self.amounts = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float64)
+        self.amounts: list[float] = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float64).tolist()
         self.bias = float(bias[1] - bias[0])
-        self.known: dict[bytes, tuple[float, int]] = {}
+        self.name = uuid.uuid4().hex
 
     def scores(self, batch: list[bytes]) -> list[float]:
         """The probability of class 1 for each text."""
-        out = []
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        out, amount_of = [], self.amounts.__getitem__
         for text in batch:
             words = text.split()
-            known = self.known
-            for w in set(words):
-                if w not in known:
-                    f = word_features(w)
-                    known[w] = (float(self.amounts[f].sum()), len(f))
+            known = _words_of(self)
+            for w in set(words).difference(known):
+                f = word_features(w)
+                known[w] = (sum(map(amount_of, f)), len(f))
             total, n = 0.0, 0
             for amount, k in map(known.__getitem__, words):
                 total += amount
                 n += k
             again = repeats(words) * SAME_WEIGHT
-            total, n = total + again * float(self.amounts[_SAME]), n + again
+            total, n = total + again * self.amounts[_SAME], n + again
             z = (total / n if n else 0.0) + self.bias
             out.append(float(1 / (1 + np.exp(-z))))
         return out
 
-    def __getstate__(self):
-        return {"amounts": self.amounts, "bias": self.bias, "known": {}}
-
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         sample: int = SAMPLE) -> Embeddings:

@@ -23,7 +23,7 @@ def test_score_equals_average_of_all_vectors():
     model = Q.Embeddings(rows)
     for text in (b"good words", b"BAD!! BAD!!", b"new new new", b"x" * 1000):
         at, share = Q.document_features(text, {})
-        z = float((model.amounts[at] * share).sum()) + model.bias
+        z = float((np.array(model.amounts)[at] * share).sum()) + model.bias
         assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-6
     assert model.scores([b"good words"])[0] > 0.5 > model.scores([b"BAD!! THINGS!!"])[0]
     assert model.scores([b""]) == model.scores([b" \n"])
