@@ -3,15 +3,17 @@
 Each binding maps one driver table onto one factory table (users from nation,
 products from part, sales orders from orders, ...). The select expressions are
 plain SQL that Spark and DuckDB both accept, so one text serves the Spark
-``selectExpr`` and the DuckDB oracle CTE. The modulo expressions below are the
-*data model* (which order is a purchase order, which event is a QC test); they
-are never used to thin a query.
+``selectExpr`` and the DuckDB oracle CTE. Which row is a payment, a delivery or
+a QC test follows from a natural attribute (order status, priority, event type),
+and child keys are real key columns, so every table grows with the data; modulo
+expressions only spread *attribute values* (a size, a status) over rows.
 
 Three bindings fan a row out over a short literal list (BOM lines, two
 payments per order, two payment attempts); on Spark that is ``explode`` of a
-literal array (a Generate node, no join). ``delivery_route_orders`` needs a
-per-route sequence number; it uses the two-level running count so that one
-route never has to sit in one task.
+literal array (a Generate node, no join). ``purchase_orders`` takes its supplier
+from the order's lines. ``delivery_route_orders`` needs a per-route sequence
+number; it uses the two-level running count so that one route never has to sit
+in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from millrace.plans.scan import id_block, running_count
 from millrace.sources.tables import load_table
 
 _CREATED_AT = "o_orderdate + (o_orderkey % 86400) * INTERVAL '1' SECOND AS created_at"
-_PAID_FULL = "o_orderkey % 17 <> 0 AND o_orderstatus = 'F'"
+_PAID_FULL = "o_orderstatus = 'F'"
+_PO_STATUS = ("CASE o_orderkey % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' WHEN 2 THEN 'ordered' "
+              "WHEN 3 THEN 'cancelled' ELSE 'received' END AS status")
 
 
 @dataclass(frozen=True)
@@ -61,14 +65,15 @@ BINDINGS: dict[str, Binding] = {
         "CASE WHEN p_partkey % 50 = 7 THEN 0 ELSE 1 END AS active",
     )),
     "raw_materials": Binding("part", (
-        "p_partkey AS id", "concat('M', lpad(CAST(p_partkey AS STRING), 5, '0')) AS code", "p_name AS name",
+        "p_partkey AS id", "concat('M', lpad(CAST(p_partkey AS STRING), 9, '0')) AS code", "p_name AS name",
         "'kg' AS unit", "CAST((p_partkey * 53) % 500 AS DOUBLE) AS quantity",
         "CAST(40 + p_partkey % 80 AS DOUBLE) AS min_quantity", "p_size * CAST(1.25 AS DOUBLE) AS cost_per_unit",
-    ), where="p_partkey < 150"),
+    )),
     "product_bom": Binding("part", (), oracle=(
-        "SELECT p_partkey * 3 + m.k AS id, p_partkey AS product_id, (p_partkey * m.f + m.g) % 150 AS material_id, "
+        "SELECT p_partkey * 3 + m.k AS id, p_partkey AS product_id, CASE m.k WHEN 0 THEN p_partkey WHEN 1 THEN "
+        "CAST(p_size AS BIGINT) ELSE CAST(floor(p_partkey / 2.0) AS BIGINT) END AS material_id, "
         "CAST(m.q AS DOUBLE) AS quantity_per_unit FROM part CROSS JOIN "
-        "(SELECT 1 AS f, 0 AS g, 1 AS q, 0 AS k UNION ALL SELECT 7, 6, 2, 1 UNION ALL SELECT 13, 2, 1, 2) m"),
+        "(SELECT 1 AS q, 0 AS k UNION ALL SELECT 2, 1 UNION ALL SELECT 1, 2) m"),
         tables=("part",)),
     "customers": Binding("customer", (
         "c_custkey AS id", "concat('C', lpad(CAST(c_custkey AS STRING), 7, '0')) AS code", "c_name AS name",
@@ -82,10 +87,10 @@ BINDINGS: dict[str, Binding] = {
         "o_orderkey AS id", "concat('SO', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS order_number",
         "o_custkey AS customer_id", "CAST(o_orderdate AS DATE) AS order_date",
         "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate + INTERVAL '30' DAY AS DATE) END AS due_date",
-        "CASE WHEN o_orderkey % 17 = 0 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'paid' "
-        "WHEN o_orderstatus = 'P' THEN 'delivered' WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS status",
+        "CASE WHEN o_orderstatus = 'F' THEN 'paid' WHEN o_orderstatus = 'P' THEN 'delivered' "
+        "WHEN o_orderpriority = '5-LOW' THEN 'cancelled' WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS status",
         "o_totalprice AS total_amount",
-        f"CASE WHEN {_PAID_FULL} THEN o_totalprice WHEN o_orderkey % 3 = 0 THEN o_totalprice / 2 ELSE 0 END AS paid_amount",
+        f"CASE WHEN {_PAID_FULL} THEN o_totalprice WHEN o_orderstatus = 'P' THEN o_totalprice / 2 ELSE 0 END AS paid_amount",
         "CAST(0 AS DOUBLE) AS discount", "CAST(o_orderkey % 30 AS INT) AS created_by", _CREATED_AT,
     )),
     "sales_items": Binding("lineitem", (
@@ -99,22 +104,22 @@ BINDINGS: dict[str, Binding] = {
         "CASE o_orderkey % 4 WHEN 0 THEN 'cash' WHEN 1 THEN 'transfer' WHEN 2 THEN 'check' ELSE 'credit' END AS method, "
         "CAST(o_orderkey % 30 AS INT) AS created_by "
         "FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h "
-        f"WHERE ({_PAID_FULL}) OR o_orderkey % 3 = 0"), tables=("orders",)),
+        "WHERE o_orderstatus IN ('F', 'P')"), tables=("orders",)),
     "deliveries": Binding("orders", (
         "o_orderkey AS id", "o_orderkey AS order_id", "concat('driver', CAST(o_orderkey % 12 AS STRING)) AS driver_name",
         "CAST(o_orderdate + INTERVAL '3' DAY AS DATE) AS delivery_date",
         "CASE WHEN o_orderstatus = 'P' THEN 'delivered' WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'pending' END AS status",
         _CREATED_AT,
-    ), where="o_orderkey % 3 = 0"),
+    ), where="o_orderstatus IN ('F', 'P')"),
     "production_orders": Binding("events", (
-        "event_id AS id", "event_id % 200 AS product_id", "CAST(floor(value) AS BIGINT) + 1 AS quantity_planned",
+        "event_id AS id", "user_id AS product_id", "CAST(floor(value) AS BIGINT) + 1 AS quantity_planned",
         "CASE WHEN event_id % 10 > 4 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS quantity_produced",
         "CASE WHEN event_id % 10 < 2 THEN 'pending' WHEN event_id % 10 < 4 THEN 'in_progress' "
         "WHEN event_id % 10 = 4 THEN 'cancelled' ELSE 'completed' END AS status",
         "user_id % 30 AS created_by", "ts AS created_at",
     ), where="event_type = 'signup'"),
     "material_logs": Binding("events", (
-        "event_id AS id", "user_id % 150 AS material_id",
+        "event_id AS id", "user_id AS material_id",
         "CASE event_type WHEN 'click' THEN 'in' ELSE 'out' END AS type", "value AS quantity", "props AS note",
         "user_id % 30 AS created_by", "ts AS created_at",
     ), where="event_type IN ('click', 'view')"),
@@ -137,17 +142,16 @@ BINDINGS: dict[str, Binding] = {
         "s_suppkey AS id", "concat('SUP', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS code", "s_name AS name",
         "CASE WHEN s_suppkey % 20 = 9 THEN 0 ELSE 1 END AS active",
     )),
-    "purchase_orders": Binding("orders", (
-        "o_orderkey AS id", "concat('PO', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS po_number",
-        "o_orderkey % 10 AS supplier_id", "CAST(o_orderdate AS DATE) AS order_date",
-        "CASE o_orderkey % 25 WHEN 0 THEN 'draft' WHEN 5 THEN 'approved' WHEN 10 THEN 'ordered' "
-        "WHEN 15 THEN 'cancelled' ELSE 'received' END AS status",
-        "o_totalprice AS total_amount", "CAST(o_orderkey % 30 AS INT) AS created_by", _CREATED_AT,
-    ), where="o_orderkey % 5 = 0"),
+    "purchase_orders": Binding("orders", (), oracle=(
+        "SELECT o_orderkey AS id, concat('PO', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS po_number, supplier_id, "
+        f"CAST(o_orderdate AS DATE) AS order_date, {_PO_STATUS}, o_totalprice AS total_amount, "
+        f"CAST(o_orderkey % 30 AS INT) AS created_by, {_CREATED_AT} FROM orders LEFT JOIN "
+        "(SELECT l_orderkey, min(l_suppkey) AS supplier_id FROM lineitem GROUP BY l_orderkey) li ON l_orderkey = o_orderkey"),
+        tables=("orders", "lineitem")),
     "purchase_items": Binding("lineitem", (
-        "l_orderkey AS po_id", "l_partkey % 150 AS material_id", "l_quantity AS quantity",
+        "l_orderkey AS po_id", "l_partkey AS material_id", "l_quantity AS quantity",
         "l_extendedprice / l_quantity AS unit_price", "l_extendedprice AS subtotal",
-    ), where="l_orderkey % 5 = 0"),
+    )),
     "equipment": Binding("supplier", (
         "s_suppkey AS id", "concat('EQ', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS code", "s_name AS name",
         "CASE s_suppkey % 6 WHEN 4 THEN 'maintenance' WHEN 5 THEN 'inactive' ELSE 'active' END AS status",
@@ -155,7 +159,7 @@ BINDINGS: dict[str, Binding] = {
         "ELSE CAST(DATE '2024-01-10' + (s_suppkey % 30) * INTERVAL '1' DAY AS DATE) END AS next_maintenance",
     )),
     "maintenance_logs": Binding("events", (
-        "event_id AS id", "user_id % 8 AS equipment_id",
+        "event_id AS id", "user_id AS equipment_id",
         "CASE event_id % 3 WHEN 0 THEN 'repair' ELSE 'preventive' END AS maintenance_type", "value AS cost",
         "CAST(ts AS DATE) AS performed_date", "CAST(ts + INTERVAL '30' DAY AS DATE) AS next_due",
         "user_id % 30 AS created_by", "ts AS created_at",
@@ -166,31 +170,31 @@ BINDINGS: dict[str, Binding] = {
         "ts AS created_at",
     ), where="event_type = 'purchase'"),
     "returns": Binding("events", (
-        "event_id AS id", "CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 1500 END AS order_id",
-        "event_id % 210 AS product_id", "CAST(floor(value) AS BIGINT) + 1 AS quantity",
+        "event_id AS id", "CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id END AS order_id",
+        "user_id AS product_id", "CAST(floor(value) AS BIGINT) + 1 AS quantity",
         "CASE event_id % 6 WHEN 0 THEN 'damaged' WHEN 1 THEN 'expired' WHEN 2 THEN 'quality' "
         "WHEN 3 THEN 'wrong_order' WHEN 4 THEN 'excess' ELSE 'other' END AS reason",
         "CAST(ts AS DATE) AS return_date",
         "CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status",
         "user_id % 30 AS created_by", "ts AS created_at",
     ), where="event_type = 'click'"),
-    "delivery_routes": Binding("nation", (
-        "n_nationkey AS id", "n_name AS route_name",
-        "CAST(DATE '2000-01-01' + n_nationkey * INTERVAL '1' DAY AS DATE) AS delivery_date",
-        "CASE n_nationkey % 3 WHEN 0 THEN 'planned' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS status",
-        "n_nationkey % 20 AS total_orders", "n_nationkey AS created_by",
+    "delivery_routes": Binding("customer", (
+        "c_custkey AS id", "c_name AS route_name",
+        "CAST(DATE '2000-01-01' + c_nationkey * INTERVAL '1' DAY AS DATE) AS delivery_date",
+        "CASE c_custkey % 3 WHEN 0 THEN 'planned' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS status",
+        "c_custkey % 20 AS total_orders", "c_nationkey AS created_by",
     )),
     "delivery_route_orders": Binding("orders", (), oracle=(
-        "SELECT o_orderkey AS id, o_orderkey % 23 AS route_id, o_orderkey AS order_id, "
-        "row_number() OVER (PARTITION BY o_orderkey % 23 ORDER BY o_orderkey) AS sequence_number "
-        "FROM orders WHERE o_orderkey % 4 = 0"), tables=("orders",)),
+        "SELECT o_orderkey AS id, o_custkey AS route_id, o_orderkey AS order_id, "
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sequence_number "
+        "FROM orders WHERE o_orderstatus = 'P'"), tables=("orders",)),
     "audit_logs": Binding("events", (
         "event_id AS id", "user_id % 30 AS user_id",
         "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS action", "event_type AS entity",
         "event_id AS entity_id", "props AS details", "ts AS created_at",
     )),
     "app_settings_log": Binding("events", (
-        "concat('key', CAST(user_id % 8 AS STRING)) AS key", "props AS value", "ts AS updated_at", "event_id AS seq",
+        "event_type AS key", "props AS value", "ts AS updated_at", "event_id AS seq",
     )),
     "order_events": Binding("events", (
         "event_id AS seq", "user_id AS order_id",
@@ -204,7 +208,7 @@ BINDINGS: dict[str, Binding] = {
     "payment_attempts": Binding("orders", (), oracle=(
         "SELECT o_orderkey * 2 + h.k AS seq, o_orderkey AS order_id, "
         "o_totalprice * CASE WHEN (o_orderkey + h.k) % 5 = 0 THEN 0.75 ELSE 0.5 END AS amount "
-        "FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h WHERE o_orderkey % 3 = 0"), tables=("orders",)),
+        "FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h"), tables=("orders",)),
     "product_changes": Binding("events", (
         "event_id AS seq", "concat('P', lpad(CAST(user_id * 2 AS STRING), 7, '0')) AS code",
         "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op",
@@ -221,12 +225,13 @@ def _explode_literal(df: DataFrame, rows: list[tuple], names: list[str]) -> Data
 
 def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "product_bom":
-        m = _explode_literal(load_table(spark, sf_dir, "part").select("p_partkey"),
-                             [(1, 0, 1, 0), (7, 6, 2, 1), (13, 2, 1, 2)], ["f", "g", "q", "k"])
+        m = _explode_literal(load_table(spark, sf_dir, "part").select("p_partkey", "p_size"), [(1, 0), (2, 1), (1, 2)], ["q", "k"])
         return m.selectExpr("p_partkey * 3 + k AS id", "p_partkey AS product_id",
-                            "(p_partkey * f + g) % 150 AS material_id", "CAST(q AS DOUBLE) AS quantity_per_unit")
+                            "CASE k WHEN 0 THEN p_partkey WHEN 1 THEN CAST(p_size AS BIGINT) "
+                            "ELSE CAST(floor(p_partkey / 2.0) AS BIGINT) END AS material_id",
+                            "CAST(q AS DOUBLE) AS quantity_per_unit")
     if name == "payments":
-        o = load_table(spark, sf_dir, "orders").where(f"({_PAID_FULL}) OR o_orderkey % 3 = 0")
+        o = load_table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'P')")
         h = _explode_literal(o, [(0,), (1,)], ["k"])
         return h.selectExpr(
             "o_orderkey * 2 + k AS id", "o_orderkey AS order_id",
@@ -235,13 +240,18 @@ def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "CASE o_orderkey % 4 WHEN 0 THEN 'cash' WHEN 1 THEN 'transfer' WHEN 2 THEN 'check' ELSE 'credit' END AS method",
             "CAST(o_orderkey % 30 AS INT) AS created_by")
     if name == "payment_attempts":
-        o = load_table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-        h = _explode_literal(o, [(0,), (1,)], ["k"])
+        h = _explode_literal(load_table(spark, sf_dir, "orders"), [(0,), (1,)], ["k"])
         return h.selectExpr("o_orderkey * 2 + k AS seq", "o_orderkey AS order_id",
                             "o_totalprice * CASE WHEN (o_orderkey + k) % 5 = 0 THEN 0.75 ELSE 0.5 END AS amount")
+    if name == "purchase_orders":
+        own = load_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("supplier_id"))
+        return load_table(spark, sf_dir, "orders").join(own, "o_orderkey", "left").selectExpr(
+            "o_orderkey AS id", "concat('PO', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS po_number", "supplier_id",
+            "CAST(o_orderdate AS DATE) AS order_date", _PO_STATUS, "o_totalprice AS total_amount",
+            "CAST(o_orderkey % 30 AS INT) AS created_by", _CREATED_AT)
     if name == "delivery_route_orders":
-        o = load_table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").selectExpr(
-            "o_orderkey AS id", "o_orderkey % 23 AS route_id", "o_orderkey AS order_id")
+        o = load_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr(
+            "o_orderkey AS id", "o_custkey AS route_id", "o_orderkey AS order_id")
         return running_count(o, ["route_id"], ["order_id"], id_block("order_id"), "sequence_number") \
             .select("id", "route_id", "order_id", "sequence_number")
     raise KeyError(name)
@@ -258,33 +268,22 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.selectExpr(*b.exprs)
 
 
-_BOUND: dict[tuple, DataFrame] = {}
-
-
-def _app_id(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
-        return spark.conf.get("spark.app.id", "") or str(id(spark))
-
-
 class Tables:
     """Lazy accessor: ``t.sales_orders`` binds on first use.
 
-    Bound frames are plain lazy plans (no data is cached); they are kept per
-    (session, folder, name) so repeated queries do not rebuild and re-analyse
-    the same projection - the equivalent of defining the views once."""
+    Bound frames are plain lazy plans (no data is cached). They live as long as
+    this object: a frame holds the file listing of its first use, so a new
+    ``Tables`` sees files that were added since."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._bound = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in BINDINGS:
             raise AttributeError(name)
-        key = (id(self.spark), _app_id(self.spark), self.sf_dir, name)
-        if key not in _BOUND:
-            _BOUND[key] = bind(self.spark, self.sf_dir, name)
-        return _BOUND[key]
+        if name not in self._bound:
+            self._bound[name] = bind(self.spark, self.sf_dir, name)
+        return self._bound[name]
 
 
 def with_bindings(sql: str) -> str:
@@ -304,6 +303,7 @@ _SPECIAL_COLUMNS = {
     "payments": ["id", "order_id", "amount", "payment_date", "method", "created_by"],
     "delivery_route_orders": ["id", "route_id", "order_id", "sequence_number"],
     "payment_attempts": ["seq", "order_id", "amount"],
+    "purchase_orders": ["id", "po_number", "supplier_id", "order_date", "status", "total_amount", "created_by", "created_at"],
 }
 
 
