@@ -32,16 +32,23 @@ WINDOW = 10
 LISTS = 2
 SLOP = 3
 BROADCAST_ROWS = 200_000
-#: the contract's words before lower-casing: the letters A-Z count as their small ones
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: what stands between words: ASCII but for digits and letters (before lower-casing, so A-Z are letters)
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def _split(text: Column) -> Column:
+    """The words, with an empty one before or after them where the text begins or ends between words."""
+    return F.split(F.coalesce(text, F.lit("")), BETWEEN)
+
+
+def word_count(text: Column) -> Column:
+    w = _split(text)
+    ends = F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
+    return (F.size(w) - ends).cast("long")
 
 
 def words(text: Column) -> Column:
-    return F.transform(raw_words(text), ascii_lower)
+    return F.transform(F.filter(_split(text), lambda w: w != ""), ascii_lower)
 
 
 def _key(id_col: str) -> Column:
@@ -64,8 +71,10 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index: (doc: document key, term, pos from 0), of all terms or of ``terms(term)``."""
-    p = docs.select(_key(id_col).alias("doc"), F.posexplode(raw_words(F.col(text_col))).alias("pos", "raw"))
-    p = p.select("doc", ascii_lower(F.col("raw")).alias("term"), "pos")
+    # a text that begins between words has an empty word in front
+    first = F.when(F.coalesce(F.col(text_col), F.lit("")).rlike("^" + BETWEEN[:-1]), 1).otherwise(0)
+    p = docs.select(_key(id_col).alias("doc"), first.alias("first"), F.posexplode(_split(F.col(text_col))).alias("pos", "raw"))
+    p = p.where("raw <> ''").select("doc", ascii_lower(F.col("raw")).alias("term"), (F.col("pos") - F.col("first")).alias("pos"))
     return p if terms is None else p.join(terms, "term", "left_semi").select("doc", "term", "pos")
 
 
@@ -151,7 +160,7 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = F.array_sort(F.array_distinct(F.flatten(F.transform("__spans", lambda c: c["items"]))))
     none = F.array().cast("array<string>")
     return d.select("__row.*", F.struct(
-        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
+        word_count(text).alias("n_words"),
         F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(found, none).alias("items"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).alias(out))
 
