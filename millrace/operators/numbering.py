@@ -9,30 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.scan import id_block, running_count, time_block
+from millrace.plans.scan import running_count
 
 
 def assign_document_numbers(new: DataFrame, prefix: str, start: int | Column = 0,
-                            order: tuple[str, ...] = ("created_at", "id"), block: Column | None = None,
-                            name: str = "doc_number") -> DataFrame:
+                            order: tuple[str, ...] = ("created_at", "id"), name: str = "doc_number") -> DataFrame:
     """G1: ``prefix`` + (start + n) padded to at least 5 digits, n = 1.. in ``order``.
 
     ``start`` is the current maximum id: an int, or a Column such as
     ``existing.agg(F.max("id")).scalar()`` (a scalar subquery, no join)."""
-    blk = block if block is not None else time_block(order[0], 3600) if order[0] != "id" else id_block("id")
-    x = running_count(new, [], list(order), blk, "_n")
+    x = running_count(new, [], list(order), "_n")
     s = start if isinstance(start, Column) else F.lit(start)
     return x.withColumn("seq_no", (F.coalesce(s, F.lit(0)) + F.col("_n")).cast("long")) \
         .withColumn(name, F.format_string(prefix + "%05d", F.col("seq_no"))).drop("_n")
 
 
-def assign_batch_numbers(po: DataFrame, block_seconds: int = 3600, strict: bool = False) -> DataFrame:
+def assign_batch_numbers(po: DataFrame, strict: bool = False) -> DataFrame:
     """``B<yyyyMMdd>-<nnn>`` with nnn = 1 + earlier non-cancelled orders of the
     same UTC day (at least 3 digits); expiry = day + 365. Like the reference, a
     number can repeat after a cancellation (see L5); ``strict=True`` counts
     cancelled orders too, so numbers never repeat."""
     x = po.withColumn("_day", F.to_date("created_at"))
-    x = running_count(x, ["_day"], ["created_at", "id"], time_block("created_at", block_seconds), "_k",
+    x = running_count(x, ["_day"], ["created_at", "id"], "_k",
                       where=None if strict else F.col("status") != "cancelled", inclusive=False)
     return (x.withColumn("batch_number", F.format_string("B%s-%03d", F.date_format("_day", "yyyyMMdd"),
                                                          (F.col("_k") + 1).cast("int")))

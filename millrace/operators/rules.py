@@ -10,24 +10,17 @@ order life cycle) run through ``plans.fold.sorted_fold``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
 from millrace.session import ensure_checkpoint_dir
 from millrace.plans.fold import sorted_fold
-from millrace.plans.scan import (clamped_balance, fill_before, id_block, prefix_sums, previous_value,
-                                  running_count, time_block)
+from millrace.plans.scan import block_cuts, clamped_balance, fill_before, prefix_sums, previous_value, running_count
 
 OPEN = ("paid", "cancelled")
 
 
-def _isnull(v) -> bool:
-    return v is None or (isinstance(v, float) and math.isnan(v))
-
-
 # ----------------------------------------------------------------------------- I1
 # What a change may touch, per master-data entity (key, columns
 # an update may set, defaults on insert, soft = active 0 / hard = row removed).
@@ -154,8 +147,7 @@ def validate_sales_orders(orders: DataFrame, items: DataFrame, customers: DataFr
 
 
 # ----------------------------------------------------------------------------- I3
-def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...] = ("created_at", "id"),
-                  block: Column | None = None) -> DataFrame:
+def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """The credit rule in sequence per customer: an order is accepted when
     the limit is not positive or ``outstanding + total <= limit``; only accepted
     orders raise the outstanding sum.
@@ -171,8 +163,7 @@ def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...
          .withColumn("_lim_u", (F.col("credit_limit").cast(MONEY) * 10000).cast("long")))
     limited = F.col("_lim_u") > 0
     free = x.where(~limited | F.col("_lim_u").isNull())
-    blk = block if block is not None else time_block(order[0], 86400) if order[0] != "id" else F.floor(F.col("id") / 1048576)
-    free = prefix_sums(free, ["customer_id"], list(order), blk, {"_owed_u": F.col("_tot_u")}) \
+    free = prefix_sums(free, ["customer_id"], list(order), {"_owed_u": F.col("_tot_u")}) \
         .select("id", "customer_id", F.lit(True).alias("accepted"),
                 (F.col("_owed_u").cast("decimal(38,0)") / 10000).cast("double").alias("outstanding_after"))
 
@@ -238,14 +229,14 @@ def po_receipts(po: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ----------------------------------------------------------------------------- I8
-def material_ledger(initial: DataFrame, moves: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def material_ledger(initial: DataFrame, moves: DataFrame) -> DataFrame:
     """I8: running stock per material: ``in`` adds, ``out`` (BOM use) subtracts
     and floors at 0. Closed form over windows (``plans.scan.clamped_balance``)."""
     x = moves.join(initial.select(F.col("id").alias("material_id"), F.col("quantity").alias("_x0")),
                    "material_id", "left")
     delta = F.when(F.col("type") == "in", F.col("quantity")).otherwise(-F.col("quantity"))
-    return clamped_balance(x, ["material_id"], ["created_at", "id"], time_block("created_at", block_seconds),
-                           delta, F.col("type") != "in", F.coalesce("_x0", F.lit(0.0))).drop("_x0")
+    return clamped_balance(x, ["material_id"], ["created_at", "id"], delta, F.col("type") != "in",
+                           F.coalesce("_x0", F.lit(0.0)), cuts=block_cuts(moves, "created_at")).drop("_x0")
 
 
 # ----------------------------------------------------------------------------- I9
@@ -254,73 +245,65 @@ def _units(c: Column) -> Column:
     return (c.cast(MONEY) * 10000).cast("long")
 
 
-def material_adjust_replay(initial: DataFrame, adjustments: DataFrame, block_seconds: int = 3600,
-                           speculate: bool | str = "auto", hot_events: int = 1_000_000) -> DataFrame:
-    """Manual adjustments in sequence per material: quantity <= 0 is
-    rejected; ``in`` adds, any other type subtracts; a result below 0 is
-    rejected and leaves stock unchanged. One output row per adjustment with
-    ``accepted``, ``reason`` and ``balance`` after it (exact 1e-4 units).
+def _to_money(c: Column) -> Column:
+    return (c.cast("decimal(38,0)") / 10000).cast("double")
+
+
+def material_adjust_replay(initial: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """Manual adjustments in sequence per material: a missing quantity or one
+    <= 0 is rejected, then an unknown (or NULL) material; ``in`` adds, any other
+    type subtracts; a result below 0 is rejected and leaves stock unchanged. One
+    output row per adjustment with ``accepted``, ``reason`` and ``balance`` after
+    it (exact 1e-4 units; NULL for an unknown material).
 
-    Speculate, then repair: as long as no adjustment would take a material
+    Running sums, then repair: as long as no adjustment would take a material
     below zero, every valid one is accepted and the balance is a plain running
     sum - computed with the two-level scan, so a hot material is spread over
     many tasks. Only from a material's first would-be-negative adjustment on
     do decisions depend on earlier rejections; those rows (and only those)
-    go through the sequential fold, starting from the balance just before.
-    That pays off where stock rarely runs out (the usual case, and the one that
-    matters for a hot material); where nearly every material runs dry early,
-    ``speculate=False`` skips the extra running-sum pass and folds everything.
-    ``'auto'`` (default) measures the busiest material first (one small
-    aggregate) and speculates only when one has more than ``hot_events`` rows."""
-    if speculate == "auto":
-        busiest = adjustments.groupBy("material_id").count().agg(F.max("count")).first()[0] or 0
-        speculate = busiest > hot_events
+    go through the sequential fold, starting from the balance just before."""
     x = adjustments.select("id", "material_id", "type", "quantity", "created_at").join(
-        initial.select(F.col("id").alias("material_id"), F.col("quantity").alias("_x0")), "material_id", "left")
-    valid = F.col("quantity").isNotNull() & (F.col("quantity") > 0)
-    x = (x.withColumn("_valid", valid).withColumn("_q_u", _units(F.col("quantity")))
-         .withColumn("_x0_u", F.coalesce(_units(F.col("_x0")), F.lit(0).cast("long")))
-         .withColumn("_d_u", F.when(valid, F.when(F.col("type") == "in", F.col("_q_u")).otherwise(-F.col("_q_u")))
+        initial.select(F.col("id").alias("material_id"), F.coalesce(_units(F.col("quantity")), F.lit(0).cast("long")).alias("_x0_u"),
+                       F.lit(True).alias("_known")), "material_id", "left")
+    amount = F.col("quantity").isNotNull() & (F.col("quantity") > 0)
+    known = F.coalesce("_known", F.lit(False))
+    reason0 = F.when(~amount, F.lit("bad_quantity")).when(~known, F.lit("unknown_material"))
+    no = F.lit(None).cast("double")
+    nowhere = x.where(~known).select("id", "material_id", F.lit(False).alias("accepted"), reason0.alias("reason"), no.alias("balance"))
+    x = (x.where(known).withColumn("_valid", amount).withColumn("_q_u", F.coalesce(_units(F.col("quantity")), F.lit(0).cast("long")))
+         .withColumn("_d_u", F.when(amount, F.when(F.col("type") == "in", F.col("_q_u")).otherwise(-F.col("_q_u")))
                      .otherwise(F.lit(0).cast("long"))))
     order = ["created_at", "id"]
     pos = F.struct("created_at", "id")
-    if speculate:
-        x = prefix_sums(x, ["material_id"], order, time_block("created_at", block_seconds), {"_s_u": F.col("_d_u")})
-        x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
-        first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
-            F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
-        x = x.join(first_bad, "material_id", "left")
-        before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
-    else:
-        x = x.withColumn("_b_u", F.col("_x0_u")).withColumn("_start_u", F.col("_x0_u"))
-        before = F.lit(False)
-    to_money = lambda c: (c.cast("decimal(38,0)") / 10000).cast("double")
+    x = prefix_sums(x, ["material_id"], order, {"_s_u": F.col("_d_u")}, cuts=block_cuts(adjustments, "created_at"))
+    x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
+    first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
+        F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
+    x = x.join(first_bad, "material_id", "left")
+    before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
     quick = x.where(before).select(
         "id", "material_id", F.col("_valid").alias("accepted"),
         F.when(~F.col("_valid"), F.lit("bad_quantity")).otherwise(F.lit(None).cast("string")).alias("reason"),
-        to_money(F.col("_b_u")).alias("balance"))
+        _to_money(F.col("_b_u")).alias("balance"))
 
     def init(r):
-        return {"bal": int(r["_start_u"])}
+        return {"bal": r["_start_u"]}
 
     def step(s, r):
         reason = None
         if not r["_valid"]:
             reason = "bad_quantity"
+        elif s["bal"] + r["_d_u"] < 0:
+            reason = "insufficient_stock"
         else:
-            q = int(r["_q_u"])
-            nb = s["bal"] + q if r["type"] == "in" else s["bal"] - q
-            if nb < 0:
-                reason = "insufficient_stock"
-            else:
-                s["bal"] = nb
+            s["bal"] += r["_d_u"]
         return {"id": r["id"], "material_id": r["material_id"], "accepted": reason is None, "reason": reason,
                 "balance": s["bal"] / 10000}
 
-    rest = x.where(~before).select("id", "material_id", "type", "created_at", "_valid", "_q_u", "_start_u")
+    rest = x.where(~before).select("id", "material_id", "created_at", "_valid", "_d_u", "_start_u")
     slow = sorted_fold(rest, ["material_id"], order,
                        "id long, material_id long, accepted boolean, reason string, balance double", init, step)
-    return quick.unionByName(slow)
+    return quick.unionByName(slow).unionByName(nowhere)
 
 
 def final_state(replayed: DataFrame, key: str, order: str = "id", value: str = "balance") -> DataFrame:
@@ -329,8 +312,7 @@ def final_state(replayed: DataFrame, key: str, order: str = "id", value: str = "
 
 
 # ----------------------------------------------------------------------------- I10
-def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFrame,
-                      block_seconds: int = 3600) -> DataFrame:
+def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """A change to ``delivered`` subtracts each line from product stock
     unless the order was already delivered or paid just before. Only status
     changes are considered here (the full life cycle with payments is I12).
@@ -338,8 +320,8 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
     (the first change sees the order's stored status)."""
     ev = order_events.where(F.col("kind") == "set_status").select("seq", "order_id", "status", "ts")
     init = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_init"))
-    ev = previous_value(ev.join(init, "order_id"), ["order_id"], ["ts", "seq"], time_block("ts", block_seconds),
-                        "status", "_prev")
+    ev = previous_value(ev.join(init, "order_id"), ["order_id"], ["ts", "seq"], "status", "_prev",
+                        cuts=block_cuts(order_events, "ts"))
     ev = ev.withColumn("_prev", F.when(F.col("_is_first"), F.col("_init")).otherwise(F.col("_prev")))
     hits = ev.where((F.col("status") == "delivered") & ~F.col("_prev").isin("delivered", "paid"))
     n = hits.groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
@@ -348,79 +330,81 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
 
 
 # ----------------------------------------------------------------------------- I11
-def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False, speculate: bool | str = "auto",
-                    initial_paid: str | None = None, hot_events: int = 1_000_000) -> DataFrame:
-    """Payment attempts in sequence per order: a missing/zero amount or one
-    above what remains is rejected (negative amounts pass); after each accepted
-    payment status = paid if paid >= total else confirmed (which pulls a
-    delivered or cancelled order back to confirmed). ``strict=True`` also
-    rejects negative amounts and payments on cancelled orders, and keeps a
-    delivered order delivered until it is fully paid. Amounts in exact 1e-4 units.
-
-    Speculate, then repair (as in ``material_adjust_replay``): until an
+def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False,
+                    initial_paid: str | None = None, allowed: str | None = None, order: tuple[str, ...] = ("seq",),
+                    cuts: Column | None = None) -> DataFrame:
+    """Payment attempts in sequence per order (by ``order``, whose last column is unique): a missing/zero amount, an
+    unknown (or NULL) order or an amount above what remains is rejected (negative
+    amounts pass); after each accepted payment status = paid if paid >= total else
+    confirmed (which pulls a delivered or cancelled order back to confirmed). A
+    NULL total counts as 0. ``strict=True`` also rejects negative amounts and
+    payments on cancelled orders, and keeps a delivered order delivered until it
+    is fully paid. ``allowed`` names a boolean column of ``attempts``: where it is
+    false the attempt is rejected. Amounts in exact 1e-4 units; ``paid`` and
+    ``status`` are NULL for an unknown order.
+
+    Running sums, then repair (as in ``material_adjust_replay``): until an
     order's running total of valid payments first exceeds its total, every
     valid payment is accepted, so paid amounts and statuses are running sums
-    (two-level scan); only the attempts from that point on are folded.
-    ``speculate='auto'`` does so only when some order has more than
-    ``hot_events`` attempts (measured first); otherwise it folds directly."""
-    if speculate == "auto":
-        busiest = attempts.groupBy("order_id").count().agg(F.max("count")).first()[0] or 0
-        speculate = busiest > hot_events
+    (two-level scan); only the attempts from that point on are folded."""
     p0 = F.col(initial_paid) if initial_paid else F.lit(0.0)
-    x = (attempts.select("seq", "order_id", "amount")
-         .join(orders.select(F.col("id").alias("order_id"), "total_amount", "status",
-                             F.coalesce(_units(p0), F.lit(0).cast("long")).alias("_p0_u")), "order_id")
-         .withColumn("_valid", F.col("amount").isNotNull() & (F.col("amount") != 0))
-         .withColumn("_a_u", _units(F.col("amount"))).withColumn("_t_u", _units(F.col("total_amount"))))
-    to_money = lambda c: (c.cast("decimal(38,0)") / 10000).cast("double")
-
-    def status_after(paid: Column, n: Column, s0: Column) -> Column:
-        return F.when(n > 0, F.when(paid >= F.col("_t_u"), "paid").otherwise("confirmed")).otherwise(s0)
-
-    if speculate and not strict:
-        x = prefix_sums(x, ["order_id"], ["seq"], id_block("seq"),
-                        {"_p_u": F.when(F.col("_valid"), F.col("_a_u")).otherwise(F.lit(0).cast("long")),
-                         "_n": F.when(F.col("_valid"), 1).otherwise(0).cast("long")})
-        x = x.withColumn("_p_u", F.col("_p_u") + F.col("_p0_u"))
-        bad = x.where(F.col("_valid") & (F.col("_p_u") > F.col("_t_u"))).groupBy("order_id").agg(
-            F.min("seq").alias("_first_bad"), F.min_by(F.col("_p_u") - F.col("_a_u"), "seq").alias("_start_u"),
-            F.min_by(F.col("_n") - 1, "seq").alias("_start_n"))
-        x = x.join(bad, "order_id", "left")
-        before = F.col("_first_bad").isNull() | (F.col("seq") < F.col("_first_bad"))
-        quick = x.where(before).select(
-            "seq", "order_id", F.col("_valid").alias("accepted"), to_money(F.col("_p_u")).alias("paid"),
-            status_after(F.col("_p_u"), F.col("_n"), F.col("status")).alias("status"))
-        rest = x.where(~before).withColumn(
-            "_s0", status_after(F.col("_start_u"), F.col("_start_n"), F.col("status")))
-    else:
-        quick = None
-        rest = x.withColumn("_start_u", F.col("_p0_u")).withColumn("_s0", F.col("status"))
+    zero = F.lit(0).cast("long")
+    o = orders.select(F.col("id").alias("order_id"), F.coalesce(_units(F.col("total_amount")), zero).alias("_t_u"),
+                      F.col("status").alias("_st"), F.coalesce(_units(p0), zero).alias("_p0_u"), F.lit(True).alias("_known"))
+    x = attempts.select("seq", *[c for c in order if c != "seq"], "order_id", "amount",
+                        *([F.col(allowed).alias("_may")] if allowed else [])).join(o, "order_id", "left")
+    known = F.coalesce("_known", F.lit(False))
+    nowhere = x.where(~known).select("seq", "order_id", F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("paid"),
+                                     F.lit(None).cast("string").alias("status"))
+    valid = F.col("amount").isNotNull() & (F.col("amount") != 0)
+    if strict:
+        valid = valid & (F.col("amount") > 0) & ~F.coalesce(F.col("_st") == "cancelled", F.lit(False)) if not allowed \
+            else valid & (F.col("amount") > 0)
+    if allowed:
+        valid = valid & F.coalesce("_may", F.lit(False))
+    x = x.where(known).withColumn("_valid", valid).withColumn("_a_u", F.coalesce(_units(F.col("amount")), zero))
+
+    def status_after(paid: Column, n: Column) -> Column:
+        part = F.when(F.col("_st") == "delivered", F.lit("delivered")).otherwise(F.lit("confirmed")) if strict else F.lit("confirmed")
+        return F.when(n > 0, F.when(paid >= F.col("_t_u"), "paid").otherwise(part)).otherwise(F.col("_st"))
+
+    pos = F.struct(*order)
+    x = prefix_sums(x, ["order_id"], order, {"_p_u": F.when(F.col("_valid"), F.col("_a_u")).otherwise(zero),
+                                               "_n": F.when(F.col("_valid"), 1).otherwise(0).cast("long")},
+                    cuts=cuts if cuts is not None else block_cuts(attempts, order[0]))
+    x = x.withColumn("_p_u", F.col("_p_u") + F.col("_p0_u"))
+    bad = x.where(F.col("_valid") & (F.col("_p_u") > F.col("_t_u"))).groupBy("order_id").agg(
+        F.min(pos).alias("_first_bad"), F.min_by(F.col("_p_u") - F.col("_a_u"), pos).alias("_start_u"),
+        F.min_by(F.col("_n") - 1, pos).alias("_start_n"))
+    x = x.join(bad, "order_id", "left")
+    before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
+    quick = x.where(before).select(
+        "seq", "order_id", F.col("_valid").alias("accepted"), _to_money(F.col("_p_u")).alias("paid"),
+        status_after(F.col("_p_u"), F.col("_n")).alias("status"))
+    rest = x.where(~before).withColumn("_s0", status_after(F.col("_start_u"), F.col("_start_n")))
 
     def init(r):
-        return {"paid": int(r["_start_u"]), "status": r["_s0"]}
+        return {"paid": r["_start_u"], "status": r["_s0"]}
 
     def step(s, r):
-        ok = bool(r["_valid"]) and int(r["_a_u"]) <= int(r["_t_u"]) - s["paid"]
-        if strict and ok and (r["_a_u"] < 0 or s["status"] == "cancelled"):
-            ok = False
+        ok = r["_valid"] and r["_a_u"] <= r["_t_u"] - s["paid"]
         if ok:
-            s["paid"] += int(r["_a_u"])
-            if s["paid"] >= int(r["_t_u"]):
+            s["paid"] += r["_a_u"]
+            if s["paid"] >= r["_t_u"]:
                 s["status"] = "paid"
             elif not (strict and s["status"] == "delivered"):
                 s["status"] = "confirmed"
-        return {"seq": r["seq"], "order_id": r["order_id"], "accepted": ok, "paid": s["paid"] / 10000,
+        return {"seq": r["seq"], "order_id": r["order_id"], "accepted": bool(ok), "paid": s["paid"] / 10000,
                 "status": s["status"]}
 
-    slow = sorted_fold(rest.select("seq", "order_id", "_valid", "_a_u", "_t_u", "_start_u", "_s0"), ["order_id"],
-                       ["seq"], "seq long, order_id long, accepted boolean, paid double, status string", init, step)
-    return slow if quick is None else quick.unionByName(slow)
+    slow = sorted_fold(rest.select(*dict.fromkeys(("seq", *order)), "order_id", "_valid", "_a_u", "_t_u", "_start_u", "_s0"),
+                       ["order_id"], list(order), "seq long, order_id long, accepted boolean, paid double, status string", init, step)
+    return quick.unionByName(slow).unionByName(nowhere)
 
 
 # ----------------------------------------------------------------------------- I12
 def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None,
-                           strict: bool = False, method: str = "auto", block_seconds: int = 3600,
-                           hot_events: int = 1_000_000) -> DataFrame:
+                           strict: bool = False) -> DataFrame:
     """The full order life cycle per order, one output row per order.
 
     Event kinds: ``set_status`` (to ``delivered`` subtracts stock unless the
@@ -429,164 +413,94 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     ``delivery_status`` (needs a delivery; ``delivered`` subtracts stock and
     sets delivered unless delivered/paid). ``stock_moves`` counts subtractions:
     it can reach 2 (delivered -> part payment -> confirmed -> delivered).
-
-    ``method='scan'`` (default) needs no per-order sequential pass: payment
-    acceptance is I11 (running sums up to an order's first over-payment); the
-    delivery flag is a prefix test; and because set_status, cancel and accepted
-    payments *reset* the status while the two conditional rules can each fire
-    at most in a fixed order (the one accepted delivery_created precedes every
-    accepted delivery_status), the status before any event follows from the
-    last reset before it plus two position tests - forward fills and running
-    counts over the two-level block scan. ``strict=True`` (and
-    ``method='fold'``) use the sequential fold.
-
-    The scan has a much larger constant cost (several block scans and joins:
-    ~4.5 s against ~1 s for the fold on sf0.1), so ``method='auto'`` measures
-    the busiest order first (one small aggregate) and scans only when some
-    order has more than ``hot_events`` events - the case where the fold would
-    leave one task with a large serial share of the work."""
-    if method == "auto" and not strict:
-        busiest = events.groupBy("order_id").count().agg(F.max("count")).first()[0] or 0
-        method = "scan" if busiest > hot_events else "fold"
-    if strict or method == "fold":
-        return _order_lifecycle_fold(orders, events, deliveries, strict)
+    ``strict=True`` subtracts stock at most once per order and applies the strict
+    payment rule of ``payments_replay`` to the status of that moment.
+
+    No per-order sequential pass: payment acceptance is I11 (running sums up to
+    an order's first over-payment); the delivery flag is a prefix test; and
+    since set_status, cancel and (full, or in the plain mode all) accepted
+    payments *reset* the status while the remaining rules apply in an order that
+    a few positions tell, the status before any event follows from the last
+    reset before it and the last delivered / part payment positions - forward
+    fills and running counts over the two-level block scan."""
     o = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_s0"), "total_amount",
                       F.col("paid_amount").alias("_p0"))
     if deliveries is not None:
         o = o.join(deliveries.select("order_id").distinct().withColumn("_d0", F.lit(True)), "order_id", "left")
     o = o.withColumn("_d0", F.coalesce(F.col("_d0") if deliveries is not None else F.lit(False), F.lit(False)))
     order = ["ts", "seq"]
-    blk = time_block("ts", block_seconds)
     x = events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
-    x = running_count(x, ["order_id"], order, blk, "_pos")
-    # payments: the I11 rule on this order's payment events, from the stored paid amount
-    pays = payments_replay(o.select(F.col("order_id").alias("id"), "total_amount", F.col("_s0").alias("status"), "_p0"),
-                           x.where(F.col("kind") == "payment").select("seq", "order_id", "amount"),
-                           initial_paid="_p0")
-    x = x.join(pays.select("seq", F.col("accepted").alias("_pacc"), F.col("paid").alias("_ppaid"),
-                           F.col("status").alias("_pstat")), "seq", "left")
+    cuts = block_cuts(events, "ts")
+    x = running_count(x, ["order_id"], order, "_pos", cuts=cuts)
     k, st = F.col("kind"), F.col("status")
     dc = x.where(k == "delivery_created").groupBy("order_id").agg(F.min("_pos").alias("_dc_pos"))
     x = x.join(dc, "order_id", "left").withColumn(
         "_dc_pos", F.when(F.col("_d0"), F.lit(None)).otherwise(F.col("_dc_pos")))
-    # the rest reads this frame several times (two fills, flags, final group-by):
+    x = x.withColumn("_has_del", F.coalesce(F.col("_d0") | (F.col("_dc_pos") < F.col("_pos")), F.lit(False)))
+    x = x.withColumn("_is_dd", F.coalesce((k == "delivery_status") & F.col("_has_del") & (st == "delivered"), F.lit(False)))
+    if strict:
+        # whether an order is cancelled does not depend on payments: only these three kinds decide it
+        now = F.when(k == "set_status", F.struct(st.alias("v"))).when(k == "cancel", F.struct(F.lit("cancelled").alias("v"))) \
+            .when(F.col("_is_dd"), F.struct(F.lit("delivered").alias("v")))
+        x = fill_before(x, ["order_id"], order, now, "_last_set", cuts)
+        live = F.when(F.col("_last_set").isNull(), F.col("_s0")).otherwise(F.col("_last_set.v"))
+        x = x.withColumn("_live", ~F.coalesce(live == "cancelled", F.lit(False)))
+    # payments: the I11 rule on this order's payment events, from the stored paid amount
+    pays = payments_replay(o.select(F.col("order_id").alias("id"), "total_amount", F.col("_s0").alias("status"), "_p0"),
+                           x.where(k == "payment").select("seq", "ts", "order_id", "amount", *(["_live"] if strict else [])),
+                           strict=strict, initial_paid="_p0", allowed="_live" if strict else None, order=("ts", "seq"), cuts=cuts)
+    x = x.join(pays.select("seq", F.col("accepted").alias("_pacc"), F.col("paid").alias("_ppaid")), "seq", "left")
+    # the rest reads this frame several times (fills, flags, final group-by):
     # cut the lineage once into the shared checkpoint folder instead of
     # recomputing positions and payment replays for every branch
     ensure_checkpoint_dir(x.sparkSession)
     x = x.checkpoint()
-    has_del = F.col("_d0") | (F.col("_dc_pos") < F.col("_pos"))
-    pacc = F.coalesce(F.col("_pacc"), F.lit(False))
-    x = (x.withColumn("_has_del", F.coalesce(has_del, F.lit(False)))
-         .withColumn("_rej", ((k == "payment") & ~pacc) | ((k == "delivery_created") & F.col("_has_del"))
-                     | ((k == "delivery_status") & ~F.col("_has_del")))
-         .withColumn("_is_dd", (k == "delivery_status") & F.col("_has_del") & (st == "delivered"))
-         .withColumn("_reset", F.when(k == "set_status", F.struct(F.col("_pos").alias("p"), st.alias("v")))
-                     .when(k == "cancel", F.struct(F.col("_pos").alias("p"), F.lit("cancelled").alias("v")))
-                     .when((k == "payment") & pacc, F.struct(F.col("_pos").alias("p"), F.col("_pstat").alias("v")))))
-    x = fill_before(x, ["order_id"], order, blk, F.col("_reset"), "_last_reset")
-    x = fill_before(x, ["order_id"], order, blk, F.when(F.col("_is_dd"), F.col("_pos")), "_last_dd")
-
-    def status_given(last_reset: Column, dc_seen: Column, dd_seen: Column) -> Column:
-        r = F.when(last_reset.isNull(), F.col("_s0")).otherwise(last_reset["v"])
-        s1 = F.when(dc_seen & (r == "pending"), F.lit("confirmed")).otherwise(r)
-        return F.when(dd_seen & ~F.coalesce(s1.isin("delivered", "paid"), F.lit(False)), F.lit("delivered")) \
-            .otherwise(s1)
+    pacc = F.coalesce("_pacc", F.lit(False))
+    full = pacc & (F.col("_ppaid") >= F.coalesce(_to_money(_units(F.col("total_amount"))), F.lit(0.0)))
+    at = lambda v: F.struct(F.col("_pos").alias("p"), v.alias("v"))
+    reset = F.when(k == "set_status", at(st)).when(k == "cancel", at(F.lit("cancelled"))).when(full, at(F.lit("paid")))
+    x = (x.withColumn("_rej", ((k == "payment") & ~pacc) | ((k == "delivery_created") & F.col("_has_del"))
+                      | ((k == "delivery_status") & ~F.col("_has_del")))
+         .withColumn("_reset", reset if strict else reset.when(pacc, at(F.lit("confirmed"))))
+         .withColumn("_part", F.when(pacc & ~full, F.col("_pos")) if strict else F.lit(None).cast("long"))
+         .withColumn("_dd", F.when(F.col("_is_dd"), F.col("_pos"))))
+    x = fill_before(x, ["order_id"], order, F.col("_reset"), "_last_reset", cuts)
+    x = fill_before(x, ["order_id"], order, F.col("_dd"), "_last_dd", cuts)
+    if strict:
+        x = fill_before(x, ["order_id"], order, F.col("_part"), "_last_part", cuts)
+        after_part = F.col("_last_part") > F.coalesce(F.col("_last_reset.p"), F.lit(0))
+        x = x.withColumn("_dd2", F.when(F.col("_is_dd") & after_part, F.col("_pos")))
+        x = fill_before(x, ["order_id"], order, F.col("_dd2"), "_last_dd2", cuts)
+    else:
+        x = x.withColumns({c: F.lit(None).cast("long") for c in ("_last_part", "_dd2", "_last_dd2")})
+
+    def status_now(dc_seen: Column) -> Column:
+        """The status from the last reset and what has happened since."""
+        since = lambda c: F.coalesce(F.col(c) > F.coalesce(F.col("_last_reset.p"), F.lit(0)), F.lit(False))
+        r = F.when(F.col("_last_reset").isNull(), F.col("_s0")).otherwise(F.col("_last_reset.v"))
+        return (F.when(r == "delivered", r)
+                .when(r == "paid", F.when(since("_last_dd2"), "delivered").when(since("_last_part"), "confirmed").otherwise(r))
+                .when(since("_last_dd"), "delivered").when(since("_last_part"), "confirmed")
+                .when(dc_seen & (r == "pending"), "confirmed").otherwise(r))
 
     rpos = F.coalesce(F.col("_last_reset.p"), F.lit(0))
-    before = status_given(F.col("_last_reset"), F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos)
-                          & (F.col("_dc_pos") < F.col("_pos")),
-                          F.col("_last_dd").isNotNull() & (F.col("_last_dd") > rpos))
+    before = status_now(F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos) & (F.col("_dc_pos") < F.col("_pos")))
     settled = F.coalesce(before.isin("delivered", "paid"), F.lit(False))
-    x = x.withColumn("_move", (((k == "set_status") & (st == "delivered")) | F.col("_is_dd")) & ~settled)
+    x = x.withColumn("_move", F.coalesce((((k == "set_status") & (st == "delivered")) | F.col("_is_dd")) & ~settled, F.lit(False)))
+    moves = F.sum(F.col("_move").cast("long"))
     g = x.groupBy("order_id").agg(
         F.first("_s0").alias("_s0"), F.first("_p0").alias("_p0"), F.first("_dc_pos").alias("_dc_pos"),
         F.max_by(F.col("_reset"), F.when(F.col("_reset").isNotNull(), F.col("_pos"))).alias("_last_reset"),
-        F.max(F.when(F.col("_is_dd"), F.col("_pos"))).alias("_last_dd"),
+        F.max("_dd").alias("_last_dd"), F.max("_part").alias("_last_part"), F.max("_dd2").alias("_last_dd2"),
         F.max_by(F.col("_ppaid"), F.when(pacc, F.col("_pos"))).alias("_paid"),
-        F.sum(F.col("_move").cast("long")).alias("stock_moves"), F.sum(F.col("_rej").cast("long")).alias("rejected"),
-        F.count(F.lit(1)).alias("events"))
-    rpos = F.coalesce(F.col("_last_reset.p"), F.lit(0))
-    final = status_given(F.col("_last_reset"), F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos),
-                         F.col("_last_dd").isNotNull() & (F.col("_last_dd") > rpos))
+        (F.least(moves, F.lit(1).cast("long")) if strict else moves).alias("stock_moves"),
+        F.sum(F.col("_rej").cast("long")).alias("rejected"), F.count(F.lit(1)).alias("events"))
+    final = status_now(F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos))
     return g.select("order_id", final.alias("status"),
-                    F.coalesce(F.col("_paid"), ((F.col("_p0").cast(MONEY) * 10000).cast("long").cast("decimal(38,0)")
-                                                / 10000).cast("double")).alias("paid"),
+                    F.coalesce(F.col("_paid"), _to_money(_units(F.col("_p0"))), F.lit(0.0)).alias("paid"),
                     "stock_moves", "rejected", "events")
 
 
-def _order_lifecycle_fold(orders: DataFrame, events: DataFrame, deliveries: DataFrame | None = None,
-                          strict: bool = False) -> DataFrame:
-    """The full order life cycle per order, one output row per order.
-
-    Event kinds: ``set_status`` (to ``delivered`` subtracts stock unless the
-    order is delivered or paid), ``cancel``, ``payment`` (I11 rule),
-    ``delivery_created`` (one per order; pending -> confirmed) and
-    ``delivery_status`` (needs a delivery; ``delivered`` subtracts stock and
-    sets delivered unless delivered/paid). ``stock_moves`` counts subtractions:
-    it can reach 2 (delivered -> part payment -> confirmed -> delivered).
-    ``strict=True`` subtracts stock at most once per order and applies the
-    strict payment rule of ``payments_replay``."""
-    o = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_s0"), "total_amount",
-                      F.col("paid_amount").alias("_p0"))
-    if deliveries is not None:
-        has = deliveries.select("order_id").distinct().withColumn("_d0", F.lit(True))
-        o = o.join(has, "order_id", "left")
-    else:
-        o = o.withColumn("_d0", F.lit(False))
-    x = (events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
-         .withColumn("_a_u", _units(F.col("amount"))).withColumn("_t_u", _units(F.col("total_amount")))
-         .withColumn("_p0_u", F.coalesce(_units(F.col("_p0")), F.lit(0).cast("long"))))
-
-    def init(r):
-        return {"status": r["_s0"], "paid": int(r["_p0_u"]), "del": bool(r["_d0"]) if not _isnull(r["_d0"]) else False,
-                "moves": 0, "rejected": 0, "events": 0}
-
-    def subtract(s):
-        if not (strict and s["moves"] > 0):
-            s["moves"] += 1
-
-    def step(s, r):
-        k, st, tot = r["kind"], r["status"], int(r["_t_u"])
-        s["events"] += 1
-        if k == "set_status":
-            if st == "delivered" and s["status"] not in ("delivered", "paid"):
-                subtract(s)
-            s["status"] = st
-        elif k == "cancel":
-            s["status"] = "cancelled"
-        elif k == "payment":
-            a = None if _isnull(r["_a_u"]) else int(r["_a_u"])
-            if a is None or a == 0 or a > tot - s["paid"] or (strict and (a < 0 or s["status"] == "cancelled")):
-                s["rejected"] += 1
-            else:
-                s["paid"] += a
-                if s["paid"] >= tot:
-                    s["status"] = "paid"
-                elif not (strict and s["status"] == "delivered"):
-                    s["status"] = "confirmed"
-        elif k == "delivery_created":
-            if s["del"]:
-                s["rejected"] += 1
-            else:
-                s["del"] = True
-                if s["status"] == "pending":
-                    s["status"] = "confirmed"
-        elif k == "delivery_status":
-            if not s["del"]:
-                s["rejected"] += 1
-            elif st == "delivered" and s["status"] not in ("delivered", "paid"):
-                subtract(s)
-                s["status"] = "delivered"
-        return {"order_id": r["order_id"], "seq": r["seq"], "status": s["status"], "paid": s["paid"] / 10000,
-                "stock_moves": s["moves"], "rejected": s["rejected"], "events": s["events"]}
-
-    steps = sorted_fold(x, ["order_id"], ["ts", "seq"], "order_id long, seq long, status string, paid double, "
-                        "stock_moves long, rejected long, events long", init, step)
-    last = steps.groupBy("order_id").agg(F.max_by(F.struct("status", "paid", "stock_moves", "rejected", "events"),
-                                                  "events").alias("_l"))
-    return last.select("order_id", "_l.*")
-
-
 # ----------------------------------------------------------------------------- I13-I16
 def customer_balances(payments: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Balance += payments for customers whose type is not retail (a NULL

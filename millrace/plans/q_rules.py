@@ -186,7 +186,8 @@ def i8(t):
 
 I9_SQL = """
 WITH RECURSIVE ev AS (
-  SELECT ml.id, ml.material_id, ml.type, ml.quantity, CAST(COALESCE(m.quantity, 0) AS DECIMAL(38,4)) AS x0,
+  SELECT ml.id, ml.material_id, ml.type, ml.quantity, m.id IS NOT NULL AS known,
+         CASE WHEN m.id IS NOT NULL THEN CAST(COALESCE(m.quantity, 0) AS DECIMAL(38,4)) END AS x0,
          CAST(ml.quantity AS DECIMAL(38,4)) AS q,
          row_number() OVER (PARTITION BY ml.material_id ORDER BY ml.created_at, ml.id) AS rn
   FROM material_logs ml LEFT JOIN raw_materials m ON m.id = ml.material_id),
@@ -194,12 +195,14 @@ r AS (
   SELECT id, material_id, rn, reason, CASE WHEN reason IS NULL THEN nb ELSE x0 END AS balance
   FROM (SELECT *, CASE WHEN type = 'in' THEN x0 + q ELSE x0 - q END AS nb,
                CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'bad_quantity'
+                    WHEN NOT known THEN 'unknown_material'
                     WHEN (CASE WHEN type = 'in' THEN x0 + q ELSE x0 - q END) < 0
                     THEN 'insufficient_stock' END AS reason
         FROM ev WHERE rn = 1) a
   UNION ALL
   SELECT e.id, e.material_id, e.rn,
          CASE WHEN e.quantity IS NULL OR e.quantity <= 0 THEN 'bad_quantity'
+              WHEN NOT e.known THEN 'unknown_material'
               WHEN (CASE WHEN e.type = 'in' THEN r.balance + e.q ELSE r.balance - e.q END) < 0
               THEN 'insufficient_stock' END,
          CASE WHEN e.quantity IS NULL OR e.quantity <= 0 THEN r.balance
@@ -401,13 +404,13 @@ def i19(t):
 
 
 @register("a6_settings_map", f"""
-SELECT array_to_string(list_sort(map_keys(m)), ',') AS key_list, m['key0'] AS key0_value
+SELECT array_to_string(list_sort(map_keys(m)), ',') AS key_list, m['view'] AS key0_value
 FROM (SELECT map_from_entries(list(struct_pack(k := key, v := value))) AS m FROM ({SETTINGS_SQL}) s) x
 """)
 def a6(t):
     m = I.settings_map(I.settings_upsert(None, t.app_settings_log))
     return m.select(F.concat_ws(",", F.array_sort(F.map_keys("settings"))).alias("key_list"),
-                    F.col("settings")["key0"].alias("key0_value"))
+                    F.col("settings")["view"].alias("key0_value"))
 
 
 @register("i20_validate_deposits", """
@@ -455,22 +458,22 @@ def i20b(t):
 
 @register("i12_order_lifecycle_scan", I12_SQL)
 def i12_scan(t):
-    """I12 with the parallel (block-scan) method forced, checked against the same oracle."""
-    return I.order_lifecycle_replay(t.sales_orders, t.order_events, t.deliveries, method="scan")
+    """I12 by the block scan, its only form."""
+    return I.order_lifecycle_replay(t.sales_orders, t.order_events, t.deliveries)
 
 
 @register("i9_material_adjust_speculative", I9_SQL + """
 SELECT id, material_id, reason IS NULL AS accepted, reason, CAST(balance AS DOUBLE) AS balance FROM r
 """)
 def i9_spec(t):
-    """I9 with speculate-then-repair forced (the hot-material path), same oracle."""
-    return I.material_adjust_replay(t.raw_materials, t.material_logs, speculate=True)
+    """I9 by running sums and repair, its only form."""
+    return I.material_adjust_replay(t.raw_materials, t.material_logs)
 
 
 @register("i11_payments_speculative", I11_SQL)
 def i11_spec(t):
-    """I11 with speculate-then-repair forced (the hot-order path), same oracle."""
-    return I.payments_replay(t.sales_orders, t.payment_attempts, speculate=True)
+    """I11 by running sums and repair, its only form."""
+    return I.payments_replay(t.sales_orders, t.payment_attempts)
 
 
 def _validation_sql(table: str, checks: list[tuple[str, str]], name: str = "reason") -> str:

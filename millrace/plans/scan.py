@@ -2,18 +2,21 @@
 
 A plain ``Window.partitionBy(key).orderBy(t)`` puts every row of one key in one
 task; with a key that holds a third of all rows that task is the job. Here the
-ordered rows of each key are cut into blocks (``block`` must be a column that
-never decreases along the order, e.g. ``floor(id / 2^20)`` or the hour of a
-timestamp), so that:
+ordered rows are cut into blocks of about equal row counts - at quantiles of the
+first order column, taken by one aggregate over that column, as many as the
+cluster has shuffle partitions, times ``BLOCKS_PER_PARTITION`` - so that:
 
 1. a window over ``(key, block)`` gives the running total inside each block;
 2. a group-by over ``(key, block)`` gives one total per block (a frame that is
-   ``rows / block size`` long);
+   at most keys x blocks long, with map-side partial aggregation);
 3. a window over that small frame gives each block's offset = the sum of all
    earlier blocks of the key;
 4. a join on ``(key, block)`` adds the offset back.
 
-Only step 3 partitions by the bare key, and it sees one row per block.
+Only step 3 partitions by the bare key, and it sees one row per block. Rows that
+tie in the first order column share a block. Keys are compared as texts with a
+mark for NULL, filled in once before the first exchange, so the join of step 4
+is a plain equality join on the window's own partitioning.
 """
 
 from __future__ import annotations
@@ -22,63 +25,79 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BLK = "_blk"
+BLK, KEY = "_blk", "_key"
 MONEY = "decimal(18,4)"
+BLOCKS_PER_PARTITION = 4
+_STEP = 64
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on column names with ``<=>`` so NULL keys still meet."""
-    r = right
-    for k in keys:
-        r = r.withColumnRenamed(k, f"_r_{k}")
-    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    out = left.join(r, on=cond, how=how)
-    return out.drop(*[f"_r_{k}" for k in keys])
+def _number(df: DataFrame, col: str) -> Column:
+    """The order column as a whole number that sorts alike."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return F.unix_date(c) if isinstance(kind, T.DateType) else c.cast("long")
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-                values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+def block_cuts(df: DataFrame, col: str, blocks: int | None = None) -> Column:
+    """Where blocks of ``df`` begin, as a scalar subquery: quantiles of ``col``. Scans over frames
+    that are derived from ``df`` share it."""
+    n = blocks or BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = df.agg(F.percentile_approx(_number(df, col), [i / n for i in range(1, n)] or [0.5], 10 * n).alias("cuts"))
+    return cuts.select(F.coalesce("cuts", F.array().cast("array<bigint>"))).scalar()
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Column | None) -> DataFrame:
+    """``df`` with the block number and the keys as one text column without NULLs."""
+    v = _number(df, order[0])
+    df = df.withColumn("_cuts", cuts if cuts is not None else block_cuts(df, order[0]))
+    # every 64th cut first, then among 64: few comparisons however many blocks there are
+    some = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / _STEP).cast("int")), lambda i: F.get("_cuts", i * _STEP))
+    coarse = F.when(F.size("_cuts") > _STEP, F.greatest(F.size(F.filter(some, lambda c: c <= v)) - 1, F.lit(0))).otherwise(0)
+    fine = F.size(F.filter(F.slice("_cuts", coarse * _STEP + 1, F.lit(_STEP)), lambda c: c <= v))
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys]
+    return df.withColumn(BLK, F.coalesce(coarse * _STEP + fine, F.lit(0))).withColumn(
+        KEY, F.concat_ws("\0", *parts) if parts else F.lit("")).drop("_cuts")
+
+
+def _local(order: Sequence[Column | str]):
+    return Window.partitionBy(KEY, BLK).orderBy(*order)
+
+
+def _blocks():
+    return Window.partitionBy(KEY).orderBy(BLK)
+
+
+def _earlier():
+    return _blocks().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                inclusive: bool = True, cuts: Column | None = None) -> DataFrame:
     """Add one running-sum column per entry of ``values`` (per key, in ``order``).
 
     ``inclusive=False`` gives the sum over strictly earlier rows.
     """
-    keys = list(keys)
-    d = df.withColumn(BLK, block)
-    for name, c in values.items():
-        d = d.withColumn(f"_v_{name}", c)
-    upper = Window.currentRow if inclusive else -1
-    w_local = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
-    local = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(w_local), F.lit(0)).alias(f"_l_{n}") for n in values])
-    totals = d.groupBy(*keys, BLK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    w_blocks = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, BLK, *[F.coalesce(F.sum(f"_t_{n}").over(w_blocks), F.lit(0)).alias(f"_o_{n}")
-                                          for n in values])
-    out = _null_safe_join(local, offsets, keys + [BLK])
-    for n in values:
-        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
-    return out.drop(BLK, *[f"_{p}_{n}" for n in values for p in ("v", "l", "o")])
-
-
-def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-                  name: str, where: Column | None = None, inclusive: bool = True) -> DataFrame:
-    """Row number per key (``where`` given: count of earlier qualifying rows)."""
-    one = F.lit(1).cast("long") if where is None else F.when(where, 1).otherwise(0).cast("long")
-    return prefix_sums(df, keys, order, block, {name: one}, inclusive=inclusive)
+    d = _blocked(df, keys, order, cuts).withColumns({f"_v_{n}": c for n, c in values.items()})
+    w = _local(order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)).alias(f"_l_{n}") for n in values])
+    totals = d.groupBy(KEY, BLK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    offsets = totals.select(KEY, BLK, *[F.coalesce(F.sum(f"_t_{n}").over(_earlier()), F.lit(0)).alias(f"_o_{n}") for n in values])
+    out = local.join(offsets, [KEY, BLK]).withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in values})
+    return out.select(*df.columns, *[n for n in values if n not in df.columns])
 
 
-def id_block(col: str, width: int = 1 << 20) -> Column:
-    """Block of ``width`` consecutive ids (monotone in the id)."""
-    return F.floor(F.col(col) / F.lit(width))
-
-
-def time_block(col: str, seconds: int = 3600) -> Column:
-    """Fixed-width time bucket (monotone in the timestamp)."""
-    return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(seconds * 1_000_000))
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, where: Column | None = None,
+                  inclusive: bool = True, cuts: Column | None = None) -> DataFrame:
+    """Row number per key (``where`` given: count of earlier qualifying rows)."""
+    one = F.lit(1).cast("long") if where is None else F.when(where, 1).otherwise(0).cast("long")
+    return prefix_sums(df, keys, order, {name: one}, inclusive=inclusive, cuts=cuts)
 
 
-def clamped_balance(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-                    delta: Column, clamp: Column, initial: Column, name: str = "balance") -> DataFrame:
+def clamped_balance(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: Column, clamp: Column,
+                    initial: Column, name: str = "balance", cuts: Column | None = None) -> DataFrame:
     """Running balance where ``clamp`` rows floor the balance at 0.
 
     Sequentially: ``bal = bal + d`` on plain rows, ``bal = max(0, bal + d)`` on
@@ -86,65 +105,53 @@ def clamped_balance(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     with ``S`` the running sum of ``d`` and ``M`` the running max of ``-S`` over
     clamped rows, ``bal = S + max(initial, M)``. Both running sum and running
     max are associative, so the same two-level block scheme as ``prefix_sums``
-    applies: block-local sums and maxima, then offsets from the (small) block
-    frame, then one join back. No loop, no single-task key.
+    applies. A block's largest ``-S`` needs its rows in order, so block totals
+    come from the window's result: of each block its last row.
     """
-    keys = list(keys)
     # exact decimals: the block split re-associates the sums, doubles would
     # then differ in their last bits from a one-pass running sum
-    d = df.withColumn(BLK, block).withColumn("_d", delta.cast(MONEY)).withColumn("_c", clamp) \
+    d = _blocked(df, keys, order, cuts).withColumn("_d", delta.cast(MONEY)).withColumn("_c", clamp) \
         .withColumn("_x0", initial.cast(MONEY))
-    w_local = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_s", F.sum("_d").over(w_local))
-    d = d.withColumn("_m", F.max(F.when(F.col("_c"), -F.col("_s"))).over(w_local))
-    blocks = d.groupBy(*keys, BLK).agg(F.sum("_d").alias("_bd"),
-                                       F.max(F.when(F.col("_c"), -F.col("_s"))).alias("_bm"))
-    w_prev = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bd").over(w_prev), F.lit(0).cast(MONEY)))
-    blocks = blocks.withColumn("_pm", F.max(F.col("_bm") - F.col("_off")).over(w_prev)).drop("_bd", "_bm")
-    out = _null_safe_join(d, blocks, keys + [BLK])
+    w = _local(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_s", F.sum("_d").over(w))
+    d = d.withColumn("_m", F.max(F.when(F.col("_c"), -F.col("_s"))).over(w))
+    blocks = d.groupBy(KEY, BLK).agg(F.sum("_d").alias("_bd"), F.max(F.when(F.col("_c"), -F.col("_s"))).alias("_bm"))
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bd").over(_earlier()), F.lit(0).cast(MONEY)))
+    blocks = blocks.withColumn("_pm", F.max(F.col("_bm") - F.col("_off")).over(_earlier())).drop("_bd", "_bm")
     s = F.col("_off") + F.col("_s")
     m = F.greatest(F.col("_pm"), F.col("_m") - F.col("_off"))  # greatest() skips NULLs
-    out = out.withColumn(name, (s + F.greatest(F.col("_x0"), m)).cast("double"))
-    return out.drop(BLK, "_d", "_c", "_x0", "_s", "_m", "_off", "_pm")
+    out = d.join(blocks, [KEY, BLK]).withColumn(name, (s + F.greatest(F.col("_x0"), m)).cast("double"))
+    return out.select(*df.columns, *([] if name in df.columns else [name]))
 
 
-def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-                   value: str, name: str) -> DataFrame:
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
+                   cuts: Column | None = None) -> DataFrame:
     """``lag(value)`` per key without one task per key: lag inside each block, and
     for a block's first row the last value of the key's previous block (taken
     from the small per-block frame). Adds ``name`` and ``_is_first`` (first row
     of the key, where the lag is undefined)."""
-    keys = list(keys)
-    d = df.withColumn(BLK, block)
-    w = Window.partitionBy(*keys, BLK).orderBy(*order)
+    d = _blocked(df, keys, order, cuts)
+    w = _local(order)
     d = d.withColumn(name, F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
-    ordcols = [F.col(o) if isinstance(o, str) else o for o in order]
-    last = d.groupBy(*keys, BLK).agg(F.max_by(F.col(value), F.struct(*ordcols)).alias("_lastv"))
-    wb = Window.partitionBy(*keys).orderBy(BLK)
-    last = last.select(*keys, BLK, F.lag("_lastv").over(wb).alias("_pv"),
-                       (F.row_number().over(wb) == 1).alias("_first_blk"))
-    out = _null_safe_join(d, last, keys + [BLK])
+    last = d.groupBy(KEY, BLK).agg(F.max_by(F.col(value), F.struct(*order)).alias("_lastv"))
+    last = last.select(KEY, BLK, F.lag("_lastv").over(_blocks()).alias("_pv"), (F.row_number().over(_blocks()) == 1).alias("_first_blk"))
     first_in_blk = F.col("_rn") == 1
-    return (out.withColumn(name, F.when(first_in_blk, F.col("_pv")).otherwise(F.col(name)))
-            .withColumn("_is_first", first_in_blk & F.col("_first_blk"))
-            .drop(BLK, "_rn", "_pv", "_first_blk"))
+    out = d.join(last, [KEY, BLK]).withColumn(name, F.when(first_in_blk, F.col("_pv")).otherwise(F.col(name)))
+    return out.withColumn("_is_first", first_in_blk & F.col("_first_blk")).select(
+        *df.columns, *([] if name in df.columns else [name]), "_is_first")
 
 
-def fill_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-                value: Column, name: str) -> DataFrame:
+def fill_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
+                cuts: Column | None = None) -> DataFrame:
     """The last non-NULL ``value`` strictly before each row, per key in order
     (a forward fill), with the same two-level block scheme: a window inside
     each (key, block), the last value of every block from a group-by, and the
     carry from earlier blocks over the small per-block frame."""
-    keys = list(keys)
-    ordcols = [F.col(o) if isinstance(o, str) else o for o in order]
-    d = df.withColumn(BLK, block).withColumn("_fv", value)
-    w = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = _blocked(df, keys, order, cuts).withColumn("_fv", value)
+    w = _local(order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_fl", F.last("_fv", ignorenulls=True).over(w))
-    blocks = d.groupBy(*keys, BLK).agg(
-        F.max_by(F.col("_fv"), F.when(F.col("_fv").isNotNull(), F.struct(*ordcols))).alias("_bl"))
-    wb = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, BLK, F.last("_bl", ignorenulls=True).over(wb).alias("_carry"))
-    out = _null_safe_join(d, blocks, keys + [BLK])
-    return out.withColumn(name, F.coalesce(F.col("_fl"), F.col("_carry"))).drop(BLK, "_fv", "_fl", "_carry")
+    blocks = d.groupBy(KEY, BLK).agg(
+        F.max_by(F.col("_fv"), F.when(F.col("_fv").isNotNull(), F.struct(*order))).alias("_bl"))
+    blocks = blocks.select(KEY, BLK, F.last("_bl", ignorenulls=True).over(_earlier()).alias("_carry"))
+    out = d.join(blocks, [KEY, BLK]).withColumn(name, F.coalesce(F.col("_fl"), F.col("_carry")))
+    return out.select(*df.columns, *([] if name in df.columns else [name]))

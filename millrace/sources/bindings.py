@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.scan import id_block, running_count
+from millrace.plans.scan import running_count
 from millrace.sources.tables import load_table
 
 _CREATED_AT = "o_orderdate + (o_orderkey % 86400) * INTERVAL '1' SECOND AS created_at"
@@ -252,7 +252,7 @@ def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "delivery_route_orders":
         o = load_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr(
             "o_orderkey AS id", "o_custkey AS route_id", "o_orderkey AS order_id")
-        return running_count(o, ["route_id"], ["order_id"], id_block("order_id"), "sequence_number") \
+        return running_count(o, ["route_id"], ["order_id"], "sequence_number") \
             .select("id", "route_id", "order_id", "sequence_number")
     raise KeyError(name)
 

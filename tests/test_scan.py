@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.plans.scan import clamped_balance, id_block, prefix_sums, previous_value, running_count
+from millrace.plans.scan import block_cuts, clamped_balance, prefix_sums, previous_value, running_count
 
 
 def _frame(spark, n=400, keys=3, seed=7):
@@ -17,7 +17,7 @@ def _frame(spark, n=400, keys=3, seed=7):
 
 def test_prefix_sums_match_one_pass_window(spark):
     df, _ = _frame(spark)
-    two = prefix_sums(df, ["k"], ["id"], id_block("id", 16), {"s": F.col("d").cast("decimal(18,4)")})
+    two = prefix_sums(df, ["k"], ["id"], {"s": F.col("d").cast("decimal(18,4)")})
     w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     one = df.withColumn("s1", F.sum(F.col("d").cast("decimal(18,4)")).over(w))
     j = two.join(one.select("id", "s1"), "id")
@@ -26,7 +26,7 @@ def test_prefix_sums_match_one_pass_window(spark):
 
 def test_running_count_exclusive_with_condition(spark):
     df, rows = _frame(spark)
-    out = {r["id"]: r["n"] for r in running_count(df, ["k"], ["id"], id_block("id", 10), "n",
+    out = {r["id"]: r["n"] for r in running_count(df, ["k"], ["id"], "n",
                                                   where=F.col("c"), inclusive=False).collect()}
     seen = {}
     for i, k, _d, c in rows:
@@ -37,7 +37,7 @@ def test_running_count_exclusive_with_condition(spark):
 def test_clamped_balance_matches_sequential_fold(spark):
     df, rows = _frame(spark, n=600)
     df = df.withColumn("x0", F.lit(20.0))
-    out = {r["id"]: r["balance"] for r in clamped_balance(df, ["k"], ["id"], id_block("id", 32), F.col("d"),
+    out = {r["id"]: r["balance"] for r in clamped_balance(df, ["k"], ["id"], F.col("d"),
                                                           F.col("c"), F.col("x0")).collect()}
     bal = {}
     for i, k, d, c in rows:
@@ -50,7 +50,7 @@ def test_clamped_balance_matches_sequential_fold(spark):
 def test_previous_value_matches_lag(spark):
     df, rows = _frame(spark, n=300)
     out = {r["id"]: (r["p"], r["_is_first"]) for r in
-           previous_value(df, ["k"], ["id"], id_block("id", 8), "d", "p").collect()}
+           previous_value(df, ["k"], ["id"], "d", "p").collect()}
     last = {}
     for i, k, d, _c in rows:
         assert out[i] == (last.get(k), k not in last)
