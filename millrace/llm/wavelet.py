@@ -104,7 +104,7 @@ class WordEncoder:
                 self.young[w] = ids
                 continue
             core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and core.decode()[-1].isalpha() and w.translate(None, _MARKS) == core:
+            if core and len(core) < len(w) and core.decode().isalpha():
                 joined.append((w, core, w[len(core):]))
                 new.update(x for x in (core, w[len(core):]) if x not in self.young)
             else:
@@ -162,7 +162,7 @@ def build(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
         zeros.append(int(len(a) - bit.sum()))
         ranks.append([0, *np.cumsum(plane_ranks).tolist()])
         ends.append(plane_ends)
-        a = np.concatenate((a[~bit], a[bit]))
+        a = np.concatenate((a.take(np.flatnonzero(~bit)), a.take(np.flatnonzero(bit))))
     head = json.dumps({"n": len(ids), "planes": planes, "block_bits": BLOCK_BITS, "zeros": zeros, "ranks": ranks,
                        "ends": ends, "docs": doc_ids, "starts": np.asarray(starts).tolist()}).encode()
     head = zlib.compress(head)
@@ -251,8 +251,8 @@ class WaveletMatrix:
             blocks = range(len(self.ends[p]))
             bit = np.concatenate([self._bits(p, b) for b in blocks]).view(bool) if self.n else np.zeros(0, bool)
             up = np.empty_like(a)
-            up[~bit] = a[:self.zeros[p]]
-            up[bit] = a[self.zeros[p]:] | a.dtype.type(1 << (self.planes - 1 - p))
+            up[np.flatnonzero(~bit)] = a[:self.zeros[p]]
+            up[np.flatnonzero(bit)] = a[self.zeros[p]:] | a.dtype.type(1 << (self.planes - 1 - p))
             a = up
         return a
 
