@@ -22,8 +22,9 @@ OPEN = ("paid", "cancelled")
 
 
 # ----------------------------------------------------------------------------- I1
-# What a change may touch, per master-data entity (key, columns
-# an update may set, defaults on insert, soft = active 0 / hard = row removed).
+# What a change may touch, per entity: the key, the columns an update may set, defaults
+# on insert, and what a delete does (hard: the row goes; soft: active = 0; status: status becomes
+# cancelled; none: refused). Entities keyed by id get their ids from inserts.
 CHANGE_SPECS = {
     "raw_materials": {"key": "code", "updatable": ["name", "unit", "min_quantity", "cost_per_unit"],
                       "insert_defaults": {"quantity": 0.0, "min_quantity": 0.0, "cost_per_unit": 0.0},
@@ -37,59 +38,102 @@ CHANGE_SPECS = {
                   "insert_defaults": {}, "delete": "soft"},
     "equipment": {"key": "code", "updatable": ["name", "type", "model", "location", "status", "notes"],
                   "insert_defaults": {"status": "active"}, "delete": "hard"},
-    "users": {"key": "username", "updatable": ["name", "role", "active"], "insert_defaults": {"role": "staff"},
+    "users": {"key": "username", "updatable": ["name", "role", "active"], "insert_defaults": {"role": "staff", "active": 1},
               "delete": "hard", "protected": ["admin"]},
+    "expenses": {"key": "id", "updatable": ["category", "description", "amount", "expense_date", "receipt_ref", "vendor"],
+                 "insert_defaults": {}, "delete": "hard"},
+    "water_quality_tests": {"key": "id", "updatable": ["ph", "tds", "turbidity", "chlorine", "hardness", "temperature", "odor",
+                                                       "taste", "result", "tester", "notes"],
+                            "insert_defaults": {"odor": "ปกติ", "taste": "ปกติ", "result": "pending"}, "delete": "hard"},
+    "product_bom": {"key": ["product_id", "material_id"], "updatable": [], "insert_defaults": {}, "delete": "hard"},
+    "production_orders": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "pending"}, "delete": "status"},
+    "sales_orders": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "pending"}, "delete": "status"},
+    "deliveries": {"key": "order_id", "updatable": ["status", "driver_name", "vehicle", "delivery_date", "notes"],
+                   "insert_defaults": {"status": "pending"}, "delete": "none"},
+    "returns": {"key": "id", "updatable": ["status", "action_taken"], "insert_defaults": {"status": "pending"}, "delete": "none"},
+    "delivery_routes": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "planned"}, "delete": "none"},
+    "purchase_orders": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "draft"}, "delete": "none"},
 }
-# The product change feed carries name and price only, so that is what it may set.
-PRODUCT_SPEC = {**CHANGE_SPECS["products"], "updatable": ["name", "price"]}
 
 
-def apply_changes(current: DataFrame, changes: DataFrame, spec: dict = PRODUCT_SPEC,
+def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "products",
                   seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Insert / update / delete change rows onto a master table.
-
-    Per key: an insert is accepted only if the key was never used (a
-    soft-deleted key stays used); updates and deletes are accepted once the key
-    exists. Values come from the last accepted insert/update; a soft delete sets
-    ``active = 0`` (a hard delete drops the row). Returns ``(state, rejects)``.
-    All of it is group-by + join: no per-key ordering pass is needed."""
-    key = spec["key"]
-    upd = [c for c in spec["updatable"] if c in changes.columns]
-    cur_keys = current.select(F.col(key), F.lit(True).alias("_exists0")).dropDuplicates([key])
-    ch = changes.join(cur_keys, key, "left").withColumn("_exists0", F.coalesce("_exists0", F.lit(False)))
-    first_ins = ch.where(F.col("op") == "insert").groupBy(key).agg(F.min(seq).alias("_first_ins"))
-    ch = ch.join(first_ins, key, "left")
-    exists_at = F.col("_exists0") | (F.col("_first_ins").isNotNull() & (F.col(seq) > F.col("_first_ins")))
-    protected = F.col("op").eqNullSafe("delete") & F.col(key).isin(*spec.get("protected", []))
-    accepted = F.when(F.col("op") == "insert", ~F.col("_exists0") & (F.col(seq) == F.col("_first_ins"))) \
-        .otherwise(exists_at & ~protected)
-    ch = ch.withColumn("_ok", accepted)
-    rejects = ch.where(~F.col("_ok")).select(
-        seq, key, "op", F.when(F.col("op") == "insert", "duplicate_key").when(protected & exists_at, "protected")
-        .otherwise("not_found").alias("reason"))
-    ok = ch.where(F.col("_ok"))
-    agg = ok.groupBy(key).agg(
-        F.max_by(F.struct(*upd), F.when(F.col("op").isin("insert", "update"), F.col(seq))).alias("_v"),
-        F.max(F.col("op") == "delete").alias("_deleted"),
-        F.max(F.col("op") == "insert").alias("_inserted"))
-    st = current.join(agg, key, "full_outer")
+    """Insert / update / delete change rows onto a table, in ``seq`` order.
+
+    An insert is accepted if its key is not in use (a soft-deleted key stays in
+    use, a hard-deleted one is free again); updates and deletes need the key in
+    use. An insert sets every column that the change carries, defaults fill its
+    NULLs, and it gets the next id (largest id + n); an update sets the spec's
+    columns only. Rejected: a NULL key (``missing_key``), ``duplicate_key``,
+    ``not_found``, ``protected`` keys and deletes where the entity has none
+    (``not_allowed``), other ops (``bad_op``). Returns ``(state, rejects)``.
+
+    Whether a key is in use before a change follows from the last insert or hard
+    delete attempt before it (either way it leaves the key used or free), a
+    forward fill on the two-level block scan: no per-key ordering pass."""
+    spec = CHANGE_SPECS[spec] if isinstance(spec, str) else spec
+    keys = [spec["key"]] if isinstance(spec["key"], str) else list(spec["key"])
+    mode, has_id = spec["delete"], "id" in current.columns
+    op, is_ins, is_del = F.col("op"), F.col("op").eqNullSafe("insert"), F.col("op").eqNullSafe("delete")
+    top = current.agg(F.max("id")).scalar() if has_id else F.lit(0)
+
+    def next_ids(rows: DataFrame, name: str) -> DataFrame:
+        return running_count(rows, [], [seq], "_n").withColumn(
+            name, F.coalesce(top, F.lit(0)).cast("long") + F.col("_n")).drop("_n")
+
+    ch = changes
+    for c, v in spec["insert_defaults"].items():
+        if c in ch.columns:
+            ch = ch.withColumn(c, F.when(is_ins, F.coalesce(F.col(c), F.lit(v))).otherwise(F.col(c)))
+    if keys == ["id"]:
+        new = next_ids(ch.where(is_ins).drop("id"), "id")
+        ch = ch.where(~is_ins).unionByName(new, allowMissingColumns=True)
+    used = current.select(*keys, F.lit(True).alias("_used")).dropDuplicates(keys)
+    ch = ch.join(used, keys, "left")
+    protected = F.coalesce(F.col(keys[0]).isin(*spec["protected"]), F.lit(False)) if spec.get("protected") else F.lit(False)
+    ch = fill_before(ch, keys, [seq], F.when(is_ins, True).when(is_del & ~protected & F.lit(mode == "hard"), False), "_prev")
+    exists = F.coalesce("_prev", "_used", F.lit(False))
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    ch = ch.withColumn("_why", F.when(missing, "missing_key").when(~F.coalesce(op.isin("insert", "update", "delete"), F.lit(False)), "bad_op")
+                       .when(is_ins & exists, "duplicate_key").when(~is_ins & ~exists, "not_found")
+                       .when(is_del & protected, "protected").when(is_del & F.lit(mode == "none"), "not_allowed"))
+    rejects = ch.where("_why IS NOT NULL").select(seq, *keys, "op", F.col("_why").alias("reason"))
+    ok = ch.where("_why IS NULL").drop("_prev", "_used", "_why")
+    if has_id and keys != ["id"]:
+        new = next_ids(ok.where(is_ins).drop("id"), "_new_id")
+        ok = ok.where(~is_ins).unionByName(new, allowMissingColumns=True)
+    upd = [c for c in spec["updatable"] if c in changes.columns and c in current.columns]
+    ins = [c for c in current.columns if c in changes.columns and c not in keys and c != "id"]
+    at = lambda cond: F.when(cond, F.col(seq))
+    agg = ok.groupBy(*keys).agg(
+        F.max(at(is_ins)).alias("_ins_at"), F.max(at(is_del)).alias("_del_at"), F.max(at(~is_del)).alias("_set_at"),
+        F.max_by(F.struct(F.lit(True).alias("_"), *ins, *([F.col("_new_id")] if has_id and keys != ["id"] else [])), at(is_ins)).alias("_i"),
+        F.max_by(F.struct(F.lit(True).alias("_"), *upd), at(~is_del)).alias("_u"))
+    st = current.withColumn("_here", F.lit(True)).join(agg, keys, "full_outer")
+    new = F.col("_ins_at").isNotNull()
+    gone = F.col("_del_at").isNotNull() & (F.col("_ins_at").isNull() | (F.col("_del_at") > F.col("_ins_at")))
+    defaults = spec["insert_defaults"]
     cols = []
     for c in current.columns:
-        if c == key:
-            cols.append(F.col(key))
-        elif c in upd:
-            cols.append(F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c))
-        elif c == "active":
-            cols.append(F.when(F.coalesce("_deleted", F.lit(False)), F.lit(0))
-                        .otherwise(F.coalesce(F.col("active"), F.lit(1))).alias("active"))
-        elif c in spec["insert_defaults"]:
-            cols.append(F.coalesce(F.col(c), F.lit(spec["insert_defaults"][c])).alias(c))
+        kind = current.schema[c].dataType
+        if c in keys:
+            v = F.col(c)
+        elif c == "id":
+            v = F.when(new, F.col("_i._new_id")).otherwise(F.col("id"))
         else:
-            cols.append(F.col(c))
-    state = st.select(*cols)
-    if spec.get("delete") == "hard":
-        state = state.join(agg.where("_deleted").select(key), key, "left_anti")
-    return state, rejects
+            first = F.col(f"_i.{c}") if c in ins else F.lit(defaults.get(c, 1 if c == "active" and mode == "soft" else None))
+            v = F.when(new, first).otherwise(F.col(c))
+            if c in upd:
+                v = F.when(F.col("_set_at").isNotNull(), F.col(f"_u.{c}")).otherwise(v)
+            if c == "active" and mode == "soft":
+                v = F.when(F.col("_del_at").isNotNull(), F.lit(0)).otherwise(v)
+            if c == "status" and mode == "status":
+                v = F.when(F.col("_del_at") > F.coalesce("_set_at", F.col("_del_at") - 1), "cancelled").otherwise(v)
+        cols.append(v.cast(kind).alias(c))
+    state = st.where(F.col("_here").isNotNull() | new)
+    return (state.where(~gone) if mode == "hard" else state).select(*cols), rejects
 
 
 # ----------------------------------------------------------------------------- I2 / I4

@@ -18,40 +18,99 @@ from millrace.sources.tables import load_table
 MS = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
 PRODUCED = "COALESCE(CASE WHEN quantity_produced <> 0 THEN quantity_produced END, quantity_planned)"
 
-I1_BASE = """
-cur AS (SELECT DISTINCT code FROM products),
-ch AS (SELECT c.*, (k.code IS NOT NULL) AS e0 FROM product_changes c LEFT JOIN cur k ON k.code = c.code),
-fi AS (SELECT code, min(seq) AS fi FROM product_changes WHERE op = 'insert' GROUP BY code),
-ch2 AS (SELECT ch.*, fi.fi,
-          CASE WHEN op = 'insert' THEN (NOT e0 AND seq = fi.fi) ELSE (e0 OR (fi.fi IS NOT NULL AND seq > fi.fi)) END AS ok
-        FROM ch LEFT JOIN fi ON fi.code = ch.code)
+def _changes_sql(entity: str, table: str, changes: str, types: dict[str, str], carried: list[str], rejects: bool) -> str:
+    """I1 one change after the other: a recursive fold per key (steps numbered by seq within the key)."""
+    spec = I.CHANGE_SPECS[entity]
+    keys = [spec["key"]] if isinstance(spec["key"], str) else spec["key"]
+    auto, mode, defaults = keys == ["id"], spec["delete"], spec["insert_defaults"]
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    key = " || '/' || ".join(f"CAST({{0}}{k} AS VARCHAR)" for k in keys)
+    keep = "FALSE" if not spec.get("protected") else f"r.k IN ({', '.join(map(lit, spec['protected']))})"
+    top = f"(SELECT max(id) FROM {table})"
+    numbered = f"CASE WHEN op = 'insert' THEN {top} + count(*) FILTER (op = 'insert') OVER (ORDER BY seq) ELSE id END AS id" if auto else ""
+    source = f"(SELECT * REPLACE ({numbered}) FROM {changes})" if auto else changes
+    why = (f"CASE WHEN e.op = 'insert' AND r.live THEN 'duplicate_key' WHEN e.op <> 'insert' AND NOT r.live THEN 'not_found' "
+           f"WHEN e.op = 'delete' AND {keep} THEN 'protected' WHEN e.op = 'delete' AND {mode == 'none'} THEN 'not_allowed' END")
+    cols = []
+    for c, kind in types.items():
+        default = defaults.get(c, 1 if c == "active" and mode == "soft" else None)
+        ins = f"COALESCE(e.{c}, {lit(default)})" if c in carried else lit(default)
+        if c in keys:
+            cols.append(f"e.{c}")
+            continue
+        new = f"r.{c}" if c == "id" else f"CASE WHEN x.ok AND e.op = 'insert' THEN {ins} "
+        if c != "id":
+            if c in spec["updatable"] and c in carried:
+                new += f"WHEN x.ok AND e.op = 'update' THEN e.{c} "
+            if (mode, c) in (("soft", "active"), ("status", "status")):
+                new += f"WHEN x.ok AND e.op = 'delete' THEN {lit(0 if c == 'active' else 'cancelled')} "
+            new += f"ELSE r.{c} END"
+        cols.append(f"CAST({new} AS {kind}) AS {c}")
+    start = ", ".join(f"t.{c}" for c in types)
+    body = f"""
+WITH RECURSIVE ch AS (SELECT *, {key.format('')} AS k, row_number() OVER (PARTITION BY {key.format('')} ORDER BY seq) AS rn
+                      FROM {source} s WHERE {key.format('')} IS NOT NULL),
+r AS (
+  SELECT d.k, CAST(0 AS BIGINT) AS rn, t.{keys[0]} IS NOT NULL AS live, CAST(NULL AS BIGINT) AS made, CAST(NULL AS VARCHAR) AS why, {start}
+  FROM (SELECT DISTINCT k FROM ch) d LEFT JOIN {table} t ON {key.format('t.')} = d.k
+  UNION ALL
+  SELECT r.k, e.rn, CASE WHEN x.ok AND e.op = 'insert' THEN TRUE WHEN x.ok AND e.op = 'delete' AND {mode == 'hard'} THEN FALSE ELSE r.live END,
+         CASE WHEN x.ok AND e.op = 'insert' THEN e.seq ELSE r.made END, x.why, {', '.join(cols)}
+  FROM r JOIN ch e ON e.k = r.k AND e.rn = r.rn + 1
+  CROSS JOIN LATERAL (SELECT {why} AS why, ({why}) IS NULL AS ok) x)
 """
-
-
-@register("i1_apply_changes_state", f"""
-WITH {I1_BASE},
-agg AS (SELECT code, max(CASE WHEN op IN ('insert', 'update') THEN seq END) AS vseq,
-               arg_max(name, CASE WHEN op IN ('insert', 'update') THEN seq END) AS v_name,
-               arg_max(price, CASE WHEN op IN ('insert', 'update') THEN seq END) AS v_price,
-               bool_or(op = 'delete') AS deleted
-        FROM ch2 WHERE ok GROUP BY code)
-SELECT p.id, COALESCE(p.code, a.code) AS code, CASE WHEN a.vseq IS NOT NULL THEN a.v_name ELSE p.name END AS name,
-       COALESCE(p.size_ml, 0) AS size_ml, COALESCE(p.unit, 'ขวด') AS unit,
-       CASE WHEN a.vseq IS NOT NULL THEN a.v_price ELSE p.price END AS price, COALESCE(p.cost, 0.0) AS cost,
-       COALESCE(p.stock, 0) AS stock, COALESCE(p.min_stock, 0) AS min_stock,
-       CASE WHEN COALESCE(a.deleted, false) THEN 0 ELSE COALESCE(p.active, 1) END AS active
-FROM products p FULL OUTER JOIN agg a ON a.code = p.code
-""")
-def i1_state(t):
-    return I.apply_changes(t.products, t.product_changes)[0]
-
-
-@register("i1_apply_changes_rejects", f"""
-WITH {I1_BASE}
-SELECT seq, code, op, CASE WHEN op = 'insert' THEN 'duplicate_key' ELSE 'not_found' END AS reason FROM ch2 WHERE NOT ok
-""")
-def i1_rej(t):
-    return I.apply_changes(t.products, t.product_changes)[1]
+    if rejects:
+        shown = ", ".join(f"c.{k}" for k in keys)
+        return body + f"""SELECT c.seq, {shown}, c.op, r.why AS reason FROM r JOIN ch c ON c.k = r.k AND c.rn = r.rn WHERE r.why IS NOT NULL
+UNION ALL SELECT seq, {', '.join(keys)}, op, 'missing_key' FROM {source} s WHERE {key.format('')} IS NULL"""
+    ids = f"""CASE WHEN f.made IS NOT NULL THEN {top} + (SELECT count(*) FROM r i JOIN ch c ON c.k = i.k AND c.rn = i.rn
+              WHERE c.op = 'insert' AND i.why IS NULL AND c.seq <= f.made) ELSE f.id END AS id"""
+    out = ", ".join(ids if c == "id" and not auto else f"f.{c}" for c in types)
+    return body + f"""SELECT {out} FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY rn DESC) = 1) f WHERE f.live
+UNION ALL SELECT {start} FROM {table} t WHERE {key.format('t.')} NOT IN (SELECT k FROM ch)"""
+
+
+#: entity -> (table, its change feed, column types, columns that the feed carries)
+I1_FEEDS = {
+    "products": ("products", "product_changes", {
+        "id": "BIGINT", "code": "VARCHAR", "name": "VARCHAR", "size_ml": "INTEGER", "unit": "VARCHAR", "price": "DOUBLE", "cost": "DOUBLE",
+        "stock": "BIGINT", "min_stock": "BIGINT", "active": "INTEGER"}, ["name", "price"]),
+    "raw_materials": ("raw_materials", "material_changes", {
+        "id": "BIGINT", "code": "VARCHAR", "name": "VARCHAR", "unit": "VARCHAR", "quantity": "DOUBLE", "min_quantity": "DOUBLE",
+        "cost_per_unit": "DOUBLE"}, ["name", "unit", "quantity", "min_quantity", "cost_per_unit"]),
+    "expenses": ("expenses", "expense_changes", {
+        "id": "BIGINT", "category": "VARCHAR", "amount": "DOUBLE", "expense_date": "DATE", "created_by": "BIGINT", "created_at": "TIMESTAMP"},
+        ["category", "amount", "expense_date"]),
+    "product_bom": ("(SELECT min(id) AS id, product_id, material_id, min(quantity_per_unit) AS quantity_per_unit FROM product_bom "
+                    "GROUP BY product_id, material_id)", "bom_changes", {
+        "id": "BIGINT", "product_id": "BIGINT", "material_id": "BIGINT", "quantity_per_unit": "DOUBLE"}, ["quantity_per_unit"]),
+    "deliveries": ("deliveries", "delivery_changes", {
+        "id": "BIGINT", "order_id": "BIGINT", "driver_name": "VARCHAR", "delivery_date": "DATE", "status": "VARCHAR",
+        "created_at": "TIMESTAMP"}, ["status", "driver_name"]),
+    "sales_orders": ("(SELECT id, customer_id, status, total_amount FROM sales_orders)", "order_status_changes", {
+        "id": "BIGINT", "customer_id": "BIGINT", "status": "VARCHAR", "total_amount": "DOUBLE"}, ["status", "total_amount"]),
+    "users": ("users", "user_changes", {
+        "id": "INTEGER", "username": "VARCHAR", "name": "VARCHAR", "role": "VARCHAR", "active": "INTEGER"}, ["name", "role"]),
+}
+
+
+def _i1(entity: str, part: int):
+    def run(t):
+        current = getattr(t, entity)
+        if entity == "product_bom":
+            current = current.groupBy("product_id", "material_id").agg(
+                F.min("id").alias("id"), F.min("quantity_per_unit").alias("quantity_per_unit")).select(
+                "id", "product_id", "material_id", "quantity_per_unit")
+        if entity == "sales_orders":
+            current = current.select("id", "customer_id", "status", "total_amount")
+        return I.apply_changes(current, getattr(t, I1_FEEDS[entity][1]), entity)[part]
+    return run
+
+
+for _entity, _feed in I1_FEEDS.items():
+    _name = "i1_apply_changes" if _entity == "products" else f"i1_{_entity}_changes"
+    register(f"{_name}_state", _changes_sql(_entity, *_feed, rejects=False))(_i1(_entity, 0))
+    register(f"{_name}_rejects", _changes_sql(_entity, *_feed, rejects=True))(_i1(_entity, 1))
 
 
 def _items_with_line_no(t):

@@ -29,6 +29,7 @@ from millrace.sources.tables import load_table
 
 _CREATED_AT = "o_orderdate + (o_orderkey % 86400) * INTERVAL '1' SECOND AS created_at"
 _PAID_FULL = "o_orderstatus = 'F'"
+_OPS = "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op"
 _PO_STATUS = ("CASE o_orderkey % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' WHEN 2 THEN 'ordered' "
               "WHEN 3 THEN 'cancelled' ELSE 'received' END AS status")
 
@@ -209,6 +210,31 @@ BINDINGS: dict[str, Binding] = {
         "SELECT o_orderkey * 2 + h.k AS seq, o_orderkey AS order_id, "
         "o_totalprice * CASE WHEN (o_orderkey + h.k) % 5 = 0 THEN 0.75 ELSE 0.5 END AS amount "
         "FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h"), tables=("orders",)),
+    "material_changes": Binding("events", (
+        "event_id AS seq", "CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('M', lpad(CAST(user_id * 3 AS STRING), 9, '0')) END AS code",
+        _OPS, "concat('name', CAST(event_id % 50 AS STRING)) AS name", "'box' AS unit", "value AS quantity",
+        "CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * 2 END AS min_quantity", "value / 2 AS cost_per_unit",
+    )),
+    "expense_changes": Binding("events", (
+        "event_id AS seq", "CASE WHEN event_type = 'purchase' THEN NULL ELSE event_id END AS id",
+        "CASE WHEN event_type = 'purchase' THEN 'insert' WHEN user_id % 2 = 0 THEN 'delete' ELSE 'update' END AS op",
+        "event_type AS category", "value * 3 AS amount", "CAST(ts AS DATE) AS expense_date",
+    )),
+    "bom_changes": Binding("events", (
+        "event_id AS seq", "user_id AS product_id", "user_id AS material_id", _OPS, "value AS quantity_per_unit",
+    )),
+    "delivery_changes": Binding("events", (
+        "event_id AS seq", "event_id AS order_id", _OPS, "event_type AS status", "props AS driver_name",
+    )),
+    "order_status_changes": Binding("events", (
+        "event_id AS seq", "CASE WHEN event_type = 'signup' THEN NULL ELSE user_id END AS id", _OPS,
+        "CASE event_type WHEN 'signup' THEN NULL WHEN 'click' THEN 'confirmed' ELSE 'delivered' END AS status",
+        "value AS total_amount",
+    )),
+    "user_changes": Binding("events", (
+        "event_id AS seq", "concat('user', CAST(user_id AS STRING)) AS username", _OPS,
+        "concat('name', CAST(event_id % 50 AS STRING)) AS name", "CASE WHEN event_id % 4 = 0 THEN 'manager' END AS role",
+    )),
     "product_changes": Binding("events", (
         "event_id AS seq", "concat('P', lpad(CAST(user_id * 2 AS STRING), 7, '0')) AS code",
         "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op",

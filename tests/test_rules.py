@@ -173,3 +173,26 @@ def test_apply_changes_hard_delete_and_defaults(spark):
     rows = {r["username"]: (r["name"], r["role"], r["active"]) for r in st.collect()}
     assert rows == {"ann": ("Anna", "admin", 1), "cy": ("Cy", "staff", 1), "admin": ("Root", "admin", 1)}
     assert {r["seq"]: r["reason"] for r in rej.collect()} == {4: "protected"}
+
+
+def test_apply_changes_free_key_after_hard_delete_and_null_keys(spark):
+    cur = spark.createDataFrame([(4, "M1", "salt", "kg", 7.0, 1.0, 2.0)],
+                                "id long, code string, name string, unit string, quantity double, min_quantity double, cost_per_unit double")
+    rows = [(1, "M1", "delete", None, None), (2, "M1", "update", "lost", None), (3, "M1", "insert", "sugar", 50.0),
+            (4, "M1", "update", "brown sugar", 99.0), (5, None, "insert", "nothing", 1.0), (6, "M2", "insert", "tea", None),
+            (7, "M2", "delete", None, None), (8, "M3", "insert", "milk", 3.0), (9, "M3", None, "x", 3.0)]
+    ch = spark.createDataFrame(rows, "seq long, code string, op string, name string, quantity double")
+    st, rej = I.apply_changes(cur, ch, "raw_materials")
+    assert sorted(tuple(r) for r in st.collect()) == [(5, "M1", "brown sugar", None, 50.0, 0.0, 0.0),
+                                                      (7, "M3", "milk", None, 3.0, 0.0, 0.0)]
+    assert {r.seq: r.reason for r in rej.collect()} == {2: "not_found", 5: "missing_key", 9: "bad_op"}
+
+
+def test_apply_changes_ids_from_inserts(spark):
+    cur = spark.createDataFrame([(2, "rent", 10.0)], "id long, category string, amount double")
+    ch = spark.createDataFrame([(1, None, "insert", "fuel", 5.0), (2, 3, "update", "fuel2", 6.0), (3, 2, "delete", None, None),
+                                (4, None, "insert", "water", 7.0), (5, 9, "delete", None, None)],
+                               "seq long, id long, op string, category string, amount double")
+    st, rej = I.apply_changes(cur, ch, "expenses")
+    assert sorted(tuple(r) for r in st.collect()) == [(3, "fuel2", 6.0), (4, "water", 7.0)]
+    assert [(r.seq, r.reason) for r in rej.collect()] == [(5, "not_found")]
