@@ -20,18 +20,20 @@ def activity_feed(o: DataFrame, c: DataFrame, ml: DataFrame, m: DataFrame, po: D
                   k: int = 12) -> DataFrame:
     """newest 5 sales, 4 material moves and 4 production orders in one
     6-column shape, newest first, first ``k``; ties keep source order."""
-    sales = (o.join(c.select(F.col("id").alias("customer_id"), F.col("name").alias("_cn")), "customer_id")
-             .orderBy(F.desc("created_at"), F.desc("id")).limit(5)
+    def newest(rows: DataFrame, names: DataFrame, key: str, name: str, n: int) -> DataFrame:
+        """The newest ``n`` rows that have a parent; only they fetch its name."""
+        top = rows.join(names.select(F.col("id").alias(key)), key, "left_semi").orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+        return top.join(names.select(F.col("id").alias(key), F.col("name").alias(name)), key)
+
+    sales = (newest(o, c, "customer_id", "_cn", 5)
              .select(F.lit("sale").alias("type"), F.col("order_number").alias("ref"), F.col("_cn").alias("detail"),
                      F.col("total_amount").cast("double").alias("amount"), "status", "created_at",
                      F.lit(0).alias("source_rank"), "id"))
-    logs = (ml.join(m.select(F.col("id").alias("material_id"), F.col("name").alias("_mn")), "material_id")
-            .orderBy(F.desc("created_at"), F.desc("id")).limit(4)
+    logs = (newest(ml, m, "material_id", "_mn", 4)
             .select(F.lit("material").alias("type"), F.col("_mn").alias("ref"),
                     label("material_move", "type").alias("detail"), F.col("quantity").cast("double").alias("amount"),
                     F.lit(None).cast("string").alias("status"), "created_at", F.lit(1).alias("source_rank"), "id"))
-    prod = (po.join(p.select(F.col("id").alias("product_id"), F.col("name").alias("_pn")), "product_id")
-            .orderBy(F.desc("created_at"), F.desc("id")).limit(4)
+    prod = (newest(po, p, "product_id", "_pn", 4)
             .select(F.lit("production").alias("type"), F.col("_pn").alias("ref"), F.col("status").alias("detail"),
                     F.col("quantity_planned").cast("double").alias("amount"), "status", "created_at",
                     F.lit(2).alias("source_rank"), "id"))

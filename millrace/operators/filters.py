@@ -102,9 +102,12 @@ def overdue_orders(o: DataFrame, c: DataFrame, as_of, k: int | None = 10) -> Dat
     """Open orders whose due date is before ``as_of``, with the customer name."""
     x = o.where(~F.col("status").isin("paid", "cancelled") & F.col("due_date").isNotNull()
                 & (F.col("due_date") < _d(as_of)))
+    # only orders that have a customer count; the winners alone fetch the name
+    x = x.join(c.select(F.col("id").alias("customer_id")), "customer_id", "left_semi")
+    if k:
+        x = x.orderBy("due_date", "id").limit(k)
     x = x.join(c.select(F.col("id").alias("customer_id"), F.col("name").alias("customer")), "customer_id")
-    x = x.select("id", "order_number", "customer", "due_date").orderBy("due_date", "id")
-    return x.limit(k) if k else x
+    return x.select("id", "order_number", "customer", "due_date").orderBy("due_date", "id")
 
 
 def maintenance_due(e: DataFrame, as_of, days: int = 7, active_only: bool = True) -> DataFrame:
@@ -128,15 +131,10 @@ def global_search(customers: DataFrame, products: DataFrame, orders: DataFrame,
         .orderBy("id").limit(k).select(F.lit("customers").alias("grp"), "id", "code", "name", "phone", "type")
     prod = products.where((sqlite_like_contains("name", q) | sqlite_like_contains("code", q)) & (F.col("active") == 1)) \
         .orderBy("id").limit(k).select(F.lit("products").alias("grp"), "id", "code", "name", "stock", "unit", "price")
-    # orders hit by number, or by their customer's name: two filtered inputs
-    # (the number filter runs in the orders scan; the name filter on customers)
-    # instead of joining every order to its customer before filtering
+    # orders hit by number or by their customer's name: one join, then the filter
     cn = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
-    by_name = cn.where(sqlite_like_contains("customer_name", q)).select("customer_id")
-    hits = orders.where(sqlite_like_contains("order_number", q)).unionByName(
-        orders.join(by_name, "customer_id", "left_semi").where(~sqlite_like_contains("order_number", q)
-                                                               | F.col("order_number").isNull()))
-    ords = hits.join(cn, "customer_id").orderBy(F.desc("created_at"), F.desc("id")).limit(k) \
+    hits = orders.join(cn, "customer_id").where(sqlite_like_contains("order_number", q) | sqlite_like_contains("customer_name", q))
+    ords = hits.orderBy(F.desc("created_at"), F.desc("id")).limit(k) \
         .select(F.lit("orders").alias("grp"), "id", F.col("order_number").alias("code"), "total_amount", "status",
                 "order_date", "customer_name")
     out = cust.unionByName(prod, allowMissingColumns=True).unionByName(ords, allowMissingColumns=True)

@@ -48,7 +48,8 @@ def recent_orders(o: DataFrame, c: DataFrame, k: int = 5) -> DataFrame:
     live = o.join(c.select(F.col("id").alias("customer_id")), "customer_id", "left_semi")
     top = live.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
     return top.join(_cust(c, "name"), "customer_id").select(
-        "id", "order_number", "customer_name", "total_amount", "status", "order_date", "created_at")
+        "id", "order_number", "customer_name", "total_amount", "status", "order_date", "created_at").orderBy(
+        F.desc("created_at"), F.desc("id"))
 
 
 # ----------------------------------------------------------------------------- C3

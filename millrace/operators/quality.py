@@ -77,10 +77,11 @@ def fk_orphans(tables) -> DataFrame:
     """L1: per foreign key, the number of child rows whose (non-NULL) key has no parent.
 
     One anti-join per *parent* table: the keys of every child column pointing
-    at that parent are unioned with an ``fk`` tag, so a large parent (orders,
-    referenced five times) is shuffled once, and a small one is broadcast by
-    AQE and checked map-side. Counts per ``fk`` are then attached to the fixed
-    list of keys (0 when a key has no orphans)."""
+    at that parent are unioned with an ``fk`` tag and counted per (fk, key)
+    first - map-side, so a hot key shrinks to a row per task, and the anti-join,
+    which cannot be pushed below a grouping, stays one per parent. Counts per
+    ``fk`` are then attached to the fixed list of keys (0 when a key has no
+    orphans)."""
     by_parent: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent in FOREIGN_KEYS:
         by_parent.setdefault(parent, []).append((child, col))
@@ -90,9 +91,10 @@ def fk_orphans(tables) -> DataFrame:
             getattr(tables, child).select(F.lit(f"{child}.{col}").alias("fk"), F.col(col).cast("long").alias("_k"))
             .where(F.col("_k").isNotNull()) for child, col in kids])
         par = getattr(tables, parent).select(F.col("id").cast("long").alias("_k"))
-        counts.append(keys.join(par, "_k", "left_anti").groupBy("fk").agg(F.count(F.lit(1)).alias("_n")))
+        per_key = keys.groupBy("_k", "fk").agg(F.count(F.lit(1)).alias("_c"))
+        counts.append(per_key.join(par, "_k", "left_anti").groupBy("fk").agg(F.sum("_c").alias("_n")))
     names = tables.spark.createDataFrame([(f"{c}.{k}", p) for c, k, p in FOREIGN_KEYS], "fk string, parent string")
-    return F.broadcast(names).join(reduce(DataFrame.unionByName, counts), "fk", "left").select(
+    return names.join(reduce(DataFrame.unionByName, counts), "fk", "left").select(
         "fk", "parent", F.coalesce("_n", F.lit(0)).cast("long").alias("orphan_rows"))
 
 

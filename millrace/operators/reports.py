@@ -201,15 +201,16 @@ def expenses_in(e: DataFrame, date_from, date_to) -> DataFrame:
 
 def expenses_by_category(e: DataFrame, date_from, date_to, with_total: bool = True) -> DataFrame:
     """Total and count per category, total DESC; plus a grand-total row
-    (``category`` NULL, ``is_total`` true, 0 when there are no expenses)."""
+    (``category`` NULL, ``is_total`` true, 0 when there are no expenses), which
+    comes last and adds up the category rows: expenses are read once."""
     x = expenses_in(e, date_from, date_to)
     rows = x.groupBy("category").agg(msum("amount").alias("total"), F.count(F.lit(1)).alias("count")) \
         .withColumn("is_total", F.lit(False))
     if not with_total:
         return rows.orderBy(F.desc("total"), "category")
-    tot = x.agg(msum0("amount").alias("total"), F.count(F.lit(1)).alias("count")) \
+    tot = rows.agg(msum0("total").alias("total"), F.coalesce(F.sum("count"), F.lit(0)).alias("count")) \
         .select(F.lit(None).cast("string").alias("category"), "total", "count", F.lit(True).alias("is_total"))
-    return rows.unionByName(tot)
+    return rows.unionByName(tot).orderBy("is_total", F.desc("total"), "category")
 
 
 def expenses_by_month(e: DataFrame, date_from, date_to) -> DataFrame:

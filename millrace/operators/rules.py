@@ -157,7 +157,7 @@ def validate_sales_orders(orders: DataFrame, items: DataFrame, customers: DataFr
                           open_orders: DataFrame) -> DataFrame:
     """The first failing rule per new order (``reason`` NULL = valid).
 
-    Order: missing fields; credit limit (only when limit > 0: open outstanding +
+    Order: missing fields (customer 0 counts as none); credit limit (only when limit > 0: open outstanding +
     new total > limit); then line by line (``line_no`` order): quantity <= 0,
     price missing/0/negative, unknown product, stock < quantity. Lines are
     checked separately, so two lines of one product can together exceed stock."""
@@ -167,7 +167,7 @@ def validate_sales_orders(orders: DataFrame, items: DataFrame, customers: DataFr
         .agg(msum(F.col("total_amount") - F.col("paid_amount")).alias("_owed"))
     cust = customers.select(F.col("id").alias("customer_id"), "credit_limit")
     new_total = F.coalesce("_items_total", F.lit(0.0)) - F.col("_disc")
-    hdr_reason = (F.when(F.col("customer_id").isNull() | F.col("order_date").isNull()
+    hdr_reason = (F.when(F.coalesce(F.col("customer_id") == 0, F.lit(True)) | F.col("order_date").isNull()
                          | F.coalesce(F.col("_lines"), F.lit(0)).__eq__(0), F.lit(0))
                   .when((F.col("credit_limit") > 0)
                         & (F.coalesce("_owed", F.lit(0.0)) + new_total > F.col("credit_limit")), F.lit(1)))

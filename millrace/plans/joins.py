@@ -1,10 +1,8 @@
-"""Join helpers that state how each dimension is allowed to be shipped.
+"""Join helpers for names of users.
 
-Only a dimension whose size is bounded by construction (users come from the
-25-row nation table, routes likewise; literal frames) gets a ``broadcast``
-hint. Every other dimension (products, customers, suppliers, materials) grows
-with the data, so it is left to AQE: at run time Spark measures the shuffled
-side and turns the sort-merge join into a broadcast join only when it is under
+No dimension carries a broadcast hint, not even users: all grow with the data,
+so AQE decides. At run time Spark measures the shuffled side and turns the
+sort-merge join into a broadcast join only when it is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold``; past that it stays a
 shuffle join. No driver-side count is taken.
 """
@@ -15,17 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_dim(dim: DataFrame) -> DataFrame:
-    """Mark a dimension whose row count is bounded by construction for broadcast."""
-    return F.broadcast(dim)
-
-
 def users_lookup(users: DataFrame, id_col: str = "created_by", name_col: str = "created_by_name") -> DataFrame:
     """``created_by -> users.name`` lookup frame (always LEFT-joined)."""
-    return bounded_dim(users.select(F.col("id").alias(id_col), F.col("name").alias(name_col)))
+    return users.select(F.col("id").alias(id_col), F.col("name").alias(name_col))
 
 
 def with_user_name(df: DataFrame, users: DataFrame, id_col: str = "created_by",
                    name_col: str = "created_by_name") -> DataFrame:
-    """Left-join the creator's name (users is a bounded dimension)."""
+    """Left-join the creator's name."""
     return df.join(users_lookup(users, id_col, name_col), on=id_col, how="left")

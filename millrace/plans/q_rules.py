@@ -124,7 +124,7 @@ WITH it AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quant
                    l_extendedprice / l_quantity AS unit_price, l_linenumber AS line_no FROM lineitem),
 tot AS (SELECT order_id, {MS('quantity * unit_price')} AS items_total, COUNT(*) AS lines FROM it GROUP BY order_id),
 owed AS (SELECT customer_id, {MS('total_amount - paid_amount')} AS owed FROM sales_orders
-         WHERE status NOT IN ('paid', 'cancelled') GROUP BY customer_id),
+         WHERE status NOT IN ('paid', 'cancelled', 'pending') GROUP BY customer_id),
 li AS (SELECT it.*, CASE WHEN quantity IS NULL OR quantity <= 0 THEN 2 WHEN unit_price IS NULL OR unit_price <= 0 THEN 3
                           WHEN p.id IS NULL THEN 4 WHEN p.stock < quantity THEN 5 END AS r
        FROM it LEFT JOIN products p ON p.id = it.product_id),
@@ -132,9 +132,9 @@ fl AS (SELECT order_id, arg_min(r, line_no * 10 + r) AS lr FROM li WHERE r IS NO
 h AS (SELECT so.id AS order_id, so.customer_id, so.order_date, COALESCE(so.discount, 0) AS disc, tot.items_total,
              tot.lines, c.credit_limit, owed.owed, fl.lr
       FROM sales_orders so LEFT JOIN tot ON tot.order_id = so.id LEFT JOIN customers c ON c.id = so.customer_id
-      LEFT JOIN owed ON owed.customer_id = so.customer_id LEFT JOIN fl ON fl.order_id = so.id),
+      LEFT JOIN owed ON owed.customer_id = so.customer_id LEFT JOIN fl ON fl.order_id = so.id WHERE so.status = 'pending'),
 r AS (SELECT *, COALESCE(items_total, 0) - disc AS new_total,
-             COALESCE(CASE WHEN customer_id IS NULL OR order_date IS NULL OR COALESCE(lines, 0) = 0 THEN 0
+             COALESCE(CASE WHEN COALESCE(customer_id, 0) = 0 OR order_date IS NULL OR COALESCE(lines, 0) = 0 THEN 0
                            WHEN credit_limit > 0 AND COALESCE(owed, 0) + (COALESCE(items_total, 0) - disc) > credit_limit
                            THEN 1 END, lr) AS rule FROM h)
 SELECT order_id, customer_id, new_total,
@@ -143,7 +143,10 @@ SELECT order_id, customer_id, new_total,
 FROM r
 """)
 def i2(t):
-    return I.validate_sales_orders(t.sales_orders, _items_with_line_no(t), t.customers, t.products, t.sales_orders)
+    """The pending orders are the new ones; all others that are open owe already."""
+    new = F.col("status") == "pending"
+    return I.validate_sales_orders(t.sales_orders.where(new), _items_with_line_no(t), t.customers, t.products,
+                                   t.sales_orders.where(~new))
 
 
 @register("i3_credit_replay", """
