@@ -4,47 +4,53 @@ The reference only polls (its dashboard reloads every five minutes); a Spark
 user writes the same rules as streaming queries:
 
 * J1 daily sales: event-time tumbling windows with a watermark;
-* J2/J3 stock ledger and alerts: keyed state with ``applyInPandasWithState``
-  (each micro-batch's rows for a key are sorted, then folded onto the state);
-* J4 activity feed: ``foreachBatch`` that merges the batch into a small
-  persisted top-k (never the whole history);
+* J2/J3 stock ledger and alerts: every micro-batch goes through the batch rule
+  (I9 or I8), starting from the balances that the batch before it left;
+* J4 activity feed: every micro-batch is merged into a small top-k;
 * J5 duplicate status events: ``dropDuplicatesWithinWatermark``.
 
-Every query writes its checkpoint and output under the shared folder named by
-``spark.checkpoint.dir`` (``session.ensure_checkpoint_dir``), so a restarted
-or re-tried query resumes exactly where it stopped.
+A job lives in a folder: ``job`` names it (a path, or a name below the shared
+folder of ``spark.checkpoint.dir``). Run again with the same ``job``, it resumes
+where it stopped; without one, a run gets a fresh folder. What a job carries
+from batch to batch is a numbered snapshot in that folder: batch n reads
+snapshot n - 1 and fails if it is missing, writes snapshot n (again, if the
+batch is repeated), and removes those that no repetition can need.
 """
 
 from __future__ import annotations
 
-import math
-import os
 import uuid
-import warnings
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.scalars import label, msum
+from millrace.operators.rules import final_state, material_adjust_replay, material_ledger
+from millrace.plans.scan import previous_value
 from millrace.session import ensure_checkpoint_dir
 from millrace.sources.bindings import BINDINGS
 from millrace.sources.tables import SCHEMAS, table_path
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the session's storage, local or remote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """A table folder as a file stream (new Parquet files in it = new data).
 
-    A table stored as one local file (the test fixtures) is streamed from its
-    folder with a file-name filter instead."""
+    A table stored as one file is streamed from its folder with a file-name
+    filter instead."""
     path = table_path(sf_dir, name)
     r = spark.readStream.schema(SCHEMAS[name])
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(path):
-        return r.option("pathGlobFilter", f"{name}.parquet").parquet(os.path.dirname(path))
+    fs, p = _path(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return r.option("pathGlobFilter", f"{name}.parquet").parquet(p.getParent().toString())
     return r.parquet(path)
 
 
@@ -57,39 +63,39 @@ def stream_binding(spark: SparkSession, sf_dir: str, name: str, max_files: int |
     return df.selectExpr(*b.exprs)
 
 
-def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run of a streaming job under the shared checkpoint dir."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on the (possibly remote) file system of the session."""
-    try:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): probe by reading
-        try:
-            spark.read.parquet(path).schema  # noqa: B018
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+def run_dir(spark: SparkSession, name: str, job: str | None = None) -> str:
+    """The folder of a job: the path ``job``, the folder of that name below the shared checkpoint
+    folder, or without a name a fresh one."""
+    if job and "/" in job:
+        return job.rstrip("/")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{job or f'{name}-{uuid.uuid4().hex[:12]}'}"
+
+
+def snapshot_sink(spark: SparkSession, folder: str, merge: Callable[[DataFrame | None, DataFrame, int], DataFrame]):
+    """foreachBatch sink: snapshot n = ``merge(snapshot n - 1, batch, n)``; the first batch gets None."""
+    def write(batch: DataFrame, n: int) -> None:
+        s = batch.sparkSession
+        fs, before = _path(s, f"{folder}/{n - 1}")
+        if n > 0 and not fs.exists(before):
+            raise RuntimeError(f"the state of this job is missing: {folder}/{n - 1}")
+        prev = s.read.parquet(f"{folder}/{n - 1}") if n > 0 else None
+        merge(prev, batch, n).write.mode("overwrite").parquet(f"{folder}/{n}")
+        if n > 1:  # batch n can be repeated and then reads snapshot n - 1; older ones are done with
+            fs.delete(_path(s, f"{folder}/{n - 2}")[1], True)
+    return write
 
 
-def _upsert_sink(out_dir: str):
-    """foreachBatch sink for update-mode results: append each batch with its id;
-    readers keep the row of the highest batch per key (a re-run batch appends
-    identical rows with the same id, so the result stays exact)."""
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_dir)
-    return write
+def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest snapshot of a job."""
+    fs, p = _path(spark, folder)
+    if not fs.exists(p):
+        raise RuntimeError(f"no batch has run yet: {folder}")
+    return spark.read.parquet(f"{folder}/{max(int(f.getPath().getName()) for f in fs.listStatus(p))}")
 
 
-def read_upserts(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
-    """Latest row per key from an ``_upsert_sink`` folder."""
-    df = spark.read.parquet(out_dir)
-    cols = [c for c in df.columns if c not in keys and c != "_batch"]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_r"))
-    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+def _run(stream: DataFrame, folder: str, sink) -> None:
+    stream.writeStream.option("checkpointLocation", f"{folder}/chk").foreachBatch(sink).outputMode("update") \
+        .trigger(availableNow=True).start().awaitTermination()
 
 
 # ----------------------------------------------------------------------------- J1
@@ -105,96 +111,70 @@ def daily_sales_stream(orders: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode: str = "update",
-                    max_files: int | None = None) -> DataFrame:
+                    max_files: int | None = None, job: str | None = None) -> DataFrame:
     """Run J1 to the end of the available data and read the result.
 
-    ``mode='update'`` emits every window as it changes (kept latest-per-day by
-    the upsert sink); ``mode='append'`` emits a window once, after the
+    ``mode='update'`` emits every window as it changes (the snapshot keeps the
+    latest row per day); ``mode='append'`` emits a window once, after the
     watermark passes its end, into a plain file sink - so the newest windows,
     still open when the data ends, are not in the output yet."""
-    d = run_dir(spark, "j1")
-    w = daily_sales_stream(stream_binding(spark, sf_dir, "sales_orders", max_files), delay).writeStream \
-        .option("checkpointLocation", f"{d}/chk").trigger(availableNow=True)
+    d = run_dir(spark, "j1", job)
+    stream = daily_sales_stream(stream_binding(spark, sf_dir, "sales_orders", max_files), delay)
     if mode == "append":
-        w.outputMode("append").format("parquet").option("path", f"{d}/out").start().awaitTermination()
+        stream.writeStream.option("checkpointLocation", f"{d}/chk").trigger(availableNow=True).outputMode("append") \
+            .format("parquet").option("path", f"{d}/out").start().awaitTermination()
         return spark.read.parquet(f"{d}/out")
-    w.outputMode("update").foreachBatch(_upsert_sink(f"{d}/out")).start().awaitTermination()
-    return read_upserts(spark, f"{d}/out", ["day"])
+
+    def merge(prev: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
+        return batch if prev is None else batch.unionByName(prev.join(batch, "day", "left_anti"))
+
+    _run(stream, d, snapshot_sink(spark, f"{d}/days", merge))
+    return read_snapshot(spark, f"{d}/days")
 
 
 # ----------------------------------------------------------------------------- J2 / J3
-LEDGER_OUT = ("id long, material_id long, accepted boolean, reason string, balance double, alert string")
-LEDGER_STATE = "balance long, min_qty long"
-
-
-def _ledger_fn(mode: str):
-    """Per-key state function: stock in exact 1e-4 units (``long``)."""
-    def isnull(v):
-        return v is None or (isinstance(v, float) and math.isnan(v))
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # all-NULL output columns (no alert in a batch) make pandas warn while
-        # Spark concatenates batches; the result is unaffected
-        warnings.filterwarnings("ignore", category=FutureWarning)
-        rows = pd.concat(list(pdfs)).sort_values(["created_at", "id"])
-        if state.exists:
-            bal, mn = state.get
-        else:
-            first = rows.iloc[0]
-            bal = 0 if isnull(first["x0_units"]) else int(first["x0_units"])
-            mn = -1 if isnull(first["min_units"]) else int(first["min_units"])  # -1: no minimum known
-        out = []
-        for r in rows.itertuples(index=False):
-            reason, prev = None, bal
-            if mode == "clamp":
-                q = int(r.q_units)
-                bal = bal + q if r.type == "in" else max(0, bal - q)
-            elif not r.is_valid:
-                reason = "bad_quantity"
-            else:
-                q = int(r.q_units)
-                nb = bal + q if r.type == "in" else bal - q
-                if nb < 0:
-                    reason = "insufficient_stock"
-                else:
-                    bal = nb
-            alert = None
-            if bal == 0 and prev != 0:
-                alert = "out"
-            elif mn >= 0 and bal <= mn < prev:
-                alert = "low"
-            out.append((r.id, r.material_id, reason is None, reason, bal / 10000, alert))
-        state.update((bal, mn))
-        yield pd.DataFrame(out, columns=["id", "material_id", "accepted", "reason", "balance", "alert"])
-    return fn
-
-
-def material_ledger_stream(moves: DataFrame, initial: DataFrame, mode: str = "reject") -> DataFrame:
-    """Keyed stock state per material. ``mode='reject'`` is the manual
-    adjustment rule (I9), ``'clamp'`` the production-use rule (I8). Each row
-    also carries J3's ``alert``: ``out`` when stock reaches 0, ``low`` when it
-    crosses down through the material's minimum. Quantities travel as exact
-    1e-4 units, like the batch replay."""
-    def units(c):
-        return (c.cast("decimal(18,4)") * 10000).cast("long")
-    init = initial.select(F.col("id").alias("material_id"), units(F.col("quantity")).alias("x0_units"),
-                          units(F.col("min_quantity")).alias("min_units"))
-    x = moves.select("id", "material_id", "type", "created_at",
-                     (F.col("quantity").isNotNull() & (F.col("quantity") > 0)).alias("is_valid"),
-                     units(F.col("quantity")).alias("q_units")).join(init, "material_id", "left")
-    return x.groupBy("material_id").applyInPandasWithState(
-        _ledger_fn(mode), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+def ledger_batch(opening: DataFrame, moves: DataFrame, materials: DataFrame, mode: str = "reject") -> DataFrame:
+    """J2 for one batch of moves: the batch rule from ``opening(id, quantity)`` - ``mode='reject'``
+    is the manual adjustment rule (I9), ``'clamp'`` the production-use rule (I8) - with J3's
+    ``alert``: ``out`` when stock reaches 0, ``low`` when it crosses down through the minimum that
+    the material has now."""
+    if mode == "clamp":
+        rows = material_ledger(opening, moves).select("id", "material_id", F.lit(True).alias("accepted"),
+                                                      F.lit(None).cast("string").alias("reason"), "balance")
+    else:
+        rows = material_adjust_replay(opening, moves)
+    rows = rows.join(moves.select("id", "created_at"), "id")
+    rows = previous_value(rows, ["material_id"], ["created_at", "id"], "balance", "_prev")
+    rows = rows.join(opening.select(F.col("id").alias("material_id"), F.col("quantity").alias("_open")), "material_id", "left") \
+        .join(materials.select(F.col("id").alias("material_id"), "min_quantity"), "material_id", "left")
+    prev = F.when(F.col("_is_first"), F.coalesce("_open", F.lit(0.0))).otherwise(F.col("_prev"))
+    alert = F.when((F.col("balance") == 0) & (prev != 0), "out").when(
+        (F.col("balance") <= F.col("min_quantity")) & (F.col("min_quantity") < prev), "low")
+    return rows.select("id", "material_id", "accepted", "reason", "balance", alert.alias("alert"))
 
 
 def run_material_ledger(spark: SparkSession, sf_dir: str, initial: DataFrame, mode: str = "reject",
-                        max_files: int | None = None) -> DataFrame:
-    """Run J2 over the material-log stream and read back all emitted rows."""
-    d = run_dir(spark, "j2")
-    q = (material_ledger_stream(stream_binding(spark, sf_dir, "material_logs", max_files), initial, mode).writeStream
-         .outputMode("append").format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/chk")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(LEDGER_OUT).parquet(f"{d}/out")
+                        max_files: int | None = None, job: str | None = None) -> DataFrame:
+    """Run J2 over the material-log stream and read back all emitted rows. The snapshot holds every
+    material's balance; a batch's rows are written to a folder of its number, so a repeated batch
+    replaces them."""
+    d = run_dir(spark, "j2", job)
+
+    def merge(prev: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
+        opening = initial.select("id", F.col("quantity").cast("double").alias("quantity"))
+        if prev is not None:
+            opening = opening.join(prev.select("id", F.col("quantity").alias("_q"), F.lit(True).alias("_kept")), "id", "left").select(
+                "id", F.when(F.col("_kept"), F.col("_q")).otherwise(F.col("quantity")).alias("quantity"))
+        out = f"{d}/out/batch={n}"
+        ledger_batch(opening, batch, initial, mode).write.mode("overwrite").parquet(out)
+        # the last row in order of time decides, not the one with the largest id
+        rows = batch.sparkSession.read.parquet(out).join(batch.select("id", "created_at"), "id")
+        last = final_state(rows.withColumn("_at", F.struct("created_at", "id")), "material_id", "_at")
+        return opening.join(last.select(F.col("material_id").alias("id"), "balance"), "id", "left").select(
+            "id", F.coalesce("balance", "quantity").alias("quantity"))
+
+    _run(stream_binding(spark, sf_dir, "material_logs", max_files), d, snapshot_sink(spark, f"{d}/stock", merge))
+    return spark.read.parquet(f"{d}/out").drop("batch")
 
 
 def stock_alerts(ledger_rows: DataFrame) -> DataFrame:
@@ -237,29 +217,19 @@ def _top_per_source(df: DataFrame) -> DataFrame:
     return out
 
 
-def run_activity_feed(spark: SparkSession, sf_dir: str, tables, k: int = 12, max_files: int | None = None) -> DataFrame:
-    """Keep the per-source newest rows in a small persisted frame; each
-    micro-batch is merged into it (top-k of old top-k + batch), and the feed is
-    the first ``k`` of that frame. State never exceeds 13 rows."""
-    d = run_dir(spark, "j4")
-    schema = _feed_shape(spark, sf_dir, tables, max_files).schema
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        prev_dir = f"{d}/top/{batch_id - 1}"
-        if batch_id > 0 and _exists(spark, prev_dir):
-            prev = spark.read.schema(schema).parquet(prev_dir)
-        else:  # first batch: nothing kept yet
-            prev = spark.createDataFrame([], schema)
-        _top_per_source(prev.unionByName(batch.select(*FEED_COLS))).write.mode("overwrite").parquet(
-            f"{d}/top/{batch_id}")
-        spark.createDataFrame([(batch_id,)], "b long").write.mode("overwrite").parquet(f"{d}/latest")
-
-    q = (_feed_shape(spark, sf_dir, tables, max_files).writeStream.option("checkpointLocation", f"{d}/chk")
-         .foreachBatch(merge).trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = spark.read.parquet(f"{d}/latest").first()["b"]
-    top = spark.read.schema(schema).parquet(f"{d}/top/{last}")
-    return top.orderBy(F.desc("created_at"), "source_rank", F.desc("id")).limit(k)
+def run_activity_feed(spark: SparkSession, sf_dir: str, tables, k: int = 12, max_files: int | None = None,
+                      job: str | None = None) -> DataFrame:
+    """Keep the per-source newest rows in a small snapshot; each micro-batch
+    is merged into it (top-k of old top-k + batch), and the feed is the first
+    ``k`` of it. The snapshot never exceeds 13 rows."""
+    d = run_dir(spark, "j4", job)
+
+    def merge(prev: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
+        new = batch.select(*FEED_COLS)
+        return _top_per_source(new if prev is None else prev.select(*FEED_COLS).unionByName(new))
+
+    _run(_feed_shape(spark, sf_dir, tables, max_files), d, snapshot_sink(spark, f"{d}/top", merge))
+    return read_snapshot(spark, f"{d}/top").orderBy(F.desc("created_at"), "source_rank", F.desc("id")).limit(k)
 
 
 # ----------------------------------------------------------------------------- J5
@@ -267,15 +237,17 @@ def dedupe_status_events(events: DataFrame, keys: tuple[str, ...] = ("order_id",
                          delay: str = "1 hour") -> DataFrame:
     """Drop repeated (entity, id, status) events that arrive within the
     watermark delay of each other (the reference applies a repeated
-    received/completed/approved twice)."""
+    received/completed/approved twice). Within one micro-batch every repetition
+    goes, however far apart: the watermark moves between batches only."""
     x = events.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", delay)
     return x.dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
+def run_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 hour", max_files: int | None = None,
+               job: str | None = None) -> DataFrame:
     """Run J5 over the order-event stream and read back the kept events."""
-    d = run_dir(spark, "j5")
-    ev = stream_binding(spark, sf_dir, "order_events")
+    d = run_dir(spark, "j5", job)
+    ev = stream_binding(spark, sf_dir, "order_events", max_files)
     q = (dedupe_status_events(ev, delay=delay).drop("_et").writeStream.outputMode("append").format("parquet")
          .option("path", f"{d}/out").option("checkpointLocation", f"{d}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
