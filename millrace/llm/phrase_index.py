@@ -4,14 +4,16 @@ Postings say at which word of which document a term stands. The phrases to find
 the benchmark items: ten consecutive words, or all words of a shorter item.
 
 1. Collection frequencies of the benchmark's terms; a window with a term that no document has is out.
-2. The postings of each window's rarest terms are stored; common terms' lists are never needed.
-3. Offset-adjusted lists (position less the term's place in its window, that is, where the window
-   would start) are intersected per document and window: a start that all lists have is a phrase
-   candidate, starts at most ``slop`` words apart are a proximity match.
-4. Candidates are compared with the document's words, so what remains is exact.
-
-Sizes: postings are dealt by document and window, never by term, so a frequent term is no hot key.
-The benchmark's terms and windows are broadcast only while they are fewer than ``BROADCAST_ROWS``;
+2. The postings of each window's rarest terms, its anchors, are stored; common terms' lists are
+   never needed.
+3. Offset-adjusted lists (a posting's position less its term's place in the item, that is, where the
+   item would begin) are intersected per document and item: a beginning that two anchors share is a
+   phrase candidate, beginnings at most ``SLOP`` words apart are a proximity match. All windows of
+   an item share these lists.
+4. Candidates are compared with the document's words, window by window, so what remains is exact.
+
+Sizes: postings are dealt by document and item, never by term, so a frequent term is no hot key.
+The benchmark's terms and anchors are broadcast only while they are fewer than ``BROADCAST_ROWS``;
 beyond that the same joins shuffle. Documents stay where they are unless they have candidates.
 
 Defined results: NULL or wordless texts have no words and are clean; NULL or wordless items match
@@ -60,13 +62,11 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(win, phrase: words, items: sorted ids as text) of the different windows."""
-    w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    w = w.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))))
-    w = w.select("item", F.slice("w", F.col("at") + 1, F.lit(size)).alias("phrase"))
-    w = w.groupBy("phrase").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return w.select(F.xxhash64("phrase").alias("win"), "phrase", "items")
+def item_texts(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item: key of the text, phrase: its words, ids: sorted, as text) of the different item texts."""
+    w = items.select(F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("phrase")).where(F.size("phrase") > 0)
+    w = w.groupBy("phrase").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return w.select(F.xxhash64("phrase").alias("item"), "phrase", "ids")
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,73 +78,51 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc
     return p if terms is None else p.join(terms, "term", "left_semi").select("doc", "term", "pos")
 
 
-def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS, **cols) -> DataFrame:
-    """(win, term, place, bit: 1 for the rarest, 2 for the next) of the windows all of whose terms occur."""
-    own = wins.select("win", F.size("phrase").alias("size"), F.posexplode("phrase").alias("place", "term"))
+def anchors(docs: DataFrame, texts: DataFrame, size: int = WINDOW, lists: int = LISTS, **cols) -> DataFrame:
+    """(item, place, term): of every window all of whose terms occur, the places of the rarest terms."""
+    own = texts.select("item", F.size("phrase").alias("n"), F.posexplode("phrase").alias("place", "term"))
     terms = materialize(own.select("term").distinct(), "terms")
     found = postings(docs, _bounded(terms, terms.count()), **cols).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
     found = materialize(found, "frequencies")
-    own = own.join(found, "term")
-    w = Window.partitionBy("win")
-    own = own.withColumn("here", F.count(F.lit(1)).over(w)).withColumn("list", F.row_number().over(w.orderBy("freq", "place")) - 1)
-    return own.where(F.col("here") == F.col("size")).where(F.col("list") < lists).select(
-        "win", "term", "place", F.expr("shiftleft(1, list)").alias("bit"))
-
-
-def starts(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Offset-adjusted lists: (doc, win, start, lists: bits of the lists that have this start)."""
-    p = index.join(anchors, "term").select("doc", "win", (F.col("pos") - F.col("place")).alias("start"), "bit")
-    return p.groupBy("doc", "win", "start").agg(F.bit_or("bit").alias("lists"))
-
-
-def _all_lists(anchors: DataFrame) -> DataFrame:
-    return anchors.groupBy("win").agg(F.bit_or("bit").alias("want"))
-
-
-def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc, win, start) that all lists of the window have."""
-    p = index.join(anchors, "term").select("doc", "win", (F.col("pos") - F.col("place")).alias("start"), "bit", "want")
-    p = p.where("start >= 0").groupBy("doc", "win", "start").agg(
-        F.bit_or("bit").alias("lists"), F.first("want").alias("want"))
-    return p.where("lists = want").select("doc", "win", "start")
-
-
-def proximity(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(doc, win, start, apart): places where the lists' starts come within ``slop`` words of the
-    rarest term's start, the nearest of each list counting; ``apart`` is the largest distance. Each
-    list's nearest start on either side comes from running windows, so no pairs are made."""
-    s = starts(index, anchors).join(_all_lists(anchors), "win")
-    before = Window.partitionBy("doc", "win").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("doc", "win").orderBy("start").rowsBetween(0, Window.unboundedFollowing)
-    far, apart, bit = F.lit(1 << 30), F.lit(0), 2
-    top = anchors.agg(F.max("bit")).first()[0] or 0
-    while bit <= top:
-        mine = F.when(F.col("lists").bitwiseAND(bit) != 0, F.col("start"))
-        low, high = F.last(mine, True).over(before), F.first(mine, True).over(after)
-        d = F.least(F.coalesce(F.col("start") - low, far), F.coalesce(high - F.col("start"), far))
-        apart = F.greatest(apart, F.when(F.col("want").bitwiseAND(bit) != 0, d).otherwise(0))
-        bit *= 2
-    s = s.withColumn("apart", apart).where(F.col("lists").bitwiseAND(1) != 0).where(F.col("apart") <= slop)
-    return s.select("doc", "win", "start", "apart")
+    # each place with the windows (by their first place) that it lies in
+    last = F.greatest(F.col("n") - size, F.lit(0))
+    wins = F.sequence(F.greatest(F.col("place") - (size - 1), F.lit(0)), F.least(F.col("place"), last))
+    own = own.join(found, "term", "left").withColumn("win", F.explode(wins))
+    w = Window.partitionBy("item", "win")
+    own = own.withColumn("all", F.min(F.col("freq").isNotNull()).over(w)).withColumn(
+        "list", F.row_number().over(w.orderBy("freq", "place")))
+    return own.where(F.col("all") & (F.col("list") <= lists)).select("item", "place", "term").distinct()
+
+
+def beginnings(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFrame:
+    """Where an item could begin in a document: (doc, item, start, hits: anchors there, near: another
+    anchor's beginning is 1 to ``slop`` words away). Neighbours come from windows over the sorted
+    beginnings, so no pairs are made."""
+    p = index.join(places, "term").select("doc", "item", (F.col("pos") - F.col("place")).alias("start"), "place")
+    p = p.repartition("doc", "item").groupBy("doc", "item", "start").agg(F.collect_set("place").alias("places"))
+    w = Window.partitionBy("doc", "item").orderBy("start")
+    gap = lambda side: F.abs(F.col("start") - side("start").over(w)) <= slop
+    other = lambda side: F.size(F.array_except(side("places").over(w), F.col("places"))) > 0
+    near = F.coalesce(gap(F.lag) & other(F.lag), F.lit(False)) | F.coalesce(gap(F.lead) & other(F.lead), F.lit(False))
+    return p.select("doc", "item", "start", F.size("places").alias("hits"), near.alias("near"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """All rows of ``docs`` with a struct column (``found``, or with leading underscores): n_words,
-    n_hit, items (sorted), n_near (windows with a proximity match in the document but no exact one)."""
+    n_hit, items (sorted ids), n_near (item texts with a proximity match and no exact one)."""
     cols = {"id_col": id_col, "text_col": text_col}
-    wins = materialize(windows(items, item_col, item_text, size), "windows")
-    anchors = rarest_terms(docs, wins, **cols)
-    anchors = materialize(anchors.join(_all_lists(anchors), "win"), "anchors")
-    n = anchors.count()
-    terms = materialize(anchors.select("term").distinct(), "terms")
+    texts = materialize(item_texts(items, item_col, item_text), "items")
+    places = materialize(anchors(docs, texts, size, **cols), "anchors")
+    n = places.count()
+    terms = materialize(places.select("term").distinct(), "terms")
     index = materialize(postings(docs, _bounded(terms, n), **cols), "postings")
-    bounded = _bounded(anchors, n)
-    exact = materialize(candidates(index, bounded), "candidates")
-    near = proximity(index, anchors.drop("want")).select("doc", "win").distinct()
-    near = near.join(exact.select("doc", "win").distinct(), ["doc", "win"], "left_anti").groupBy("doc").agg(F.count(F.lit(1)).alias("n_near"))
-    per_doc = exact.join(wins, "win").groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("spans"))
-    per_doc = materialize(per_doc.join(near, "doc", "full"), "spans")
+    at = beginnings(index, _bounded(places, n)).join(texts.select("item", F.size("phrase").alias("n")), "item")
+    exact = F.col("hits") >= F.least(F.col("n"), F.lit(LISTS))
+    at = materialize(at.where(exact | F.col("near")).select("doc", "item", "start", exact.alias("exact")), "beginnings")
+    near = at.groupBy("doc", "item").agg(F.max("exact").alias("exact")).where("NOT exact").groupBy("doc").agg(F.count(F.lit(1)).alias("n_near"))
+    spans = at.where("exact").join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "ids")).alias("spans"))
+    per_doc = materialize(spans.join(near, "doc", "full"), "spans")
     keys = materialize(per_doc.where("spans IS NOT NULL").select("doc").distinct(), "keys")
 
     out = fresh(docs, "found")
@@ -153,15 +131,24 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     d = d.join(keys.select(F.col("doc").alias("__key"), F.lit(True).alias("__hit")), "__key", "left")
     d = d.withColumn("__w", F.when(F.col("__hit"), words(text)))
     d = d.join(per_doc.select(F.col("doc").alias("__key"), "spans", "n_near"), "__key", "left")
-    same = F.filter("spans", lambda c: F.slice(F.col("__w"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
-    d = d.withColumn("__spans", F.when(F.col("__hit") & F.col("spans").isNotNull(), same))
-    hit = F.array_distinct(F.flatten(F.transform(
-        "__spans", lambda c: F.sequence(c["start"], c["start"] + F.size(c["phrase"]) - 1))))
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform("__spans", lambda c: c["items"]))))
-    none = F.array().cast("array<string>")
+
+    def matching(c: Column) -> Column:
+        """The first places of the item's windows that stand in the document at this beginning."""
+        n = F.size(c["phrase"])
+        low, high = F.greatest(-c["start"], F.lit(0)), F.least(n - length(c), F.size("__w") - c["start"] - length(c))
+        return F.when(low <= high, F.filter(F.sequence(low, high), lambda k: F.slice(F.col("__w"), c["start"] + k + 1, length(c)) == F.slice(
+            c["phrase"], k + 1, length(c)))).otherwise(F.array().cast("array<int>"))
+
+    length = lambda c: F.least(F.size(c["phrase"]), F.lit(size))
+    whole = lambda c, k: F.sequence(c["start"] + k, c["start"] + k + length(c) - 1)
+    found = F.filter(F.transform("spans", lambda c: F.struct(
+        c["ids"].alias("ids"), F.flatten(F.transform(matching(c), lambda k: whole(c, k))).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
+    d = d.withColumn("__found", F.when(F.col("__hit") & F.col("spans").isNotNull(), found))
+    hit = F.array_distinct(F.flatten(F.col("__found")["hit"]))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.col("__found")["ids"])))
     return d.select("__row.*", F.struct(
-        word_count(text).alias("n_words"),
-        F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(found, none).alias("items"),
+        word_count(text).alias("n_words"), F.when(F.col("__found").isNotNull(), F.size(hit)).otherwise(0).cast("long").alias("n_hit"),
+        F.coalesce(ids, F.array().cast("array<string>")).alias("items"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).alias(out))
 
 

@@ -75,27 +75,39 @@ def test_edge_rows(spark):
 
 
 def test_proximity(spark):
+    """Beginnings and neighbours against plain lists."""
     rnd = random.Random(4)
-    vocab = "abcdef"
     items = [(0, "a b c"), (1, "d e"), (2, "f")]
-    docs = [(i, " ".join(rnd.choices(vocab, k=30))) for i in range(20)]
+    docs = [(i, " ".join(rnd.choices("abcdef", k=30))) for i in range(20)]
     df, it = frames(spark, docs, items)
-    wins = P.windows(it)
-    anchors = P.rarest_terms(df, wins, lists=2).cache()
-    got = {(r.doc, r.win, r.start): r.apart for r in P.proximity(P.postings(df), anchors, slop=2).collect()}
+    places = P.anchors(df, P.item_texts(it)).cache()
+    got = {(r.doc, r.item, r.start): (r.hits, r.near) for r in P.beginnings(P.postings(df), places, slop=2).collect()}
     keys = {r.doc_id: r.k for r in df.select("doc_id", P._key("doc_id").alias("k")).collect()}
     want, by = {}, {}
-    for r in anchors.collect():
-        by.setdefault(r.win, {})[r.bit] = (r.term, r.place)
+    for r in places.collect():
+        by.setdefault(r.item, []).append((r.place, r.term))
     for i, t in docs:
-        w = t.split()
-        for win, lists in by.items():
-            starts = {b: [k - place for k, x in enumerate(w) if x == term] for b, (term, place) in lists.items()}
-            for s in starts[1]:
-                far = [min((abs(s - o) for o in v), default=99) for v in starts.values()]
-                if max(far) <= 2:
-                    want[keys[i], win, s] = max(far)
-    assert got == want
+        for item, anchors in by.items():
+            at = {}
+            for k, x in enumerate(t.split()):
+                for place, term in anchors:
+                    if x == term:
+                        at.setdefault(k - place, set()).add(place)
+            order = sorted(at)
+            for n, s in enumerate(order):
+                beside = [order[m] for m in (n - 1, n + 1) if 0 <= m < len(order)]
+                near = any(abs(s - o) <= 2 and at[o] - at[s] for o in beside)
+                want[keys[i], item, s] = (len(at[s]), near)
+    assert got == want and any(near for _, near in got.values())
+
+
+def test_items_at_the_edges_of_a_text(spark):
+    """An item that hangs over a text's beginning or end matches with the windows that lie inside."""
+    item = " ".join(f"i{k}" for k in range(30))
+    docs = [(1, " ".join(f"i{k}" for k in range(15, 30)) + " x"), (2, "x " + " ".join(f"i{k}" for k in range(15))),
+            (3, " ".join(f"i{k}" for k in range(20, 29))), (4, item), (5, " ".join(f"i{k}" for k in range(5, 25)) + " i0 i1")]
+    items = [(1, item), (2, "i0 i1"), (3, "i29 x")]
+    assert run(*frames(spark, docs, items)) == plain_hits(docs, items)
 
 
 def test_index_has_every_word(spark):
