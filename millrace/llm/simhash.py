@@ -140,11 +140,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One document of each component: that of the smallest id, and of repeated rows of it (or of a
     component without ids) one row."""
     near = materialize(near_duplicates(docs, id_col, text_col), "near")
-    keep = near.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    keep = materialize(keep, "keep")
-    key = fresh(docs, "keep_id")
-    kept = docs.join(keep.where("n = 1").select(F.col("id").alias(key)), F.col(id_col) == F.col(key), "left_semi")
-    again = docs.join(keep.where("n > 1").select(F.col("id").alias(key)), F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
+    # the ids that go are fewer than those that stay; an id that repeats has one row chosen
+    key = fresh(docs, "other_id")
+    first = near.where(F.col("id") == F.col("component_id"))
+    twice = materialize(first.groupBy("id").count().where("count > 1").select(F.col("id").alias(key)), "twice")
+    away = near.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()
+    away = materialize(away.unionByName(twice), "away")
+    kept = docs.where(F.col(id_col).isNotNull()).join(away, F.col(id_col) == F.col(key), "left_anti")
+    again = docs.join(twice, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
     nameless = near.where("component_id IS NULL").select("fp", "component_fp").distinct()
     fp, rep = fresh(docs, "fp"), fresh(docs, "component_fp")
     unnamed = docs.where(F.col(id_col).isNull())
