@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import operator
 import uuid
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +47,7 @@ def word_features(word: bytes) -> list[int]:
     """Buckets of a word and its n-grams; bucket 0 is kept for a repeated word."""
     mark = b"<" + word + b">"
     grams = [mark, *(mark[i:i + n] for n in GRAMS for i in range(len(mark) - n + 1) if n < len(mark))]
-    return [1 + xxhash.xxh32_intdigest(g) % (BUCKETS - 1) for g in grams]
+    return [1 + crc32(g) % (BUCKETS - 1) for g in grams]
 
 
 def repeats(words: list[bytes]) -> int:
@@ -68,16 +68,31 @@ def document_features(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.n
 
 
 
-_KNOWN: tuple[str, dict[bytes, tuple[float, int]]] = ("", {})
+class _Words:
+    """What a worker process knows of words for the model in use, from task to task: a word's share
+    of the logit and its number of vectors, as one complex number so that a text's sum is one sum.
+    Two generations of at most ``CACHE_WORDS`` words: those used last stay."""
 
+    def __init__(self, amounts: list[float]):
+        self.amounts = amounts
+        self.young: dict[bytes, complex] = {}
+        self.old: dict[bytes, complex] = {}
+
+    def learn(self, split: list[list[bytes]]) -> None:
+        need = set().union(*split).difference(self.young)
+        if len(self.young) + len(need) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+            need = set().union(*split)
+        amount_of = self.amounts.__getitem__
+        for w in need:
+            z = self.old.get(w)
+            if z is None:
+                f = word_features(w)
+                z = complex(sum(map(amount_of, f)), len(f))
+            self.young[w] = z
 
-def _words_of(model: "Embeddings") -> dict[bytes, tuple[float, int]]:
-    """(share of the logit, features) by word: kept by the worker process from task to task for the
-    model in use, and emptied when it holds ``CACHE_WORDS`` words."""
-    global _KNOWN
-    if _KNOWN[0] != model.name or len(_KNOWN[1]) > CACHE_WORDS:
-        _KNOWN = (model.name, {})
-    return _KNOWN[1]
+
+_IN_USE: dict[str, _Words] = {}
 
 
 class Embeddings:
@@ -122,21 +137,18 @@ class Embeddings:
 
     def scores(self, batch: list[bytes]) -> list[float]:
         """The probability of class 1 for each text."""
-        out, amount_of = [], self.amounts.__getitem__
-        for text in batch:
-            words = text.split()
-            known = _words_of(self)
-            for w in set(words).difference(known):
-                f = word_features(w)
-                known[w] = (sum(map(amount_of, f)), len(f))
-            total, n = 0.0, 0
-            for amount, k in map(known.__getitem__, words):
-                total += amount
-                n += k
-            again = repeats(words) * SAME_WEIGHT
-            total, n = total + again * self.amounts[_SAME], n + again
-            z = (total / n if n else 0.0) + self.bias
-            out.append(float(1 / (1 + np.exp(-z))))
+        if self.name not in _IN_USE:
+            _IN_USE.clear()
+            _IN_USE[self.name] = _Words(self.amounts)
+        known, out = _IN_USE[self.name], []
+        for i in range(0, len(batch), 256):
+            split = [text.split() for text in batch[i:i + 256]]
+            known.learn(split)
+            get = known.young.__getitem__
+            for words in split:
+                again = repeats(words) * SAME_WEIGHT
+                z = sum(map(get, words), complex(again * self.amounts[_SAME], again))
+                out.append(float(1 / (1 + np.exp(-(z.real / z.imag if z.imag else 0.0) - self.bias))))
         return out
 
 
