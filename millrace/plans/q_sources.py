@@ -8,15 +8,8 @@ from pyspark.sql import types as T
 from millrace.functions import scalars as H
 from millrace.operators import reports as R
 from millrace.plans.catalog import FROM, TO, register
-from millrace.plans.q_reports import PROFIT_SQL
-
-MS = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
-D6_SQL = f"""
-SELECT si.product_id, p.code, p.name, CAST(SUM(si.quantity) AS BIGINT) AS quantity, {MS('si.subtotal')} AS revenue
-FROM sales_items si JOIN sales_orders so ON si.order_id = so.id JOIN products p ON si.product_id = p.id
-WHERE so.order_date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND so.status <> 'cancelled'
-GROUP BY si.product_id, p.code, p.name
-"""
+from millrace.plans.q_reports import D6_SQL, PROFIT_SQL
+
 PROFIT_ROWS = PROFIT_SQL
 from millrace.sources import io as A
 from millrace.sources.tables import load_table
