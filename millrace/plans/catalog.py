@@ -26,6 +26,8 @@ EV_FROM, EV_TO = "2024-01-01", "2024-01-31"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: the oracles before the bindings are put in front, to build others from
+PLAIN: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None):
@@ -40,7 +42,8 @@ def register(name: str, oracle: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_bindings(oracle.strip())
+            PLAIN[name] = oracle.strip()
+            ORACLES[name] = with_bindings(PLAIN[name])
         return fn
     return deco
 

@@ -7,6 +7,9 @@ part files, read in name order, are the exact file the reference produces.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,20 +87,42 @@ SALES_CSV_HEADERS = ["สินค้า", "จำนวน", "ยอดขา
 PROFIT_CSV_HEADERS = ["สินค้า", "จำนวน", "รายได้", "ต้นทุน", "กำไร", "มาร์จิ้น"]
 
 
-def report_json_lines(parts: dict[str, DataFrame], meta: dict[str, str]) -> DataFrame:
-    """A5: a report envelope as JSON lines ``(part, json)``: one line per row of
-    each part (summary, byDay, ...) plus one line per meta field (from, to)."""
-    spark = next(iter(parts.values())).sparkSession
-    frames = [df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("json"))
-              for name, df in parts.items()]
-    m = spark.createDataFrame([(k, v) for k, v in meta.items()], "part string, json string") \
-        .select("part", F.to_json(F.struct(F.col("json").alias("value"))).alias("json"))
-    out = m
-    for f in frames:
-        out = out.unionByName(f)
+@dataclass(frozen=True)
+class Part:
+    """One field of a report: an ``object`` (a one-row frame), an ``array`` of rows in the order of
+    ``order`` (unique keys, as for ``orderBy``), or a ``value`` (a one-row, one-column frame)."""
+    name: str
+    kind: str
+    rows: DataFrame
+    order: tuple[Column, ...] = ()
+
+
+def report_json_lines(parts: list[Part], meta: dict[str, str]) -> DataFrame:
+    """A5: a report as the lines of one JSON object ``{part: ..., from: ..., to: ...}``: a line per
+    row, in order of ``(_part, _step, _pos)``, with the row's own JSON in ``json``. No array is
+    gathered into one row or task: an array's lines are sorted where Spark sorts them."""
+    spark = parts[0].rows.sparkSession
+    fields = [(f"{',' if i else '{'}{json.dumps(p.name)}:", p) for i, p in enumerate(parts)]
+    tail = "".join(f",{json.dumps(k)}:{json.dumps(v, ensure_ascii=False)}" for k, v in meta.items()) + "}"
+    marks = [(i, 0, head + ("[" if p.kind == "array" else "")) for i, (head, p) in enumerate(fields)]
+    marks += [(i, 2, "]") for i, (_, p) in enumerate(fields) if p.kind == "array"] + [(len(fields), 0, tail)]
+    out = spark.createDataFrame(marks, "_part int, _step int, line string").select(
+        "_part", "_step", F.lit(0).cast("long").alias("_pos"), F.lit(None).cast("string").alias("part"),
+        F.lit(None).cast("string").alias("json"), "line")
+    for i, (_, p) in enumerate(fields):
+        rows = p.rows.orderBy(*p.order) if p.order else p.rows
+        text = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
+        if p.kind == "value":
+            text = F.get_json_object(text, f"$.{rows.columns[0]}")
+        body = rows.select(F.lit(i).alias("_part"), F.lit(1).alias("_step"), F.monotonically_increasing_id().alias("_pos"),
+                           F.lit(p.name).alias("part"), text.alias("json"))
+        # every row of an array but its first begins with the comma
+        first = F.lit(p.kind != "array") | (F.col("json") == rows.limit(1).select(text.alias("j")).scalar())
+        out = out.unionByName(body.withColumn("line", F.when(first, F.col("json")).otherwise(F.concat(F.lit(","), F.col("json")))))
     return out
 
 
-def export_json(parts: dict[str, DataFrame], meta: dict[str, str], path: str) -> None:
-    """A5: write the envelope lines with the JSON-lines writer (text of JSON)."""
-    report_json_lines(parts, meta).write.mode("overwrite").json(path)
+def export_json(parts: list[Part], meta: dict[str, str], path: str) -> None:
+    """A5: write the report; the part files read in name order are one JSON object."""
+    report_json_lines(parts, meta).orderBy("_part", "_step", "_pos").select("line") \
+        .write.mode("overwrite").option("lineSep", "\n").text(path)
