@@ -107,10 +107,11 @@ def beginnings(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFra
     return p.select("doc", "item", "start", F.size("places").alias("hits"), near.alias("near"))
 
 
-def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """All rows of ``docs`` with a struct column (``found``, or with leading underscores): n_words,
-    n_hit, items (sorted ids), n_near (item texts with a proximity match and no exact one)."""
+def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(candidates, proximity matches): (doc, spans: array of start, phrase, ids) of the documents in
+    which two anchors of an item agree on its beginning, still to be compared with the words; and
+    (doc, item, start) where anchors come near each other in a document without such a candidate."""
     cols = {"id_col": id_col, "text_col": text_col}
     texts = materialize(item_texts(items, item_col, item_text), "items")
     places = materialize(anchors(docs, texts, size, **cols), "anchors")
@@ -120,17 +121,24 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     at = beginnings(index, _bounded(places, n)).join(texts.select("item", F.size("phrase").alias("n")), "item")
     exact = F.col("hits") >= F.least(F.col("n"), F.lit(LISTS))
     at = materialize(at.where(exact | F.col("near")).select("doc", "item", "start", exact.alias("exact")), "beginnings")
-    near = at.groupBy("doc", "item").agg(F.max("exact").alias("exact")).where("NOT exact").groupBy("doc").agg(F.count(F.lit(1)).alias("n_near"))
     spans = at.where("exact").join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "ids")).alias("spans"))
-    per_doc = materialize(spans.join(near, "doc", "full"), "spans")
-    keys = materialize(per_doc.where("spans IS NOT NULL").select("doc").distinct(), "keys")
+    near = at.where("NOT exact").join(at.where("exact").select("doc", "item").distinct(), ["doc", "item"], "left_anti")
+    return materialize(spans, "spans"), near.select("doc", "item", "start")
+
 
+def find_windows(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 size: int = WINDOW) -> DataFrame:
+    """All rows of ``docs`` with a struct column (``found``, or with leading underscores): n_words,
+    n_hit, items (sorted ids). Only documents with candidates are dealt to their candidates; all
+    others pass by the list of those documents' keys."""
+    keys = materialize(candidates.select(F.col("doc").alias("__doc")), "keys")
     out = fresh(docs, "found")
-    d = docs.select(F.struct("*").alias("__row"), _key(id_col).alias("__key"))
-    text = F.col("__row")[text_col]
-    d = d.join(keys.select(F.col("doc").alias("__key"), F.lit(True).alias("__hit")), "__key", "left")
-    d = d.withColumn("__w", F.when(F.col("__hit"), words(text)))
-    d = d.join(per_doc.select(F.col("doc").alias("__key"), "spans", "n_near"), "__key", "left")
+    d = docs.withColumn("__key", _key(id_col)).withColumn("__n", word_count(F.col(text_col)))
+    same = F.col("__key") == F.col("__doc")
+    none = F.array().cast("array<string>")
+    clean = d.join(keys, same, "left_anti").withColumn(out, F.struct(
+        F.col("__n").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items")))
+    d = d.join(keys, same, "left_semi").join(candidates.withColumnRenamed("doc", "__doc"), same).withColumn("__w", words(F.col(text_col)))
 
     def matching(c: Column) -> Column:
         """The first places of the item's windows that stand in the document at this beginning."""
@@ -143,18 +151,16 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     whole = lambda c, k: F.sequence(c["start"] + k, c["start"] + k + length(c) - 1)
     found = F.filter(F.transform("spans", lambda c: F.struct(
         c["ids"].alias("ids"), F.flatten(F.transform(matching(c), lambda k: whole(c, k))).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
-    d = d.withColumn("__found", F.when(F.col("__hit") & F.col("spans").isNotNull(), found))
-    hit = F.array_distinct(F.flatten(F.col("__found")["hit"]))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.col("__found")["ids"])))
-    return d.select("__row.*", F.struct(
-        word_count(text).alias("n_words"), F.when(F.col("__found").isNotNull(), F.size(hit)).otherwise(0).cast("long").alias("n_hit"),
-        F.coalesce(ids, F.array().cast("array<string>")).alias("items"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).alias(out))
+    d = d.withColumn("__found", found)
+    d = d.withColumn(out, F.struct(
+        F.col("__n").alias("n_words"), F.size(F.array_distinct(F.flatten(F.col("__found")["hit"]))).cast("long").alias("n_hit"),
+        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("__found")["ids"]))), none).alias("items")))
+    return clean.select(*docs.columns, out).unionByName(d.select(*docs.columns, out))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark."""
-    d = find_windows(docs, items, **cols)
+    d = find_windows(docs, search(docs, items, **cols)[0], **{k: v for k, v in cols.items() if k in ("id_col", "text_col", "size")})
     name = d.columns[-1]
     return d.where(F.col(name)["n_hit"] == 0).drop(name)
 
@@ -178,7 +184,8 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 @register("op5_phrase_decontamination", ORACLE)
 def op5_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark items every document holds, and how many of its words lie in their windows."""
-    d = find_windows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = find_windows(docs, search(docs, read_table(spark, sf_dir, "benchmark"))[0])
     f = F.col(d.columns[-1])
     return d.select("doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"),
                     F.size(f["items"]).cast("long").alias("n_items"),

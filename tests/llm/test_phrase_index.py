@@ -37,8 +37,8 @@ def frames(spark, docs, items):
             spark.createDataFrame(items, "item_id long, text string"))
 
 
-def run(df, items, **kw):
-    out = P.find_windows(df, items, **kw)
+def run(df, items):
+    out = P.find_windows(df, P.search(df, items)[0])
     assert out.columns[:3] == ["doc_id", "text", "found"]
     x = out.columns[-1]
     return sorted(((r.doc_id, r[x].n_words, r[x].n_hit, r[x]["items"]) for r in out.collect()), key=str)
@@ -70,7 +70,7 @@ def test_edge_rows(spark):
                           (None, 1, 0, []), (7, 40_001, 3, ["3", "4"])], key=str)
     df, it = frames(spark, docs, items)
     assert [r.n for r in P.decontaminate(df, it).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy("doc_id").collect()] == [1, 1, 1, 1]
-    assert P.find_windows(df.limit(0), it).count() == 0
+    assert P.find_windows(df.limit(0), P.search(df.limit(0), it)[0]).count() == 0
     assert {r[2] for r in run(df, it.limit(0))} == {0}
 
 
@@ -99,6 +99,11 @@ def test_proximity(spark):
                 near = any(abs(s - o) <= 2 and at[o] - at[s] for o in beside)
                 want[keys[i], item, s] = (len(at[s]), near)
     assert got == want and any(near for _, near in got.values())
+    texts = spark.createDataFrame([(1, "x red blue green z"), (2, "x red blue or green z"), (3, "red z")], "doc_id long, text string")
+    found, near = P.search(texts, spark.createDataFrame([(5, "red blue green")], "item_id long, text string"))
+    k = {r.k: r.doc_id for r in texts.select("doc_id", P._key("doc_id").alias("k")).collect()}
+    assert {k[r.doc] for r in near.collect()} == {2}
+    assert 1 in {k[r.doc] for r in found.collect()} and 3 not in {k[r.doc] for r in found.collect()}
 
 
 def test_items_at_the_edges_of_a_text(spark):
