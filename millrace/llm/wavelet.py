@@ -38,9 +38,9 @@ from millrace.llm.common import materialize, read_table, register, shared_path,
 MAGIC = b"MRWM1"
 END_ID = 1
 SHARD_TOKENS = 1 << 21
-BLOCK_BITS = 1 << 15
+BLOCK_BITS = 1 << 17
 #: words whose ids a task remembers
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 #: marks that the vocabulary's splitter takes for one run when they follow each other; not the
 #: apostrophe, which begins contractions, nor the signs of the added tokens
 _MARKS = b".,!?;:%$#&*()[]\"-_/@+=~^`{}"
@@ -97,26 +97,24 @@ class WordEncoder:
             self.young[w] = self._ids(w.decode()).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        new, joined = set(), []
+        new, joined, before = set(), [], self.old.get
         for w in words:
-            ids = self.old.get(w)
+            ids = before(w)
             if ids is not None:
                 self.young[w] = ids
                 continue
             core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and core.decode().isalpha():
+            if len(core) == len(w):
+                new.add(w)
+            elif core and core.decode().isalpha():
                 joined.append((w, core, w[len(core):]))
                 new.update(x for x in (core, w[len(core):]) if x not in self.young)
             else:
                 new.add(w)
-        fresh = []
-        for w in new:
-            ids = self.old.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self.young[w] = ids
-        self._encode(fresh)
+        for w in [w for w in new if w in self.old]:
+            self.young[w] = self.old[w]
+            new.discard(w)
+        self._encode(list(new))
         for w, core, marks in joined:
             self.young[w] = self.young[core] + self.young[marks]
 
@@ -300,8 +298,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
 
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(doc_ids), 256):
-                for key, x in zip(doc_ids[i:i + 256], words.batch(list(texts(column.slice(i, 256))))):
+            for i in range(0, len(doc_ids), 1024):
+                for key, x in zip(doc_ids[i:i + 1024], words.batch(list(texts(column.slice(i, 1024))))):
                     n = len(x) // size
                     if held and held + n > shard_tokens:
                         yield shard()
