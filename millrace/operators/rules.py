@@ -261,10 +261,46 @@ def production_stock_moves(po: DataFrame) -> DataFrame:
         .agg(F.sum(produced_qty(po)).cast("long").alias("produced"))
 
 
-def po_receipts(po: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def production_replay(po: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I6 over status events (order_id, status, quantity_produced, ts, seq): the
+    orders as the events leave them, and one stock move per completion.
+
+    ``started_at`` is set by the first ``in_progress`` and kept; every
+    ``completed`` sets ``completed_at`` and ``quantity_produced`` (the planned
+    quantity where it is 0 or missing) and adds to stock again: no repeat guard,
+    as in the reference. Events of unknown orders do nothing."""
+    pos = F.struct("ts", "seq")
+    e = events.join(po.select(F.col("id").alias("order_id"), "product_id", "quantity_planned"), "order_id")
+    done = F.col("status") == "completed"
+    made = F.coalesce(F.when(F.col("quantity_produced") != 0, F.col("quantity_produced")), F.col("quantity_planned"))
+    moves = e.where(done).select("order_id", "product_id", made.alias("quantity"), "ts", "seq")
+    last = e.groupBy("order_id").agg(
+        F.max_by("status", pos).alias("_status"), F.min(F.when(F.col("status") == "in_progress", F.col("ts"))).alias("_started"),
+        F.max(F.when(done, F.col("ts"))).alias("_completed"), F.max_by(made, F.when(done, pos)).alias("_made"))
+    x = po.join(last.withColumnRenamed("order_id", "id"), "id", "left")
+    had = F.col("started_at") if "started_at" in po.columns else F.lit(None).cast("timestamp_ntz")
+    old = F.col("completed_at") if "completed_at" in po.columns else F.lit(None).cast("timestamp_ntz")
+    keep = [c for c in po.columns if c not in ("status", "quantity_produced", "started_at", "completed_at")]
+    return x.select(*keep, F.coalesce("_status", "status").alias("status"),
+                    F.coalesce(F.col("_made"), F.col("quantity_produced")).alias("quantity_produced"),
+                    F.coalesce(had, F.col("_started")).alias("started_at"), F.coalesce(F.col("_completed"), old).alias("completed_at")), moves
+
+
+def _times(events: DataFrame, key: str, status: str) -> DataFrame:
+    """How often each row's events set ``status``."""
+    return events.where(F.col("status") == status).groupBy(F.col("id").alias(key)).agg(F.count(F.lit(1)).alias("_times"))
+
+
+def po_receipts(po: DataFrame, items: DataFrame, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Received POs: ``in`` log rows (one per line, note = PO number) and the
-    quantity added per material. No repeat guard, as in the reference."""
-    rec = po.where(F.col("status") == "received").select(F.col("id").alias("po_id"), "po_number", "created_by")
+    quantity added per material. No repeat guard, as in the reference: with
+    status ``events(id, status)`` every event that sets ``received`` adds the
+    lines again; without, each PO that is received counts once."""
+    rec = po.select(F.col("id").alias("po_id"), "po_number", "created_by", "status")
+    if events is None:
+        rec = rec.where(F.col("status") == "received")
+    else:
+        rec = rec.join(_times(events, "po_id", "received"), "po_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     logs = items.join(rec, "po_id").select("po_id", "material_id", F.lit("in").alias("type"), "quantity",
                                            F.concat(F.lit("รับจาก PO: "), F.col("po_number")).alias("note"),
                                            "created_by")
@@ -558,10 +594,15 @@ def customer_balances(payments: DataFrame, orders: DataFrame, customers: DataFra
         .alias("balance"))
 
 
-def return_restock(returns: DataFrame) -> DataFrame:
-    """Approved returns put their quantity back (no repeat guard)."""
-    return returns.where((F.col("status") == "approved") & F.col("product_id").isNotNull()) \
-        .groupBy("product_id").agg(F.sum("quantity").cast("long").alias("returned"))
+def return_restock(returns: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Approved returns put their quantity back (no repeat guard: with status
+    ``events(id, status)`` every event that sets ``approved`` does so again)."""
+    r = returns.where(F.col("product_id").isNotNull())
+    if events is None:
+        r = r.where(F.col("status") == "approved").withColumn("_times", F.lit(1))
+    else:
+        r = r.join(_times(events, "_rid", "approved"), F.col("id") == F.col("_rid"))
+    return r.groupBy("product_id").agg(F.sum(F.col("quantity") * F.col("_times")).cast("long").alias("returned"))
 
 
 def product_stock_rebuild(products: DataFrame, produced: DataFrame, delivered: DataFrame, returned: DataFrame,
@@ -635,16 +676,17 @@ def js_number(x: Column) -> Column:
 
 
 def audit_events(production: DataFrame, qc: DataFrame, expenses: DataFrame, pos: DataFrame,
-                 maintenance: DataFrame, returns: DataFrame) -> DataFrame:
+                 maintenance: DataFrame, returns: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """One ``create`` audit row per new production order, QC test, expense,
     purchase order, maintenance log and return, with the reference's detail text.
-    (Deletes, payments and sales are not audited, as in the reference.)"""
+    (Deletes, payments and sales are not audited, as in the reference.) With
+    ``users``, rows carry the creator's ``user_name``."""
     def part(df, entity, details):
         return df.select(F.col("created_by").cast("long").alias("user_id"), F.lit("create").alias("action"),
                          F.lit(entity).alias("entity"), F.col("id").alias("entity_id"), details.alias("details"),
                          F.col("created_at"))
     batch = lambda df: F.col("batch_number") if "batch_number" in df.columns else F.lit(None).cast("string")  # noqa
-    return (part(production, "production", F.concat(F.lit("Batch: "), F.coalesce(batch(production), F.lit("undefined"))))
+    rows = (part(production, "production", F.concat(F.lit("Batch: "), F.coalesce(batch(production), F.lit("undefined"))))
             .unionByName(part(qc, "qc", F.concat(F.lit("QC test batch "), F.coalesce(batch(qc), F.lit("undefined")))))
             .unionByName(part(expenses, "expense", F.concat(F.col("category"), F.lit(": "), js_number(F.col("amount")),
                                                               F.lit(" บาท"))))
@@ -652,6 +694,9 @@ def audit_events(production: DataFrame, qc: DataFrame, expenses: DataFrame, pos:
             .unionByName(part(maintenance, "maintenance", F.concat(F.lit("ซ่อมบำรุง: "), F.col("maintenance_type"))))
             .unionByName(part(returns, "return", F.concat(F.lit("คืนสินค้า: "), js_number(F.col("quantity")),
                                                           F.lit(" ชิ้น")))))
+    if users is None:
+        return rows
+    return rows.join(users.select(F.col("id").cast("long").alias("user_id"), F.col("name").alias("user_name")), "user_id", "left")
 
 
 # ----------------------------------------------------------------------------- I19 / I20 / A6
@@ -681,6 +726,14 @@ INPUT_RULES = {
     "payment": (["order_id", "amount", "payment_date"], []),
     "delivery": (["order_id"], []),
     "bom": (["product_id", "material_id", "quantity_per_unit"], []),
+    "material": (["code", "name", "unit"], []),
+    "product": (["code", "name"], []),
+    "production": (["product_id", "quantity_planned"], []),
+    "customer": (["code", "name"], []),
+    "user": (["username", "name"], []),
+    "supplier": (["code", "name"], []),
+    "purchase_order": (["supplier_id", "order_date"], []),
+    "equipment": (["code", "name"], []),
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import lists as C
 from millrace.operators import numbering as G
+from millrace.operators import reports as R
 from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, register
 from millrace.plans.q_filters import BATCH_SQL
 
@@ -107,6 +108,17 @@ def c7(t):
     return C.qc_list(t.water_quality_tests, G.assign_batch_numbers(t.production_orders), t.products, t.users)
 
 
+@register("d18_qc_report_rows", f"""
+WITH pob AS ({BATCH_SQL})
+SELECT qt.*, pob.batch_number, {_name('products', 'pob.product_id')} AS product_name, {_name('users', 'qt.created_by')} AS created_by_name
+FROM water_quality_tests qt LEFT JOIN pob ON pob.id = qt.production_order_id
+WHERE test_date BETWEEN DATE '{EV_FROM}' AND DATE '{AS_OF_EVENTS}'
+""")
+def d18_rows(t):
+    return C.qc_list(R.qc_in(t.water_quality_tests, EV_FROM, AS_OF_EVENTS), G.assign_batch_numbers(t.production_orders), t.products,
+                     t.users).orderBy(F.desc("test_date"), F.desc("id"))
+
+
 @register("c8_bom_lines", """
 SELECT b.*, m.name AS material_name, m.unit, m.cost_per_unit, m.quantity AS stock
 FROM product_bom b JOIN raw_materials m ON b.material_id = m.id

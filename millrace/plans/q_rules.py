@@ -214,6 +214,45 @@ def i6(t):
     return I.production_stock_moves(t.production_orders)
 
 
+PRODUCTION_SQL = """
+WITH e AS (SELECT v.*, p.product_id, CASE WHEN v.quantity_produced <> 0 THEN v.quantity_produced ELSE p.quantity_planned END AS made
+           FROM production_events v, production_orders p WHERE p.id = v.order_id)
+"""
+
+
+@register("i6_production_replay_state", PRODUCTION_SQL + """,
+l AS (SELECT order_id, last(status ORDER BY ts, seq) AS status, min(ts) FILTER (status = 'in_progress') AS started_at,
+             max(ts) FILTER (status = 'completed') AS completed_at, last(made ORDER BY ts, seq) FILTER (status = 'completed') AS made
+      FROM e GROUP BY order_id)
+SELECT p.* REPLACE (ifnull(l.status, p.status) AS status, ifnull(l.made, p.quantity_produced) AS quantity_produced), l.started_at, l.completed_at
+FROM production_orders p LEFT JOIN l ON l.order_id = p.id
+""")
+def i6_state(t):
+    return I.production_replay(t.production_orders, t.production_events)[0]
+
+
+@register("i6_production_replay_moves", PRODUCTION_SQL + "SELECT order_id, product_id, made AS quantity, ts, seq FROM e WHERE status = 'completed'")
+def i6_moves(t):
+    return I.production_replay(t.production_orders, t.production_events)[1]
+
+
+@register("i7_po_receipts_replay", f"""
+WITH n AS (SELECT id, count(*) AS k FROM status_events WHERE status = 'received' GROUP BY id)
+SELECT material_id, CAST(SUM(CAST(quantity AS DECIMAL(18,4)) * k) AS DOUBLE) AS received
+FROM purchase_items, n WHERE n.id = po_id GROUP BY material_id
+""")
+def i7_replay(t):
+    return I.po_receipts(t.purchase_orders, t.purchase_items, t.status_events)[1]
+
+
+@register("i14_return_approvals_replay", """
+SELECT product_id, CAST(sum(r.quantity) AS BIGINT) AS returned FROM status_events s, returns r
+WHERE s.status = 'approved' AND r.id = s.id AND product_id IS NOT NULL GROUP BY product_id
+""")
+def i14_replay(t):
+    return I.return_restock(t.returns, t.status_events)
+
+
 @register("i7_po_receipt_logs", """
 SELECT pi.po_id, pi.material_id, 'in' AS type, pi.quantity, 'รับจาก PO: ' || po.po_number AS note, po.created_by
 FROM purchase_items pi JOIN purchase_orders po ON po.id = pi.po_id WHERE po.status = 'received'
@@ -438,7 +477,8 @@ def _jsnum(x: str) -> str:
 
 
 @register("i18_audit_events", f"""
-WITH pob AS ({BATCH_SQL})
+WITH pob AS ({BATCH_SQL}),
+rows AS (
 SELECT CAST(created_by AS BIGINT) AS user_id, 'create' AS action, 'production' AS entity, id AS entity_id,
        'Batch: ' || COALESCE(batch_number, 'undefined') AS details, created_at FROM pob
 UNION ALL SELECT created_by, 'create', 'qc', id, 'QC test batch undefined', created_at FROM water_quality_tests
@@ -448,11 +488,12 @@ UNION ALL SELECT created_by, 'create', 'purchase_order', id, 'PO: ' || po_number
 UNION ALL SELECT created_by, 'create', 'maintenance', id, 'ซ่อมบำรุง: ' || maintenance_type, created_at
           FROM maintenance_logs
 UNION ALL SELECT created_by, 'create', 'return', id, 'คืนสินค้า: ' || {_jsnum('quantity')} || ' ชิ้น', created_at
-          FROM returns
+          FROM returns)
+SELECT rows.*, (SELECT name FROM users WHERE users.id = user_id) AS user_name FROM rows
 """)
 def i18(t):
     return I.audit_events(G.assign_batch_numbers(t.production_orders), t.water_quality_tests, t.expenses,
-                          t.purchase_orders, t.maintenance_logs, t.returns)
+                          t.purchase_orders, t.maintenance_logs, t.returns, t.users)
 
 
 SETTINGS_SQL = """
@@ -570,3 +611,20 @@ def i20p(t):
 @register("i20_validate_routes", _validation_sql("delivery_routes", [("route_name", "text"), ("delivery_date", "date")]))
 def i20rt(t):
     return I.validate_inputs(t.delivery_routes, "route")
+
+
+def _i20(kind: str, table: str):
+    def run(t):
+        return I.validate_inputs(getattr(t, table), kind)
+    return run
+
+
+for _kind, _table, _checks in [
+        ("material", "raw_materials", [("code", "text"), ("name", "text"), ("unit", "text")]),
+        ("product", "products", [("code", "text"), ("name", "text")]),
+        ("production", "production_orders", [("product_id", "number"), ("quantity_planned", "number")]),
+        ("customer", "customers", [("code", "text"), ("name", "text")]), ("user", "users", [("username", "text"), ("name", "text")]),
+        ("supplier", "suppliers", [("code", "text"), ("name", "text")]),
+        ("purchase_order", "purchase_orders", [("supplier_id", "number"), ("order_date", "date")]),
+        ("equipment", "equipment", [("code", "text"), ("name", "text")])]:
+    register(f"i20_validate_{_kind}_inserts", _validation_sql(_table, _checks))(_i20(_kind, _table))

@@ -210,6 +210,15 @@ BINDINGS: dict[str, Binding] = {
         "SELECT o_orderkey * 2 + h.k AS seq, o_orderkey AS order_id, "
         "o_totalprice * CASE WHEN (o_orderkey + h.k) % 5 = 0 THEN 0.75 ELSE 0.5 END AS amount "
         "FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h"), tables=("orders",)),
+    "production_events": Binding("events", (
+        "event_id AS seq", "user_id AS order_id",
+        "CASE event_type WHEN 'click' THEN 'in_progress' WHEN 'view' THEN 'completed' WHEN 'purchase' THEN 'completed' "
+        "WHEN 'error' THEN 'cancelled' ELSE 'pending' END AS status",
+        "CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS quantity_produced", "ts",
+    )),
+    "status_events": Binding("events", (
+        "event_id AS seq", "user_id AS id", "CASE event_type WHEN 'click' THEN 'approved' WHEN 'view' THEN 'received' ELSE 'ordered' END AS status",
+    )),
     "material_changes": Binding("events", (
         "event_id AS seq", "CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('M', lpad(CAST(user_id * 3 AS STRING), 9, '0')) END AS code",
         _OPS, "concat('name', CAST(event_id % 50 AS STRING)) AS name", "'box' AS unit", "value AS quantity",
