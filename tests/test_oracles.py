@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from millrace.plans.oracle import compare, duck
+from duck_oracle import compare, duck
 
 Q, O = E.queries(), E.oracle_sql()
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from millrace.plans.oracle import duck
+from duck_oracle import duck
 
 #: query -> (ORDER BY of its definition, columns that tell the order)
 ORDERED = {
