@@ -5,7 +5,7 @@ import re
 import tempfile
 
 import __spark_entry__ as E
-from millrace.plans.oracle import canon
+from duck_oracle import canon
 from millrace.sources.layout import write_colocated
 
 
