@@ -85,17 +85,26 @@ def sales_documents(o: DataFrame, c: DataFrame, items: DataFrame, p: DataFrame,
 
 
 def document_summary(docs: DataFrame) -> DataFrame:
-    """Flat projection of C3 documents (counts and sums read back from the arrays)."""
+    """Flat projection of C3 documents: counts, sums and every nested field read back from the arrays."""
     pays = F.coalesce(F.col("payments"), F.array())
+
+    def text(*cols):
+        return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("-")) for c in cols])
+
+    def money(c, places=2):
+        return c.cast(f"decimal(18,{places})")
     return docs.select(
         "order_id", "order_number", "customer_name", "total_amount", "outstanding",
         F.size("items").alias("item_count"),
         F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + x["quantity"]).alias("item_qty"),
-        F.concat_ws("|", F.transform("items", lambda x: F.concat_ws(":", x["product_id"].cast("string"),
-                                                                     x["quantity"].cast("string")))).alias("item_keys"),
+        F.concat_ws("|", F.transform("items", lambda x: text(
+            x["product_id"], x["product_name"], x["unit"], x["quantity"], money(x["subtotal"]),
+            money(x["unit_price"] * x["quantity"])))).alias("item_keys"),
         F.size(pays).alias("payment_count"),
-        F.concat_ws("|", F.transform(pays, lambda x: x["id"].cast("string"))).alias("payment_ids"),
-        F.col("delivery.id").alias("delivery_id"), F.col("delivery.status").alias("delivery_status"))
+        F.concat_ws("|", F.transform(pays, lambda x: text(
+            x["id"], money(x["amount"], 4), x["payment_date"], x["method"], x["by_name"]))).alias("payment_ids"),
+        F.col("delivery.id").alias("delivery_id"), F.col("delivery.status").alias("delivery_status"),
+        F.col("delivery.driver_name").alias("driver_name"), F.col("delivery.delivery_date").alias("delivery_date"))
 
 
 # ----------------------------------------------------------------------------- C4 / C5

@@ -49,20 +49,30 @@ def c2(t):
     return C.recent_orders(t.sales_orders, t.customers, 5)
 
 
-@register("c3_sales_documents", """
+def _text(*cols: str) -> str:
+    return "concat_ws(':', " + ", ".join(f"ifnull(CAST({c} AS VARCHAR), '-')" for c in cols) + ")"
+
+
+def _money(c: str, places: int = 2) -> str:
+    return f"CAST({c} AS DECIMAL(18,{places}))"
+
+
+@register("c3_sales_documents", f"""
 WITH it AS (
   SELECT order_id, COUNT(*) AS item_count, CAST(SUM(quantity) AS BIGINT) AS item_qty,
-         string_agg(CAST(product_id AS VARCHAR) || ':' || CAST(quantity AS VARCHAR), '|' ORDER BY product_id, subtotal)
-           AS item_keys
+         string_agg({_text('product_id', _name('products', 'product_id'), _name('products', 'product_id', 'unit'), 'quantity',
+                           _money('subtotal'), _money('unit_price * quantity'))}, '|' ORDER BY product_id, subtotal) AS item_keys
   FROM sales_items GROUP BY order_id),
-pa AS (SELECT order_id, COUNT(*) AS payment_count, string_agg(CAST(id AS VARCHAR), '|' ORDER BY payment_date, id)
+pa AS (SELECT order_id, COUNT(*) AS payment_count,
+              string_agg({_text('id', _money('amount', 4), 'payment_date', 'method', _name('users', 'created_by'))}, '|' ORDER BY payment_date, id)
          AS payment_ids FROM payments GROUP BY order_id),
-de AS (SELECT order_id, min(id) AS delivery_id, arg_min(status, id) AS delivery_status FROM deliveries GROUP BY order_id)
+de AS (SELECT order_id, min(id) AS delivery_id, arg_min(status, id) AS delivery_status, arg_min(driver_name, id) AS driver_name,
+              arg_min(delivery_date, id) AS delivery_date FROM deliveries GROUP BY order_id)
 SELECT so.id AS order_id, so.order_number, c.name AS customer_name, so.total_amount,
        so.total_amount - so.paid_amount AS outstanding,
        CAST(COALESCE(it.item_count, 0) AS INTEGER) AS item_count, COALESCE(it.item_qty, 0) AS item_qty,
        COALESCE(it.item_keys, '') AS item_keys, CAST(COALESCE(pa.payment_count, 0) AS INTEGER) AS payment_count,
-       COALESCE(pa.payment_ids, '') AS payment_ids, de.delivery_id, de.delivery_status
+       COALESCE(pa.payment_ids, '') AS payment_ids, de.delivery_id, de.delivery_status, de.driver_name, de.delivery_date
 FROM sales_orders so JOIN customers c ON so.customer_id = c.id
 LEFT JOIN it ON it.order_id = so.id LEFT JOIN pa ON pa.order_id = so.id LEFT JOIN de ON de.order_id = so.id
 """)
@@ -135,12 +145,12 @@ def c9(t):
     return C.purchase_orders_list(t.purchase_orders, t.suppliers, t.users)
 
 
-@register("c10_purchase_documents", """
+@register("c10_purchase_documents", f"""
 WITH it AS (
   SELECT po_id, COUNT(*) AS item_count,
-         string_agg(CAST(pi.material_id AS VARCHAR) || ':' || COALESCE(m.name, ''), '|' ORDER BY pi.material_id, subtotal)
-           AS item_keys
-  FROM purchase_items pi LEFT JOIN raw_materials m ON pi.material_id = m.id GROUP BY po_id)
+         string_agg({_text('material_id', _name('raw_materials', 'material_id'), _name('raw_materials', 'material_id', 'unit'),
+                           'CAST(quantity AS BIGINT)', _money('subtotal'), _money('unit_price * quantity'))}, '|' ORDER BY material_id, subtotal) AS item_keys
+  FROM purchase_items GROUP BY po_id)
 SELECT po.id, po.po_number, s.name AS supplier_name, po.total_amount,
        CAST(COALESCE(it.item_count, 0) AS INTEGER) AS item_count, COALESCE(it.item_keys, '') AS item_keys
 FROM purchase_orders po JOIN suppliers s ON po.supplier_id = s.id LEFT JOIN it ON it.po_id = po.id
@@ -149,8 +159,9 @@ def c10(t):
     d = C.purchase_documents(t.purchase_orders, t.suppliers, t.purchase_items, t.raw_materials)
     items = F.coalesce(F.col("items"), F.array())
     return d.select("id", "po_number", "supplier_name", "total_amount", F.size(items).alias("item_count"),
-                    F.concat_ws("|", F.transform(items, lambda x: F.concat_ws(
-                        ":", x["material_id"].cast("string"), F.coalesce(x["material_name"], F.lit(""))))).alias("item_keys"))
+                    F.concat_ws("|", F.transform(items, lambda x: F.concat_ws(":", *[F.coalesce(v.cast("string"), F.lit("-")) for v in (
+                        x["material_id"], x["material_name"], x["unit"], x["quantity"].cast("bigint"), x["subtotal"].cast("decimal(18,2)"),
+                        (x["unit_price"] * x["quantity"]).cast("decimal(18,2)"))]))).alias("item_keys"))
 
 
 @register("c11_material_history", """
@@ -172,15 +183,18 @@ def c12(t):
 
 @register("c13_equipment_status", """
 WITH g AS (SELECT equipment_id, COUNT(*) AS n, arg_max(id, (performed_date, id)) AS log_id,
-                  max(performed_date) AS performed_date
+                  max(performed_date) AS performed_date, arg_max((maintenance_type, cost, next_due), (performed_date, id)) AS rest
            FROM maintenance_logs GROUP BY equipment_id)
-SELECT e.*, COALESCE(g.n, 0) AS maintenance_count, g.log_id AS last_log_id, g.performed_date AS last_performed_date
+SELECT e.*, COALESCE(g.n, 0) AS maintenance_count, g.log_id AS last_log_id, g.performed_date AS last_performed_date,
+       rest[1] AS last_type, rest[2] AS last_cost, rest[3] AS last_next_due
 FROM equipment e LEFT JOIN g ON g.equipment_id = e.id
 """)
 def c13(t):
     s = C.equipment_status(t.equipment, t.maintenance_logs)
     return s.select(*[c for c in s.columns if c != "last_log"], F.col("last_log.log_id").alias("last_log_id"),
-                    F.col("last_log.performed_date").alias("last_performed_date"))
+                    F.col("last_log.performed_date").alias("last_performed_date"),
+                    F.col("last_log.maintenance_type").alias("last_type"), F.col("last_log.cost").alias("last_cost"),
+                    F.col("last_log.next_due").alias("last_next_due"))
 
 
 @register("c14_deposits_list", """

@@ -87,3 +87,27 @@ def test_maintenance_due_rules(spark):
                               "id long, status string, next_maintenance date")
     assert [r["id"] for r in B.maintenance_due(e, "2024-01-20", 7, True).collect()] == [1]
     assert sorted(r["id"] for r in B.maintenance_due(e, "2024-01-20", 7, False).collect()) == [1, 2]
+
+
+def test_material_kind_golden(spark):
+    """Keywords in Thai names, the first in the list of kinds wins."""
+    rows = {"ขวดเปล่า 600ml": "bottle", "ฝาเกลียว": "cap", "ฉลากขวด": "bottle", "ฉลากสินค้า": "label", "ถัง 19L": "tank", "สารกรองน้ำ": "filter",
+            "ไส้กรอง": "filter", "ผงคาร์บอน": "carbon", "ซีลฝา": "cap", "ซีลหด": "seal", "กล่อง": "box", "": "box", None: "box"}
+    df = spark.createDataFrame(list(rows.items()), "n string, want string")
+    assert df.where(H.material_kind("n") != F.col("want")).count() == 0
+
+
+def test_labels_golden(spark):
+    want = [("status", "in_transit", "กำลังส่ง"), ("customer_type", "wholesale", "ขายส่ง"), ("role", "manager", "ผู้จัดการ"),
+            ("po_status", "ordered", "สั่งแล้ว"), ("expense_category", "fuel", "ค่าเชื้อเพลิง"), ("return_reason", "wrong_order", "สั่งผิด"),
+            ("return_status", "rejected", "ปฏิเสธ"), ("route_status", "in_progress", "กำลังจัดส่ง"), ("material_move", "in", "รับเข้า"),
+            ("material_move", "waste", "เบิกออก"), ("payment_method", "check", "เช็ค"), ("payment_method", "credit", "เครดิต"),
+            ("status", "unheard_of", "unheard_of"), ("status", None, None)]
+    df = spark.createDataFrame([(i, c) for i, (_, c, _) in enumerate(want)], "i int, code string")
+    for i, (domain, _, label) in enumerate(want):
+        assert df.where(F.col("i") == i).select(H.label(domain, "code")).first()[0] == label
+
+
+def test_brand_prefix_golden(spark):
+    df = spark.createDataFrame([("น้ำดื่ม 600ml",), ("น้ำดื่มแก้ว",), ("ถัง น้ำดื่ม 19L",), (None,)], "n string")
+    assert [r[0] for r in df.select(H.strip_first("n", H.BRAND_PREFIXES)).collect()] == ["600ml", "น้ำดื่มแก้ว", "ถัง 19L", None]
