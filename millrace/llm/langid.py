@@ -4,7 +4,7 @@ A text's vector: TF-IDF of hashed byte n-grams (1 to 3 bytes of the lower-cased
 that is no letter as one space), of length one. Each language has up to ``CENTROIDS`` centroids,
 found by spherical k-means on its training texts. The prediction is the language of the centroid
 with the largest cosine. A text is rejected if that cosine is below what texts of its richness
-(number of different n-grams, by powers of two) reach: half the least cosine of the training texts
+(number of different n-grams, by powers of two) reach: a quarter of the least cosine of the training texts
 there. The model is fitted on at most ``SAMPLE`` texts per language and ``SAMPLE_ALL`` in all (those that come first
 by the id's hash) and goes to the tasks as one array whose size the parameters fix.
 
@@ -30,7 +30,7 @@ SAMPLE = 400
 SAMPLE_ALL = 1600
 ROUNDS = 8
 #: rejected below this share of the least training cosine
-SHARE = 0.5
+SHARE = 0.25
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 _LETTERS = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
