@@ -14,19 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import fair_mix, langid, phrase_index, simhash, wavelet
-from millrace.llm.common import materialize, read_table
-from millrace.session import ship_package
+from millrace.llm.common import materialize, prepare, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are far from every language's centroids."""
-    ship_package(spark)
+    prepare(spark)
     return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by SimHash."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.deduplicate(docs)
 
 
@@ -42,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode into wavelet matrix files; start, length and checksum of every document, read from them."""
-    ship_package(spark)
+    prepare(spark)
     return wavelet.encode_corpus(docs).withColumnRenamed("id", "doc_id")
 
 

@@ -21,12 +21,25 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: rows in an Arrow batch: texts are long, and tasks hold a batch or two
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable in tasks and keep Arrow batches of texts small, unless the session
+    sets their size itself."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def register(name: str, oracle: str | None = None):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` as a query, with its DuckDB SQL if there is one."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__ = name
         run.__doc__ = fn.__doc__
