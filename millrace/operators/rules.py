@@ -24,7 +24,8 @@ OPEN = ("paid", "cancelled")
 # ----------------------------------------------------------------------------- I1
 # What a change may touch, per entity: the key, the columns an update may set, defaults
 # on insert, and what a delete does (hard: the row goes; soft: active = 0; status: status becomes
-# cancelled; none: refused). Entities keyed by id get their ids from inserts.
+# cancelled; none: refused), and stamps: the column that takes a change's time when it sets another
+# column to a value. Entities keyed by id get their ids from inserts.
 CHANGE_SPECS = {
     "raw_materials": {"key": "code", "updatable": ["name", "unit", "min_quantity", "cost_per_unit"],
                       "insert_defaults": {"quantity": 0.0, "min_quantity": 0.0, "cost_per_unit": 0.0},
@@ -49,7 +50,8 @@ CHANGE_SPECS = {
     "production_orders": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "pending"}, "delete": "status"},
     "sales_orders": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "pending"}, "delete": "status"},
     "deliveries": {"key": "order_id", "updatable": ["status", "driver_name", "vehicle", "delivery_date", "notes"],
-                   "insert_defaults": {"status": "pending"}, "delete": "none"},
+                   "insert_defaults": {"status": "pending"}, "delete": "none",
+                   "stamps": {"delivered_at": ("status", "delivered", "ts")}},
     "returns": {"key": "id", "updatable": ["status", "action_taken"], "insert_defaults": {"status": "pending"}, "delete": "none"},
     "delivery_routes": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "planned"}, "delete": "none"},
     "purchase_orders": {"key": "id", "updatable": ["status"], "insert_defaults": {"status": "draft"}, "delete": "none"},
@@ -104,13 +106,15 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "pr
     if has_id and keys != ["id"]:
         new = next_ids(ok.where(is_ins).drop("id"), "_new_id")
         ok = ok.where(~is_ins).unionByName(new, allowMissingColumns=True)
+    stamps = {c: s for c, s in spec.get("stamps", {}).items() if s[2] in changes.columns}
     upd = [c for c in spec["updatable"] if c in changes.columns and c in current.columns]
     ins = [c for c in current.columns if c in changes.columns and c not in keys and c != "id"]
     at = lambda cond: F.when(cond, F.col(seq))
     agg = ok.groupBy(*keys).agg(
         F.max(at(is_ins)).alias("_ins_at"), F.max(at(is_del)).alias("_del_at"), F.max(at(~is_del)).alias("_set_at"),
         F.max_by(F.struct(F.lit(True).alias("_"), *ins, *([F.col("_new_id")] if has_id and keys != ["id"] else [])), at(is_ins)).alias("_i"),
-        F.max_by(F.struct(F.lit(True).alias("_"), *upd), at(~is_del)).alias("_u"))
+        F.max_by(F.struct(F.lit(True).alias("_"), *upd), at(~is_del)).alias("_u"),
+        *[F.max_by(F.col(ts), at(~is_del & (F.col(src) == value))).alias(f"_at_{c}") for c, (src, value, ts) in stamps.items()])
     st = current.withColumn("_here", F.lit(True)).join(agg, keys, "full_outer")
     new = F.col("_ins_at").isNotNull()
     gone = F.col("_del_at").isNotNull() & (F.col("_ins_at").isNull() | (F.col("_del_at") > F.col("_ins_at")))
@@ -122,6 +126,8 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "pr
             v = F.col(c)
         elif c == "id":
             v = F.when(new, F.col("_i._new_id")).otherwise(F.col("id"))
+        elif c in stamps:
+            v = F.coalesce(F.col(f"_at_{c}"), F.when(~new, F.col(c)))
         else:
             first = F.col(f"_i.{c}") if c in ins else F.lit(defaults.get(c, 1 if c == "active" and mode == "soft" else None))
             v = F.when(new, first).otherwise(F.col(c))
@@ -132,6 +138,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "pr
             if c == "status" and mode == "status":
                 v = F.when(F.col("_del_at") > F.coalesce("_set_at", F.col("_del_at") - 1), "cancelled").otherwise(v)
         cols.append(v.cast(kind).alias(c))
+    cols += [F.col(f"_at_{c}").alias(c) for c in stamps if c not in current.columns]
     state = st.where(F.col("_here").isNotNull() | new)
     return (state.where(~gone) if mode == "hard" else state).select(*cols), rejects
 

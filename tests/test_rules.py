@@ -196,3 +196,15 @@ def test_apply_changes_ids_from_inserts(spark):
     st, rej = I.apply_changes(cur, ch, "expenses")
     assert sorted(tuple(r) for r in st.collect()) == [(3, "fuel2", 6.0), (4, "water", 7.0)]
     assert [(r.seq, r.reason) for r in rej.collect()] == [(5, "not_found")]
+
+
+def test_delivery_changes_stamp_delivered_at(spark):
+    cur = spark.createDataFrame([(1, 10, "pending", None), (2, 20, "delivered", TS)], "id long, order_id long, status string, delivered_at timestamp_ntz")
+    later = [TS + dt.timedelta(hours=h) for h in range(5)]
+    ch = spark.createDataFrame([(1, 10, "update", "in_transit", later[1]), (2, 10, "update", "delivered", later[2]),
+                                (3, 10, "update", "failed", later[3]), (4, 30, "insert", "delivered", later[4]), (5, 20, "delete", None, later[4])],
+                               "seq long, order_id long, op string, status string, ts timestamp_ntz")
+    st, rej = I.apply_changes(cur, ch, "deliveries")
+    assert {r.order_id: (r.status, r.delivered_at) for r in st.collect()} == {
+        10: ("failed", later[2]), 20: ("delivered", TS), 30: ("delivered", later[4])}
+    assert [(r.seq, r.reason) for r in rej.collect()] == [(5, "not_allowed")]
