@@ -331,8 +331,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
 
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(doc_ids), 1024):
-                for key, x in zip(doc_ids[i:i + 1024], words.batch(list(texts(column.slice(i, 1024))))):
+            for i in range(0, len(doc_ids), 64):
+                for key, x in zip(doc_ids[i:i + 64], words.batch(list(texts(column.slice(i, 64))))):
                     n = len(x) // size
                     if held and held + n > shard_tokens:
                         yield shard()
