@@ -40,7 +40,7 @@ END_ID = 1
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 17
 #: words whose ids a task remembers
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 18
 #: marks that the vocabulary's splitter takes for one run when they follow each other; not the
 #: apostrophe, which begins contractions, nor the signs of the added tokens
 _MARKS = b".,!?;:%$#&*()[]\"-_/@+=~^`{}"
