@@ -42,7 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode into wavelet matrix files; start, length and checksum of every document, read from them."""
     prepare(spark)
-    return wavelet.encode_corpus(docs).withColumnRenamed("id", "doc_id")
+    # the worker processes also serve the other stages: little memory for words
+    return wavelet.encode_corpus(docs, cache_words=1 << 16).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),

@@ -39,7 +39,7 @@ MAGIC = b"MRWM1"
 END_ID = 1
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 17
-#: words whose ids a task remembers
+#: words whose ids a worker process remembers, about 200 bytes each, twice
 CACHE_WORDS = 3 << 18
 #: marks that the vocabulary's splitter takes for one run when they follow each other; not the
 #: apostrophe, which begins contractions, nor the signs of the added tokens
@@ -54,11 +54,11 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Ids of a text, word by word: the vocabulary's normaliser turns white space into single spaces
     and its splitter drops them, so a text's ids are its words' ids in a row. Ids of the words used
-    last are remembered, in two generations of at most ``CACHE_WORDS`` each, as little-endian bytes.
+    last are remembered, in two generations of at most ``cache_words`` each, as little-endian bytes.
     The vocabulary has small letters only, so words are looked up with A-Z lower-cased; a run of
     ASCII marks after letters is split off, as the splitter does it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
@@ -70,6 +70,7 @@ class WordEncoder:
             self.last[i] = token.endswith("</w>")
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([END_ID], self.dtype).tobytes()
+        self.room = cache_words
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -122,7 +123,7 @@ class WordEncoder:
 
     def batch(self, docs: list[bytes]) -> list[bytes]:
         """The ids of each text and the end id."""
-        if len(self.young) > CACHE_WORDS:
+        if len(self.young) > self.room:
             self.old, self.young = self.young, {}
         known, split, parts, gaps = self.young.get, [], [], []
         for d in docs:
@@ -143,9 +144,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int) -> WordEncoder:
     """One encoder per worker process, so that its words stay known from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, cache_words)
 
 
 #: positions that are dealt at a time, few enough for a processor's cache
@@ -304,7 +305,7 @@ def _uri(path: str) -> str:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: str = "doc_id",
-                 text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+                 text_col: str = "text", shard_tokens: int = SHARD_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Encode ``docs`` into wavelet matrix files below ``folder`` (a path that every executor
     reaches); the list of files: name, docs, tokens."""
     vocabulary = vocabulary or default_vocabulary()
@@ -314,7 +315,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
     uri = _uri(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)
+        words = encoder(vocabulary, cache_words)
         part, made, size = TaskContext.get().partitionId(), 0, words.dtype.itemsize
         ids, names, sizes, held = [], [], [], 0
 
