@@ -63,3 +63,12 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     got = sorted((tuple(r)[:3] for r in X.encode_corpus(df).collect()), key=lambda r: r[1])
     assert got == [(None, 0, 2), (1, 2, 3), (1, 5, 3), (2, 8, 1)]
+
+
+def test_little_memory_for_words():
+    """Generations that turn over with every batch give the same ids."""
+    texts = [f"w{i % 7} Word{i}!! same same {'x' * (i % 5)}é." for i in range(200)]
+    e = X.WordEncoder(X.default_vocabulary(), 10)
+    got = [x for i in range(0, 200, 16) for x in e.batch([t.encode() for t in texts[i:i + 16]])]
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, e.dtype).tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, X.END_ID]
