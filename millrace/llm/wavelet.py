@@ -77,12 +77,9 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _encode(self, words: list[bytes]) -> None:
+    def _encode(self, letters: list[bytes], others: list[bytes]) -> None:
         """Encode words of letters many at a time: each ends with its only last token."""
         size = self.dtype.itemsize
-        letters, others = [], []
-        for w in words:
-            (letters if w.decode().isalpha() else others).append(w)
         for i in range(0, len(letters), 512):
             part = letters[i:i + 512]
             ids = self._ids(b" ".join(part).decode())
@@ -90,48 +87,60 @@ class WordEncoder:
             if len(cuts) != len(part):                   # a letter that the normaliser takes apart
                 others += part
                 continue
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(part, cuts):
-                self.young[w] = raw[at * size:cut * size]
-                at = cut
+            raw = ids.tobytes()
+            self.young.update(zip(part, [raw[x * size:y * size] for x, y in zip([0, *cuts], cuts)]))
         for w in others:
             self.young[w] = self._ids(w.decode()).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        new, joined, before = set(), [], self.old.get
+        letters, others, joined, before, young = set(), set(), [], self.old.get, self.young
         for w in words:
             ids = before(w)
             if ids is not None:
-                self.young[w] = ids
-                continue
-            core = w.rstrip(_MARKS)
-            if len(core) == len(w):
-                new.add(w)
-            elif core and core.decode().isalpha():
-                joined.append((w, core, w[len(core):]))
-                new.update(x for x in (core, w[len(core):]) if x not in self.young)
+                young[w] = ids
+            elif w.isalpha():
+                letters.add(w)
             else:
-                new.add(w)
-        for w in [w for w in new if w in self.old]:
-            self.young[w] = self.old[w]
-            new.discard(w)
-        self._encode(list(new))
+                core = w.rstrip(_MARKS)
+                marks = w[len(core):]
+                alpha = core.isalpha() or (core and core.decode().isalpha())
+                if not alpha:
+                    others.add(w)
+                elif not marks:
+                    letters.add(w)
+                else:
+                    joined.append((w, core, marks))
+                    for x, kind in ((core, letters), (marks, others)):
+                        if x not in young:
+                            ids = before(x)
+                            if ids is None:
+                                kind.add(x)
+                            else:
+                                young[x] = ids
+        self._encode(list(letters), list(others))
         for w, core, marks in joined:
-            self.young[w] = self.young[core] + self.young[marks]
+            young[w] = young[core] + young[marks]
 
     def batch(self, docs: list[bytes]) -> list[bytes]:
         """The ids of each text and the end id."""
-        split = []
+        if len(self.young) > self.room:
+            self.old, self.young = self.young, {}
+        known, split, parts, gaps = self.young.get, [], [], []
         for d in docs:
             low = d.lower()
-            split.append((d if any(t in low for t in self.added) else low).split())
-        need = set().union(*split).difference(self.young)
-        if len(self.young) + 2 * len(need) > self.room:
-            self.old, self.young = self.young, {}
-            need = set().union(*split)
-        self._learn(need)
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+            words = (d if any(t in low for t in self.added) else low).split()
+            ids = list(map(known, words))
+            split.append(words)
+            parts.append(ids)
+            gaps.append([i for i, x in enumerate(ids) if x is None] if None in ids else ())
+        self._learn({words[i] for words, gap in zip(split, gaps) for i in gap})
+        out = []
+        for words, ids, gap in zip(split, parts, gaps):
+            for i in gap:
+                ids[i] = self.young[words[i]]
+            ids.append(self.end)
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -323,8 +332,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
 
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(doc_ids), 1024):
-                for key, x in zip(doc_ids[i:i + 1024], words.batch(list(texts(column.slice(i, 1024))))):
+            for i in range(0, len(doc_ids), 64):
+                for key, x in zip(doc_ids[i:i + 64], words.batch(list(texts(column.slice(i, 64))))):
                     n = len(x) // size
                     if held and held + n > shard_tokens:
                         yield shard()
