@@ -137,25 +137,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that of the smallest id, and of repeated rows of it (or of a
-    component without ids) one row."""
+    """One document of each component: that of the smallest id, of several texts with that id the one
+    of the smallest fingerprint, and of repeated rows of it (or of a component without ids) one row."""
     near = materialize(near_duplicates(docs, id_col, text_col), "near")
-    # the ids that go are fewer than those that stay; an id that repeats has one row chosen
-    key = fresh(docs, "other_id")
-    first = near.where(F.col("id") == F.col("component_id"))
-    twice = materialize(first.groupBy("id").count().where("count > 1").select(F.col("id").alias(key)), "twice")
-    away = near.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()
-    away = materialize(away.unionByName(twice), "away")
-    kept = docs.where(F.col(id_col).isNotNull()).join(away, F.col(id_col) == F.col(key), "left_anti")
-    again = docs.join(twice, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
+    # the ids that go are fewer than those that stay; rows of an id that repeats are told apart by fingerprint
+    key, fp, rep = fresh(docs, "other_id"), fresh(docs, "fp"), fresh(docs, "component_fp")
+    ids = near.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") != F.col("component_id")).alias("goes"))
+    away = materialize(ids.where("n > 1 OR goes").select(F.col("id").alias(key), "n"), "away")
+    out = docs.where(F.col(id_col).isNotNull()).join(away.select(key), F.col(id_col) == F.col(key), "left_anti")
+    twice = materialize(away.where("n > 1").select(key), "twice")
+    if not twice.isEmpty():
+        stay = near.where("id = component_id").join(twice, F.col("id") == F.col(key), "left_semi")
+        stay = stay.groupBy(F.col("id").alias(key), F.col("component_fp").alias(rep)).agg(F.min("fp").alias(fp))
+        stay = materialize(stay.select(key, fp), "stay")
+        again = docs.join(twice, F.col(id_col) == F.col(key), "left_semi").withColumn(fp, fingerprint(F.col(text_col)))
+        again = again.join(stay.withColumnRenamed(fp, rep), (F.col(id_col) == F.col(key)) & (F.col(fp) == F.col(rep)), "left_semi")
+        out = out.unionByName(again.dropDuplicates([id_col, fp]).drop(fp))
     nameless = near.where("component_id IS NULL").select("fp", "component_fp").distinct()
-    fp, rep = fresh(docs, "fp"), fresh(docs, "component_fp")
-    unnamed = docs.where(F.col(id_col).isNull())
     if not nameless.isEmpty():
-        one = unnamed.withColumn(fp, fingerprint(F.col(text_col))).join(
+        one = docs.where(F.col(id_col).isNull()).withColumn(fp, fingerprint(F.col(text_col))).join(
             nameless.select(F.col("fp").alias(fp), F.col("component_fp").alias(rep)), fp)
-        again = again.unionByName(one.dropDuplicates([rep]).drop(fp, rep))
-    return kept.unionByName(again)
+        out = out.unionByName(one.dropDuplicates([rep]).drop(fp, rep))
+    return out
 
 
 @register("op8_simhash_dedup")

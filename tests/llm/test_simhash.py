@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import simhash as S
 from millrace.llm.common import read_table
@@ -82,3 +83,25 @@ def test_edge_rows(spark):
         [(1, None), (3, "one two three four"), (None, "quite other words in here")], key=str)
     empty = df.limit(0)
     assert S.near_duplicates(empty).count() == 0 and S.deduplicate(empty).count() == 0
+
+
+def test_equal_ids_with_different_texts(spark):
+    """A text stays or goes for its own group, whatever other rows its id has."""
+    a, b, c = "one two three four", "quite other words in here", "a third text of its own"
+    for rows, want in (
+            ([(5, a), (5, b), (3, b)], [(3, b), (5, a)]),                # only (5, b) has a smaller id beside it
+            ([(5, a), (5, b)], [(5, a), (5, b)]),                        # two groups of the same least id
+            ([(5, a), (5, b), (5, b), (7, a), (3, c), (5, c), (None, a)], [(3, c), (5, a), (5, b)])):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
+        out = S.deduplicate(df)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == want
+
+
+def test_one_text_of_a_group_whose_least_id_repeats(spark):
+    """Two near texts of one id are one group, of which one row stays."""
+    pairs = ((" ".join(f"w{i}" for i in range(n)), " ".join(f"w{i}" for i in range(n + 1))) for n in range(300, 400))
+    text, near = next((x, y) for x, y in pairs if 1 <= (
+        S.text_fingerprint(x.encode()) ^ S.text_fingerprint(y.encode())).bit_count() <= S.MAX_BITS_APART)
+    df = spark.createDataFrame([(5, text), (5, near), (6, near)], "doc_id long, text string")
+    assert [r.doc_id for r in S.deduplicate(df).collect()] == [5]
