@@ -1,18 +1,19 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame functions only).
 
-Every source is a flow. Its documents queue in a shuffled order (md5 of seed and id), epoch after
-epoch; a document's virtual finish time is the words its flow has sent up to and with it, divided
+Every source is a flow. Its documents queue in a shuffled order (md5 of seed and id, rows of an id
+by their text's hash, rows without an id by md5 of seed and text's hash), epoch after epoch; a document's virtual finish time is the words its flow has sent up to and with it, divided
 by the flow's target. All flows are then sorted together by finish time and the sequence is cut at
 the total budget, the sum of all sizes.
 
 Running sums never put a source into one task: rows are cut into blocks (a prefix of the shuffle
-key within a source; a slice of virtual time in the merged queue, in which every source sends its
+key within a source, a longer one where an id has many rows; a slice of virtual time in the merged queue, in which every source sends its
 target's share, so slices hold about as many words each), block totals give each block's offset,
-and a window adds up within a block.
+and a window adds up within a block. Rows of the same id and text are one row with a count until they
+enter the merged queue.
 
 Defined results: NULL or blank text has size 0 and is never taken; a NULL source is a source of its
-own, last in order; rows that share the id (or have a NULL id) within a source share their place in
-the queue and are taken together; an empty table gives an empty result; equal inputs give equal
+own, last in order; rows that share the id (or have a NULL id) are taken one by one, and which of the
+rows of the same id and text go once more than others is left open; an empty table gives an empty result; equal inputs give equal
 results on every run. Other columns are left alone, also those named like ours.
 """
 
@@ -41,8 +42,10 @@ def _flow(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def _place(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _place(doc_id: Column, text: Column, seed: int) -> Column:
+    """The place in the flow's queue: by id, then by text; without an id by text."""
+    start, h = F.lit(f"{seed}:"), F.lpad(F.hex(F.xxhash64(F.coalesce(text, F.lit("")))), 16, "0")
+    return F.concat(F.md5(F.concat(start, F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), h)))), h)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -68,37 +71,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
           id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The mix as (queue, targets): ``queue`` has a row per copy that the mix takes (flow, place,
-    copy, size, finish, mix_end: words of the mix up to and with it), to be sorted by finish, flow,
-    copy, place."""
-    sized = docs.select(_flow(F.col(source_col)).alias("flow"), _place(F.col(id_col), seed).alias("place"),
+    """The mix as (queue, targets): ``queue`` has a row per copy that the mix takes (flow, place, nth
+    of the ``same`` rows of that place, copy, size, finish, mix_end: words of the mix up to and with
+    it), to be sorted by finish, flow, copy, place, nth."""
+    sized = docs.select(_flow(F.col(source_col)).alias("flow"), _place(F.col(id_col), F.col(text_col), seed).alias("place"),
                         word_count(F.col(text_col)).alias("size"))
-    sized = materialize(sized, "sizes")          # the texts are read once; what follows moves these short rows
-    targets = materialize(source_targets(sized.groupBy("flow").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets")
+    sized = materialize(sized.groupBy("flow", "place", "size").agg(F.count(F.lit(1)).alias("same")), "sizes")  # the texts are read once; what follows moves these short rows
+    targets = materialize(source_targets(sized.groupBy("flow").agg(F.sum(F.col("size") * F.col("same")).alias("source_size")), weights, max_repeats), "targets")
     rows = sized.where("size > 0")
-    n = rows.count()
+    n, most = rows.agg(F.coalesce(F.sum("same"), F.lit(0)), F.max("same")).first()
     digits = max(1, math.ceil(math.log(max(n / ROWS_PER_BLOCK, 1), 16)))
-    rows = rows.withColumn("block", F.substring("place", 1, digits))
-    blocks = rows.groupBy("flow", "block").agg(F.sum("size").alias("s"))
+    rows = rows.withColumn("cell", F.substring("place", 1, digits))
+    # a cell with an id of many rows is cut by the text's hash
+    large = rows.groupBy("flow", "cell").count().where(F.col("count") > 4 * ROWS_PER_BLOCK)
+    large = materialize(large.select("flow", "cell", F.lit(True).alias("large")), "large")
+    rows = rows.join(F.broadcast(large), ["flow", "cell"], "left")
+    rows = rows.withColumn("block", F.when(F.col("large"), F.substring("place", 1, 32 + digits)).otherwise(F.col("cell")))
+    blocks = rows.groupBy("flow", "block").agg(F.sum(F.col("size") * F.col("same")).alias("s"))
     before = Window.partitionBy("flow").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("flow", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("flow", "block").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(blocks, ["flow", "block"]).withColumn("cum", F.col("offset") + F.sum("size").over(within))
+    within = Window.partitionBy("flow", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("size") * F.col("same")).over(within), F.lit(0))
+    rows = rows.join(blocks, ["flow", "block"]).withColumn("cum", F.col("offset") + before)
     # a copy enters the queue if its flow begins it before the flow's target is reached
     rows = rows.join(targets, "flow").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeats))))
-    end = (F.col("copy") - 1) * F.col("source_size") + F.col("cum")
+    begin = (F.col("copy") - 1) * F.col("source_size") + F.col("cum")
+    if (most or 0) > ROWS_PER_BLOCK:
+        rows = rows.where(begin.cast("double") < F.col("target"))
+        rows = rows.withColumn("low", F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"), F.lit(ROWS_PER_BLOCK).cast("long"))))
+        rows = rows.repartition("flow", "place", "copy", "low")
+    else:
+        rows = rows.withColumn("low", F.lit(1).cast("long"))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.col("low"), F.least(F.col("same"), F.col("low") + (ROWS_PER_BLOCK - 1)))))
+    end = begin + F.col("nth") * F.col("size")
     rows = rows.where((end - F.col("size")).cast("double") < F.col("target"))
-    rows = rows.select("flow", "place", "copy", "size", (end.cast("double") / F.col("target")).alias("finish"))
+    rows = rows.select("flow", "place", "nth", "same", "copy", "size", (end.cast("double") / F.col("target")).alias("finish"))
     slices = max(1, n // ROWS_PER_BLOCK)
     rows = rows.withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(2.0)) * slices))
     totals = rows.groupBy("slice").agg(F.sum("size").alias("s"))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("slice", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("slice").orderBy("finish", "flow", "copy", "place").rangeBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("slice").orderBy("finish", "flow", "copy", "place", "nth").rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.join(totals, "slice").withColumn("mix_end", F.col("offset") + F.sum("size").over(within))
     budget = targets.agg(F.sum("source_size").alias("budget"))
     rows = rows.where(F.col("mix_end") <= budget.scalar())
-    return rows.select("flow", "place", "copy", "size", "finish", "mix_end"), targets
+    return rows.select("flow", "place", "nth", "same", "copy", "size", "finish", "mix_end"), targets
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
@@ -106,22 +123,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     """All rows of ``docs`` with a struct column (named ``mix``, or with leading underscores where
     that is taken): size, source_size, target, copies (how often the mix takes the document).
 
-    Within a flow the queue takes a prefix of (copy, place), so its last entry decides for every
-    document: one row per source is joined to the texts, which stay where they are."""
+    Within a flow the queue takes a prefix of (copy, place, nth), so its last entry decides for every
+    document: one row per source is joined to the texts, which stay where they are. Only where the
+    last entry is not the last of its place are that place's rows written and numbered."""
     taken, targets = queue(docs, weights, max_repeats, seed, id_col, source_col, text_col)
-    last = taken.groupBy("flow").agg(F.max(F.struct("copy", "place")).alias("last"))
+    last = taken.groupBy("flow").agg(F.max(F.struct("copy", "place", "nth", "same")).alias("last"))
     cut = targets.join(last, "flow", "left").select(F.col("flow").alias("__flow"), "source_size", "target", "last")
     cut = materialize(cut, "cuts")
     out = fresh(docs, "mix")
     d = docs.select(F.struct("*").alias("__row"))
     at = lambda c: F.col("__row")[c]
     d = d.withColumn("__key", _flow(at(source_col)))
-    place = _place(at(id_col), seed)
-    copies = F.when((word_count(at(text_col)) > 0) & F.col("last").isNotNull(),
-                    F.col("last.copy") - F.when(place <= F.col("last.place"), 0).otherwise(1)).otherwise(0)
-    d = d.join(cut, F.col("__key") == F.col("__flow"), "left")
-    return d.select("__row.*", F.struct(word_count(at(text_col)).alias("size"), "source_size", "target",
-                                        copies.cast("int").alias("copies")).alias(out))
+    place = _place(at(id_col), at(text_col), seed)
+    d = d.join(cut, F.col("__key") == F.col("__flow"), "left").withColumn("__size", word_count(at(text_col)))
+
+    def result(rows: DataFrame, within: Column) -> DataFrame:
+        copies = F.when((F.col("__size") > 0) & F.col("last").isNotNull(), F.col("last.copy") - F.when(within, 0).otherwise(1)).otherwise(0)
+        return rows.select("__row.*", F.struct(F.col("__size").alias("size"), "source_size", "target", copies.cast("int").alias("copies")).alias(out))
+
+    if cut.where("last.nth < last.same").isEmpty():
+        return result(d, place <= F.col("last.place"))
+    tied = F.coalesce((F.col("last.nth") < F.col("last.same")) & (place == F.col("last.place")), F.lit(False))
+    # numbers without gaps: a part's first number is the rows of the flow in the parts before it
+    edge = materialize(d.where(tied).withColumn("__at", F.monotonically_increasing_id()), "tied")
+    edge = edge.withColumn("__part", F.shiftright("__at", 33))
+    parts = edge.groupBy("__flow", "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__flow").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = materialize(parts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "parts")
+    rank = F.row_number().over(Window.partitionBy("__flow", "__part").orderBy("__at"))
+    nth = F.col("__before") + rank
+    edge = edge.join(F.broadcast(parts), ["__flow", "__part"]).withColumn("__nth", nth)
+    return result(d.where(~tied), place <= F.col("last.place")).unionByName(result(edge, F.col("__nth") <= F.col("last.nth")))
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:

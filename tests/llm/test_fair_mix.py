@@ -77,3 +77,28 @@ def test_edge_tables(spark):
     assert got == sorted([(1, 0, 3), (None, 2, 3), (None, 1, 3), (2, 1, 2), (2, 1, 2)], key=str)
     assert M.mix(df.limit(0)).count() == 0 and M.mixed(df.limit(0)).columns == df.columns
     assert M.mixed(df.where("doc_id = 1")).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [M.ROWS_PER_BLOCK, 5])
+def test_rows_without_own_ids_are_taken_one_by_one(spark, monkeypatch, blocks):
+    """Sources of NULL ids, of one id and of one repeated row come as near to their targets as others."""
+    monkeypatch.setattr(M, "ROWS_PER_BLOCK", blocks)
+    rnd = random.Random(2)
+    text = lambda i: f"t{i} " + "w " * rnd.randrange(1, 20)
+    rows = [(i, text(i), "a") for i in range(100)] + [(None, text(i), "b") for i in range(400)]
+    rows += [(7, text(i), "c") for i in range(300)] + [(8, "the same three", "d")] * 500 + [(None, "one more text", None)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[M_key(s)] = sizes.get(M_key(s), 0) + len(t.split())
+    want, taken = plain_targets(sizes), dict.fromkeys(sizes, 0)
+    found = []
+    for d in (df, df.repartition(3)):
+        out = M.mix(d)
+        found.append(sorted((M_key(r.source), str(r.doc_id), r.text, r[-1]["copies"]) for r in out.collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    for s, _, t, n in found[0]:
+        taken[s] += n * len(t.split())
+    assert all(abs(taken[s] - want[s]) <= 40 for s in sizes), (taken, want)
+    assert sum(taken.values()) <= sum(sizes.values())
+    assert all(len({n for f, *_, n in found[0] if f == s}) <= 2 for s in sizes)
