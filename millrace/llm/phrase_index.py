@@ -53,9 +53,9 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(_split(text), lambda w: w != ""), ascii_lower)
 
 
-def _key(id_col: str) -> Column:
-    """Documents that share this key share candidates, which each is then checked for."""
-    return F.xxhash64(F.col(id_col))
+def _key(id_col: str, text_col: str = "text") -> Column:
+    """Rows that share this key, copies of one text under one id, share candidates."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -73,7 +73,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc
     """The positional index: (doc: document key, term, pos from 0), of all terms or of ``terms(term)``."""
     # a text that begins between words has an empty word in front
     first = F.when(F.coalesce(F.col(text_col), F.lit("")).rlike("^" + BETWEEN[:-1]), 1).otherwise(0)
-    p = docs.select(_key(id_col).alias("doc"), first.alias("first"), F.posexplode(_split(F.col(text_col))).alias("pos", "raw"))
+    p = docs.select(_key(id_col, text_col).alias("doc"), first.alias("first"), F.posexplode(_split(F.col(text_col))).alias("pos", "raw"))
     p = p.where("raw <> ''").select("doc", ascii_lower(F.col("raw")).alias("term"), (F.col("pos") - F.col("first")).alias("pos"))
     return p if terms is None else p.join(terms, "term", "left_semi").select("doc", "term", "pos")
 
@@ -133,7 +133,7 @@ def find_windows(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id",
     others pass by the list of those documents' keys."""
     keys = materialize(candidates.select(F.col("doc").alias("__doc")), "keys")
     out = fresh(docs, "found")
-    d = docs.withColumn("__key", _key(id_col)).withColumn("__n", word_count(F.col(text_col)))
+    d = docs.withColumn("__key", _key(id_col, text_col)).withColumn("__n", word_count(F.col(text_col)))
     same = F.col("__key") == F.col("__doc")
     none = F.array().cast("array<string>")
     clean = d.join(keys, same, "left_anti").withColumn(out, F.struct(

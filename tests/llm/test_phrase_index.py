@@ -118,3 +118,11 @@ def test_items_at_the_edges_of_a_text(spark):
 def test_index_has_every_word(spark):
     df = spark.createDataFrame([(1, "A b, a"), (2, None)], "doc_id long, text string")
     assert sorted((r.term, r.pos) for r in P.postings(df).collect()) == [("a", 0), ("a", 2), ("b", 1)]
+
+
+def test_documents_without_own_ids_are_dealt_one_by_one(spark):
+    """Texts that share an id, or have none, have candidates of their own."""
+    df, it = frames(spark, [(None, f"a{i} one two three") for i in range(20)] + [(4, f"b{i} one two three") for i in range(20)],
+                    [(1, "one two three")])
+    found = P.search(df, it)[0].collect()
+    assert len(found) == 40 and {len(r.spans) for r in found} == {1}
