@@ -11,6 +11,8 @@ the benchmark items: ten consecutive words, or all words of a shorter item.
    phrase candidate, beginnings at most ``SLOP`` words apart are a proximity match. All windows of
    an item share these lists.
 4. Candidates are compared with the document's words, window by window, so what remains is exact.
+   An item of which no window stands in a document, though its anchors agree or come near each
+   other there (another word than the anchors was replaced, or one added or left out), is a proximity match.
 
 Sizes: postings are dealt by document and item, never by term, so a frequent term is no hot key.
 The benchmark's terms and anchors are broadcast only while they are fewer than ``BROADCAST_ROWS``;
@@ -109,9 +111,10 @@ def beginnings(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFra
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(candidates, proximity matches): (doc, spans: array of start, phrase, ids) of the documents in
-    which two anchors of an item agree on its beginning, still to be compared with the words; and
-    (doc, item, start) where anchors come near each other in a document without such a candidate."""
+    """(candidates, proximity matches): (doc, spans: array of start, item, phrase, ids) of the documents
+    in which two anchors of an item agree on its beginning, still to be compared with the words; and
+    (doc, item, start) where anchors agree or come near each other in a document that holds no window
+    of the item (compared with the words when these rows are read)."""
     cols = {"id_col": id_col, "text_col": text_col}
     texts = materialize(item_texts(items, item_col, item_text), "items")
     places = materialize(anchors(docs, texts, size, **cols), "anchors")
@@ -121,9 +124,31 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     at = beginnings(index, _bounded(places, n)).join(texts.select("item", F.size("phrase").alias("n")), "item")
     exact = F.col("hits") >= F.least(F.col("n"), F.lit(LISTS))
     at = materialize(at.where(exact | F.col("near")).select("doc", "item", "start", exact.alias("exact")), "beginnings")
-    spans = at.where("exact").join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "ids")).alias("spans"))
-    near = at.where("NOT exact").join(at.where("exact").select("doc", "item").distinct(), ["doc", "item"], "left_anti")
-    return materialize(spans, "spans"), near.select("doc", "item", "start")
+    spans = at.where("exact").join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("start", "item", "phrase", "ids")).alias("spans"))
+    spans = materialize(spans, "spans")
+    near = at.select("doc", "item", "start").join(held(docs, spans, size=size, **cols), ["doc", "item"], "left_anti")
+    return spans, near
+
+
+def _first_places(c: Column, w: Column, size: int) -> Column:
+    """The first places of the item's windows that stand in the words ``w`` at this beginning."""
+    n, length = F.size(c["phrase"]), _length(c, size)
+    low, high = F.greatest(-c["start"], F.lit(0)), F.least(n - length, F.size(w) - c["start"] - length)
+    return F.when(low <= high, F.filter(F.sequence(low, high), lambda k: F.slice(w, c["start"] + k + 1, length) == F.slice(
+        c["phrase"], k + 1, length))).otherwise(F.array().cast("array<int>"))
+
+
+def _length(c: Column, size: int) -> Column:
+    return F.least(F.size(c["phrase"]), F.lit(size))
+
+
+def held(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """(doc, item) of the candidates of which a window stands in the document's words."""
+    d = docs.select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    d = d.join(candidates.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    d = d.join(candidates, "doc").withColumn("w", words(F.col("text")))
+    found = F.filter("spans", lambda c: F.size(_first_places(c, F.col("w"), size)) > 0)
+    return d.select("doc", F.explode(F.array_distinct(F.transform(found, lambda c: c["item"]))).alias("item"))
 
 
 def find_windows(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -140,17 +165,9 @@ def find_windows(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id",
         F.col("__n").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items")))
     d = d.join(keys, same, "left_semi").join(candidates.withColumnRenamed("doc", "__doc"), same).withColumn("__w", words(F.col(text_col)))
 
-    def matching(c: Column) -> Column:
-        """The first places of the item's windows that stand in the document at this beginning."""
-        n = F.size(c["phrase"])
-        low, high = F.greatest(-c["start"], F.lit(0)), F.least(n - length(c), F.size("__w") - c["start"] - length(c))
-        return F.when(low <= high, F.filter(F.sequence(low, high), lambda k: F.slice(F.col("__w"), c["start"] + k + 1, length(c)) == F.slice(
-            c["phrase"], k + 1, length(c)))).otherwise(F.array().cast("array<int>"))
-
-    length = lambda c: F.least(F.size(c["phrase"]), F.lit(size))
-    whole = lambda c, k: F.sequence(c["start"] + k, c["start"] + k + length(c) - 1)
-    found = F.filter(F.transform("spans", lambda c: F.struct(
-        c["ids"].alias("ids"), F.flatten(F.transform(matching(c), lambda k: whole(c, k))).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
+    whole = lambda c, k: F.sequence(c["start"] + k, c["start"] + k + _length(c, size) - 1)
+    found = F.filter(F.transform("spans", lambda c: F.struct(c["ids"].alias("ids"), F.flatten(F.transform(
+        _first_places(c, F.col("__w"), size), lambda k: whole(c, k))).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
     d = d.withColumn("__found", found)
     d = d.withColumn(out, F.struct(
         F.col("__n").alias("n_words"), F.size(F.array_distinct(F.flatten(F.col("__found")["hit"]))).cast("long").alias("n_hit"),
@@ -158,6 +175,15 @@ def find_windows(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id",
     return clean.select(*docs.columns, out).unionByName(d.select(*docs.columns, out))
 
 
+def proximity(docs: DataFrame, items: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, near_items: sorted ids) of all rows of ``docs``, from the proximity matches of ``search``."""
+    ids = near.select("doc", "item").distinct().join(item_texts(items, item_col, item_text).select("item", "ids"), "item")
+    ids = ids.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("near_items"))
+    d = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("doc")).join(ids, "doc", "left")
+    return d.select("id", F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark."""
     d = find_windows(docs, search(docs, items, **cols)[0], **{k: v for k, v in cols.items() if k in ("id_col", "text_col", "size")})
@@ -190,3 +216,12 @@ def op5_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"),
                     F.size(f["items"]).cast("long").alias("n_items"),
                     F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (f["n_hit"] > 0).alias("contaminated"))
+
+
+@register("op5_phrase_proximity")
+def op5_phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items stand in every document only nearly: their anchors do, no window does."""
+    docs, items = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
+    d = proximity(docs, items, search(docs, items)[1])
+    return d.select(F.col("id").alias("doc_id"), F.size("near_items").cast("long").alias("n_near"),
+                    F.array_join("near_items", ",").alias("near_items"))

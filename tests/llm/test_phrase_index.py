@@ -126,3 +126,19 @@ def test_documents_without_own_ids_are_dealt_one_by_one(spark):
                     [(1, "one two three")])
     found = P.search(df, it)[0].collect()
     assert len(found) == 40 and {len(r.spans) for r in found} == {1}
+
+
+def test_a_replaced_word_is_a_proximity_match(spark, tmp_path):
+    """A passage with another word than the two rarest replaced is a proximity match."""
+    item = "red blue green gold pink"
+    docs = [(1, f"x {item} z"), (2, "x red blue green grey pink z"), (3, "x red blue grey gold pink z"), (4, "blue green gold " * 9),
+            (5, "x red blue or green gold pink z"), (None, "x red blue green grey pink z"), (6, None), (7, f"{item} red blue green grey pink")]
+    df, it = frames(spark, docs, [(5, item), (9, item)])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    it.write.parquet(f"{tmp_path}/benchmark.parquet")
+    exact = {r.doc_id for r in P.op5_phrase_decontamination(spark, str(tmp_path)).where("contaminated").collect()}
+    rows = P.op5_phrase_proximity(spark, str(tmp_path)).collect()
+    assert exact == {1, 7} and len(rows) == len(docs)
+    near = {r.doc_id: (r.n_near, r.near_items) for r in rows}
+    assert near[1] == near[4] == near[6] == near[7] == (0, "")
+    assert near[2] == near[3] == near[5] == near[None] == (2, "5,9")
