@@ -8,8 +8,9 @@ large even at the finest prefix go on alone with more bits.
 
 Defined results: NULL text has 0 bytes; a NULL id hashes as the empty text; rows with equal ids
 cannot be told apart by hash bits, so where they alone exceed the limit their shard is split into
-overflow pages by the text's hash, with the page number in ``page``; a single document over the
-limit (or equal rows of one id and text) keeps a page of its own with ``fits`` false; an empty table gives an empty result.
+overflow pages by the same search over 60 bits of the text's hash, with the page's number in
+``page`` (its bits behind a 1, so 0 is a shard without pages), until each fits or holds one text; a
+single document over the limit (or equal rows of one id and text) keeps a page of its own with ``fits`` false; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BYTE_LIMIT = 1 << 20
 #: bits beyond log2(total / limit) that a round looks at
 EXTRA_BITS = 6
 MAX_BITS = 120
+TEXT_BITS = 60
 
 
 def hash_bits(doc_id: Column) -> Column:
@@ -63,38 +65,33 @@ def _directory(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
 def shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, bytes, shard (its hash prefix; the empty text is the whole table),
     depth (its bits), page, shard_bytes, shard_docs, fits."""
+    # the top bits are as even as the low ones; lpad keeps leading zeros
+    text_bits = F.substring(F.lpad(F.bin(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), 64, "0"), 1, TEXT_BITS)
     rows = materialize(docs.select(
-        F.col(id_col).alias("id"), hash_bits(F.col(id_col)).alias("bits"),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")), "shard-rows")
+        F.col(id_col).alias("id"), F.concat(hash_bits(F.col(id_col)), text_bits).alias("bits"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "shard-rows")
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]  # one number
-    done, low = [], 0
+    done, low, last = [], 0, MAX_BITS + TEXT_BITS
     high = min(MAX_BITS, max(0, math.ceil(math.log2(max(total, 1) / byte_limit))) + EXTRA_BITS)
     while True:
         d = materialize(_directory(rows, byte_limit, low, high), "directory")
         placed = rows.join(d, F.substring("bits", 1, high) == F.col("cell"))
-        keep = F.col("fits") | (F.col("docs") == 1) | F.lit(high >= MAX_BITS)
+        keep = F.col("fits") | (F.col("docs") == 1) | F.lit(high >= last)
         done.append(placed.where(keep).select(
-            "id", "h", rows["bytes"].alias("bytes"), F.expr("substring(bits, 1, depth)").alias("shard"), "depth",
+            "id", "bits", rows["bytes"].alias("bytes"), F.expr("substring(bits, 1, depth)").alias("prefix"), "depth",
             d["bytes"].alias("shard_bytes"), d["docs"].alias("shard_docs"), "fits"))
-        if high >= MAX_BITS or d.where("NOT fits AND docs > 1").isEmpty():
+        if high >= last or d.where("NOT fits AND docs > 1").isEmpty():
             break
-        rows = materialize(placed.where(~keep).select("id", "bits", rows["bytes"].alias("bytes"), "h"), "shard-rows")
-        low, high = high + 1, min(MAX_BITS, high + 2 * EXTRA_BITS)
+        rows = materialize(placed.where(~keep).select("id", "bits", rows["bytes"].alias("bytes")), "shard-rows")
+        # the id's bits are looked at to their end before the text's
+        low, high = high + 1, min(last if high >= MAX_BITS else MAX_BITS, high + 2 * EXTRA_BITS)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return _overflow(out, byte_limit) if high >= MAX_BITS else out.select(
-        "id", "bytes", "shard", "depth", F.lit(0).cast("long").alias("page"), "shard_bytes", "shard_docs", "fits")
-
-
-def _overflow(placed: DataFrame, limit: int) -> DataFrame:
-    """Pages for shards of equal ids: as many as twice the shard's bytes need, dealt by the text's hash."""
-    n = F.when(F.col("fits") | (F.col("shard_docs") == 1), 1).otherwise(F.ceil(2 * F.col("shard_bytes") / limit))
-    p = placed.withColumn("page", F.pmod(F.col("h"), n.cast("long")))
-    t = p.groupBy("shard", "page").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
-    return p.drop("shard_bytes", "shard_docs", "fits").join(t, ["shard", "page"]).select(
-        "id", "bytes", "shard", "depth", "page", "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit).alias("fits"))
+    # a prefix that goes on into the text's bits is a page of its id's shard
+    page = F.when(F.col("depth") > MAX_BITS, F.conv(F.concat(F.lit("1"), F.expr(f"substring(prefix, {MAX_BITS + 1})")), 2, 10).cast("long"))
+    return out.select("id", "bytes", F.substring("prefix", 1, MAX_BITS).alias("shard"), F.least("depth", F.lit(MAX_BITS)).alias("depth"),
+                      F.coalesce(page, F.lit(0).cast("long")).alias("page"), "shard_bytes", "shard_docs", "fits")
 
 
 def directory(placed: DataFrame) -> DataFrame:

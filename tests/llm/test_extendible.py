@@ -65,3 +65,20 @@ def test_edge_rows(spark):
     assert got.where("id = 8").select("page").distinct().count() == 1
     assert got.agg(F.sum("bytes")).first()[0] == sum(len(t or "") for _, t, _ in rows)
     assert X.shards(df.limit(0)).count() == 0
+
+
+def test_pages_of_equal_ids_fit(spark):
+    """Larger documents of one id, or of none, are split until each page fits; one over the limit is alone."""
+    rows = [(i, f"{k} {i}".ljust(20 + 5 * (k % 9), "x")) for i in (7, None) for k in range(120)] + [(7, "y" * 300), (None, "z" * 101)]
+    df = spark.createDataFrame(rows + [(9, "same text" * 4)] * 6, "doc_id long, text string")
+    got = X.shards(df, 100).collect()
+    assert len(got) == len(rows) + 6
+    pages = defaultdict(list)
+    for r in got:
+        pages[r.shard, r.page].append(r)
+    for p in pages.values():
+        total = sum(r.bytes for r in p)
+        assert all((r.shard_bytes, r.shard_docs, r.fits) == (total, len(p), total <= 100) for r in p)
+        assert total <= 100 or len(p) == 1 or {r.id for r in p} == {9}
+    assert sorted(r.bytes for r in got if not r.fits and r.id != 9) == [101, 300]
+    assert sum(r.shard_docs for r in X.directory(X.shards(df, 100)).collect()) == len(got)
