@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -64,7 +65,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and the files survive the loss of any executor."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), path)
+    return out
+
+
+#: the folder of each frame that ``materialize`` gave and that is still in use
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files behind frames that ``materialize`` gave, once all that reads them is written itself."""
+    for df in frames:
+        kept, path = _WRITTEN.pop(id(df), (None, None))
+        if kept is not None and kept() is df:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def remainder(id_col: str | Column, n: int) -> Column:
@@ -78,6 +95,13 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text: each byte is taken in, then eight bits are shifted out."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    last = f"list_reduce(list_concat([4294967295], {steps}), lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) ELSE xor(r >> 1, (r & 1) * 3988292384) END)"
+    return f"xor({last}, 4294967295)"
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
