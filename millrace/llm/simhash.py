@@ -6,11 +6,13 @@ a bit is 1 if more than half of the hashes have it. No words: fingerprint 0, lin
 
 Linking works on distinct fingerprints, so copies cost nothing. 64 bits are cut into six blocks;
 fingerprints at most three bits apart agree on at least three of them, so they meet in one of the
-20 triples of blocks. A triple's bucket of up to ``PAIRWISE`` fingerprints is compared pair by pair.
-Larger buckets never are: their fingerprints meet at common neighbours instead. Two fingerprints
-are within three bits exactly if some 64-bit value is within one bit of one and two bits of the
-other; at each value everything links to one fingerprint within one bit of it. That gives true
-links only, connects every pair that is close, and its rows grow with the bucket, not its square.
+20 triples of blocks. A triple's bucket of up to ``PAIRWISE`` fingerprints is compared pair by pair
+and gives a spanning forest, so its links are fewer than its fingerprints. Larger buckets are never
+compared: rounds give each component of theirs one link to a smaller one within three bits, found at
+common neighbours (two fingerprints are within three bits exactly if some 64-bit value is within one
+bit of one and two bits of the other). A round at least halves the components that can still be
+linked, and buckets that have become one component drop out, so links and rows grow with the
+fingerprints, not with the square of a group.
 
 Components: minimum labels with pointer jumping, each round written to the shared folder.
 
@@ -20,6 +22,7 @@ reachable, NULL if there is none; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,9 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh, materialize, read_table, register, texts
+from millrace.llm.common import discard, fresh, materialize, read_table, register, texts
 
 SHINGLE = 3
 MAX_BITS_APART = 3
@@ -87,24 +89,63 @@ def _longs(values: list[int]) -> Column:
     return F.expr("array(" + ",".join(f"{_signed(x)}L" if _signed(x) != -(1 << 63) else "shiftleft(1L, 63)" for x in values) + ")")
 
 
+def forest(xs: Column) -> Column:
+    """The fingerprints of a bucket -> (a, b) for each that is close, directly or by others of the
+    bucket, to a smaller one; b is the smallest of these."""
+    def grow(made: Column, x: Column) -> Column:
+        near = F.transform(F.filter(made, lambda e: F.bit_count(e.a.bitwiseXOR(x)) <= MAX_BITS_APART), lambda e: e.b)
+        # a one-element array binds ``near``, which would be computed for each use otherwise
+        return F.transform(F.array(near), lambda roots: F.when(F.size(roots) == 0, F.concat(made, F.array(node(x, x)))).otherwise(
+            F.concat(F.transform(made, lambda e: node(e.a, F.when(F.array_contains(roots, e.b), F.array_min(roots)).otherwise(e.b))),
+                     F.array(node(x, F.array_min(roots))))))[0]
+
+    def node(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
+    grown = F.aggregate(F.array_sort(xs), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), grow)
+    return F.filter(grown, lambda e: e.a != e.b)
+
+
 def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """``fps(fp)``, distinct -> (a, b): true links, enough to connect all fingerprints that are
-    at most three bits apart, directly or by others."""
+    """``fps(fp)``, distinct -> (a, b): links enough to connect all fingerprints that are at most
+    three bits apart, directly or by others. A bucket of up to ``pairwise`` gives a link less than it
+    has fingerprints; those of larger buckets get a link per component and round, and rounds go on
+    until every large bucket is one component or none of its components are close."""
     keys = _longs(_masks())
     rows = fps.select("fp", F.posexplode(F.transform(keys, lambda m: m.bitwiseAND(F.col("fp")))).alias("triple", "key"))
-    large = materialize(rows.groupBy("triple", "key").count().where(F.col("count") > pairwise).select("triple", "key"), "buckets")
-    after = Window.partitionBy("triple", "key").orderBy("fp").rowsBetween(1, pairwise)
-    close = F.filter(F.collect_list("fp").over(after), lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= MAX_BITS_APART)
-    small = (rows.join(large, ["triple", "key"], "left_anti")
-             .select(F.col("fp").alias("a"), close.alias("near")).select("a", F.explode("near").alias("b")))
-    crowd = rows.join(large, ["triple", "key"], "left_semi").select("fp").distinct()
-    crowd = materialize(crowd, "crowd")
-    spread = lambda r: crowd.select("fp", F.explode(_longs(_ball(r))).alias("m")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
-    heads = spread(1).groupBy("z").agg(F.min("fp").alias("b"))
+    counts = materialize(rows.groupBy("triple", "key").count().where("count > 1"), "buckets")
+    shared = materialize(rows.join(counts, ["triple", "key"]), "shared")
+    small = shared.where(F.col("count") <= pairwise).groupBy("triple", "key").agg(forest(F.collect_list("fp")).alias("near"))
+    known = [materialize(small.select(F.explode("near").alias("e")).select("e.a", "e.b").distinct(), "links")]
+    large = materialize(shared.where(F.col("count") > pairwise).select("fp", "triple", "key"), "large")
+    discard(counts, shared)
+    while True:
+        edges = reduce(DataFrame.unionByName, known)
+        if large.isEmpty():
+            return edges
+        labels = components(edges).withColumnRenamed("node", "fp")
+        named = large.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        mixed = named.groupBy("triple", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        named = materialize(named.join(mixed.select("triple", "key"), ["triple", "key"], "left_semi"), "large")
+        crowd = materialize(named.select("fp", "label").distinct(), "crowd")
+        hooks = materialize(_hooks(crowd), "links")
+        discard(large, crowd)
+        if hooks.isEmpty():
+            return edges
+        known.append(hooks)
+        large = named.drop("label")
+
+
+def _hooks(crowd: DataFrame) -> DataFrame:
+    """``crowd(fp, label)`` -> (a, b): for each label that has smaller ones within three bits of a
+    fingerprint of its, one of these. Two fingerprints are within three bits exactly if some value is
+    within one bit of one and two bits of the other: every value's least label within one bit is
+    looked up from within two bits."""
+    spread = lambda r: crowd.select("label", F.explode(_longs(_ball(r))).alias("m"), "fp").select(
+        "label", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
+    heads = spread(1).groupBy("z").agg(F.min("label").alias("head"))
     # rows per fingerprint are many more than Spark's size estimate knows, so never a broadcast
-    met = spread(2).join(heads.hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return small.unionByName(met).distinct()
+    met = spread(2).join(heads.hint("merge"), "z").where("head < label")
+    return met.groupBy(F.col("label").alias("a")).agg(F.min("head").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -112,15 +153,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
                          .withColumnRenamed("a", "node"), "labels")
+    before = labels
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         step = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "low").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("lower"))
         step = step.join(jump, "low").select("node", F.least("low", "lower").alias("label"), F.col("label").alias("was"))
         step = materialize(step, "labels")
-        labels = step.select("node", "label")
+        discard(before)
         if step.where("label < was").isEmpty():
-            return labels
+            discard(both)
+            return step.select("node", "label")
+        before, labels = step, step.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
