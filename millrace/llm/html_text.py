@@ -2,14 +2,19 @@
 
 A page becomes a flat list of text blocks (block-level tags separate them, inline tags do not).
 Each block is described by its own, its predecessor's and its successor's word count and link
-density, and by whether it is a heading, stands in a part meant for the main text, or in a part
-meant for something else. A decision tree (Gini, trained in numpy) on those numbers decides which
-blocks are main text; it learns from the small labelled table below, a few hand-labelled pages.
+density, and by whether it is a heading, stands in a part meant for the main text, in a part whose tag
+or class names something else, or in one with a class name that says little. A decision tree (Gini,
+trained in numpy) on those numbers decides which blocks are main text; it learns from the small
+labelled table below, hand-labelled pages with and without such parts and with misleading names.
+
+A name is evidence about an element's own blocks only: it counts for nothing on html, body, main and
+article, on elements around a main or article element, and, where a page has neither, on elements that
+hold most of the page's words.
 
 Scripts, styles, titles, comments and form controls never give blocks. Character references are
 decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
-Defined results: NULL or empty html, or a page without main text: empty text; broken markup is read
+Defined results: pages of any length are read whole; ids and other columns are not looked at; NULL or empty html, or a page without main text: empty text; broken markup is read
 as far as it goes (unclosed tags end with the block or the page); repeated rows give equal results.
 """
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +34,7 @@ from millrace.llm.common import read_table, register
 
 _PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
     r"|<(script|style|title|noscript|template|svg|select|textarea|button|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>?"
@@ -43,29 +50,51 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 OTHER_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OTHER_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-                        "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
+OTHER_WORDS = frozenset("ad ads advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+                        "disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice "
                         "pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social "
-                        "sponsor sponsored subscribe toolbar widget".split())
+                        "sponsor sponsored subscribe".split())
+LAYOUT_WORDS = frozenset("banner header masthead toolbar widget widgets".split())
 MAIN_WORDS = frozenset("article content entry main post story text".split())
+WHOLE_TAGS = frozenset("html body main article".split())
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "main", "other", "layout")
+#: share of a page's words beyond which an element's names say nothing
+MOST_WORDS = 0.8
+
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "main", "other")
+class Block(NamedTuple):
+    text: str
+    words: int
+    links: float
+    heading: bool
+    main: bool
+    other: bool
+    layout: bool
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density, heading, in a main part, in another part) of each block."""
-    out: list = []
+class _Element(NamedTuple):
+    tag: str
+    heading: bool = False
+    main: bool = False
+    marks: tuple[int, ...] = ()      # of this element and those around it
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page, in order."""
+    found: list[tuple[str, int, float, _Element]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []   # tag, heading, main, other
-    in_link = False
+    stack: list[_Element] = []
+    kinds: list[str] = []            # of each mark: tag, other or layout
+    whole: set[int] = set()          # marks of elements around a main part
+    in_link, has_main = False, False
 
     def close() -> None:
         words = "".join(text).split()
         if words:
-            top = stack[-1] if stack else ("", False, False, False)
             density = min(1.0, sum(len(x.split()) for x in linked) / len(words))
-            out.append((" ".join(words), len(words), density, *top[1:]))
+            found.append((" ".join(words), len(words), density, stack[-1] if stack else _Element("")))
         text.clear()
         linked.clear()
 
@@ -88,36 +117,54 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             close()
             if m.group(2):
                 in_link = False
-                if any(t[0] == tag for t in stack):
-                    while stack.pop()[0] != tag:
+                if any(t.tag == tag for t in stack):
+                    while stack.pop().tag != tag:
                         pass
             elif tag not in VOID_TAGS:
-                while stack and (stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "dt", "dd", "tr", "td", "th")):
+                while stack and (stack[-1].tag == "p" or stack[-1].tag == tag in ("li", "dt", "dd", "tr", "td", "th")):
                     stack.pop()
-                _, heading, main, other = stack[-1] if stack else ("", False, False, False)
+                above = stack[-1] if stack else _Element("")
                 attributes = m.group(4).lower()
                 names = {w for x in _NAMES.findall(attributes) for w in _SPLIT.split("".join(x))} if "=" in attributes else set()
-                other = other or tag in OTHER_TAGS or bool(names & OTHER_WORDS) or (tag == "header" and not main)
-                main = main or tag in MAIN_TAGS or bool(names & MAIN_WORDS)
-                stack.append((tag, heading or tag in HEADINGS, main, other))
+                if tag in MAIN_TAGS:
+                    has_main = True
+                    whole.update(above.marks)
+                marks = above.marks
+                if tag not in WHOLE_TAGS:
+                    new = ["tag"] * (tag in OTHER_TAGS - {"form"} or tag == "header" and not above.main)
+                    new += ["other"] * (tag == "form" or bool(names & OTHER_WORDS)) + ["layout"] * bool(names & LAYOUT_WORDS)
+                    marks += tuple(range(len(kinds), len(kinds) + len(new)))
+                    kinds += new
+                stack.append(_Element(tag, above.heading or tag in HEADINGS, above.main or tag in MAIN_TAGS or bool(names & MAIN_WORDS), marks))
     close()
+    if not has_main:
+        held = [0] * len(kinds)
+        for _, n, _, e in found:
+            for k in e.marks:
+                held[k] += n
+        most = MOST_WORDS * sum(f[1] for f in found)
+        whole = {k for k, n in enumerate(held) if kinds[k] != "tag" and n > most}
+    out = []
+    for words, n, density, e in found:
+        left = {kinds[k] for k in e.marks if k not in whole}
+        out.append(Block(words, n, density, e.heading, e.main, bool(left & {"tag", "other"}), "layout" in left))
     return out
 
 
-def features(page_blocks: list) -> np.ndarray:
+def features(page_blocks: list[Block]) -> np.ndarray:
     """A row of FEATURES per block."""
     if not page_blocks:
         return np.zeros((0, len(FEATURES)))
     own = np.array([b[1:3] for b in page_blocks], float)
     none = np.zeros((1, 2))
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]),
-                      np.array([b[3:6] for b in page_blocks], float)])
+                      np.array([b[3:] for b in page_blocks], float)])
 
 
 class Tree:
     """A binary decision tree for 0/1 labels, split by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12):
         self.root = self._grow(x, y, depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
@@ -141,6 +188,16 @@ class Tree:
         low = x[:, k] <= t
         return k, float(t), self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1)
 
+    def used(self) -> set[str]:
+        """Names of the features that the tree asks for."""
+        out, todo = set(), [self.root]
+        while todo:
+            node = todo.pop()
+            if not isinstance(node, int):
+                out.add(FEATURES[node[0]])
+                todo += node[2:]
+        return out
+
     def predict(self, x: np.ndarray) -> list[int]:
         out = []
         for row in x.tolist():
@@ -157,7 +214,26 @@ _LONG = ("It was late in the year when the first boats came back, and most of th
          "them, though nobody could say who had sent for them or why they had stayed away. ")
 _MID = "The council met twice that week and put the matter off both times. "
 _MENU = "<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/s>Sport</a><li><a href=/c>Contact us</a></ul>"
+_HEADLINES = ("<ul><li><a href=/1>Council puts the harbour plan off for a second time this week</a>"
+              "<li><a href=/2>Why the ferry to the islands will not run before the end of May</a>"
+              "<li><a href=/3>Three boats found empty on the north shore after the storm</a></ul>")
+
+
+def _article(tag: str, lengths: tuple[int, ...], below: str) -> tuple[str, str]:
+    """A page whose article has paragraphs of so many words, after a menu and an advert; what is below is one block."""
+    some = (_LONG * 9).split()
+    paragraphs = "".join(f"<p>{' '.join(some[k:k + n])}</p>" for k, n in enumerate(lengths))
+    page = f"<nav>{_MENU}</nav><div class=ad>{_MID}</div><{tag}><h1>{' '.join(some[5:5 + lengths[0]])}</h1>{paragraphs}</{tag}>{below}"
+    return page, "00000" + "1" * (1 + len(lengths)) + "0"
+
+
 LABELLED = (
+    _article("article", (3, 7, 12, 2, 30, 5, 1), f"<footer>{_MID}</footer>"),
+    _article("main", (9, 1, 28, 4, 22, 90, 8, 8, 26, 3), "<footer>Example town</footer>"),
+    _article("article", (24, 24, 6, 60, 19, 27, 33, 2), f"<footer>{_LONG}</footer>"),
+    _article("article", (2, 2), f"<div class=notice>{_LONG}</div>"),
+    _article("article", (14, 25, 25, 1, 1, 25, 40), "<footer><a href=/t>Terms</a></footer>"),
+    _article("article", (26,), f"<aside>{_MID}</aside>"),
     (f"<nav>{_MENU}</nav><div class=ad>Buy two lamps and get one for nothing at all today.</div><article><h1>Boats return</h1>"
      f"<p>{_LONG}</p><p>{_MID}</p><p>Nobody came.</p><p>{_LONG * 3}</p></article><footer>&copy; example.com</footer>", "0000011111" + "0"),
     (f"<header><h1>The Daily Page</h1>{_MENU}</header><article><header><h1>Boats return</h1></header><p>Why?</p><p>{_MID}"
@@ -169,14 +245,27 @@ LABELLED = (
      "<p><a href=/1>1</a> <a href=/2>2</a> <a href=/3>Next page</a></p>", "0111110"),
     (f"<div><a href=/>Home</a></div><div><a href=/a>About</a></div><div>{_LONG}</div><div>{_LONG}</div><div>Terms of use</div>"
      "<div>All rights reserved</div>", "001100"),
-    (f"<main><h1>Notes</h1><p>{_MID}</p><form>Your name and your message to us</form><p>Ask <a href=/m>the office</a>.</p>"
+    (f"<main><h1>Notes</h1><p>{_MID}</p><form>Your name and your message to us</form><p>Ask <a href=/m>the office</a> for the list of all names.</p>"
      f"<p><a href=/more>Read the whole report on the boats</a></p></main><form><p>{_LONG}</p></form>", "11011" + "0"),
     (f"<article><p>{_LONG}</p><p>One.</p><p>{_LONG}</p><div class=share><a href=/f>Share</a></div><div class=related>{_MID}</div>"
      f"<p>{_MID}</p></article><p>{_MID}</p><p>Copyright</p>", "111" + "00" + "1" + "00"),
     (f"<article><h1>A very short one</h1><p>End.</p></article><nav><p>{_LONG}</p></nav>", "110"),
     ("<p>Page not found</p>", "0"), ("<div>Loading</div><div><a href=/>Back to the start</a></div>", "00"),
     (f"<article>{_MID}</article>", "1"), ("<article><p>No.</p></article>", "1"), (f"<p>{_LONG}</p>", "1"),
-    (f"<article><h2>List</h2>{_MENU}<p>{_MID}</p></article>", "111111"),
+    # lists of links are no text, wherever they stand; a heading goes with what follows it
+    (f"<article><h1>Boats return</h1><p>{_LONG}</p><p>{_MID}</p><h2>More on the boats from our own pages</h2>{_HEADLINES}</article>", "111" + "0000"),
+    (f"<article><p>{_LONG}</p>{_MENU}<p>{_MID}</p><h3>Rain</h3><p>{_MID}</p></article>", "1" + "0000" + "111"),
+    (f"<div class=post><h2>More on the boats from our own pages</h2>{_HEADLINES}</div><div><h2>Boats return</h2><p>{_LONG}</p><p>{_MID}</p>"
+     f"<h3>Rain came at night</h3><p>{_MID}</p><p>{_LONG}</p></div><div><h3>What others read today on these pages</h3>{_HEADLINES}</div>", "0000" + "111111" + "0000"),
+    (f"<div>{_HEADLINES}</div><div><p>Read this first of all the things on the page.</p>{_HEADLINES}</div><div><p>{_LONG}</p><p>Not yet.</p><p>{_LONG}</p></div>",
+     "000" + "0000" + "111"),
+    # names of layout say little; those that hold the whole text say nothing
+    (f"<div class=widget><p>{_LONG}</p><p>{_MID}</p><p>So.</p><p>{_LONG}</p></div><div class=widget><h4>Pages</h4>{_MENU}</div><div class=banner>{_MENU}</div>",
+     "1111" + "00000" + "0000"),
+    (f"<body class='has-sidebar'><article class='post with-comments'><div class='entry-header'><h1>Boats return</h1></div><p>{_LONG}</p>"
+     f"<p>{_MID}</p></article><div id=comments><p>{_LONG}</p><p>Me too.</p></div></body>", "111" + "00"),
+    (f"<form><div class='page with-sidebar'><p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p></div></form>", "111"),
+    (f"<div class=header><p>{_MID}</p>{_MENU}</div><div><p>{_LONG}</p><p>{_MID}</p></div>", "00000" + "11"),
 )
 
 

@@ -3,6 +3,7 @@
 from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 
 from millrace.llm import html_text as H
 from millrace.llm.common import read_table
@@ -50,6 +51,28 @@ def test_tree_knows_its_table():
         assert "".join(map(str, H.trained().predict(H.features(H.blocks(page))))) == marks
 
 
+def test_tree_asks_for_the_neighbours():
+    used = H.trained().used()
+    assert used & {"links_before", "links_after"} and used & {"words_before", "words_after"}
+
+
+WORDS = " ".join(f"plain{i} word{i}" for i in range(30)) + "."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body class='has-sidebar'><article><h1>Title here</h1><p>{WORDS}</p></article></body>", f"Title here\n{WORDS}"),
+    (f"<article class='post with-comments'><p>{WORDS}</p><p>Short.</p></article>", f"{WORDS}\nShort."),
+    (f"<svg viewBox='0 0 1 1'/><article><p>{WORDS}</p></article><svg><text>no</text></svg>", WORDS),
+    (f"<article><div class='entry-header'><h1>Title here</h1></div><p>{WORDS}</p></article>", f"Title here\n{WORDS}"),
+    (f"<html id=menu><form id=aspnet><main><p>{WORDS}</p></main></form></html>", WORDS),
+    (f"<div class='layout sidebar-right'><div class=text><p>{WORDS}</p></div><div class=sidebar><p>{WORDS}</p></div></div>", WORDS),
+    (f"<article><p>{WORDS}</p><h3>Related</h3><ul><li><a href=/>One story more</a><li><a href=/>Another story</a></ul></article>", WORDS),
+    (f"<article><p>{WORDS}</p><div class=comments><p>{WORDS}</p></div></article>", WORDS),
+])
+def test_misleading_names(page, want):
+    assert H.page_text(page, H.trained()) == want
+
+
 def test_blocks():
     got = H.blocks("<title>No</title><script>var t='</p>x<p>'</script><!-- <p>no --><p>A &amp;\n <b>b</b>c<br>d &#x41;&eacute &am</p>"
                    "<div class='top menu'>x <a href='a>b'>y z</a></div>tail <i>open")
