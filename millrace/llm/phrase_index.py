@@ -6,21 +6,24 @@ the benchmark items: ten consecutive words, or all words of a shorter item.
 1. Collection frequencies of the benchmark's terms; a window with a term that no document has is out.
 2. The postings of each window's rarest terms, its anchors, are stored; common terms' lists are
    never needed.
-3. Offset-adjusted lists (a posting's position less its term's place in the item, that is, where the
-   item would begin) are intersected per document and item: a beginning that two anchors share is a
-   phrase candidate, beginnings at most ``SLOP`` words apart are a proximity match. All windows of
-   an item share these lists.
-4. Candidates are compared with the document's words, window by window, so what remains is exact.
-   An item of which no window stands in a document, though its anchors agree or come near each
+3. Offset-adjusted lists (a posting's position less its term's place in the window, that is, where the
+   window would begin) are intersected per document and window: a beginning that all anchors share is
+   a phrase candidate, beginnings at most ``SLOP`` words apart are a proximity match.
+4. A document's words at the candidate beginnings are looked up among the windows, so what remains is
+   exact. An item of which no window stands in a document, though anchors of one agree or come near each
    other there (another word than the anchors was replaced, or one added or left out), is a proximity match.
 
-Sizes: postings are dealt by document and item, never by term, so a frequent term is no hot key.
+Windows are indexed once, by their words, however many items share them (templates do): items are only
+joined at the end, to the windows that a document holds.
+
+Sizes: postings are dealt by document and window, never by term, so a frequent term is no hot key.
 The benchmark's terms and anchors are broadcast only while they are fewer than ``BROADCAST_ROWS``;
 beyond that the same joins shuffle. Documents stay where they are unless they have candidates.
 
 Defined results: NULL or wordless texts have no words and are clean; NULL or wordless items match
 nothing; items with equal texts are found together; repeated or NULL document ids: each row is
-judged by its own text; an empty benchmark leaves every document clean.
+judged by its own text; a very long text is read whole; an empty benchmark leaves every document clean;
+a NULL item id is found and not listed; the tables' other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import LOWER, UPPER, ascii_lower, fresh, materialize, read_table, register
+from millrace.llm.common import LOWER, UPPER, ascii_lower, discard, fresh, materialize, read_table, register
 
 WINDOW = 10
 #: rarest terms of a window whose lists are intersected
@@ -64,11 +67,17 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def item_texts(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item: key of the text, phrase: its words, ids: sorted, as text) of the different item texts."""
-    w = items.select(F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("phrase")).where(F.size("phrase") > 0)
-    w = w.groupBy("phrase").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return w.select(F.xxhash64("phrase").alias("item"), "phrase", "ids")
+def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """(window: key of its words, phrase: the words, id: an item that has it, as text): every window of every item."""
+    w = items.select(F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.size("w") - size, F.lit(0))
+    w = w.select("id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("w", k + 1, size))).alias("phrase"))
+    return w.select(F.xxhash64("phrase").alias("window"), "phrase", "id")
+
+
+def distinct_windows(of_items: DataFrame) -> DataFrame:
+    """(window, phrase), each once, however many items share it."""
+    return of_items.select("window", "phrase").distinct()
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,115 +89,98 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc
     return p if terms is None else p.join(terms, "term", "left_semi").select("doc", "term", "pos")
 
 
-def anchors(docs: DataFrame, texts: DataFrame, size: int = WINDOW, lists: int = LISTS, **cols) -> DataFrame:
-    """(item, place, term): of every window all of whose terms occur, the places of the rarest terms."""
-    own = texts.select("item", F.size("phrase").alias("n"), F.posexplode("phrase").alias("place", "term"))
+def anchors(docs: DataFrame, windows: DataFrame, lists: int = LISTS, **cols) -> DataFrame:
+    """(window, place, term): of every window all of whose terms occur, the places of the rarest terms."""
+    own = windows.select("window", F.posexplode("phrase").alias("place", "term"))
     terms = materialize(own.select("term").distinct(), "terms")
     found = postings(docs, _bounded(terms, terms.count()), **cols).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-    found = materialize(found, "frequencies")
-    # each place with the windows (by their first place) that it lies in
-    last = F.greatest(F.col("n") - size, F.lit(0))
-    wins = F.sequence(F.greatest(F.col("place") - (size - 1), F.lit(0)), F.least(F.col("place"), last))
-    own = own.join(found, "term", "left").withColumn("win", F.explode(wins))
-    w = Window.partitionBy("item", "win")
+    own = own.join(materialize(found, "frequencies"), "term", "left")
+    w = Window.partitionBy("window")
     own = own.withColumn("all", F.min(F.col("freq").isNotNull()).over(w)).withColumn(
         "list", F.row_number().over(w.orderBy("freq", "place")))
-    return own.where(F.col("all") & (F.col("list") <= lists)).select("item", "place", "term").distinct()
+    return own.where(F.col("all") & (F.col("list") <= lists)).select("window", "place", "term")
 
 
 def beginnings(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFrame:
-    """Where an item could begin in a document: (doc, item, start, hits: anchors there, near: another
+    """Where a window could begin in a document: (doc, window, start, hits: anchors there, near: another
     anchor's beginning is 1 to ``slop`` words away). Neighbours come from windows over the sorted
     beginnings, so no pairs are made."""
-    p = index.join(places, "term").select("doc", "item", (F.col("pos") - F.col("place")).alias("start"), "place")
-    p = p.repartition("doc", "item").groupBy("doc", "item", "start").agg(F.collect_set("place").alias("places"))
-    w = Window.partitionBy("doc", "item").orderBy("start")
+    p = index.join(places, "term").select("doc", "window", (F.col("pos") - F.col("place")).alias("start"), "place")
+    p = p.repartition("doc", "window").groupBy("doc", "window", "start").agg(F.collect_set("place").alias("places"))
+    w = Window.partitionBy("doc", "window").orderBy("start")
     gap = lambda side: F.abs(F.col("start") - side("start").over(w)) <= slop
     other = lambda side: F.size(F.array_except(side("places").over(w), F.col("places"))) > 0
     near = F.coalesce(gap(F.lag) & other(F.lag), F.lit(False)) | F.coalesce(gap(F.lead) & other(F.lead), F.lit(False))
-    return p.select("doc", "item", "start", F.size("places").alias("hits"), near.alias("near"))
+    return p.select("doc", "window", "start", F.size("places").alias("hits"), near.alias("near"))
+
+
+def matches(docs: DataFrame, windows: DataFrame, starts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, window, start, n) of the windows of n words that stand at one of ``starts(doc, start, n)``:
+    the document's own words there are looked up among the windows."""
+    at = starts.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("at"))
+    d = docs.select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    d = d.join(materialize(at.select("doc"), "keys"), "doc", "left_semi").dropDuplicates(["doc"])
+    d = d.join(at, "doc").withColumn("w", words(F.col("text")))
+    inside = F.filter("at", lambda x: (x["start"] >= 0) & (x["start"] + x["n"] <= F.size("w")))
+    d = d.select("doc", F.explode(F.transform(inside, lambda x: F.struct(
+        x["start"].alias("start"), x["n"].alias("n"), F.slice("w", x["start"] + 1, x["n"]).alias("phrase")))).alias("x"))
+    return d.select("doc", "x.start", "x.n", "x.phrase").join(windows, "phrase").select("doc", "window", "start", "n")
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(candidates, proximity matches): (doc, spans: array of start, item, phrase, ids) of the documents
-    in which two anchors of an item agree on its beginning, still to be compared with the words; and
-    (doc, item, start) where anchors agree or come near each other in a document that holds no window
-    of the item (compared with the words when these rows are read)."""
+    """(exact, near). Exact: (doc, spans: array of start, n: where windows stand, items: sorted ids of the
+    items that have them) of the documents that hold a window. Near: (doc, id) of the items one of whose
+    windows has anchors that agree or come near each other in a document that holds none of its windows."""
     cols = {"id_col": id_col, "text_col": text_col}
-    texts = materialize(item_texts(items, item_col, item_text), "items")
-    places = materialize(anchors(docs, texts, size, **cols), "anchors")
+    of_items = materialize(item_windows(items, item_col, item_text, size), "item-windows")
+    windows = materialize(distinct_windows(of_items), "windows")
+    places = materialize(anchors(docs, windows, **cols), "anchors")
     n = places.count()
     terms = materialize(places.select("term").distinct(), "terms")
     index = materialize(postings(docs, _bounded(terms, n), **cols), "postings")
-    at = beginnings(index, _bounded(places, n)).join(texts.select("item", F.size("phrase").alias("n")), "item")
-    exact = F.col("hits") >= F.least(F.col("n"), F.lit(LISTS))
-    at = materialize(at.where(exact | F.col("near")).select("doc", "item", "start", exact.alias("exact")), "beginnings")
-    spans = at.where("exact").join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("start", "item", "phrase", "ids")).alias("spans"))
-    spans = materialize(spans, "spans")
-    near = at.select("doc", "item", "start").join(held(docs, spans, size=size, **cols), ["doc", "item"], "left_anti")
-    return spans, near
-
-
-def _first_places(c: Column, w: Column, size: int) -> Column:
-    """The first places of the item's windows that stand in the words ``w`` at this beginning."""
-    n, length = F.size(c["phrase"]), _length(c, size)
-    low, high = F.greatest(-c["start"], F.lit(0)), F.least(n - length, F.size(w) - c["start"] - length)
-    return F.when(low <= high, F.filter(F.sequence(low, high), lambda k: F.slice(w, c["start"] + k + 1, length) == F.slice(
-        c["phrase"], k + 1, length))).otherwise(F.array().cast("array<int>"))
-
-
-def _length(c: Column, size: int) -> Column:
-    return F.least(F.size(c["phrase"]), F.lit(size))
+    at = beginnings(index, _bounded(places, n)).join(windows.select("window", F.size("phrase").alias("n")), "window")
+    agree = F.col("hits") >= F.least(F.col("n"), F.lit(LISTS))
+    at = materialize(at.where(agree | F.col("near")).select("doc", "window", "start", "n", agree.alias("agree")), "beginnings")
+    found = materialize(matches(docs, windows, at.where("agree").select("doc", "start", "n").distinct(), **cols), "matches")
+    discard(index)
+    # items are met here for the first time, by the windows that a document holds
+    ids = of_items.select("window", "id").distinct()
+    held = materialize(found.select("doc", "window").distinct().join(ids, "window").select("doc", "id").distinct(), "held")
+    near = at.select("doc", "window").distinct().join(ids, "window").select("doc", "id").distinct().join(
+        held.select("doc", F.coalesce("id", F.lit("")).alias("other"), F.col("id").isNull().alias("none")).withColumnRenamed("doc", "at"),
+        (F.col("doc") == F.col("at")) & (F.coalesce("id", F.lit("")) == F.col("other")) & (F.col("id").isNull() == F.col("none")), "left_anti")
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    exact = spans.join(held.groupBy("doc").agg(F.array_sort(F.collect_set("id")).alias("items")), "doc", "left")
+    none = F.array().cast("array<string>")
+    return materialize(exact.withColumn("items", F.coalesce("items", none)), "exact"), near
 
 
-def held(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(doc, item) of the candidates of which a window stands in the document's words."""
-    d = docs.select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    d = d.join(candidates.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    d = d.join(candidates, "doc").withColumn("w", words(F.col("text")))
-    found = F.filter("spans", lambda c: F.size(_first_places(c, F.col("w"), size)) > 0)
-    return d.select("doc", F.explode(F.array_distinct(F.transform(found, lambda c: c["item"]))).alias("item"))
+def find_windows(docs: DataFrame, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of ``docs`` with a struct column (``found``, or with leading underscores): n_words,
+    n_hit, items (sorted ids). A row's own columns travel in a struct, so no name is taken."""
+    d = docs.select(F.struct("*").alias("row"), _key(id_col, text_col).alias("key"), word_count(F.col(text_col)).alias("n_words"))
+    hit = F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
+    e = exact.select("doc", F.size(F.array_distinct(hit)).cast("long").alias("n_hit"), "items")
+    d = d.join(e, F.col("key") == F.col("doc"), "left")
+    found = F.struct("n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+                     F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return d.select(*(F.col("row")[c].alias(c) for c in docs.columns), found.alias(fresh(docs, "found")))
 
 
-def find_windows(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 size: int = WINDOW) -> DataFrame:
-    """All rows of ``docs`` with a struct column (``found``, or with leading underscores): n_words,
-    n_hit, items (sorted ids). Only documents with candidates are dealt to their candidates; all
-    others pass by the list of those documents' keys."""
-    keys = materialize(candidates.select(F.col("doc").alias("__doc")), "keys")
-    out = fresh(docs, "found")
-    d = docs.withColumn("__key", _key(id_col, text_col)).withColumn("__n", word_count(F.col(text_col)))
-    same = F.col("__key") == F.col("__doc")
-    none = F.array().cast("array<string>")
-    clean = d.join(keys, same, "left_anti").withColumn(out, F.struct(
-        F.col("__n").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items")))
-    d = d.join(keys, same, "left_semi").join(candidates.withColumnRenamed("doc", "__doc"), same).withColumn("__w", words(F.col(text_col)))
-
-    whole = lambda c, k: F.sequence(c["start"] + k, c["start"] + k + _length(c, size) - 1)
-    found = F.filter(F.transform("spans", lambda c: F.struct(c["ids"].alias("ids"), F.flatten(F.transform(
-        _first_places(c, F.col("__w"), size), lambda k: whole(c, k))).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
-    d = d.withColumn("__found", found)
-    d = d.withColumn(out, F.struct(
-        F.col("__n").alias("n_words"), F.size(F.array_distinct(F.flatten(F.col("__found")["hit"]))).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("__found")["ids"]))), none).alias("items")))
-    return clean.select(*docs.columns, out).unionByName(d.select(*docs.columns, out))
-
-
-def proximity(docs: DataFrame, items: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def proximity(docs: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, near_items: sorted ids) of all rows of ``docs``, from the proximity matches of ``search``."""
-    ids = near.select("doc", "item").distinct().join(item_texts(items, item_col, item_text).select("item", "ids"), "item")
-    ids = ids.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("near_items"))
+    ids = near.groupBy("doc").agg(F.array_sort(F.collect_set("id")).alias("near_items"))
     d = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("doc")).join(ids, "doc", "left")
     return d.select("id", F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cols) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark."""
-    d = find_windows(docs, search(docs, items, **cols)[0], **{k: v for k, v in cols.items() if k in ("id_col", "text_col", "size")})
-    name = d.columns[-1]
-    return d.where(F.col(name)["n_hit"] == 0).drop(name)
+    exact = search(docs, items, id_col, text_col, **cols)[0]
+    d = docs.select(F.struct("*").alias("row"), _key(id_col, text_col).alias("key"))
+    d = d.join(materialize(exact.select("doc"), "keys"), F.col("key") == F.col("doc"), "left_anti")
+    return d.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
@@ -222,6 +214,6 @@ def op5_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark items stand in every document only nearly: their anchors do, no window does."""
     docs, items = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
-    d = proximity(docs, items, search(docs, items)[1])
+    d = proximity(docs, search(docs, items)[1])
     return d.select(F.col("id").alias("doc_id"), F.size("near_items").cast("long").alias("n_near"),
                     F.array_join("near_items", ",").alias("near_items"))

@@ -77,15 +77,15 @@ def test_edge_rows(spark):
 def test_proximity(spark):
     """Beginnings and neighbours against plain lists."""
     rnd = random.Random(4)
-    items = [(0, "a b c"), (1, "d e"), (2, "f")]
+    items = [(0, "a b c"), (1, "d e"), (2, "f"), (3, "a b c")]
     docs = [(i, " ".join(rnd.choices("abcdef", k=30))) for i in range(20)]
     df, it = frames(spark, docs, items)
-    places = P.anchors(df, P.item_texts(it)).cache()
-    got = {(r.doc, r.item, r.start): (r.hits, r.near) for r in P.beginnings(P.postings(df), places, slop=2).collect()}
+    places = P.anchors(df, P.distinct_windows(P.item_windows(it))).cache()
+    got = {(r.doc, r.window, r.start): (r.hits, r.near) for r in P.beginnings(P.postings(df), places, slop=2).collect()}
     keys = {r.doc_id: r.k for r in df.select("doc_id", P._key("doc_id").alias("k")).collect()}
     want, by = {}, {}
     for r in places.collect():
-        by.setdefault(r.item, []).append((r.place, r.term))
+        by.setdefault(r.window, []).append((r.place, r.term))
     for i, t in docs:
         for item, anchors in by.items():
             at = {}
@@ -142,3 +142,78 @@ def test_a_replaced_word_is_a_proximity_match(spark, tmp_path):
     near = {r.doc_id: (r.n_near, r.near_items) for r in rows}
     assert near[1] == near[4] == near[6] == near[7] == (0, "")
     assert near[2] == near[3] == near[5] == near[None] == (2, "5,9")
+
+
+def plain_near(docs, items, size=10, lists=P.LISTS, slop=P.SLOP):
+    """The definition, document by document: items with a window whose rarest places agree or come near, but no window."""
+    freq = {}
+    for _, t in docs:
+        for w in plain_words(t):
+            freq[w] = freq.get(w, 0) + 1
+    wins = {}
+    for i, t in items:
+        w = plain_words(t)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            wins.setdefault(tuple(w[k:k + size]), set()).add(str(i))
+    exact = {i: set(found) for i, _, _, found in plain_hits(docs, items, size)}
+    out = {}
+    for i, t in docs:
+        w, near = plain_words(t), set()
+        for g, ids in wins.items():
+            if all(x in freq for x in g):
+                at = {}
+                for place in sorted(range(len(g)), key=lambda k: (freq[g[k]], k))[:lists]:
+                    for k, x in enumerate(w):
+                        if x == g[place]:
+                            at.setdefault(k - place, set()).add(place)
+                order = sorted(at)
+                close = any(b - a <= slop and (at[a] - at[b] or at[b] - at[a]) for a, b in zip(order, order[1:]))
+                if close or any(len(p) >= min(len(g), lists) for p in at.values()):
+                    near |= ids
+        out[i] = sorted(near - exact[i])
+    return out
+
+
+def test_proximity_query_equals_plain(spark, tmp_path):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([2, 4, 10, 12, 15])))) for i in range(20)]
+    docs = []
+    for i in range(80):
+        w = rnd.choice(items)[1].split()
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(w))
+            w[k:k + 1] = rnd.choice([[], [w[k], "new"], ["other"]])
+        docs.append((i, " ".join(rnd.choices(vocab, k=rnd.randrange(20)) + w + rnd.choices(vocab, k=3))))
+    df, it = frames(spark, docs, items)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    it.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_near, r.near_items) for r in P.op5_phrase_proximity(spark, str(tmp_path)).collect()}
+    want = plain_near(docs, items)
+    assert got == {i: (len(v), ",".join(v)) for i, v in want.items()} and any(want.values())
+
+
+def test_templated_items_share_their_windows(spark):
+    """300 items of one template: the index and the matches grow with different windows, not with items."""
+    same = " ".join(f"t{k}" for k in range(14))
+    items = [(i, f"{same} own{i}") for i in range(300)]
+    docs = [(i, f"x{i} {same} y") for i in range(40)]
+    df, it = frames(spark, docs, items)
+    of_items = P.item_windows(it)
+    windows = P.distinct_windows(of_items)
+    assert (of_items.count(), windows.count()) == (1800, 5 + 300)
+    starts = spark.createDataFrame([(r.k, s, 10) for r in df.select(P._key("doc_id").alias("k")).collect() for s in range(1, 6)], "doc long, start int, n int")
+    assert P.matches(df, windows, starts).count() == 40 * 5
+    assert run(df, it) == plain_hits(docs, items)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three", "a", 1, 2, 3, 4), (2, "four", "b", 5, 6, 7, 8)],
+                               "doc_id long, text string, spans string, __doc int, __key int, key int, row int")
+    df = df.withColumn("__n", F.lit(9)).withColumn("items", F.lit("i")).withColumn("doc", F.lit("d"))
+    it = spark.createDataFrame([(1, "one two three", 1, 2)], "item_id long, text string, window int, id int")
+    out = P.decontaminate(df, it)
+    assert out.columns == df.columns and out.collect() == df.where("doc_id = 2").collect()
+    found = P.find_windows(df, P.search(df, it)[0])
+    assert found.columns == [*df.columns, "found"]
+    assert found.drop("found").orderBy("doc_id").collect() == df.orderBy("doc_id").collect()
