@@ -13,13 +13,16 @@ The file's name carries its partition and its place there, so that name order is
 files appear under their names when complete, so a task that runs twice leaves the same file.
 
 Defined results: NULL text is empty; every document ends with the end id; rows with a NULL id come
-first; rows of equal ids are ordered by their text's hash; an empty table writes no file.
+first; rows of equal ids are ordered by their text's hash; ids may have any type that can be ordered
+and cast from a string; a very long text gets a file of its own; an empty table writes no file; only
+the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, LongType
 from pyspark.sql.window import Window
 
 from millrace.llm.common import materialize, read_table, register, shared_path, shuffle_parts, texts
@@ -51,12 +55,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1 << 16)
+def _stays_letter(c: str) -> bool:
+    """Whether the normaliser leaves a letter last: some become a letter and a combining sign, which
+    the splitter takes for the beginning of the marks that follow."""
+    return unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] == "L"
+
+
 class WordEncoder:
     """Ids of a text, word by word: the vocabulary's normaliser turns white space into single spaces
     and its splitter drops them, so a text's ids are its words' ids in a row. Ids of the words used
     last are remembered, in two generations of at most ``cache_words`` each, as little-endian bytes.
     The vocabulary has small letters only, so words are looked up with A-Z lower-cased; a run of
-    ASCII marks after letters is split off, as the splitter does it."""
+    ASCII marks after letters is split off, as the splitter does it, where the letters end in one
+    after the normaliser too."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import os
@@ -103,7 +115,7 @@ class WordEncoder:
             else:
                 core = w.rstrip(_MARKS)
                 marks = w[len(core):]
-                alpha = core.isalpha() or (core and core.decode().isalpha())
+                alpha = core.isalpha() or (core and not core.isascii() and core.decode().isalpha() and _stays_letter(core.decode()[-1]))
                 if not alpha:
                     others.add(w)
                 elif not marks:
@@ -343,15 +355,21 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, id
             yield shard()
 
     # Ranges follow the ids alone; the hash only settles equal ids.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_type = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(shuffle_parts(spark), F.col("id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    if not isinstance(id_type, IntegralType):            # a file's header holds numbers or strings
+        rows = rows.withColumn("id", F.col("id").cast("string"))
     return materialize(rows.mapInArrow(write, "name string, docs long, tokens long"), "shard-list")
 
 
-def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, shards: DataFrame, id_type: DataType | None = None) -> DataFrame:
     """The documents in the files: id, start (ids of all documents before it), n_tokens, ids_crc32
-    (of the ids as little-endian 32-bit numbers). ``shards`` is the list that ``write_shards`` gave."""
+    (of the ids as little-endian 32-bit numbers). ``shards`` is the list that ``write_shards`` gave,
+    ``id_type`` the type of the documents' ids, long if not given."""
+    id_type = id_type or LongType()
+    number = isinstance(id_type, IntegralType)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -359,25 +377,30 @@ def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
                 all_ids = m.tokens().astype("<u4")
                 ends = [*m.starts[1:], m.n]
                 yield pa.RecordBatch.from_pydict({
-                    "name": pa.array([name] * len(ends), pa.string()), "id": pa.array(m.docs, pa.int64()),
+                    "name": pa.array([name] * len(ends), pa.string()), "id": pa.array(m.docs, pa.int64() if number else pa.string()),
                     "at": pa.array(m.starts, pa.int64()),
                     "n_tokens": pa.array([b - a for a, b in zip(m.starts, ends)], pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(all_ids[a:b].data) for a, b in zip(m.starts, ends)], pa.int64())})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    rows = files.mapInArrow(read, "name string, id long, at long, n_tokens long, ids_crc32 long")
-    # one row per file, each of up to two million ids
-    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
-    return rows.join(offsets, "name").select("id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.mapInArrow(read, f"name string, id {'long' if number else 'string'}, at long, n_tokens long, ids_crc32 long")
+    # a file's place: the ids of the ranges before its own (a row per range), and of its range's files before it
+    part = F.substring("name", 1, 6)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = shards.groupBy(part.alias("part")).agg(F.sum("tokens").alias("in_part"))
+    ranges = ranges.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy(part).orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    files = shards.select("name", part.alias("part"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("inner"))
+    offsets = files.join(ranges, "part").select("name", (F.col("base") + F.col("inner")).alias("offset"))
+    return rows.join(offsets, "name").select(F.col("id").cast(id_type).alias("id"), (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_corpus(docs: DataFrame, **kw) -> DataFrame:
     """Write ``docs`` as shards into the shared folder and read them back."""
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
-    return read_shards(spark, folder, write_shards(docs, folder, **kw))
+    return read_shards(spark, folder, write_shards(docs, folder, **kw), docs.schema[kw.get("id_col", "doc_id")].dataType)
 
 
 @register("op2_wavelet_tokens")

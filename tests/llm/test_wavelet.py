@@ -65,6 +65,27 @@ def test_repeated_and_null_ids(spark):
     assert got == [(None, 0, 2), (1, 2, 3), (1, 5, 3), (2, 8, 1)]
 
 
+def test_letters_that_the_normaliser_takes_apart():
+    """Capital Turkish, Devanagari and Hebrew letters before marks: one run of marks for the splitter."""
+    import random
+    rnd = random.Random(3)
+    letters = ["İ", "I", "\u0958", "\u095f", "\ufb1f", "\ufb4b", "ß", "ẞ", "Σ", "é", "É", "a", "Z", "ǰ", "ﬁ", "क", "各", "\u1fb7"]
+    marks = [".", "!", ",", "?", "'", "\"", "-", "!!", ".)", "'s", ""]
+    texts = ["HABER GELDİ.", "DEVLETİ, kurdu", "\u0958.", "\ufb1f!", "İ İ. İİ!? İ'"]
+    texts += [" ".join("".join(rnd.choices(letters, k=rnd.randrange(1, 5))) + rnd.choice(marks) for _ in range(rnd.randrange(1, 6))) for _ in range(4000)]
+    e = X.WordEncoder(X.default_vocabulary())
+    got = [x for i in range(0, len(texts), 64) for x in e.batch([t.encode() for t in texts[i:i + 64]])]
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, e.dtype).tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, X.END_ID], repr(t)
+
+
+def test_string_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([("b", "x y", 1, 2), ("a10", "z", 1, 2), (None, "q", 1, 2), ("a9", "w " * 50, 1, 2)],
+                               "doc_id string, text string, name int, id int")
+    got = X.encode_corpus(df, shard_tokens=3).collect()
+    assert [(r.id, r.start) for r in sorted(got, key=lambda r: r.start)] == [(None, 0), ("a10", 2), ("a9", 4), ("b", 55)]
+
+
 def test_little_memory_for_words():
     """Generations that turn over with every batch give the same ids."""
     texts = [f"w{i % 7} Word{i}!! same same {'x' * (i % 5)}é." for i in range(200)]
