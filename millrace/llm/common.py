@@ -123,13 +123,14 @@ def texts(col: pa.Array) -> Iterator[bytes]:
             yield x.as_py() or b""
 
 
-def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int, parts: int = 16) -> DataFrame:
-    """(id_col, class_col) of the ``per_class`` ids of each class that come first by hash. The first
-    of each of ``parts`` parts of a class are found before the class meets in one task. The list is
-    written, so that a join with it knows how short it is."""
-    ids = rows.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
+def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int, parts: int = 128) -> DataFrame:
+    """(id_col, class_col) of the ``per_class`` ids of each class that come first by hash, however
+    often an id repeats; an id of several classes counts for the first. The first of each of
+    ``parts`` parts of a class are found before the class meets in one task. The list is written, so
+    that a join with it knows how short it is."""
+    ids = rows.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).groupBy(F.col(id_col)).agg(F.min(class_col).alias(class_col))
     ids = ids.withColumn("_h", F.xxhash64(id_col)).withColumn("_part", F.pmod("_h", F.lit(parts)))
     for by in ((class_col, "_part"), (class_col,)):
         order = Window.partitionBy(*by).orderBy("_h", id_col)
-        ids = ids.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= per_class)
-    return materialize(ids.groupBy(id_col).agg(F.min(class_col).alias(class_col)), "sample")
+        ids = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
+    return materialize(ids.select(id_col, class_col), "sample")

@@ -1,8 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 Each word stands for itself and its character n-grams (3 to 5, with the word's ends marked), each
-hashed to one of ``BUCKETS`` learned vectors; a word that repeats the one before it adds the word
-bigram "same word again". A document is the average of all its vectors, a softmax layer gives the
+hashed to one of ``BUCKETS`` learned vectors. A document is the average of all its vectors, a softmax layer gives the
 classes, and both are trained together by stochastic gradient descent in numpy on at most
 ``SAMPLE`` labelled texts per class (those that come first by the id's hash).
 
@@ -10,13 +9,15 @@ The score of a text is exact for its whole length: as averaging and the output l
 word adds a fixed amount to the logit, which tasks look up by word.
 
 Defined results: NULL and empty texts get the score of the zero vector (the output layer's bias);
-without labels of both classes every score is 0.5; rows with equal text get equal scores.
+without labels of both classes every score is 0.5; rows with equal text get equal scores; an id that
+repeats or has labels of both classes is one text (the least) of the lower class; a score of exactly
+0.5 predicts 1; texts of any length count whole; other columns may have any name.
 """
 
 from __future__ import annotations
 
-import operator
 import uuid
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -38,20 +39,13 @@ RATE = 2.0
 SEED = 11
 #: words whose share of the logit a task remembers
 CACHE_WORDS = 1 << 18
-_SAME = 0
-#: a repeated word counts as much as the features of a usual word
-SAME_WEIGHT = 16
 
 
 def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and its n-grams; bucket 0 is kept for a repeated word."""
+    """Buckets of a word and its n-grams."""
     mark = b"<" + word + b">"
     grams = [mark, *(mark[i:i + n] for n in GRAMS for i in range(len(mark) - n + 1) if n < len(mark))]
-    return [1 + crc32(g) % (BUCKETS - 1) for g in grams]
-
-
-def repeats(words: list[bytes]) -> int:
-    return sum(map(operator.eq, words, words[1:]))
+    return [crc32(g) % BUCKETS for g in grams]
 
 
 def document_features(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +56,6 @@ def document_features(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.n
     for w in set(words).difference(known):
         known[w] = np.array(word_features(w), np.int32)
     n = np.bincount(np.concatenate([known[w] for w in words]), minlength=BUCKETS)
-    n[_SAME] += repeats(words) * SAME_WEIGHT
     at = np.flatnonzero(n).astype(np.int32)
     return at, (n[at] / n.sum()).astype(np.float32)
 
@@ -98,13 +91,13 @@ _IN_USE: dict[str, _Words] = {}
 class Embeddings:
     """The fitted model: a vector per bucket and the output layer."""
 
-    def __init__(self, rows: list[tuple[bytes, int]], epochs: int = EPOCHS):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS):
+        """``rows``: (buckets, shares, label) of the sample."""
         rnd = np.random.default_rng(SEED)
         vectors = rnd.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
         out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-        known: dict[bytes, np.ndarray] = {}
-        found = [document_features(t, known) for t, _ in rows]
-        y = np.array([label for _, label in rows], np.int64)
+        found = [(at, share) for at, share, _ in rows]
+        y = np.array([label for *_, label in rows], np.int64)
         batches = max(1, -(-len(rows) // BATCH))
         epochs = max(epochs, -(-LEAST_STEPS // batches))
         steps, done = epochs * batches, 0
@@ -146,8 +139,7 @@ class Embeddings:
             known.learn(split)
             get = known.young.__getitem__
             for words in split:
-                again = repeats(words) * SAME_WEIGHT
-                z = sum(map(get, words), complex(again * self.amounts[_SAME], again))
+                z = sum(map(get, words), 0j)
                 out.append(float(1 / (1 + np.exp(-(z.real / z.imag if z.imag else 0.0) - self.bias))))
         return out
 
@@ -157,9 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """A model from at most ``sample`` labelled texts per class; ``labels`` has id and label."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     picked = bounded_sample(marked, "label", "id", sample)
-    rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "id")
-            .groupBy("id", "label").agg(F.min("text").alias("text")).collect())
-    return Embeddings([(r.text.encode(), r.label) for r in sorted(rows, key=lambda r: str(r.id))])
+    rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(picked, "id")
+            .groupBy("id", "label").agg(F.min("text").alias("text")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            out = [document_features(t, known) for t in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([at.tobytes() for at, _ in out], pa.binary()),
+                                              pa.array([share.tobytes() for _, share in out], pa.binary())], ["id", "label", "at", "share"])
+    found = rows.select(F.col("id").cast("string").alias("id"), "label", "text").mapInArrow(counted, "id string, label int, at binary, share binary").collect()
+    return Embeddings([(np.frombuffer(r.at, np.int32), np.frombuffer(r.share, np.float32), r.label) for r in sorted(found, key=lambda r: r.id)])
 
 
 def score(text: Column, model: Embeddings) -> Column:

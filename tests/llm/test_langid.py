@@ -1,5 +1,7 @@
 """Nearest-centroid language ID: accuracy on held-out rows, brute-force vectors, edge rows."""
 
+import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -33,6 +35,54 @@ def test_counts_equal_plain_ngrams():
     assert set(np.flatnonzero(a)) == set(np.flatnonzero(b))
 
 
+def plain_vector(text, idf=None):
+    """Gram by gram: bucket -> log(1 + count) * idf, of length one."""
+    line = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+    n = Counter()
+    for size in L.ORDERS:
+        for i in range(len(line) - size + 1):
+            code = int.from_bytes(line[i:i + size], "big")
+            n[(code * 0x9E3779B1 + (size * 0x85EBCA6B & 0xFFFFFFFF) & 0xFFFFFFFF) >> 18] += 1
+    v = {b: math.log1p(k) * (1 if idf is None else idf[b]) for b, k in n.items()}
+    length = math.sqrt(sum(x * x for x in v.values()))
+    return {b: x / length for b, x in v.items()}
+
+
+def test_query_equals_plain(spark, sf_dir):
+    """Frequencies, limits and predictions from all rows, one text at a time; only the centroids are taken over."""
+    docs = read_table(spark, sf_dir, "documents")
+    train = [(r.lang, r.text) for r in L.training_rows(docs).collect() if r.lang is not None and r.text is not None and any(c.isalpha() for c in r.text)]
+    model = L.fit(L.training_rows(docs))
+    seen = Counter(b for _, t in train for b in plain_vector(t))
+    idf = [math.log((1 + len(train)) / (1 + seen[b])) + 1 for b in range(L.BUCKETS)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    cos = lambda v: [sum(x * c[b] for b, x in v.items()) for c in model.centroids.tolist()]
+    by = {}
+    for lang, text in train:
+        v = plain_vector(text, idf)
+        own = max(c for c, k in zip(cos(v), model.owner) if model.langs[k] == lang)
+        by.setdefault(len(v).bit_length(), []).append(own)
+    for level, own in by.items():
+        assert abs(model.least[level] - L.SHARE * sorted(own)[len(own) // L.RARE]) <= L.SHARE * 2 / 1000
+    got = {r.doc_id: r for r in L.op7_centroid_langid(spark, sf_dir).collect()}
+    for r in docs.collect():
+        have = got[r.doc_id]
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (have.lang_pred, have.score) == ("und", 0.0)
+            continue
+        c = cos(plain_vector(r.text, idf))
+        assert abs(have.score - max(c)) < 1e-4
+        assert have.lang_pred == model.langs[model.owner[int(np.argmax(c))]] or sorted(c)[-1] - sorted(c)[-2] < 1e-5
+
+
+def test_limits_do_not_follow_the_sample(spark):
+    docs = L.training_rows(read_table(spark, MEDIUM, "documents"))
+    a, b = L.fit(docs), L.fit(docs, sample=50)
+    assert (a.idf == b.idf).all()
+    assert not any(m.predict(r.text)[2] for m in (a, b) for r in docs.collect() if len(r.text or "") >= 40)
+
+
 def test_rejects_far_and_empty_texts(spark):
     model = L.fit(L.training_rows(read_table(spark, MEDIUM, "documents")))
     assert model.predict(None) == model.predict("") == model.predict(" 12 $%") == ("und", 0.0, True)
