@@ -1,33 +1,44 @@
 """Document fingerprints from closed syncmers (DataFrame functions only).
 
-A text is read as a sequence of pieces: its words, longer ones cut into ``PIECE`` characters. A k-mer
-is ``K`` pieces in a row, an inner substring two pieces in a row; a k-mer is an anchor if its
-smallest inner substring (by XXH64) is its first or its last one. Whether a k-mer is an anchor
-depends on nothing outside it, so an edit changes the anchors that overlap it and no others, and
-among any K - 1 neighbouring k-mers there is an anchor. The first K - 1 pieces of a text have no
-full k-mer that ends with them; what precedes them stands for it and is always an anchor, so short
-texts have fingerprints too.
-
-The fingerprint lists the anchors' hashes in text order, eight hex digits each; the likeness of two
-is twice the shared anchors over all anchors (Dice, each hash once).
+A text is read as a sequence of pieces: its words, and the single characters of runs of more than
+``WORD`` without white space, so that an edit changes no piece but its own in prose and in scripts
+without spaces alike; a text of fewer than ``K`` words is read character by character. A k-mer is ``K``
+pieces in a row, an inner substring two pieces in a row; a k-mer is an anchor if its smallest inner
+substring (by XXH64) is its first or its last one. Whether a k-mer is an anchor depends on nothing
+outside it, so an edit changes the anchors that overlap it and no others, and among any K - 1
+neighbouring k-mers there is an anchor. The first K - 1 pieces of a text have no full k-mer that ends
+with them; what precedes them stands for it and is always an anchor, so short texts have fingerprints too.
+
+The fingerprint lists the anchors' hashes in text order, eight hex digits each. Two fingerprints are
+matched by position: hashes that both have, where they first stand in either, in the order of the one
+text; a match counts if it lies as far shifted as the match before or after it (or is the only one).
+Their likeness is twice the matches that count over all anchors (each hash once).
 
 Defined results: NULL text is empty; an empty text has an empty fingerprint; two empty fingerprints
 are alike (1), an empty and another one are not (0); documents of equal (or NULL) ids follow each
-other by their text's hash, NULL ids first; a single document is its own successor.
+other by their text's hash, NULL ids first; a single document is its own successor; ids of any type
+that can be ordered; very long texts are fingerprinted whole; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
 from millrace.llm.common import read_table, register, shuffle_parts
 
 K = 8
-PIECE = 8
-#: ranges of ids per shuffle partition
+#: longest run without white space that is one piece
+WORD = 24
+#: ranges of documents per shuffle partition; places per range, and in all, that are looked at to cut them
 RANGES = 8
+_PER_RANGE = 16
+_PLACES = 200_000
 
 
 def _let(value: Column, body) -> Column:
@@ -51,7 +62,9 @@ def anchors(text: Column, k: int = K) -> Column:
             i.alias("pos"), F.xxhash64(F.slice(t, F.greatest(i - (k - 2), F.lit(1)), F.least(i + 1, F.lit(k)))).bitwiseAND(0xFFFFFFFF).alias("hash")))
         return F.when(n > 0, found).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0))
+    ink, whole = r"[^\x20\x09-\x0D]", F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(whole, F.lit(f"(?<!{ink}){ink}{{1,{WORD}}}(?!{ink})|{ink}"), F.lit(0))
+    pieces = _let(words, lambda w: F.when(F.size(w) >= k, w).otherwise(F.regexp_extract_all(whole, F.lit(ink), F.lit(0))))
     return _let(F.transform(pieces, lambda p: F.xxhash64(p)), of)
 
 
@@ -60,10 +73,29 @@ def digits(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
+def matches(a: Column, b: Column) -> Column:
+    """array<struct<at, shift>> of two arrays of anchors, by place in the first: hashes that both
+    have, where each first stands."""
+    mark = lambda x, side: F.struct(x["hash"].alias("h"), F.lit(side).alias("side"), (x["pos"] if side else -x["pos"]).alias("p"))
+    # sorted by hash, the first place in the second text follows the first place in the first one
+    line = F.array_sort(F.concat(F.transform(a, lambda x: mark(x, 0)), F.transform(b, lambda x: mark(x, 1))))
+
+    def met(s: Column) -> Column:
+        last = lambda i: F.get(s, i - 1)
+        pairs = F.transform(s, lambda x, i: F.when(
+            (x["side"] == 1) & (last(i)["side"] == 0) & (last(i)["h"] == x["h"]), F.struct((-last(i)["p"]).alias("at"), (x["p"] + last(i)["p"]).alias("shift"))))
+        return F.array_sort(F.array_compact(pairs))
+    return _let(line, met)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Dice likeness of two arrays of hashes, 0 to 1."""
-    total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+    """Likeness of two arrays of anchors, 0 to 1."""
+    total = F.size(F.array_distinct(a["hash"])) + F.size(F.array_distinct(b["hash"]))
+
+    def counted(m: Column) -> Column:
+        beside = lambda x, i: F.coalesce(F.get(m, i)["shift"] == x["shift"], F.lit(False))
+        return F.when(F.size(m) == 1, 1).otherwise(F.size(F.filter(m, lambda x, i: beside(x, i - 1) | beside(x, i + 1))))
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * _let(matches(a, b), counted) / total)
 
 
 def aligned(pairs: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:
@@ -78,42 +110,55 @@ def aligned(pairs: DataFrame, left: str, right: str, keys: list[str]) -> DataFra
     return best.select(*keys, "m.shift", "m.anchors")
 
 
-def _bucket(key: Column, bounds: list[int], step: int = 64) -> Column:
-    """How many of the sorted ``bounds`` are at most ``key``: first by every 64th, then among 64."""
+def _constant(rows: list[list], kind: StructType) -> Column:
+    """An array of structs as a constant."""
+    names = kind.fieldNames()
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), ArrayType(kind))
+
+
+def _bucket(place: Column, bounds: list[list], kind: StructType) -> Column:
+    """How many of the sorted ``bounds`` are at most ``place``: first by every some, then among these."""
     if not bounds:
         return F.lit(0)
-    longs = lambda v: F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else "shiftleft(1L, 63)" for x in v) + ")")
-    coarse = F.size(F.filter(longs(bounds[::step]), lambda b: b <= key))
-    fine = F.filter(F.slice(longs(bounds), F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step)), lambda b: b <= key)
-    return F.greatest(coarse - 1, F.lit(0)) * step + F.size(fine)
+    step = max(1, math.isqrt(len(bounds)))
+    coarse = lambda: F.greatest(F.size(F.filter(_constant(bounds[::step], kind), lambda b: b <= place)) - 1, F.lit(0)) * step
+    return _let(coarse(), lambda c: c + F.size(F.filter(F.slice(_constant(bounds, kind), c + 1, F.lit(step)), lambda b: b <= place)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add=None) -> DataFrame:
     """(id, text, next) and what ``add(text)`` names (dict name -> column; next_<name> too), where
     ``next`` is the text of the document that follows by ascending id, after the last the first.
 
-    Ids are cut into ranges at values taken from the ids; the texts are shuffled once, by range, and
-    the first document of each range also goes along to the end of the range before it."""
-    low = -(1 << 63)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
+    The documents' places, (has an id, id as text or number, text's hash), are cut into ranges at
+    places of some documents, so documents without ids or of one id are cut too. The texts are shuffled
+    once, by range, and the first document of each range also goes along to the end of the range before
+    it. Rows of one id and text are one place."""
+    id_type = docs.schema[id_col].dataType
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn(
+        "place", F.struct(F.col("id").isNotNull().cast("int").alias("has"), F.col("id").alias("id"), F.xxhash64("text").alias("hash")))
+    kind = StructType([StructField("has", rows.schema["place"].dataType["has"].dataType), StructField("id", id_type),
+                       StructField("hash", rows.schema["place"].dataType["hash"].dataType)])
     n = shuffle_parts(docs.sparkSession) * RANGES
-    cuts = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("cuts")).first()
-    bounds = sorted({c for c in cuts.cuts or [] if c > cuts.least})
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("range", _bucket(F.col("key"), bounds))
-    starts_at = F.when(F.col("key") == F.lit(cuts.least), F.lit(len(bounds)))
-    if bounds:
-        at = F.get(F.expr("array(" + ",".join(f"{b}L" for b in bounds) + ")"), F.col("range") - 1)
-        starts_at = starts_at.when((F.col("range") > 0) & (F.col("key") == at), F.col("range") - 1)
+    some = rows.select("place").orderBy(F.xxhash64("place"), "place").limit(min(n * _PER_RANGE, _PLACES)).select("place").distinct()
+    some = [r[0] for r in some.select(F.to_json("place", {"ignoreNullFields": "false"}).alias("p")).orderBy(F.from_json("p", kind)).collect()]
+    least = rows.agg(F.to_json(F.min("place"), {"ignoreNullFields": "false"})).first()[0]
+    values = lambda x: [json.loads(x)[name] for name in kind.fieldNames()]
+    bounds = [values(x) for x in some[_PER_RANGE::_PER_RANGE] if x != least]
+    rows = rows.withColumn("range", _bucket(F.col("place"), bounds, kind))
+    first = F.get(_constant(bounds, kind), F.col("range") - 1) if bounds else F.lit(None)
+    starts_at = F.when(F.col("place") == (_constant([values(least)], kind)[0] if least else F.lit(None)), F.lit(len(bounds))).when(
+        (F.col("range") > 0) & (F.col("place") == first), F.col("range") - 1) if bounds else F.when(
+        F.col("place") == (_constant([values(least)], kind)[0] if least else F.lit(None)), F.lit(0))
     rows = rows.withColumn("to", F.array_compact(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("extra")),
                            F.when(starts_at.isNotNull(), F.struct(starts_at.alias("range"), F.lit(True).alias("extra"))))))
-    rows = rows.select("id", "key", "text", F.explode("to").alias("to")).select("id", "key", "text", "to.range", "to.extra")
+    rows = rows.select("place", "text", F.explode("to").alias("to")).select("place", "text", "to.range", "to.extra")
     rows = rows.repartition("range")
     for name, column in (add(F.col("text")) if add else {}).items():
         rows = rows.withColumn(name, column)
-    w = Window.partitionBy("range").orderBy("extra", "key", F.xxhash64("text"))
-    names = [c for c in rows.columns if c not in ("id", "key", "text", "range", "extra")]
-    rows = rows.select("id", "text", "extra", *names, F.lead("text").over(w).alias("next"), *[F.lead(c).over(w).alias(f"next_{c}") for c in names])
+    w = Window.partitionBy("range").orderBy("extra", "place")
+    names = [c for c in rows.columns if c not in ("place", "text", "range", "extra")]
+    rows = rows.select(F.col("place.id").alias("id"), "text", "extra", *names, F.lead("text").over(w).alias("next"), *[F.lead(c).over(w).alias(f"next_{c}") for c in names])
     return rows.where(~F.col("extra")).drop("extra")
 
 
@@ -126,10 +171,10 @@ def replace_tail(text: Column, following: Column) -> Column:
 @register("op3_closed_syncmers")
 def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike they and the next document's are."""
-    d = with_next(read_table(spark, sf_dir, "documents"), add=lambda t: {"fp": anchors(t)["hash"]})
+    d = with_next(read_table(spark, sf_dir, "documents"), add=lambda t: {"fp": anchors(t)})
     d = d.withColumn("edited", replace_tail(F.col("text"), F.col("next")))
     d = d.select(F.col("id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"),
-                 F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", anchors(F.col("edited"))["hash"].alias("edited_fp"))
-    return d.select("doc_id", "n_chars", "edited_sha256", digits(F.col("fp")).alias("fingerprint"),
-                    digits(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+                 F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", anchors(F.col("edited")).alias("edited_fp"))
+    return d.select("doc_id", "n_chars", "edited_sha256", digits(F.col("fp.hash")).alias("fingerprint"),
+                    digits(F.col("edited_fp.hash")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
                     likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
