@@ -7,7 +7,7 @@ the total budget, the sum of all sizes.
 
 Running sums never put a source into one task: rows are cut into blocks (a prefix of the shuffle
 key within a source, a longer one where an id has many rows; a slice of virtual time in the merged queue, in which every source sends its
-target's share, so slices hold about as many words each), block totals give each block's offset,
+target's share, so slices hold about as many words each), block totals, in two levels, give each block's offset,
 and a window adds up within a block. Rows of the same id and text are one row with a count until they
 enter the merged queue.
 
@@ -31,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 17
 ROWS_PER_BLOCK = 2000
+#: 16 to this power blocks or slices are added up at a time
+_FEW_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +71,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
                     F.least(F.col("full").cast("double"), first["level"] * F.col("weight")).alias("target"))
 
 
+def _offsets(totals: DataFrame, by: list[str], order: str, group: Column) -> DataFrame:
+    """``totals(*by, order, s)`` -> (*by, order, offset: the sum of ``s`` before it), in two levels: the
+    sums of ``group``, which follows the order, and within each group the rows before."""
+    totals = totals.withColumn("group", group)
+    outer, inner = Window.partitionBy(*by).orderBy("group"), Window.partitionBy(*by, "group").orderBy(order)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy(*by, "group").agg(F.sum("s").alias("all")).select(*by, "group", before("all", outer).alias("base"))
+    rows = totals.select(*by, "group", order, before("s", inner).alias("offset")).join(groups, [*by, "group"])
+    return rows.select(*by, order, (F.col("base") + F.col("offset")).alias("offset"))
+
+
 def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
           id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The mix as (queue, targets): ``queue`` has a row per copy that the mix takes (flow, place, nth
@@ -85,11 +98,10 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     # a cell with an id of many rows is cut by the text's hash
     large = rows.groupBy("flow", "cell").count().where(F.col("count") > 4 * ROWS_PER_BLOCK)
     large = materialize(large.select("flow", "cell", F.lit(True).alias("large")), "large")
-    rows = rows.join(F.broadcast(large), ["flow", "cell"], "left")
+    rows = rows.join(large, ["flow", "cell"], "left")
     rows = rows.withColumn("block", F.when(F.col("large"), F.substring("place", 1, 32 + digits)).otherwise(F.col("cell")))
     blocks = rows.groupBy("flow", "block").agg(F.sum(F.col("size") * F.col("same")).alias("s"))
-    before = Window.partitionBy("flow").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("flow", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    blocks = _offsets(blocks, ["flow"], "block", F.substring("block", 1, max(0, digits - _FEW_DIGITS)))
     within = Window.partitionBy("flow", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("size") * F.col("same")).over(within), F.lit(0))
     rows = rows.join(blocks, ["flow", "block"]).withColumn("cum", F.col("offset") + before)
@@ -109,8 +121,7 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     slices = max(1, n // ROWS_PER_BLOCK)
     rows = rows.withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(2.0)) * slices))
     totals = rows.groupBy("slice").agg(F.sum("size").alias("s"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("slice", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    totals = _offsets(totals, [], "slice", F.floor(F.col("slice") / 16 ** _FEW_DIGITS))
     within = Window.partitionBy("slice").orderBy("finish", "flow", "copy", "place", "nth").rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.join(totals, "slice").withColumn("mix_end", F.col("offset") + F.sum("size").over(within))
     budget = targets.agg(F.sum("source_size").alias("budget"))
@@ -152,7 +163,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     parts = materialize(parts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "parts")
     rank = F.row_number().over(Window.partitionBy("__flow", "__part").orderBy("__at"))
     nth = F.col("__before") + rank
-    edge = edge.join(F.broadcast(parts), ["__flow", "__part"]).withColumn("__nth", nth)
+    edge = edge.join(parts, ["__flow", "__part"]).withColumn("__nth", nth)
     return result(d.where(~tied), place <= F.col("last.place")).unionByName(result(edge, F.col("__nth") <= F.col("last.nth")))
 
 
