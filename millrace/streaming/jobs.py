@@ -4,17 +4,17 @@ The reference only polls (its dashboard reloads every five minutes); a Spark
 user writes the same rules as streaming queries:
 
 * J1 daily sales: event-time tumbling windows with a watermark;
-* J2/J3 stock ledger and alerts: every micro-batch goes through the batch rule
-  (I9 or I8), starting from the balances that the batch before it left;
+* J2/J3 stock ledger and alerts: keyed state of Spark's state store (``ledger``);
 * J4 activity feed: every micro-batch is merged into a small top-k;
 * J5 duplicate status events: ``dropDuplicatesWithinWatermark``.
 
 A job lives in a folder: ``job`` names it (a path, or a name below the shared
 folder of ``spark.checkpoint.dir``). Run again with the same ``job``, it resumes
-where it stopped; without one, a run gets a fresh folder. What a job carries
-from batch to batch is a numbered snapshot in that folder: batch n reads
-snapshot n - 1 and fails if it is missing, writes snapshot n (again, if the
-batch is repeated), and removes those that no repetition can need.
+where it stopped; without one, a run gets a fresh folder. Windows, balances and
+seen events are Spark's own state. Only the feed's thirteen rows are a numbered
+snapshot: batch n reads snapshot n - 1 and fails if it is missing, writes
+snapshot n (again, if the batch is repeated), and removes those that no
+repetition can need.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.functions.scalars import label, msum
-from millrace.operators.rules import final_state, material_adjust_replay, material_ledger
-from millrace.plans.scan import previous_value
-from millrace.session import ensure_checkpoint_dir
+from millrace.session import ensure_checkpoint_dir, ship_package
 from millrace.sources.bindings import BINDINGS
 from millrace.sources.tables import SCHEMAS, table_path
+from millrace.streaming.ledger import LEDGER_SCHEMA, ledger_stream, use_state_store
 
 
 def _path(spark: SparkSession, path: str):
@@ -114,8 +114,9 @@ def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode
                     max_files: int | None = None, job: str | None = None) -> DataFrame:
     """Run J1 to the end of the available data and read the result.
 
-    ``mode='update'`` emits every window as it changes (the snapshot keeps the
-    latest row per day); ``mode='append'`` emits a window once, after the
+    ``mode='update'`` emits every window as it changes into a folder of the batch's
+    number (a repeated batch replaces it), and the newest row of a day counts, so a
+    batch writes its own days only; ``mode='append'`` emits a window once, after the
     watermark passes its end, into a plain file sink - so the newest windows,
     still open when the data ends, are not in the output yet."""
     d = run_dir(spark, "j1", job)
@@ -125,56 +126,28 @@ def run_daily_sales(spark: SparkSession, sf_dir: str, delay: str = "1 day", mode
             .format("parquet").option("path", f"{d}/out").start().awaitTermination()
         return spark.read.parquet(f"{d}/out")
 
-    def merge(prev: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
-        return batch if prev is None else batch.unionByName(prev.join(batch, "day", "left_anti"))
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{d}/days/batch={n}")
 
-    _run(stream, d, snapshot_sink(spark, f"{d}/days", merge))
-    return read_snapshot(spark, f"{d}/days")
+    _run(stream, d, write)
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{d}/days")
+    newest = rows.groupBy("day").agg(F.max_by(F.struct("orders", "revenue"), "batch").alias("r"))
+    return newest.select("day", "r.orders", "r.revenue")
 
 
 # ----------------------------------------------------------------------------- J2 / J3
-def ledger_batch(opening: DataFrame, moves: DataFrame, materials: DataFrame, mode: str = "reject") -> DataFrame:
-    """J2 for one batch of moves: the batch rule from ``opening(id, quantity)`` - ``mode='reject'``
-    is the manual adjustment rule (I9), ``'clamp'`` the production-use rule (I8) - with J3's
-    ``alert``: ``out`` when stock reaches 0, ``low`` when it crosses down through the minimum that
-    the material has now."""
-    if mode == "clamp":
-        rows = material_ledger(opening, moves).select("id", "material_id", F.lit(True).alias("accepted"),
-                                                      F.lit(None).cast("string").alias("reason"), "balance")
-    else:
-        rows = material_adjust_replay(opening, moves)
-    rows = rows.join(moves.select("id", "created_at"), "id")
-    rows = previous_value(rows, ["material_id"], ["created_at", "id"], "balance", "_prev")
-    rows = rows.join(opening.select(F.col("id").alias("material_id"), F.col("quantity").alias("_open")), "material_id", "left") \
-        .join(materials.select(F.col("id").alias("material_id"), "min_quantity"), "material_id", "left")
-    prev = F.when(F.col("_is_first"), F.coalesce("_open", F.lit(0.0))).otherwise(F.col("_prev"))
-    alert = F.when((F.col("balance") == 0) & (prev != 0), "out").when(
-        (F.col("balance") <= F.col("min_quantity")) & (F.col("min_quantity") < prev), "low")
-    return rows.select("id", "material_id", "accepted", "reason", "balance", alert.alias("alert"))
-
-
 def run_material_ledger(spark: SparkSession, sf_dir: str, initial: DataFrame, mode: str = "reject",
                         max_files: int | None = None, job: str | None = None) -> DataFrame:
-    """Run J2 over the material-log stream and read back all emitted rows. The snapshot holds every
-    material's balance; a batch's rows are written to a folder of its number, so a repeated batch
-    replaces them."""
+    """Run J2 over the material-log stream and read back all emitted rows: ``mode='reject'`` is the
+    manual adjustment rule (I9), ``'clamp'`` the production-use rule (I8). Balances are the stream's
+    keyed state, so a batch costs what its materials cost; the file sink takes each batch once."""
+    ship_package(spark)
+    use_state_store(spark)
     d = run_dir(spark, "j2", job)
-
-    def merge(prev: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
-        opening = initial.select("id", F.col("quantity").cast("double").alias("quantity"))
-        if prev is not None:
-            opening = opening.join(prev.select("id", F.col("quantity").alias("_q"), F.lit(True).alias("_kept")), "id", "left").select(
-                "id", F.when(F.col("_kept"), F.col("_q")).otherwise(F.col("quantity")).alias("quantity"))
-        out = f"{d}/out/batch={n}"
-        ledger_batch(opening, batch, initial, mode).write.mode("overwrite").parquet(out)
-        # the last row in order of time decides, not the one with the largest id
-        rows = batch.sparkSession.read.parquet(out).join(batch.select("id", "created_at"), "id")
-        last = final_state(rows.withColumn("_at", F.struct("created_at", "id")), "material_id", "_at")
-        return opening.join(last.select(F.col("material_id").alias("id"), "balance"), "id", "left").select(
-            "id", F.coalesce("balance", "quantity").alias("quantity"))
-
-    _run(stream_binding(spark, sf_dir, "material_logs", max_files), d, snapshot_sink(spark, f"{d}/stock", merge))
-    return spark.read.parquet(f"{d}/out").drop("batch")
+    rows = ledger_stream(stream_binding(spark, sf_dir, "material_logs", max_files), initial, mode)
+    rows.writeStream.option("checkpointLocation", f"{d}/chk").format("parquet").option("path", f"{d}/out").outputMode("append") \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{d}/out")
 
 
 def stock_alerts(ledger_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 import pytest
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from millrace.operators import reports as R
 from millrace.operators import rules as I
 from millrace.operators.feeds import activity_feed
+from millrace.session import ship_package
 from millrace.sources.bindings import Tables
 from millrace.sources.tables import load_table
 from millrace.streaming import jobs as J
+from millrace.streaming.ledger import ledger_stream, use_state_store
 
 
 def _append(spark, sf_dir, d, name, cond):
@@ -33,14 +36,56 @@ def test_ledger_resumes_where_it_stopped(spark, sf_dir):
     assert J.run_material_ledger(spark, d, t.raw_materials, "reject", job=job).count() == len(want)  # nothing new: nothing changes
 
 
-def test_ledger_uses_the_minimum_of_now(spark):
-    ts = dt.datetime(2024, 1, 1)
-    moves = spark.createDataFrame([(1, 7, "out", 4.0, ts), (2, 8, "in", 1.0, ts)],
-                                  "id long, material_id long, type string, quantity double, created_at timestamp_ntz")
-    opening = spark.createDataFrame([(7, 10.0)], "id long, quantity double")
-    alerts = lambda m: {r.id: r.alert for r in J.ledger_batch(opening, moves, spark.createDataFrame([(7, m)], "id long, min_quantity double")).collect()}
-    assert alerts(6.0) == {1: "low", 2: None}
-    assert alerts(5.0) == {1: None, 2: None}
+def _moves(spark, folder, rows):
+    """One more file of moves."""
+    df = spark.createDataFrame(rows, "id long, material_id long, type string, quantity double, created_at timestamp_ntz")
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def _ledger(spark, folder, job, materials, mode="reject"):
+    """The job of ``run_material_ledger`` over a folder of plain moves."""
+    use_state_store(spark)
+    stream = spark.readStream.schema("id long, material_id long, type string, quantity double, created_at timestamp_ntz").parquet(folder)
+    q = ledger_stream(stream, materials, mode).writeStream.option("checkpointLocation", f"{job}/chk").format("parquet") \
+        .option("path", f"{job}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = {r.id: (r.material_id, r.accepted, r.reason, r.balance, r.alert) for r in spark.read.parquet(f"{job}/out").collect()}
+    state = sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"])
+    return rows, state
+
+
+@pytest.mark.parametrize("mode", ["reject", "clamp"])
+def test_ledger_state_over_batches(spark, mode):
+    """Rules, alerts, the minimum of the batch's time, unknown and NULL materials; only touched keys are written."""
+    ship_package(spark)
+    d, job = tempfile.mkdtemp(prefix="j2-", dir="/tmp"), tempfile.mkdtemp(prefix="job-", dir="/tmp")
+    rnd = random.Random(6)
+    opening = {k: rnd.randrange(20) for k in range(40)}
+    held, seen = dict(opening), 0
+    for n, keys in enumerate([range(40), [3], [3, 5, 99, None]]):
+        minimum = {k: 4.0 if n else None for k in opening}
+        rows, want = [], {}
+        for k in keys:
+            for j in range(6):
+                seen += 1
+                rows.append((seen, k, rnd.choice(["in", "out", "out", "use"]), rnd.choice([1.0, 2.5, 7.0, 0.0, -1.0, None]), dt.datetime(2024, 1, 1 + n, 12 - j)))
+        for i, k, kind, q, _ in sorted(rows, key=lambda r: (r[4], r[0])):
+            b, d_ = held.get(k, 0), (q or 0.0) * (1 if kind == "in" else -1)
+            if mode == "clamp":
+                a, reason = (b + d_ if d_ > 0 else max(0, b + d_)), None
+            else:
+                reason = "bad_quantity" if not q or q <= 0 else "unknown_material" if k not in opening else "insufficient_stock" if b + d_ < 0 else None
+                a = b if reason else b + d_
+            held[k] = a
+            m = minimum.get(k)
+            alert = "out" if a == 0 != b else "low" if m is not None and a <= m < b else None
+            none = mode == "reject" and k not in opening
+            want[i] = (k, reason is None, reason, None if none else a, None if none else alert)
+        _moves(spark, d, rows)
+        got, written = _ledger(spark, d, job, spark.createDataFrame([(k, float(q), minimum[k]) for k, q in opening.items()],
+                                                                    "id long, quantity double, min_quantity double"), mode)
+        assert {i: got[i] for i in want} == want and len(got) == seen
+        assert written <= 3 * len(keys)
 
 
 def test_feed_resumes_and_fails_without_its_state(spark, sf_dir):
