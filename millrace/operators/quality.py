@@ -1,7 +1,7 @@
 """2L: the reference's enforced constraints as batch data-quality checks.
 
-Spark does not enforce keys, so each rule becomes a query: anti-joins for
-foreign keys, group-by counts for uniqueness, one conditional-count pass per
+Spark does not enforce keys, so each rule becomes a query: one group-by over
+the keys of parents and children for foreign keys, group-by counts for uniqueness, one conditional-count pass per
 table for NOT NULL. Every check returns small result rows (counts or the
 offending keys), never the whole table.
 """
@@ -73,29 +73,45 @@ REQUIRED = {
 }
 
 
+def _key_pairs(tables) -> DataFrame:
+    """(parent, slot, k): slot 0 for a key that ``parent`` has, slot n for a row of its n-th child column.
+    Tables that are plain projections of one stored table are read in one scan of it."""
+    parents = {p: i for i, p in enumerate(dict.fromkeys(p for *_, p in FOREIGN_KEYS))}
+    wanted = [(p, "id", i, 0) for p, i in parents.items()]
+    slots = dict.fromkeys(parents, 0)
+    for child, col, parent in FOREIGN_KEYS:
+        slots[parent] += 1
+        wanted.append((child, col, parents[parent], slots[parent]))
+    frames: dict[str, tuple[DataFrame, list]] = {}
+    for table, col, parent, slot in wanted:
+        found = tables.stored_column(table, col)
+        source, df, key = (found[0], None, found[1]) if found else (f"{table}.", tables.keys_of(table), F.col(col))
+        if source not in frames:
+            frames[source] = (df if df is not None else tables.stored(source), [])
+        pair = F.struct(F.lit(parent).cast("tinyint").alias("parent"), F.lit(slot).cast("tinyint").alias("slot"), key.cast("long").alias("k"))
+        frames[source][1].append(F.when(key.isNotNull(), pair))
+    return reduce(DataFrame.unionByName, [df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.*")
+                                          for df, pairs in frames.values()])
+
+
 def fk_orphans(tables) -> DataFrame:
     """L1: per foreign key, the number of child rows whose (non-NULL) key has no parent.
 
-    One anti-join per *parent* table: the keys of every child column pointing
-    at that parent are unioned with an ``fk`` tag and counted per (fk, key)
-    first - map-side, so a hot key shrinks to a row per task, and the anti-join,
-    which cannot be pushed below a grouping, stays one per parent. Counts per
-    ``fk`` are then attached to the fixed list of keys (0 when a key has no
-    orphans)."""
-    by_parent: dict[str, list[tuple[str, str]]] = {}
+    One scan per stored table gives the keys of all its parents and child columns, and one group-by
+    over (parent, key) decides: whether the parent has the key, and how many rows of each of its child
+    columns hold it. It counts map-side, so a hot key shrinks to a row per task, and nothing is joined."""
+    slots = max(sum(p == q for *_, q in FOREIGN_KEYS) for *_, p in FOREIGN_KEYS)
+    rows = [F.count_if(F.col("slot") == n).alias(f"n{n}") for n in range(slots + 1)]
+    lost = _key_pairs(tables).groupBy("parent", "k").agg(*rows).where("n0 = 0")
+    lost = lost.groupBy("parent").agg(*[F.sum(f"n{n}").alias(f"n{n}") for n in range(1, slots + 1)])
+    lost = lost.select("parent", F.posexplode(F.array(*[F.col(f"n{n}") for n in range(1, slots + 1)])).alias("slot", "n"))
+    parents, seen, names = {p: i for i, p in enumerate(dict.fromkeys(p for *_, p in FOREIGN_KEYS))}, {}, []
     for child, col, parent in FOREIGN_KEYS:
-        by_parent.setdefault(parent, []).append((child, col))
-    counts = []
-    for parent, kids in by_parent.items():
-        keys = reduce(DataFrame.unionByName, [
-            getattr(tables, child).select(F.lit(f"{child}.{col}").alias("fk"), F.col(col).cast("long").alias("_k"))
-            .where(F.col("_k").isNotNull()) for child, col in kids])
-        par = getattr(tables, parent).select(F.col("id").cast("long").alias("_k"))
-        per_key = keys.groupBy("_k", "fk").agg(F.count(F.lit(1)).alias("_c"))
-        counts.append(per_key.join(par, "_k", "left_anti").groupBy("fk").agg(F.sum("_c").alias("_n")))
-    names = tables.spark.createDataFrame([(f"{c}.{k}", p) for c, k, p in FOREIGN_KEYS], "fk string, parent string")
-    return names.join(reduce(DataFrame.unionByName, counts), "fk", "left").select(
-        "fk", "parent", F.coalesce("_n", F.lit(0)).cast("long").alias("orphan_rows"))
+        seen[parent] = seen.get(parent, -1) + 1
+        names.append((f"{child}.{col}", parent, parents[parent], seen[parent]))
+    names = tables.spark.createDataFrame(names, "fk string, parent string, p tinyint, s int")
+    return names.join(lost.select(F.col("parent").alias("p"), F.col("slot").alias("s"), "n"), ["p", "s"], "left").select(
+        "fk", "parent", F.coalesce("n", F.lit(0)).cast("long").alias("orphan_rows"))
 
 
 def unique_violations(tables, settings: DataFrame | None = None) -> DataFrame:

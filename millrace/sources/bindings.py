@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.scan import running_count
@@ -258,6 +258,11 @@ def _explode_literal(df: DataFrame, rows: list[tuple], names: list[str]) -> Data
     return df.withColumn("_h", F.explode(arr)).select("*", *[F.col(f"_h.{n}").alias(n) for n in names]).drop("_h")
 
 
+def _route_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr(
+        "o_orderkey AS id", "o_custkey AS route_id", "o_orderkey AS order_id")
+
+
 def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "product_bom":
         m = _explode_literal(load_table(spark, sf_dir, "part").select("p_partkey", "p_size"), [(1, 0), (2, 1), (1, 2)], ["q", "k"])
@@ -285,9 +290,7 @@ def _special(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "CAST(o_orderdate AS DATE) AS order_date", _PO_STATUS, "o_totalprice AS total_amount",
             "CAST(o_orderkey % 30 AS INT) AS created_by", _CREATED_AT)
     if name == "delivery_route_orders":
-        o = load_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr(
-            "o_orderkey AS id", "o_custkey AS route_id", "o_orderkey AS order_id")
-        return running_count(o, ["route_id"], ["order_id"], "sequence_number") \
+        return running_count(_route_stops(spark, sf_dir), ["route_id"], ["order_id"], "sequence_number") \
             .select("id", "route_id", "order_id", "sequence_number")
     raise KeyError(name)
 
@@ -321,6 +324,26 @@ class Tables:
         return self._bound[name]
 
 
+    def stored(self, source: str) -> DataFrame:
+        """A stored table as it is."""
+        return load_table(self.spark, self.sf_dir, source)
+
+    def stored_column(self, name: str, col: str) -> tuple[str, Column] | None:
+        """A column of a table that is a plain projection: (stored table, the column over it, NULL in
+        rows that the table leaves out); None for other tables."""
+        b = BINDINGS[name]
+        if b.oracle:
+            return None
+        text = next(e.rsplit(" AS ", 1)[0] for e in b.exprs if e.rsplit(" AS ", 1)[-1].strip() == col)
+        return b.source, F.when(F.expr(b.where), F.expr(text)) if b.where else F.expr(text)
+
+    def keys_of(self, name: str) -> DataFrame:
+        """A table of which only keys are needed: what is numbered within a group stays unnumbered."""
+        if name == "delivery_route_orders":
+            return _route_stops(self.spark, self.sf_dir)
+        return getattr(self, name)
+
+
 def with_bindings(sql: str) -> str:
     """Prefix an oracle query with CTEs for every binding it names."""
     used = [n for n in BINDINGS if re.search(rf"\b{n}\b", sql)]

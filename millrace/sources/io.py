@@ -1,8 +1,8 @@
 """2A sources and sinks: ingest clean-up, schema evolution, CSV and JSON reports.
 
-Sinks write with Spark writers (one part file per task, no coalesce to one
+Reports are written by ``report_sink`` (one file per task, no coalesce to one
 task): a CSV report is its header row plus data rows sorted by a key, so the
-part files, read in name order, are the exact file the reference produces.
+files, read in name order, are the exact file the reference produces.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.report_sink import write_report
+
 BOM = "﻿"
 
 
@@ -72,14 +74,14 @@ def csv_lines(df: DataFrame, cells: list[Column], headers: list[str],
 def export_csv(df: DataFrame, path: str, cells: list[Column], headers: list[str],
                order: list[tuple[Column | str, bool]]) -> bool:
     """A4: write the CSV report in row order; nothing is written when there are
-    no data rows. Spark writes one part file per task in sort order, so the
-    parts read in name order are the file (no coalesce into one task)."""
-    if df.isEmpty():
-        return False
-    sort = [F.col("_h")] + [F.col(f"_o{i}").asc() if up else F.col(f"_o{i}").desc() for i, (_, up) in enumerate(order)]
-    csv_lines(df, cells, headers, order).orderBy(*sort).select("line") \
-        .write.mode("overwrite").option("lineSep", "\n").text(path)
-    return True
+    no data rows. Tasks write their sorted rows, the sink's commit puts BOM and
+    header in front: the files read in name order are the report. Returns whether
+    there is one."""
+    sort = [(F.col(o) if isinstance(o, str) else o) for o, _ in order]
+    body = df.orderBy(*[c.asc() if up else c.desc() for c, (_, up) in zip(sort, order)])
+    head = BOM + ",".join('"' + h.replace('"', '""') + '"' for h in headers) + "\n"
+    lines = body.select(F.concat_ws(",", *[_cell(c) for c in cells]).alias("line"), F.lit(False).alias("item"))
+    return write_report(lines, path, head, skip_if_empty=True)
 
 
 # The two report exports (header labels as the reference writes them).
@@ -99,8 +101,9 @@ class Part:
 
 def report_json_lines(parts: list[Part], meta: dict[str, str]) -> DataFrame:
     """A5: a report as the lines of one JSON object ``{part: ..., from: ..., to: ...}``: a line per
-    row, in order of ``(_part, _step, _pos)``, with the row's own JSON in ``json``. No array is
-    gathered into one row or task: an array's lines are sorted where Spark sorts them."""
+    row, in order of ``(_part, _step, _pos)``, with the row's own JSON in ``json``; ``item`` marks the
+    rows of arrays, which the sink separates by commas. No array is gathered into one row or task: an
+    array's lines are sorted where Spark sorts them."""
     spark = parts[0].rows.sparkSession
     fields = [(f"{',' if i else '{'}{json.dumps(p.name)}:", p) for i, p in enumerate(parts)]
     tail = "".join(f",{json.dumps(k)}:{json.dumps(v, ensure_ascii=False)}" for k, v in meta.items()) + "}"
@@ -108,7 +111,7 @@ def report_json_lines(parts: list[Part], meta: dict[str, str]) -> DataFrame:
     marks += [(i, 2, "]") for i, (_, p) in enumerate(fields) if p.kind == "array"] + [(len(fields), 0, tail)]
     out = spark.createDataFrame(marks, "_part int, _step int, line string").select(
         "_part", "_step", F.lit(0).cast("long").alias("_pos"), F.lit(None).cast("string").alias("part"),
-        F.lit(None).cast("string").alias("json"), "line")
+        F.lit(None).cast("string").alias("json"), "line", F.lit(False).alias("item"))
     for i, (_, p) in enumerate(fields):
         rows = p.rows.orderBy(*p.order) if p.order else p.rows
         text = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
@@ -116,13 +119,10 @@ def report_json_lines(parts: list[Part], meta: dict[str, str]) -> DataFrame:
             text = F.get_json_object(text, f"$.{rows.columns[0]}")
         body = rows.select(F.lit(i).alias("_part"), F.lit(1).alias("_step"), F.monotonically_increasing_id().alias("_pos"),
                            F.lit(p.name).alias("part"), text.alias("json"))
-        # every row of an array but its first begins with the comma
-        first = F.lit(p.kind != "array") | (F.col("json") == rows.limit(1).select(text.alias("j")).scalar())
-        out = out.unionByName(body.withColumn("line", F.when(first, F.col("json")).otherwise(F.concat(F.lit(","), F.col("json")))))
+        out = out.unionByName(body.withColumns({"line": F.col("json"), "item": F.lit(p.kind == "array")}))
     return out
 
 
 def export_json(parts: list[Part], meta: dict[str, str], path: str) -> None:
-    """A5: write the report; the part files read in name order are one JSON object."""
-    report_json_lines(parts, meta).orderBy("_part", "_step", "_pos").select("line") \
-        .write.mode("overwrite").option("lineSep", "\n").text(path)
+    """A5: write the report; the files read in name order are one JSON object."""
+    write_report(report_json_lines(parts, meta).orderBy("_part", "_step", "_pos"), path)
