@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
-from millrace.session import ensure_checkpoint_dir
 from millrace.plans.fold import sorted_fold
-from millrace.plans.scan import block_cuts, clamped_balance, fill_before, prefix_sums, previous_value, running_count
+from millrace.plans.scan import block_cuts, carried, clamped_balance, fill_before, prefix_sums, previous_value, running_count
 
 OPEN = ("paid", "cancelled")
 
@@ -419,7 +418,7 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
 # ----------------------------------------------------------------------------- I11
 def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False,
                     initial_paid: str | None = None, allowed: str | None = None, order: tuple[str, ...] = ("seq",),
-                    cuts: Column | None = None) -> DataFrame:
+                    cuts: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Payment attempts in sequence per order (by ``order``, whose last column is unique): a missing/zero amount, an
     unknown (or NULL) order or an amount above what remains is rejected (negative
     amounts pass); after each accepted payment status = paid if paid >= total else
@@ -427,7 +426,7 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     NULL total counts as 0. ``strict=True`` also rejects negative amounts and
     payments on cancelled orders, and keeps a delivered order delivered until it
     is fully paid. ``allowed`` names a boolean column of ``attempts``: where it is
-    false the attempt is rejected. Amounts in exact 1e-4 units; ``paid`` and
+    false the attempt is rejected; ``keep`` names columns of ``attempts`` to pass on. Amounts in exact 1e-4 units; ``paid`` and
     ``status`` are NULL for an unknown order.
 
     Running sums, then repair (as in ``material_adjust_replay``): until an
@@ -438,11 +437,11 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     zero = F.lit(0).cast("long")
     o = orders.select(F.col("id").alias("order_id"), F.coalesce(_units(F.col("total_amount")), zero).alias("_t_u"),
                       F.col("status").alias("_st"), F.coalesce(_units(p0), zero).alias("_p0_u"), F.lit(True).alias("_known"))
-    x = attempts.select("seq", *[c for c in order if c != "seq"], "order_id", "amount",
+    x = attempts.select("seq", *dict.fromkeys(c for c in (*order, *keep) if c != "seq"), "order_id", "amount",
                         *([F.col(allowed).alias("_may")] if allowed else [])).join(o, "order_id", "left")
     known = F.coalesce("_known", F.lit(False))
     nowhere = x.where(~known).select("seq", "order_id", F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("paid"),
-                                     F.lit(None).cast("string").alias("status"))
+                                     F.lit(None).cast("string").alias("status"), *keep)
     valid = F.col("amount").isNotNull() & (F.col("amount") != 0)
     if strict:
         valid = valid & (F.col("amount") > 0) & ~F.coalesce(F.col("_st") == "cancelled", F.lit(False)) if not allowed \
@@ -467,11 +466,11 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     before = F.col("_first_bad").isNull() | (pos < F.col("_first_bad"))
     quick = x.where(before).select(
         "seq", "order_id", F.col("_valid").alias("accepted"), _to_money(F.col("_p_u")).alias("paid"),
-        status_after(F.col("_p_u"), F.col("_n")).alias("status"))
-    rest = x.where(~before).withColumn("_s0", status_after(F.col("_start_u"), F.col("_start_n")))
+        status_after(F.col("_p_u"), F.col("_n")).alias("status"), *keep)
+    rest = x.where(~before).withColumn("_first", status_after(F.col("_start_u"), F.col("_start_n")))
 
     def init(r):
-        return {"paid": r["_start_u"], "status": r["_s0"]}
+        return {"paid": r["_start_u"], "status": r["_first"]}
 
     def step(s, r):
         ok = r["_valid"] and r["_a_u"] <= r["_t_u"] - s["paid"]
@@ -482,10 +481,11 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
             elif not (strict and s["status"] == "delivered"):
                 s["status"] = "confirmed"
         return {"seq": r["seq"], "order_id": r["order_id"], "accepted": bool(ok), "paid": s["paid"] / 10000,
-                "status": s["status"]}
+                "status": s["status"], **{c: r[c] for c in keep}}
 
-    slow = sorted_fold(rest.select(*dict.fromkeys(("seq", *order)), "order_id", "_valid", "_a_u", "_t_u", "_start_u", "_s0"),
-                       ["order_id"], list(order), "seq long, order_id long, accepted boolean, paid double, status string", init, step)
+    kept = "".join(f", {c} {x.schema[c].dataType.simpleString()}" for c in keep)
+    slow = sorted_fold(rest.select(*dict.fromkeys(("seq", *order, *keep)), "order_id", "_valid", "_a_u", "_t_u", "_start_u", "_first"),
+                       ["order_id"], list(order), "seq long, order_id long, accepted boolean, paid double, status string" + kept, init, step)
     return quick.unionByName(slow).unionByName(nowhere)
 
 
@@ -503,13 +503,12 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     ``strict=True`` subtracts stock at most once per order and applies the strict
     payment rule of ``payments_replay`` to the status of that moment.
 
-    No per-order sequential pass: payment acceptance is I11 (running sums up to
-    an order's first over-payment); the delivery flag is a prefix test; and
-    since set_status, cancel and (full, or in the plain mode all) accepted
-    payments *reset* the status while the remaining rules apply in an order that
-    a few positions tell, the status before any event follows from the last
-    reset before it and the last delivered / part payment positions - forward
-    fills and running counts over the two-level block scan."""
+    No per-order sequential pass. Payment acceptance is I11. Everything else follows from what stood
+    before an event, in one scan (``plans.scan.carried``): the first ``delivery_created``, the last
+    ``delivery_status`` to delivered, the last *reset* (set_status, cancel and full - in the plain mode
+    all - accepted payments set the status whatever it was) and the last part payment. A place in an
+    order's events is (ts, seq), so nothing is numbered and nothing is joined back: the rows of I11 are
+    the payment events. The strict mode scans three times, as acceptance and delivery there depend on the status."""
     o = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_s0"), "total_amount",
                       F.col("paid_amount").alias("_p0"))
     if deliveries is not None:
@@ -518,73 +517,76 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     order = ["ts", "seq"]
     x = events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
     cuts = block_cuts(events, "ts")
-    x = running_count(x, ["order_id"], order, "_pos", cuts=cuts)
-    k, st = F.col("kind"), F.col("status")
-    dc = x.where(k == "delivery_created").groupBy("order_id").agg(F.min("_pos").alias("_dc_pos"))
-    x = x.join(dc, "order_id", "left").withColumn(
-        "_dc_pos", F.when(F.col("_d0"), F.lit(None)).otherwise(F.col("_dc_pos")))
-    x = x.withColumn("_has_del", F.coalesce(F.col("_d0") | (F.col("_dc_pos") < F.col("_pos")), F.lit(False)))
-    x = x.withColumn("_is_dd", F.coalesce((k == "delivery_status") & F.col("_has_del") & (st == "delivered"), F.lit(False)))
+    k, st, at = F.col("kind"), F.col("status"), F.struct(*order)
+    valued = lambda v: F.struct(at.alias("p"), v.alias("v"))
+    created = ("first", F.when(k == "delivery_created", at))
+    told = ("last", F.when((k == "delivery_status") & (st == "delivered"), at))
+
+    def has_delivery(place: Column) -> Column:
+        """Whether there was a delivery before ``place``."""
+        return F.coalesce(F.col("_d0") | (F.col("_created") < place), F.lit(False))
+
+    def since(place: Column, other: Column) -> Column:
+        """``place`` is there and after ``other``, if that is there."""
+        return place.isNotNull() & F.coalesce(place > other, F.lit(True))
+
+    pays = x.where(k == "payment")
     if strict:
         # whether an order is cancelled does not depend on payments: only these three kinds decide it
-        now = F.when(k == "set_status", F.struct(st.alias("v"))).when(k == "cancel", F.struct(F.lit("cancelled").alias("v"))) \
-            .when(F.col("_is_dd"), F.struct(F.lit("delivered").alias("v")))
-        x = fill_before(x, ["order_id"], order, now, "_last_set", cuts)
-        live = F.when(F.col("_last_set").isNull(), F.col("_s0")).otherwise(F.col("_last_set.v"))
-        x = x.withColumn("_live", ~F.coalesce(live == "cancelled", F.lit(False)))
-    # payments: the I11 rule on this order's payment events, from the stored paid amount
+        y = carried(x, ["order_id"], order, {"_created": created, "_told": told, "_set": (
+            "last", F.when(k == "set_status", valued(st)).when(k == "cancel", valued(F.lit("cancelled"))))}, cuts)
+        delivered = has_delivery(F.col("_told")) & since(F.col("_told"), F.col("_set.p"))
+        live = F.when(delivered, "delivered").when(F.col("_set").isNull(), F.col("_s0")).otherwise(F.col("_set.v"))
+        pays = y.where(k == "payment").withColumn("_live", ~F.coalesce(live == "cancelled", F.lit(False)))
     pays = payments_replay(o.select(F.col("order_id").alias("id"), "total_amount", F.col("_s0").alias("status"), "_p0"),
-                           x.where(k == "payment").select("seq", "ts", "order_id", "amount", *(["_live"] if strict else [])),
-                           strict=strict, initial_paid="_p0", allowed="_live" if strict else None, order=("ts", "seq"), cuts=cuts)
-    x = x.join(pays.select("seq", F.col("accepted").alias("_pacc"), F.col("paid").alias("_ppaid")), "seq", "left")
-    # the rest reads this frame several times (fills, flags, final group-by):
-    # cut the lineage once into the shared checkpoint folder instead of
-    # recomputing positions and payment replays for every branch
-    ensure_checkpoint_dir(x.sparkSession)
-    x = x.checkpoint()
-    pacc = F.coalesce("_pacc", F.lit(False))
-    full = pacc & (F.col("_ppaid") >= F.coalesce(_to_money(_units(F.col("total_amount"))), F.lit(0.0)))
-    at = lambda v: F.struct(F.col("_pos").alias("p"), v.alias("v"))
-    reset = F.when(k == "set_status", at(st)).when(k == "cancel", at(F.lit("cancelled"))).when(full, at(F.lit("paid")))
-    x = (x.withColumn("_rej", ((k == "payment") & ~pacc) | ((k == "delivery_created") & F.col("_has_del"))
-                      | ((k == "delivery_status") & ~F.col("_has_del")))
-         .withColumn("_reset", reset if strict else reset.when(pacc, at(F.lit("confirmed"))))
-         .withColumn("_part", F.when(pacc & ~full, F.col("_pos")) if strict else F.lit(None).cast("long"))
-         .withColumn("_dd", F.when(F.col("_is_dd"), F.col("_pos"))))
-    x = fill_before(x, ["order_id"], order, F.col("_reset"), "_last_reset", cuts)
-    x = fill_before(x, ["order_id"], order, F.col("_dd"), "_last_dd", cuts)
+                           pays.select("seq", "ts", "order_id", "amount", "_s0", "_d0", *(["_live"] if strict else [])), strict=strict,
+                           initial_paid="_p0", allowed="_live" if strict else None, order=("ts", "seq"), cuts=cuts, keep=("ts", "_s0", "_d0"))
+    pays = pays.select("seq", "order_id", F.lit("payment").alias("kind"), F.lit(None).cast("string").alias("status"), "ts", "_s0", "_d0",
+                       F.col("accepted").alias("_acc"), F.col("paid").alias("_paid"), (F.col("accepted") & (F.col("status") == "paid")).alias("_full"))
+    x = x.where(k != "payment").select("seq", "order_id", "kind", "status", "ts", "_s0", "_d0").unionByName(pays, allowMissingColumns=True)
+    reset = F.when(k == "set_status", valued(st)).when(k == "cancel", valued(F.lit("cancelled"))).when(F.col("_full"), valued(F.lit("paid")))
+    part = F.when(F.col("_acc") & ~F.col("_full"), at)
+    scan = {"_created": created, "_told": told, "_reset": ("last", reset if strict else reset.when(F.col("_acc"), valued(F.lit("confirmed"))))}
     if strict:
-        x = fill_before(x, ["order_id"], order, F.col("_part"), "_last_part", cuts)
-        after_part = F.col("_last_part") > F.coalesce(F.col("_last_reset.p"), F.lit(0))
-        x = x.withColumn("_dd2", F.when(F.col("_is_dd") & after_part, F.col("_pos")))
-        x = fill_before(x, ["order_id"], order, F.col("_dd2"), "_last_dd2", cuts)
+        scan["_part"] = ("last", part)
+    x = carried(x, ["order_id"], order, scan, cuts)
+    if strict:
+        # a paid order that a part payment has reopened can be delivered; a delivered one stays so
+        reopened = told[1].isNotNull() & has_delivery(at) & since(F.col("_part"), F.col("_reset.p"))
+        scan["_told2"] = ("last", F.when(reopened, at))
+        x = carried(x, ["order_id"], order, {"_told2": scan["_told2"]}, cuts)
     else:
-        x = x.withColumns({c: F.lit(None).cast("long") for c in ("_last_part", "_dd2", "_last_dd2")})
-
-    def status_now(dc_seen: Column) -> Column:
-        """The status from the last reset and what has happened since."""
-        since = lambda c: F.coalesce(F.col(c) > F.coalesce(F.col("_last_reset.p"), F.lit(0)), F.lit(False))
-        r = F.when(F.col("_last_reset").isNull(), F.col("_s0")).otherwise(F.col("_last_reset.v"))
+        x = x.withColumns({c: F.lit(None).cast(x.schema["_created"].dataType) for c in ("_part", "_told2")})
+
+    def status_now(place: Column | None) -> Column:
+        """The status from the last reset and what has happened since, before ``place`` (None: at the end)."""
+        r, rp, told_at, part_at = F.coalesce(F.col("_reset.v"), F.when(F.col("_reset").isNull(), F.col("_s0"))), F.col("_reset.p"), F.col("_told"), F.col("_part")
+        told2 = since(F.col("_told2"), rp)
+        made = F.col("_created").isNotNull() & ~F.col("_d0") & since(F.col("_created"), rp)
+        if place is not None:
+            made = made & (F.col("_created") < place)
+        delivered = since(told_at, rp) & has_delivery(told_at)
+        parted = since(part_at, rp)
         return (F.when(r == "delivered", r)
-                .when(r == "paid", F.when(since("_last_dd2"), "delivered").when(since("_last_part"), "confirmed").otherwise(r))
-                .when(since("_last_dd"), "delivered").when(since("_last_part"), "confirmed")
-                .when(dc_seen & (r == "pending"), "confirmed").otherwise(r))
-
-    rpos = F.coalesce(F.col("_last_reset.p"), F.lit(0))
-    before = status_now(F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos) & (F.col("_dc_pos") < F.col("_pos")))
-    settled = F.coalesce(before.isin("delivered", "paid"), F.lit(False))
-    x = x.withColumn("_move", F.coalesce((((k == "set_status") & (st == "delivered")) | F.col("_is_dd")) & ~settled, F.lit(False)))
-    moves = F.sum(F.col("_move").cast("long"))
-    g = x.groupBy("order_id").agg(
-        F.first("_s0").alias("_s0"), F.first("_p0").alias("_p0"), F.first("_dc_pos").alias("_dc_pos"),
-        F.max_by(F.col("_reset"), F.when(F.col("_reset").isNotNull(), F.col("_pos"))).alias("_last_reset"),
-        F.max("_dd").alias("_last_dd"), F.max("_part").alias("_last_part"), F.max("_dd2").alias("_last_dd2"),
-        F.max_by(F.col("_ppaid"), F.when(pacc, F.col("_pos"))).alias("_paid"),
+                .when(r == "paid", F.when(told2, "delivered").when(parted, "confirmed").otherwise(r))
+                .when(delivered, "delivered").when(parted, "confirmed")
+                .when(made & (r == "pending"), "confirmed").otherwise(r))
+
+    settled = F.coalesce(status_now(at).isin("delivered", "paid"), F.lit(False))
+    held = has_delivery(at)
+    delivers = F.coalesce((st == "delivered") & ((k == "set_status") | ((k == "delivery_status") & held)), F.lit(False))
+    refused = F.coalesce(((k == "payment") & ~F.col("_acc")) | ((k == "delivery_created") & held) | ((k == "delivery_status") & ~held), F.lit(False))
+    # the state after the last event: what was carried to it, and the event itself
+    own = {n: F.coalesce(*((F.col(n), c) if which == "first" else (c, F.col(n)))).alias(n) for n, (which, c) in scan.items()}
+    g = x.select("order_id", "_s0", "_d0", at.alias("at"), F.when(F.col("_acc"), F.struct(at.alias("p"), "_paid")).alias("_pay"),
+                 F.struct(*own.values(), *([] if strict else ["_part", "_told2"])).alias("end"), (delivers & ~settled).alias("_move"), refused.alias("_rej"))
+    moves = F.count_if("_move")
+    g = g.groupBy("order_id").agg(
+        F.max_by(F.struct("_s0", "_d0", "end"), "at").alias("e"), F.max("_pay").alias("_pay"),
         (F.least(moves, F.lit(1).cast("long")) if strict else moves).alias("stock_moves"),
-        F.sum(F.col("_rej").cast("long")).alias("rejected"), F.count(F.lit(1)).alias("events"))
-    final = status_now(F.col("_dc_pos").isNotNull() & (F.col("_dc_pos") > rpos))
-    return g.select("order_id", final.alias("status"),
-                    F.coalesce(F.col("_paid"), _to_money(_units(F.col("_p0"))), F.lit(0.0)).alias("paid"),
+        F.count_if("_rej").alias("rejected"), F.count(F.lit(1)).alias("events"))
+    g = g.join(o.select("order_id", "_p0"), "order_id").select("order_id", "e._s0", "e._d0", "e.end.*", "_pay", "_p0", "stock_moves", "rejected", "events")
+    return g.select("order_id", status_now(None).alias("status"), F.coalesce(F.col("_pay._paid"), _to_money(_units(F.col("_p0"))), F.lit(0.0)).alias("paid"),
                     "stock_moves", "rejected", "events")
 
 

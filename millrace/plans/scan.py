@@ -155,3 +155,24 @@ def fill_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     blocks = blocks.select(KEY, BLK, F.last("_bl", ignorenulls=True).over(_earlier()).alias("_carry"))
     out = d.join(blocks, [KEY, BLK]).withColumn(name, F.coalesce(F.col("_fl"), F.col("_carry")))
     return out.select(*df.columns, *([] if name in df.columns else [name]))
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]],
+            cuts: Column | None = None) -> DataFrame:
+    """Several segmented scans as one: for each entry ``name: (which, value)`` the ``first`` or ``last``
+    non-NULL value strictly before each row, per key in order. "First" and "last" of all entries
+    together are one associative state: one exchange of the rows, one window inside the blocks, one
+    frame of a row per block that carries every entry on."""
+    d = _blocked(df, keys, order, cuts).withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    pick = {"first": F.first, "last": F.last}
+    w = _local(order).rowsBetween(Window.unboundedPreceding, -1)
+    place = {n: F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order)) for n in values}
+    of_block = {"first": F.min_by, "last": F.max_by}
+    blocks = d.groupBy(KEY, BLK).agg(*[of_block[which](F.col(f"_v_{n}"), place[n]).alias(f"_b_{n}") for n, (which, _) in values.items()])
+    blocks = blocks.select(KEY, BLK, *[pick[which](f"_b_{n}", ignorenulls=True).over(_earlier()).alias(f"_c_{n}")
+                                       for n, (which, _) in values.items()])
+    local = d.select("*", *[pick[which](f"_v_{n}", ignorenulls=True).over(w).alias(f"_l_{n}") for n, (which, _) in values.items()])
+    out = local.join(blocks, [KEY, BLK])
+    both = {n: (F.col(f"_c_{n}"), F.col(f"_l_{n}")) if which == "first" else (F.col(f"_l_{n}"), F.col(f"_c_{n}"))
+            for n, (which, _) in values.items()}
+    return out.select(*df.columns, *[F.coalesce(*both[n]).alias(n) for n in values])
