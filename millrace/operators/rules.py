@@ -3,9 +3,10 @@
 Input is a table of changes/events with a total order (timestamp, id); output
 is new state, movements and rejects. Rules with an associative form are plain
 group-bys, windows and joins (movement sums, the clamped stock ledger, master
-data changes, settings). Rules where each decision depends on the earlier
-*accepted* ones (credit checks, payment acceptance, stock adjustments, the
-order life cycle) run through ``plans.fold.sorted_fold``.
+data changes, settings, the order life cycle). Where each decision depends on
+the earlier *accepted* ones, credit checks go in rounds of prefix sums
+(``plans.rounds``); payments and stock adjustments after a key's first refusal
+run through ``plans.fold.sorted_fold``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
 from millrace.plans.fold import sorted_fold
+from millrace.plans.rounds import capacity_rounds
 from millrace.plans.scan import block_cuts, carried, clamped_balance, fill_before, prefix_sums, previous_value, running_count
 
 OPEN = ("paid", "cancelled")
@@ -203,9 +205,11 @@ def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...
     orders raise the outstanding sum.
 
     Customers without a positive limit accept everything, so their outstanding
-    is a plain running sum (two-level prefix sum: no customer in one task).
-    Only customers with a limit need the sequential fold. Money is handled in
-    exact 1e-4 units (``decimal(18,4)``), as everywhere else."""
+    is a plain running sum (two-level prefix sum: no customer in one task). The
+    others' rows are decided in rounds that each halve what is left of the limit
+    (``plans.rounds.capacity_rounds``): running sums again, never a customer in
+    one task. Money is handled in exact 1e-4 units (``decimal(18,4)``), as
+    everywhere else."""
     extra = [c for c in order if c not in ("id", "customer_id", "total_amount")]
     x = (orders.select("id", "customer_id", "total_amount", *extra)
          .join(customers.select(F.col("id").alias("customer_id"), "credit_limit"), "customer_id", "left")
@@ -217,18 +221,8 @@ def credit_replay(orders: DataFrame, customers: DataFrame, order: tuple[str, ...
         .select("id", "customer_id", F.lit(True).alias("accepted"),
                 (F.col("_owed_u").cast("decimal(38,0)") / 10000).cast("double").alias("outstanding_after"))
 
-    def init(r):
-        return {"owed": 0}
-
-    def step(s, r):
-        ok = s["owed"] + r["_tot_u"] <= r["_lim_u"]
-        if ok:
-            s["owed"] += r["_tot_u"]
-        return {"id": r["id"], "customer_id": r["customer_id"], "accepted": bool(ok),
-                "outstanding_after": s["owed"] / 10000}
-
-    capped = sorted_fold(x.where(limited), ["customer_id"], list(order),
-                         "id long, customer_id long, accepted boolean, outstanding_after double", init, step)
+    capped = capacity_rounds(x.where(limited), "customer_id", list(order), "_tot_u", "_lim_u").select(
+        "id", "customer_id", "accepted", _to_money(F.col("used")).alias("outstanding_after"))
     return free.unionByName(capped)
 
 
