@@ -316,7 +316,7 @@ def material_ledger(initial: DataFrame, moves: DataFrame) -> DataFrame:
                    "material_id", "left")
     delta = F.when(F.col("type") == "in", F.col("quantity")).otherwise(-F.col("quantity"))
     return clamped_balance(x, ["material_id"], ["created_at", "id"], delta, F.col("type") != "in",
-                           F.coalesce("_x0", F.lit(0.0)), cuts=block_cuts(moves, "created_at")).drop("_x0")
+                           F.coalesce("_x0", F.lit(0.0)), cuts=block_cuts(moves, "created_at", "id")).drop("_x0")
 
 
 # ----------------------------------------------------------------------------- I9
@@ -355,7 +355,7 @@ def material_adjust_replay(initial: DataFrame, adjustments: DataFrame) -> DataFr
                      .otherwise(F.lit(0).cast("long"))))
     order = ["created_at", "id"]
     pos = F.struct("created_at", "id")
-    x = prefix_sums(x, ["material_id"], order, {"_s_u": F.col("_d_u")}, cuts=block_cuts(adjustments, "created_at"))
+    x = prefix_sums(x, ["material_id"], order, {"_s_u": F.col("_d_u")}, cuts=block_cuts(adjustments, "created_at", "id"))
     x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
     first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
         F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
@@ -401,7 +401,7 @@ def sales_stock_moves(order_events: DataFrame, orders: DataFrame, items: DataFra
     ev = order_events.where(F.col("kind") == "set_status").select("seq", "order_id", "status", "ts")
     init = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_init"))
     ev = previous_value(ev.join(init, "order_id"), ["order_id"], ["ts", "seq"], "status", "_prev",
-                        cuts=block_cuts(order_events, "ts"))
+                        cuts=block_cuts(order_events, "ts", "seq"))
     ev = ev.withColumn("_prev", F.when(F.col("_is_first"), F.col("_init")).otherwise(F.col("_prev")))
     hits = ev.where((F.col("status") == "delivered") & ~F.col("_prev").isin("delivered", "paid"))
     n = hits.groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
@@ -451,7 +451,7 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     pos = F.struct(*order)
     x = prefix_sums(x, ["order_id"], order, {"_p_u": F.when(F.col("_valid"), F.col("_a_u")).otherwise(zero),
                                                "_n": F.when(F.col("_valid"), 1).otherwise(0).cast("long")},
-                    cuts=cuts if cuts is not None else block_cuts(attempts, order[0]))
+                    cuts=cuts if cuts is not None else block_cuts(attempts, *order[:2]))
     x = x.withColumn("_p_u", F.col("_p_u") + F.col("_p0_u"))
     bad = x.where(F.col("_valid") & (F.col("_p_u") > F.col("_t_u"))).groupBy("order_id").agg(
         F.min(pos).alias("_first_bad"), F.min_by(F.col("_p_u") - F.col("_a_u"), pos).alias("_start_u"),
@@ -510,7 +510,7 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     o = o.withColumn("_d0", F.coalesce(F.col("_d0") if deliveries is not None else F.lit(False), F.lit(False)))
     order = ["ts", "seq"]
     x = events.select("seq", "order_id", "kind", "status", "amount", "ts").join(o, "order_id")
-    cuts = block_cuts(events, "ts")
+    cuts = block_cuts(events, "ts", "seq")
     k, st, at = F.col("kind"), F.col("status"), F.struct(*order)
     valued = lambda v: F.struct(at.alias("p"), v.alias("v"))
     created = ("first", F.when(k == "delivery_created", at))

@@ -2,9 +2,9 @@
 
 A plain ``Window.partitionBy(key).orderBy(t)`` puts every row of one key in one
 task; with a key that holds a third of all rows that task is the job. Here the
-ordered rows are cut into blocks of about equal row counts - at quantiles of the
-first order column, taken by one aggregate over that column, as many as the
-cluster has shuffle partitions, times ``BLOCKS_PER_PARTITION`` - so that:
+ordered rows are cut into blocks of about equal row counts - at places (the first
+two order columns) that a sample of the rows gives, as many as the cluster has
+shuffle partitions, times ``BLOCKS_PER_PARTITION`` - so that:
 
 1. a window over ``(key, block)`` gives the running total inside each block;
 2. a group-by over ``(key, block)`` gives one total per block (a frame that is
@@ -13,8 +13,8 @@ cluster has shuffle partitions, times ``BLOCKS_PER_PARTITION`` - so that:
    earlier blocks of the key;
 4. a join on ``(key, block)`` adds the offset back.
 
-Only step 3 partitions by the bare key, and it sees one row per block. Rows that
-tie in the first order column share a block. Keys are compared as texts with a
+Only step 3 partitions by the bare key, and it sees one row per block. Rows of one
+time (a bulk load) fall into different blocks by the second order column. Keys are compared as texts with a
 mark for NULL, filled in once before the first exchange, so the join of step 4
 is a plain equality join on the window's own partitioning.
 """
@@ -31,6 +31,7 @@ BLK, KEY = "_blk", "_key"
 MONEY = "decimal(18,4)"
 BLOCKS_PER_PARTITION = 4
 _STEP = 64
+_SAMPLE = 16
 
 
 def _number(df: DataFrame, col: str) -> Column:
@@ -41,18 +42,27 @@ def _number(df: DataFrame, col: str) -> Column:
     return F.unix_date(c) if isinstance(kind, T.DateType) else c.cast("long")
 
 
-def block_cuts(df: DataFrame, col: str, blocks: int | None = None) -> Column:
-    """Where blocks of ``df`` begin, as a scalar subquery: quantiles of ``col``. Scans over frames
-    that are derived from ``df`` share it."""
+def _place(df: DataFrame, order: Sequence[str]) -> Column:
+    """The first two order columns as whole numbers that sort alike: rows of one time differ by the second."""
+    return F.struct(_number(df, order[0]).alias("a"), (_number(df, order[1]) if len(order) > 1 else F.lit(0).cast("long")).alias("b"))
+
+
+def block_cuts(df: DataFrame, *order: str, blocks: int | None = None) -> Column:
+    """Where blocks of ``df`` begin, as a scalar subquery: places that cut a sample of its rows (the first
+    ``_SAMPLE`` by hash for each block) into equal parts. Scans over frames that are derived from ``df``
+    and have the same first order columns share it."""
     n = blocks or BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cuts = df.agg(F.percentile_approx(_number(df, col), [i / n for i in range(1, n)] or [0.5], 10 * n).alias("cuts"))
-    return cuts.select(F.coalesce("cuts", F.array().cast("array<bigint>"))).scalar()
+    some = df.select(_place(df, order).alias("p")).orderBy(F.xxhash64("p"), "p").limit(n * _SAMPLE)
+    some = some.agg(F.array_sort(F.collect_list("p")).alias("p")).withColumn("n", F.size("p"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("p", F.floor(i * F.col("n") / n).cast("int")))
+    at = F.when((F.col("n") > 0) & F.lit(n > 1), F.array_distinct(F.filter(at, lambda p: p.isNotNull())))
+    return some.select(F.coalesce(at, F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("cuts")).scalar()
 
 
 def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Column | None) -> DataFrame:
     """``df`` with the block number and the keys as one text column without NULLs."""
-    v = _number(df, order[0])
-    df = df.withColumn("_cuts", cuts if cuts is not None else block_cuts(df, order[0]))
+    v = _place(df, order)
+    df = df.withColumn("_cuts", cuts if cuts is not None else block_cuts(df, *order[:2]))
     # every 64th cut first, then among 64: few comparisons however many blocks there are
     some = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / _STEP).cast("int")), lambda i: F.get("_cuts", i * _STEP))
     coarse = F.when(F.size("_cuts") > _STEP, F.greatest(F.size(F.filter(some, lambda c: c <= v)) - 1, F.lit(0))).otherwise(0)

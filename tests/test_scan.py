@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.plans.scan import block_cuts, clamped_balance, prefix_sums, previous_value, running_count
+from millrace.plans.scan import _blocked, block_cuts, carried, clamped_balance, prefix_sums, previous_value, running_count
 
 
 def _frame(spark, n=400, keys=3, seed=7):
@@ -55,3 +55,28 @@ def test_previous_value_matches_lag(spark):
     for i, k, d, _c in rows:
         assert out[i] == (last.get(k), k not in last)
         last[k] = d
+
+
+def test_rows_of_one_time_fall_into_many_blocks(spark):
+    """A bulk load with one timestamp, and a hot key: blocks hold about equal numbers of rows."""
+    df = spark.range(4000).select("id", (F.col("id") % 5 > 0).cast("long").alias("k"), F.lit(7).cast("long").alias("t"))
+    rows = _blocked(df, ["k"], ["t", "id"], block_cuts(df, "t", "id", blocks=20)).groupBy("_blk").count().collect()
+    assert len(rows) == 20 and max(r["count"] for r in rows) < 2.5 * 4000 / 20
+    out = {r["id"]: r.n for r in running_count(df, ["k"], ["t", "id"], "n").collect()}
+    seen = {}
+    for i in range(4000):
+        seen[i % 5 > 0] = seen.get(i % 5 > 0, 0) + 1
+        assert out[i] == seen[i % 5 > 0]
+
+
+def test_carried_equals_plain_loop(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(3), rnd.randrange(40), rnd.choice([None, None, 1, 2, 3])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k long, t long, v long")
+    got = carried(df, ["k"], ["t", "id"], {"f": ("first", F.col("v")), "l": ("last", F.when(F.col("v") > 1, F.col("v")))}).collect()
+    state, want = {}, {}
+    for i, k, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        f, last = state.get(k, (None, None))
+        want[i] = (f, last)
+        state[k] = (v if f is None else f, v if v and v > 1 else last)
+    assert {r["id"]: (r.f, r.l) for r in got} == want
