@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
 from millrace.plans.fold import sorted_fold
-from millrace.plans.rounds import capacity_rounds
+from millrace.plans.rounds import capacity_rounds, written
 from millrace.plans.scan import block_cuts, carried, clamped_balance, fill_before, prefix_sums, previous_value, running_count
 
 OPEN = ("paid", "cancelled")
@@ -356,7 +356,8 @@ def material_adjust_replay(initial: DataFrame, adjustments: DataFrame) -> DataFr
     order = ["created_at", "id"]
     pos = F.struct("created_at", "id")
     x = prefix_sums(x, ["material_id"], order, {"_s_u": F.col("_d_u")}, cuts=block_cuts(adjustments, "created_at", "id"))
-    x = x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u"))
+    # what follows reads the running sums three times
+    x = written(x.withColumn("_b_u", F.col("_x0_u") + F.col("_s_u")), "adjustments")
     first_bad = x.where(F.col("_valid") & (F.col("_b_u") < 0)).groupBy("material_id").agg(
         F.min(pos).alias("_first_bad"), F.min_by(F.col("_b_u") - F.col("_d_u"), pos).alias("_start_u"))
     x = x.join(first_bad, "material_id", "left")
@@ -452,7 +453,8 @@ def payments_replay(orders: DataFrame, attempts: DataFrame, strict: bool = False
     x = prefix_sums(x, ["order_id"], order, {"_p_u": F.when(F.col("_valid"), F.col("_a_u")).otherwise(zero),
                                                "_n": F.when(F.col("_valid"), 1).otherwise(0).cast("long")},
                     cuts=cuts if cuts is not None else block_cuts(attempts, *order[:2]))
-    x = x.withColumn("_p_u", F.col("_p_u") + F.col("_p0_u"))
+    # what follows reads the running sums three times
+    x = written(x.withColumn("_p_u", F.col("_p_u") + F.col("_p0_u")), "payments")
     bad = x.where(F.col("_valid") & (F.col("_p_u") > F.col("_t_u"))).groupBy("order_id").agg(
         F.min(pos).alias("_first_bad"), F.min_by(F.col("_p_u") - F.col("_a_u"), pos).alias("_start_u"),
         F.min_by(F.col("_n") - 1, pos).alias("_start_n"))

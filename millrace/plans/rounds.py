@@ -21,7 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str, room: str) -> DataFrame:
     """``rows`` with two more columns, ``accepted`` and ``used``: per key in ``order`` a row is accepted
-    if its amount fits into what is left of the key's ``room`` (one value per key, not negative), and
+    if its amount fits into what is left of the key's ``room`` (one value per key), and
     only accepted rows use it up; ``used`` is what is used after the row. Amounts and room are long.
 
     What is left never grows, so an amount above it is refused for good. Let ``left`` be what is left
@@ -40,7 +40,7 @@ def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str
     while True:
         x = prefix_sums(todo, [key], order, {"_sum": F.when(small, a).otherwise(F.lit(0).cast("long"))})
         x = x.withColumn("_before", F.col("_sum") - F.when(small, a).otherwise(0))
-        ends = (a < 0) | F.when(small, 2 * F.col("_sum") > left).otherwise(a <= left - F.col("_before"))
+        ends = F.when(small, 2 * F.col("_sum") > left).otherwise(a <= left - F.col("_before"))
         x = written(x.withColumn("_end", ends & (a != 0)), "round")
         stop = x.where("_end").groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_at"), F.min_by(left - F.col("_before") - a, at).alias("_next"))
         stop = written(stop, "ends")

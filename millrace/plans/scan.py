@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 BLK, KEY = "_blk", "_key"
 MONEY = "decimal(18,4)"
 BLOCKS_PER_PARTITION = 4
-_STEP = 64
 _SAMPLE = 16
 
 
@@ -56,19 +55,23 @@ def block_cuts(df: DataFrame, *order: str, blocks: int | None = None) -> Column:
     some = some.agg(F.array_sort(F.collect_list("p")).alias("p")).withColumn("n", F.size("p"))
     at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("p", F.floor(i * F.col("n") / n).cast("int")))
     at = F.when((F.col("n") > 0) & F.lit(n > 1), F.array_distinct(F.filter(at, lambda p: p.isNotNull())))
-    return some.select(F.coalesce(at, F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("cuts")).scalar()
+    some = some.select(F.coalesce(at, F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("fine"))
+    some = some.withColumn("step", F.greatest(F.floor(F.sqrt(F.size("fine"))), F.lit(1)).cast("int"))
+    coarse = F.transform(F.sequence(F.lit(0), F.floor((F.size("fine") - 1) / F.col("step")).cast("int")), lambda i: F.get("fine", i * F.col("step")))
+    coarse = F.when(F.size("fine") > 0, coarse).otherwise(F.col("fine"))
+    return some.select(F.struct("fine", "step", coarse.alias("coarse")).alias("cuts")).scalar()
 
 
 def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Column | None) -> DataFrame:
     """``df`` with the block number and the keys as one text column without NULLs."""
     v = _place(df, order)
     df = df.withColumn("_cuts", cuts if cuts is not None else block_cuts(df, *order[:2]))
-    # every 64th cut first, then among 64: few comparisons however many blocks there are
-    some = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / _STEP).cast("int")), lambda i: F.get("_cuts", i * _STEP))
-    coarse = F.when(F.size("_cuts") > _STEP, F.greatest(F.size(F.filter(some, lambda c: c <= v)) - 1, F.lit(0))).otherwise(0)
-    fine = F.size(F.filter(F.slice("_cuts", coarse * _STEP + 1, F.lit(_STEP)), lambda c: c <= v))
+    # every some cuts first, then among these: few comparisons however many blocks there are
+    c = F.col("_cuts")
+    coarse = F.greatest(F.size(F.filter(c["coarse"], lambda p: p <= v)) - 1, F.lit(0)) * c["step"]
+    fine = F.element_at(F.transform(F.array(coarse), lambda k: k + F.size(F.filter(F.slice(c["fine"], k + 1, c["step"]), lambda p: p <= v))), 1)
     parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys]
-    return df.withColumn(BLK, F.coalesce(coarse * _STEP + fine, F.lit(0))).withColumn(
+    return df.withColumn(BLK, F.coalesce(fine, F.lit(0))).withColumn(
         KEY, F.concat_ws("\0", *parts) if parts else F.lit("")).drop("_cuts")
 
 
