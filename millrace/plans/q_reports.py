@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from millrace.operators import refresh as V
 from millrace.operators import reports as R
-from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, EV_TO, FROM, TO, register
+from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, EV_TO, FROM, PLAIN, TO, register
 
 DEC = "CAST({} AS DECIMAL(18,4))".format
 #: the oracles' building blocks: what counts as sold, added up per key before any name is looked up
@@ -357,3 +360,34 @@ WHERE CAST(created_at AS DATE) = DATE '{AS_OF_EVENTS}' AND status <> 'cancelled'
 """)
 def d28_daily(t):
     return R.daily_count(t.production_orders, AS_OF_EVENTS)
+
+
+# ----------------------------------------------------------------------------- refreshed views
+#: the oracles' tables after the changes: pending orders are cancelled, inactive customers come back
+CHANGED = """WITH so2 AS (SELECT * EXCLUDE (status), CASE WHEN status = 'pending' THEN 'cancelled' ELSE status END AS status FROM sales_orders),
+cu2 AS (SELECT * EXCLUDE (active), 1 AS active FROM customers)
+"""
+
+
+def _changed(sql: str) -> str:
+    return CHANGED + sql.replace("FROM sales_orders", "FROM so2").replace("FROM customers", "FROM cu2")
+
+
+def _cancelled(t):
+    old = t.sales_orders.where(F.col("status") == "pending")
+    return old, old.withColumn("status", F.lit("cancelled"))
+
+
+@register("d1_dashboard_refreshed", _changed(PLAIN["d1_dashboard_kpis"]))
+def d1_refreshed(t):
+    """D1 from views of the tables as they are, refreshed by the changed rows alone."""
+    back = t.customers.where(F.col("active") == 0)
+    return V.dashboard(V.refreshed(V.sales_view(t.sales_orders), *_cancelled(t), V.sales_view, ("order_date",)),
+                       V.refreshed(V.customers_view(t.customers), back, back.withColumn("active", F.lit(1)), V.customers_view),
+                       V.products_view(t.products), V.production_view(t.production_orders), V.materials_view(t.raw_materials), AS_OF)
+
+
+@register("d26_outstanding_refreshed", _changed(PLAIN["d26_customer_outstanding"]))
+def d26_refreshed(t):
+    """D26 from its view, refreshed by the changed orders alone."""
+    return V.outstanding(V.refreshed(V.outstanding_view(t.sales_orders), *_cancelled(t), V.outstanding_view, ("customer_id",)))
