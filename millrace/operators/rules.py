@@ -11,7 +11,7 @@ run through ``plans.fold.sorted_fold``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import MONEY, msum
@@ -772,3 +772,18 @@ def validate_inputs(df: DataFrame, kind: str, unique: list[str] | None = None, o
             name, F.coalesce(name, F.when(F.col(order_col) > F.col("_first"),
                                           F.lit("duplicate_" + "_".join(unique))))).drop("_first")
     return out
+
+
+def store_valid(df: DataFrame, kind: str, path: str, unique: list[str] | None = None, order_col: str = "id") -> dict[str, int]:
+    """I20 as a load step: append the rows that pass ``validate_inputs`` to the Parquet table ``path``
+    and return how many failed each rule, and ``accepted``. The counts are observed while the rows are
+    written, so nothing is read for them a second time."""
+    name = "_verdict"
+    checked = validate_inputs(df, kind, unique, order_col, name)
+    required, positive = INPUT_RULES[kind]
+    reasons = [f"missing_{c}" for c in required] + [f"non_positive_{c}" for c in positive]
+    reasons += ["duplicate_" + "_".join(unique)] if unique else []
+    seen = Observation()
+    counts = [F.count_if(F.col(name) == r).alias(r) for r in reasons] + [F.count_if(F.col(name).isNull()).alias("accepted")]
+    checked.observe(seen, *counts).where(F.col(name).isNull()).drop(name).write.mode("append").parquet(path)
+    return {k: n for k, n in seen.get.items() if n or k == "accepted"}

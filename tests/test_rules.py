@@ -208,3 +208,18 @@ def test_delivery_changes_stamp_delivered_at(spark):
     assert {r.order_id: (r.status, r.delivered_at) for r in st.collect()} == {
         10: ("failed", later[2]), 20: ("delivered", TS), 30: ("delivered", later[4])}
     assert [(r.seq, r.reason) for r in rej.collect()] == [(5, "not_allowed")]
+
+
+def test_store_valid_counts_while_it_writes(spark, tmp_path):
+    """Counts equal the verdicts of ``validate_inputs``; the table holds the accepted rows; an empty input is fine."""
+    rows = [(1, "rent", 10.0, TS.date()), (2, None, 5.0, TS.date()), (3, "", 5.0, TS.date()), (4, "water", 0.0, TS.date()), (5, "water", -1.0, TS.date()),
+            (6, "water", 2.0, None), (7, "rent", 1.0, TS.date())]
+    df = spark.createDataFrame(rows, "id long, category string, amount double, expense_date date")
+    path = f"{tmp_path}/expenses"
+    got = I.store_valid(df, "expense", path)
+    want = {r.reason or "accepted": r["count"] for r in I.validate_inputs(df, "expense").groupBy("reason").count().collect()}
+    assert got == want == {"accepted": 2, "missing_category": 2, "missing_amount": 1, "non_positive_amount": 1, "missing_expense_date": 1}
+    assert {r.id for r in spark.read.parquet(path).collect()} == {1, 7}
+    assert I.store_valid(df.where("id > 100"), "expense", path) == {"accepted": 0}
+    bom = spark.createDataFrame([(1, 1, 2, 1.0), (2, 1, 2, 3.0), (3, 1, 3, 1.0)], "id long, product_id long, material_id long, quantity_per_unit double")
+    assert I.store_valid(bom, "bom", f"{tmp_path}/bom", unique=["product_id", "material_id"]) == {"accepted": 2, "duplicate_product_id_material_id": 1}
