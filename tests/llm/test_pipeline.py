@@ -42,7 +42,7 @@ def test_run_equals_brute_force(spark, sf_dir):
 
 def test_registered():
     assert E.queries()["pipeline"] is C.run
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in E.queries() if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in E.queries() if q.startswith("op") and q[2].isdigit()}
     assert [n for n, _ in C.STAGES] == ["language_id", "near_duplicates", "decontaminate", "mix_sources", "token_files"]
 
 
