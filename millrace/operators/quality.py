@@ -89,8 +89,8 @@ def _key_pairs(tables) -> DataFrame:
         if source not in frames:
             frames[source] = (df if df is not None else tables.stored(source), [])
         pair = F.struct(F.lit(parent).cast("tinyint").alias("parent"), F.lit(slot).cast("tinyint").alias("slot"), key.cast("long").alias("k"))
-        frames[source][1].append(F.when(key.isNotNull(), pair))
-    return reduce(DataFrame.unionByName, [df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.*")
+        frames[source][1].append(pair)
+    return reduce(DataFrame.unionByName, [df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("k IS NOT NULL")
                                           for df, pairs in frames.values()])
 
 
