@@ -7,12 +7,17 @@ same rule, one event per recursion step.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import numbering as G
 from millrace.operators import rules as I
+from millrace.operators.stored import store_changes, store_settings
 from millrace.plans.catalog import register
 from millrace.plans.q_filters import BATCH_SQL
+from millrace.session import ensure_checkpoint_dir
+from millrace.sources.stored import StoredTable
 from millrace.sources.tables import load_table
 
 MS = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)".format
@@ -113,6 +118,27 @@ for _entity, _feed in I1_FEEDS.items():
     register(f"{_name}_rejects", _changes_sql(_entity, *_feed, rejects=True))(_i1(_entity, 1))
 
 
+def _stored(t, name: str, keys: list[str]) -> StoredTable:
+    return StoredTable(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/stored/{name}-{uuid.uuid4().hex}", keys, 16)
+
+
+def _i1_stored(entity: str):
+    """The table is stored, and the changes come in two batches, cut at the middle number."""
+    def run(t):
+        table = _stored(t, entity, [I.CHANGE_SPECS[entity]["key"]])
+        table.load(0, getattr(t, entity))
+        changes = getattr(t, I1_FEEDS[entity][1])
+        middle = changes.agg(F.percentile_approx("seq", 0.5)).scalar()
+        store_changes(table, 1, changes.where(F.col("seq") <= middle), entity)
+        store_changes(table, 2, changes.where(F.col("seq") > middle), entity)
+        return table.read()
+    return run
+
+
+for _entity in ("products", "expenses"):
+    register(f"i1_stored_{_entity}", _changes_sql(_entity, *I1_FEEDS[_entity], rejects=False))(_i1_stored(_entity))
+
+
 def _items_with_line_no(t):
     li = load_table(t.spark, t.sf_dir, "lineitem")
     return li.selectExpr("l_orderkey AS order_id", "l_partkey AS product_id", "CAST(l_quantity AS INT) AS quantity",
@@ -506,6 +532,16 @@ def i19(t):
     return I.settings_upsert(None, t.app_settings_log)
 
 
+@register("i19_stored_settings", SETTINGS_SQL)
+def i19_stored(t):
+    log = t.app_settings_log
+    table = _stored(t, "settings", ["key"])
+    middle = log.agg(F.percentile_approx("seq", 0.5)).scalar()
+    table.load(0, I.settings_upsert(None, log.where(F.col("seq") <= middle)))
+    store_settings(table, 1, log.where(F.col("seq") > middle))
+    return table.read()
+
+
 @register("a6_settings_map", f"""
 SELECT array_to_string(list_sort(map_keys(m)), ',') AS key_list, m['view'] AS key0_value
 FROM (SELECT map_from_entries(list(struct_pack(k := key, v := value))) AS m FROM ({SETTINGS_SQL}) s) x
