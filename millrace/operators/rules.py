@@ -60,7 +60,7 @@ CHANGE_SPECS = {
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "products",
-                  seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+                  seq: str = "seq", top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert / update / delete change rows onto a table, in ``seq`` order.
 
     An insert is accepted if its key is not in use (a soft-deleted key stays in
@@ -69,7 +69,8 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "pr
     NULLs, and it gets the next id (largest id + n); an update sets the spec's
     columns only. Rejected: a NULL key (``missing_key``), ``duplicate_key``,
     ``not_found``, ``protected`` keys and deletes where the entity has none
-    (``not_allowed``), other ops (``bad_op``). Returns ``(state, rejects)``.
+    (``not_allowed``), other ops (``bad_op``). Returns ``(state, rejects)``. ``top``
+    is the largest id in use, where ``current`` holds a part of the table only.
 
     Whether a key is in use before a change follows from the last insert or hard
     delete attempt before it (either way it leaves the key used or free), a
@@ -78,7 +79,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, spec: dict | str = "pr
     keys = [spec["key"]] if isinstance(spec["key"], str) else list(spec["key"])
     mode, has_id = spec["delete"], "id" in current.columns
     op, is_ins, is_del = F.col("op"), F.col("op").eqNullSafe("insert"), F.col("op").eqNullSafe("delete")
-    top = current.agg(F.max("id")).scalar() if has_id else F.lit(0)
+    top = F.lit(top) if top is not None else current.agg(F.max("id")).scalar() if has_id else F.lit(0)
 
     def next_ids(rows: DataFrame, name: str) -> DataFrame:
         return running_count(rows, [], [seq], "_n").withColumn(
@@ -545,7 +546,8 @@ def order_lifecycle_replay(orders: DataFrame, events: DataFrame, deliveries: Dat
     scan = {"_created": created, "_told": told, "_reset": ("last", reset if strict else reset.when(F.col("_acc"), valued(F.lit("confirmed"))))}
     if strict:
         scan["_part"] = ("last", part)
-    x = carried(x, ["order_id"], order, scan, cuts)
+    # the scan reads its rows twice: the fold of the payments runs once
+    x = carried(written(x, "life-cycle"), ["order_id"], order, scan, cuts)
     if strict:
         # a paid order that a part payment has reopened can be delivered; a delivered one stays so
         reopened = told[1].isNotNull() & has_delivery(at) & since(F.col("_part"), F.col("_reset.p"))
