@@ -122,9 +122,11 @@ def maintenance_due(e: DataFrame, as_of, days: int = 7, active_only: bool = True
 
 
 # ----------------------------------------------------------------------------- B11-B14
-def global_search(customers: DataFrame, products: DataFrame, orders: DataFrame, q: str, k: int = 5) -> DataFrame:
+def global_search(customers: DataFrame, products: DataFrame, orders: DataFrame, q: str, k: int = 5,
+                  buyers: DataFrame | None = None) -> DataFrame:
     """SQLite-LIKE search over three groups, ``k`` hits each, one frame with
-    a ``grp`` column. Empty (trimmed) text gives an empty frame."""
+    a ``grp`` column. Empty (trimmed) text gives an empty frame. ``buyers`` names the
+    orders' customers, where ``customers`` holds only those to be searched."""
     q = (q or "").strip()
     cust = customers.where((sqlite_like_contains("name", q) | sqlite_like_contains("code", q)
                             | sqlite_like_contains("phone", q)) & (F.col("active") == 1)) \
@@ -132,7 +134,7 @@ def global_search(customers: DataFrame, products: DataFrame, orders: DataFrame,
     prod = products.where((sqlite_like_contains("name", q) | sqlite_like_contains("code", q)) & (F.col("active") == 1)) \
         .orderBy("id").limit(k).select(F.lit("products").alias("grp"), "id", "code", "name", "stock", "unit", "price")
     # orders hit by number or by their customer's name: one join, then the filter
-    cn = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
+    cn = (customers if buyers is None else buyers).select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
     hits = orders.join(cn, "customer_id").where(sqlite_like_contains("order_number", q) | sqlite_like_contains("customer_name", q))
     ords = hits.orderBy(F.desc("created_at"), F.desc("id")).limit(k) \
         .select(F.lit("orders").alias("grp"), "id", F.col("order_number").alias("code"), "total_amount", "status",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import filters as B
 from millrace.operators import numbering as G
-from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, register
+from millrace.operators.search_index import TrigramIndex, indexed_contains, indexed_search
+from millrace.plans.catalog import AS_OF, AS_OF_EVENTS, EV_FROM, PLAIN, register
+from millrace.session import ensure_checkpoint_dir
 
 SEARCH_Q = "cUsToMeR#00000012"
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,6 +153,26 @@ def b12(t):
     return B.contains_filter(t.customers, ["name", "code", "phone"], "Customer#0000001", "retail")
 
 
+def _index(t, table, cols: list[str], fold: str = "like") -> TrigramIndex:
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/stored/grams-{uuid.uuid4().hex}"
+    index = TrigramIndex(t.spark, path, cols, fold, buckets=16)
+    index.build(0, table)
+    return index
+
+
+@register("b11_indexed_search", PLAIN["b11_global_search"])
+def b11_indexed(t):
+    c, p, o = t.customers, t.products, t.sales_orders
+    return indexed_search(c, p, o, _index(t, c, ["name", "code", "phone"]), _index(t, p, ["name", "code"]),
+                          _index(t, o, ["order_number"]), SEARCH_Q, 5)
+
+
+@register("b12_indexed_contains", PLAIN["b12_contains_filter"])
+def b12_indexed(t):
+    cols = ["name", "code", "phone"]
+    return indexed_contains(t.customers, _index(t, t.customers, cols, "lower"), cols, "Customer#0000001", "retail")
+
+
 BATCH_SQL = """
 SELECT *, printf('B%s-%03d', strftime(CAST(created_at AS DATE), '%Y%m%d'),
                  1 + COALESCE(SUM(CASE WHEN status <> 'cancelled' THEN 1 ELSE 0 END) OVER (

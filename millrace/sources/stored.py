@@ -22,10 +22,12 @@ _OWN = ("_bucket", "_row", "batch")
 
 
 class StoredTable:
-    """A stored table of rows with key columns ``keys``, in ``buckets`` partitions by the keys' hash."""
+    """A stored table of rows with key columns ``keys``, in ``buckets`` partitions by the keys' hash,
+    whose files are sorted by ``sort`` (filters on it skip row groups)."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Iterable[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
+    def __init__(self, spark: SparkSession, path: str, keys: Iterable[str], buckets: int = 64,
+                 sort: Iterable[str] = ()):
+        self.spark, self.path, self.keys, self.buckets, self.sort = spark, path.rstrip("/"), list(keys), buckets, list(sort)
         self._at = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -86,7 +88,8 @@ class StoredTable:
         rows = rows.withColumns({"_row": F.lit(True), "_bucket": F.when(b.isin(numbers), b).otherwise(
             F.raise_error(F.lit("a row outside the touched buckets")).cast("int"))})
         marks = self.spark.createDataFrame([(n, False) for n in numbers], "_bucket int, _row boolean")
-        rows.unionByName(marks, allowMissingColumns=True).repartition("_bucket").write.mode("overwrite").option(
+        rows.unionByName(marks, allowMissingColumns=True).repartition("_bucket").sortWithinPartitions(
+            "_bucket", *self.sort).write.mode("overwrite").option(
             "mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").partitionBy("_bucket").parquet(f"{self.path}/batch={batch}")
         return True
 
