@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.scan import prefix_sums
+from millrace.plans.scan import fill_before, prefix_sums
 from millrace.session import ensure_checkpoint_dir
 
+#: keys of at most this many rows are walked, each as one array
+SHORT = 1024
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends there."""
@@ -19,7 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str, room: str) -> DataFrame:
+def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str, room: str, short: int = SHORT) -> DataFrame:
     """``rows`` with two more columns, ``accepted`` and ``used``: per key in ``order`` a row is accepted
     if its amount fits into what is left of the key's ``room`` (one value per key), and
     only accepted rows use it up; ``used`` is what is used after the row. Amounts and room are long.
@@ -29,12 +32,63 @@ def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str
     passes that half or one of the larger amounts fits; that row is accepted too and ends the round,
     as what is left has halved. So a round is one running sum and one minimum per key, a key takes at
     most log2(room / least amount) rounds, and a hot key's rows stay spread over all tasks. (A negative
-    amount is accepted, gives room back and ends a round as well.)"""
-    spare = [c for c in ("_left", "_sum", "_before", "_end", "_at", "_next") if c in rows.columns]
+    amount is accepted, gives room back and ends a round as well.)
+
+    Only keys of more than ``short`` rows take such rounds over the table; the rounds of a shorter key are
+    walked through its sorted rows, in one pass over all of them."""
+    spare = [c for c in ("_left", "_sum", "_before", "_end", "_at", "_next", "_long", "_neg", "_open", "_some", "_row") if c in rows.columns]
     if spare:
         raise ValueError(f"columns {spare} are taken")
+    rows = written(rows, "rows")
+    long = written(rows.groupBy(F.col(key).alias("_long")).count().where(F.col("count") > short).select("_long"), "long")
+    if long.isEmpty():
+        return _walked(rows, key, order, amount, room)
+    same = F.col(key).eqNullSafe(F.col("_long"))
+    return _walked(rows.join(long, same, "left_anti"), key, order, amount, room).unionByName(
+        _rounds(rows.join(long, same, "left_semi"), key, order, amount, room))
+
+
+def _walked(rows: DataFrame, key: str, order: Sequence[str], amount: str, room: str) -> DataFrame:
+    """The rounds of keys of few rows, each key's rows as one sorted array. Rows of one place in the order
+    that end a round end it together."""
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    place = F.struct(*order)
+    x = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.struct(*rows.columns).alias("_row")))).alias("_some"))
+
+    def let(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def step(s: Column, r: Column) -> Column:
+        a, tied = r["_row"][amount], F.coalesce(s["at"] == r["at"], F.lit(False))
+        new = s["at"].isNotNull() & ~tied
+        begun = F.struct(F.coalesce(F.when(new, s["next"]).otherwise(s["left"]), r["_row"][room]).alias("left"),
+                         F.when(new, zero).otherwise(s["sum"]).alias("before"))
+        grown = let(begun, lambda b: F.struct(b["left"], b["before"], ((a >= 0) & (2 * a <= b["left"])).alias("small")))
+
+        def decided(b: Column) -> Column:
+            total = b["before"] + F.when(b["small"], a).otherwise(zero)
+            ends = (a != 0) & F.when(b["small"], 2 * total > b["left"]).otherwise(a <= b["left"] - b["before"])
+            return let(F.struct(total.alias("sum"), ends.alias("ends"), (ends | tied).alias("last")), lambda e: F.struct(
+                b["left"].alias("left"), e["sum"].alias("sum"), F.when(e["last"], r["at"]).alias("at"),
+                F.when(e["ends"], b["left"] - b["before"] - a).otherwise(F.when(tied, s["next"])).alias("next"),
+                F.array_append(s["done"], F.struct((b["small"] | e["last"]).alias("accepted"), (r["_row"][room] - b["left"] + F.when(
+                    e["last"], b["before"] + a).otherwise(e["sum"])).alias("used"))).alias("done")))
+        return let(grown, decided)
+
+    at_type = rows.select(place.alias("at")).schema["at"].dataType
+    begin = F.struct(none.alias("left"), zero.alias("sum"), F.lit(None).cast(at_type).alias("at"), none.alias("next"),
+                     F.array().cast("array<struct<accepted:boolean,used:bigint>>").alias("done"))
+    x = x.select(F.explode(F.arrays_zip(F.col("_some._row").alias("_row"), F.aggregate("_some", begin, step, lambda s: s["done"]).alias("done"))).alias("_some"))
+    return x.select(*[F.col("_some._row")[c].alias(c) for c in rows.columns], "_some.done.accepted", "_some.done.used")
+
+
+def _rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str, room: str) -> DataFrame:
+    """The rounds of hot keys. A row that is refused for good leaves as soon as that is known, if its key has no
+    negative amount, so rounds get shorter; what is used after it is filled in at the end."""
     cols, at = rows.columns, F.struct(*order)
-    todo, done = rows.withColumn("_left", F.col(room)), []
+    neg = rows.where(F.col(amount) < 0).select(F.col(key).alias("_neg")).distinct()
+    todo = rows.join(neg, F.col(key).eqNullSafe(F.col("_neg")), "left")
+    todo, done = todo.withColumn("_open", F.col("_neg").isNotNull()).drop("_neg").withColumn("_left", F.col(room)), []
     a, left = F.col(amount), F.col("_left")
     small = (a >= 0) & (2 * a <= left)
     while True:
@@ -44,15 +98,17 @@ def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str
         x = written(x.withColumn("_end", ends & (a != 0)), "round")
         stop = x.where("_end").groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_at"), F.min_by(left - F.col("_before") - a, at).alias("_next"))
         stop = written(stop, "ends")
-        x = x.join(stop, F.col(key) == F.col("_key"), "left")
-        decided = x.where(F.col("_at").isNull() | (at <= F.col("_at")))
+        x = x.join(stop, F.col(key).eqNullSafe(F.col("_key")), "left")
+        later = F.coalesce(at > F.col("_at"), F.lit(False))
         last = F.coalesce(at == F.col("_at"), F.lit(False))
-        done.append(decided.select(*cols, (small | last).alias("accepted"), (F.col(room) - left + F.when(
+        gone = later & ~F.col("_open") & (a > F.col("_next"))
+        done.append(x.where(~later | gone).select(*cols, (~later & (small | last)).alias("accepted"), F.when(~later, F.col(room) - left + F.when(
             last, F.col("_before") + a).otherwise(F.col("_sum"))).alias("used")))
         if stop.isEmpty():
             break
-        todo = x.where(at > F.col("_at")).select(*cols, F.col("_next").alias("_left"))
+        todo = x.where(later & ~gone).select(*cols, "_open", F.col("_next").alias("_left"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    out = fill_before(out, [key], order, F.col("used"), "_before")
+    return out.select(*cols, "accepted", F.coalesce("used", "_before", F.lit(0).cast("long")).alias("used"))

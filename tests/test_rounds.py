@@ -48,3 +48,40 @@ def test_credit_replay_equals_plain_loop(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = E.queries()["i3_credit_replay"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("short", [0, 40, 1024])
+def test_walked_and_hot_keys_agree(spark, short):
+    """A hot key, short keys, negative and zero amounts, whichever keys take rounds over the table."""
+    rnd = random.Random(5)
+    room = {k: rnd.choice([0, 63, 500, 4000]) for k in range(20)}
+    rows = [(rnd.choice([*room, 0, 0, 0, 1, 1]), rnd.randrange(30), i, rnd.choice([0, 1, 3, 64, 65, 900, 2500] + [-30] * (i % 50 == 0))) for i in range(500)]
+    df = spark.createDataFrame([(*r, room[r[0]]) for r in rows], "k long, t long, i long, amount long, room long")
+    got = capacity_rounds(df, "k", ["t", "i"], "amount", "room", short=short)
+    assert {r.i: (r.accepted, r.used) for r in got.collect()} == plain(rows, room)
+
+
+def test_short_keys_take_no_rounds(spark, monkeypatch):
+    """However many keys and halvings: the table is not read once per round."""
+    from millrace.plans import rounds
+    names, write = [], rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df, name: names.append(name) or write(df, name))
+    df = spark.range(2000).selectExpr("id % 200 AS k", "id AS i", "shiftleft(1L, 12 - cast(id div 200 AS int)) AS amount", "10000L AS room")
+    assert capacity_rounds(df, "k", ["i"], "amount", "room").count() == 2000
+    assert "round" not in names
+
+
+def test_rounds_pass_on_only_rows_that_may_fit(spark, monkeypatch):
+    from millrace.plans import rounds
+    sizes, write = [], rounds.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "round":
+            sizes.append(out.count())
+        return out
+    monkeypatch.setattr(rounds, "written", counted)
+    df = spark.range(3000).selectExpr("0L AS k", "id AS i", "id % 3 * 400 + 1 AS amount", "1000L AS room")
+    got = {r.i: (r.accepted, r.used) for r in capacity_rounds(df, "k", ["i"], "amount", "room", short=10).collect()}
+    assert got == plain([(0, 0, i, i % 3 * 400 + 1) for i in range(3000)], {0: 1000})
+    assert sizes[0] == 3000 and all(x <= 2000 for x in sizes[1:])
