@@ -34,51 +34,35 @@ def capacity_rounds(rows: DataFrame, key: str, order: Sequence[str], amount: str
     most log2(room / least amount) rounds, and a hot key's rows stay spread over all tasks. (A negative
     amount is accepted, gives room back and ends a round as well.)
 
-    Only keys of more than ``short`` rows take such rounds over the table; the rounds of a shorter key are
-    walked through its sorted rows, in one pass over all of them."""
-    spare = [c for c in ("_left", "_sum", "_before", "_end", "_at", "_next", "_long", "_neg", "_open", "_some", "_row") if c in rows.columns]
+    Only keys of more than ``short`` rows take such rounds; shorter ones are walked row by row, all in one
+    pass over the table. Rows that repeat are decided one by one."""
+    spare = [c for c in ("_left", "_sum", "_before", "_end", "_at", "_next", "_long", "_neg", "_open", "_some", "_row", "_no") if c in rows.columns]
     if spare:
         raise ValueError(f"columns {spare} are taken")
-    rows = written(rows, "rows")
+    order = [*order, "_no"]
+    rows = written(rows.withColumn("_no", F.monotonically_increasing_id()), "rows")
     long = written(rows.groupBy(F.col(key).alias("_long")).count().where(F.col("count") > short).select("_long"), "long")
     if long.isEmpty():
-        return _walked(rows, key, order, amount, room)
+        return _walked(rows, key, order, amount, room).drop("_no")
     same = F.col(key).eqNullSafe(F.col("_long"))
     return _walked(rows.join(long, same, "left_anti"), key, order, amount, room).unionByName(
-        _rounds(rows.join(long, same, "left_semi"), key, order, amount, room))
+        _rounds(rows.join(long, same, "left_semi"), key, order, amount, room)).drop("_no")
 
 
 def _walked(rows: DataFrame, key: str, order: Sequence[str], amount: str, room: str) -> DataFrame:
-    """The rounds of keys of few rows, each key's rows as one sorted array. Rows of one place in the order
-    that end a round end it together."""
-    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
-    place = F.struct(*order)
-    x = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.struct(*rows.columns).alias("_row")))).alias("_some"))
-
-    def let(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
+    """Keys of few rows: the plain loop through each key's rows, as one sorted array."""
+    x = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rows.columns).alias("_row")))).alias("_some"))
+    zero = F.lit(0).cast("long")
 
     def step(s: Column, r: Column) -> Column:
-        a, tied = r["_row"][amount], F.coalesce(s["at"] == r["at"], F.lit(False))
-        new = s["at"].isNotNull() & ~tied
-        begun = F.struct(F.coalesce(F.when(new, s["next"]).otherwise(s["left"]), r["_row"][room]).alias("left"),
-                         F.when(new, zero).otherwise(s["sum"]).alias("before"))
-        grown = let(begun, lambda b: F.struct(b["left"], b["before"], ((a >= 0) & (2 * a <= b["left"])).alias("small")))
-
-        def decided(b: Column) -> Column:
-            total = b["before"] + F.when(b["small"], a).otherwise(zero)
-            ends = (a != 0) & F.when(b["small"], 2 * total > b["left"]).otherwise(a <= b["left"] - b["before"])
-            return let(F.struct(total.alias("sum"), ends.alias("ends"), (ends | tied).alias("last")), lambda e: F.struct(
-                b["left"].alias("left"), e["sum"].alias("sum"), F.when(e["last"], r["at"]).alias("at"),
-                F.when(e["ends"], b["left"] - b["before"] - a).otherwise(F.when(tied, s["next"])).alias("next"),
-                F.array_append(s["done"], F.struct((b["small"] | e["last"]).alias("accepted"), (r["_row"][room] - b["left"] + F.when(
-                    e["last"], b["before"] + a).otherwise(e["sum"])).alias("used"))).alias("done")))
-        return let(grown, decided)
-
-    at_type = rows.select(place.alias("at")).schema["at"].dataType
-    begin = F.struct(none.alias("left"), zero.alias("sum"), F.lit(None).cast(at_type).alias("at"), none.alias("next"),
-                     F.array().cast("array<struct<accepted:boolean,used:bigint>>").alias("done"))
-    x = x.select(F.explode(F.arrays_zip(F.col("_some._row").alias("_row"), F.aggregate("_some", begin, step, lambda s: s["done"]).alias("done"))).alias("_some"))
+        a = r["_row"][amount]
+        fits = F.coalesce(a <= r["_row"][room] - s["used"], F.lit(False))
+        used = s["used"] + F.when(fits, a).otherwise(zero)
+        return F.struct(used.alias("used"), F.array_append(s["done"], F.struct(fits.alias("accepted"), used.alias("used"))).alias("done"))
+
+    begin = F.struct(zero.alias("used"), F.array().cast("array<struct<accepted:boolean,used:bigint>>").alias("done"))
+    done = F.aggregate("_some", begin, step, lambda s: s["done"])
+    x = x.select(F.explode(F.arrays_zip(F.col("_some._row").alias("_row"), done.alias("done"))).alias("_some"))
     return x.select(*[F.col("_some._row")[c].alias(c) for c in rows.columns], "_some.done.accepted", "_some.done.used")
 
 

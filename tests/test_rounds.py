@@ -85,3 +85,13 @@ def test_rounds_pass_on_only_rows_that_may_fit(spark, monkeypatch):
     got = {r.i: (r.accepted, r.used) for r in capacity_rounds(df, "k", ["i"], "amount", "room", short=10).collect()}
     assert got == plain([(0, 0, i, i % 3 * 400 + 1) for i in range(3000)], {0: 1000})
     assert sizes[0] == 3000 and all(x <= 2000 for x in sizes[1:])
+
+
+@pytest.mark.parametrize("short", [0, 1024])
+def test_repeated_rows_are_decided_one_by_one(spark, short):
+    """Whole rows that repeat, the first of which passes half of what is left."""
+    rows = [(0, 1, 60), (0, 2, 130), (0, 2, 130), (0, 3, 200), (0, 4, 90), (1, 1, 90), (1, 1, 90), (1, 2, 20), (1, 2, 20)]
+    df = spark.createDataFrame([(*r, 420 if r[0] == 0 else 110) for r in rows], "k long, i long, amount long, room long")
+    got = sorted((r.k, r.i, r.accepted, r.used) for r in capacity_rounds(df, "k", ["i"], "amount", "room", short=short).collect())
+    assert got == [(0, 1, True, 60), (0, 2, True, 190), (0, 2, True, 320), (0, 3, False, 320), (0, 4, True, 410),
+                   (1, 1, False, 90), (1, 1, True, 90), (1, 2, False, 110), (1, 2, True, 110)]
